@@ -231,7 +231,7 @@ def best_cosine_coherence(vec: DataFrame) -> DataFrame:
 
 
 def top_connections(tm: DataFrame, k: int = 20) -> DataFrame:
-    w = Window.partitionBy("la").orderBy(F.desc(F.abs("weight")), "i", "j")
+    w = Window.partitionBy("la").orderBy(F.desc(F.round(F.abs("weight"), 9)), "i", "j")  # ties closer than float noise go by id
     return tm.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -442,7 +442,7 @@ def _(s, p):
     return E.best_cosine_coherence(S.activations_vec(s, p))
 
 
-@query("T6_top_connections", f"""select la, lb, i, j, weight, row_number() over (partition by la order by abs(weight) desc, i, j) as "rank" from ({TMC}) qualify "rank"<=20""",
+@query("T6_top_connections", f"""select la, lb, i, j, weight, row_number() over (partition by la order by round(abs(weight),9) desc, i, j) as "rank" from ({TMC}) qualify "rank"<=20""",
        "act", d="weight", extra=XADJ)
 def _(s, p):
     return E.top_connections(E.transition_matrix(S.activations_vec(s, p)))

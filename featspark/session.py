@@ -49,7 +49,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def is_small(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
     """True when the optimizer's size estimate proves ``df`` fits a broadcast."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= max_bytes
+    return int(str(size)) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
