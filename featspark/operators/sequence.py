@@ -1,5 +1,308 @@
-"""placeholder"""
-def in_region(rows, regions):
-    from pyspark.sql import functions as F
+"""Residue and sequence analytics. Whole sequences stay in one row where the work allows it;
+windows run inside one protein, whose size one row already bounds."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import tables as K
+from ..functions.num import c, lookup, pearson_agg, ratio, share
+from ..session import broadcast_if_small
+
+# filters and encodings ---------------------------------------------------------------------
+
+
+def filter_split(proteins: DataFrame, split: str) -> DataFrame:
+    return proteins.filter(F.col("split") == split)
+
+
+def truncate_seq(proteins: DataFrame, n: int = 1022) -> DataFrame:
+    return proteins.withColumn("sequence", F.substring("sequence", 1, n))
+
+
+def filter_len(proteins: DataFrame, n: int = 1022) -> DataFrame:
+    return proteins.filter(F.length("sequence") <= n)
+
+
+def valid_sequence(col) -> Column:
+    return F.upper(c(col)).rlike(f"^[{K.AMINO}]*$")
+
+
+def residues(proteins: DataFrame) -> DataFrame:
+    return proteins.select("protein_id", F.posexplode(F.split("sequence", "")).alias("pos", "aa"))
+
+
+def property_table(spark: SparkSession) -> DataFrame:
+    rows = [(a, K.KYTE_DOOLITTLE[a], K.HOPP_WOODS[a], K.CHARGE.get(a, 0.0), K.CHARGE_COARSE.get(a, 0.0), K.WEIGHT[a], K.DALTON[a], K.VOLUME[a],
+             K.HELIX[a], K.SHEET[a], K.FLEXIBILITY[a], K.DONOR_COUNT.get(a, 0), K.ACCEPTOR_COUNT.get(a, 0)) for a in K.AMINO]
+    return spark.createDataFrame(rows, "aa string, kd double, hopp_woods double, charge double, charge_coarse double, weight double, dalton double, "
+                                       "volume double, helix double, sheet double, flexibility double, donors int, acceptors int")
+
+
+DEFAULTS = {"kd": 0.0, "hopp_woods": 0.0, "charge": 0.0, "charge_coarse": 0.0, "weight": 100.0, "dalton": 100.0, "volume": 100.0, "helix": 1.0,
+            "sheet": 1.0, "flexibility": 0.4, "donors": 0, "acceptors": 0}
+
+
+def residue_properties(res: DataFrame) -> DataFrame:
+    """Every scale plus the normalised forms kd/5, (kd+5)/10, dalton/200 and volume/250; unknown letters get defaults.
+
+    The table has 20 rows, so its broadcast is bounded.
+    """
+    j = res.join(F.broadcast(property_table(res.sparkSession)), "aa", "left").fillna(DEFAULTS)
+    return (j.withColumn("kd_signed", F.col("kd") / 5.0).withColumn("kd_unit", (F.col("kd") + 5) / 10.0)
+            .withColumn("size_dalton", F.col("dalton") / 200.0).withColumn("size_volume", F.col("volume") / 250.0))
+
+
+def charge_of(aa="aa") -> Column:
+    return lookup(aa, K.CHARGE, 0.0)
+
+
+def charge_class(res: DataFrame) -> DataFrame:
+    q = charge_of()
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    return (res.withColumn("positive", one(q > 0)).withColumn("negative", one(q < 0)).withColumn("neutral", one(q == 0)))
+
+
+def encode_ss(ss, unknown: str = "zero") -> Column:
+    """One-hot over HBEGITS-; an unknown letter becomes all zero, or coil when ``unknown='coil'``."""
+    col = c(ss)
+    if unknown == "coil":
+        col = F.when(col.isin(list(K.SS8)), col).otherwise("-")
+    return F.array(*[F.when(col == s, 1).otherwise(0) for s in K.SS8])
+
+
+def encode_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Sparse multi-hot: sorted vocabulary indices per protein; terms outside the vocabulary are ignored."""
+    j = terms.join(broadcast_if_small(vocab), "term").groupBy("protein_id").agg(F.sort_array(F.collect_set("idx")).alias("indices"))
+    return terms.select("protein_id").distinct().join(j, "protein_id", "left").withColumn("indices", F.coalesce("indices", F.array().cast("array<int>")))
+
+
+def build_vocab(terms: DataFrame) -> DataFrame:
+    """(kind, term, idx): sorted distinct terms of each kind, 0-based. Vocabularies are ontologies, so a kind is bounded."""
+    d = terms.select("kind", "term").distinct()
+    return d.withColumn("idx", F.row_number().over(Window.partitionBy("kind").orderBy("term")) - 1)
+
+
+def parse_domains(col) -> Column:
+    """``10-50:PF1;60-120:PF2`` to half-open intervals; entries without ``:`` are skipped."""
+    parts = F.filter(F.split(c(col), ";"), lambda x: F.contains(x, F.lit(":")))
+    rx = r"^\s*(\d+)-(\d+):(.*)$"
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, rx, 1).cast("int").alias("start"), F.regexp_extract(x, rx, 2).cast("int").alias("end"),
+                                                 F.regexp_extract(x, rx, 3).alias("domain_id")))
+
+
+def format_domains(arr) -> Column:
+    return F.array_join(F.transform(c(arr), lambda d: F.format_string("%d-%d:%s", d.start, d.end, d.domain_id)), ";")
+
+
+def hbond_sites(res: DataFrame) -> DataFrame:
+    """Donor: side-chain table or any backbone N but the first; acceptor: table or any backbone O but the last."""
+    last = F.max("pos").over(Window.partitionBy("protein_id"))
+    r = res.withColumn("last", last)
+    return (r.withColumn("donor", F.col("aa").isin(list(K.DONOR_SIDE)) | (F.col("pos") > 0))
+            .withColumn("acceptor", F.col("aa").isin(list(K.ACCEPTOR_SIDE)) | (F.col("pos") < F.col("last"))).drop("last"))
+
+
+def assign_split(proteins: DataFrame, seed: int = 42, train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """Exact-count split by hash order. Ranks come from 4096 hash buckets: a small offset table plus
+    a rank inside each bucket, so no task ever orders all ids."""
+    h = F.md5(F.concat_ws("-", F.col("protein_id").cast("string"), F.lit(str(seed))))
+    d = proteins.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
+    cnt = d.groupBy("_b").agg(F.count("*").alias("_n"))
+    run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 4096 rows
+    offs = cnt.select("_b", (F.sum("_n").over(run) - F.col("_n")).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_t"))
+    r = d.join(F.broadcast(offs), "_b").withColumn("_r", F.col("_off") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", "protein_id")))
+    a, b = F.floor(F.col("_t") * train), F.floor(F.col("_t") * train) + F.floor(F.col("_t") * val)
+    out = r.withColumn("split", F.when(F.col("_r") <= a, "train").when(F.col("_r") <= b, "val").otherwise("test"))
+    return out.drop("_h", "_b", "_off", "_t", "_r")
+
+
+# intervals, runs, patterns -----------------------------------------------------------------
+
+
+def in_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows whose position lies in [start, end) of a region of the same protein, as an equi-join on exploded positions."""
     r = regions.select("protein_id", "domain_id", F.explode(F.expr("sequence(start, end - 1)")).alias("pos"))
     return rows.join(r, ["protein_id", "pos"])
+
+
+def runs(res: DataFrame, predicate: Column, min_len: int = 1, score: str | None = None, close_open: bool = True) -> DataFrame:
+    """Maximal runs of positions where the predicate holds: (protein_id, start, end, length[, score]).
+
+    ``close_open=False`` drops a run that reaches the last residue.
+    """
+    r = res.withColumn("_last", F.max("pos").over(Window.partitionBy("protein_id"))) if not close_open else res
+    hit = r.filter(predicate)
+    g = hit.withColumn("_g", F.col("pos") - F.row_number().over(Window.partitionBy("protein_id").orderBy("pos")))
+    aggs = [F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.count("*").alias("length")]
+    if score:
+        aggs.append(F.avg(score).alias("score"))
+    if not close_open:
+        aggs.append(F.max("_last").alias("_last"))
+    out = g.groupBy("protein_id", "_g").agg(*aggs).filter(F.col("length") >= min_len)
+    if not close_open:
+        out = out.filter(F.col("end") <= F.col("_last")).drop("_last")
+    return out.drop("_g")
+
+
+def transitions_ss(res: DataFrame, col: str = "ss") -> DataFrame:
+    prev = F.lag(col).over(Window.partitionBy("protein_id").orderBy("pos"))
+    return res.withColumn("from_state", prev).filter(F.col("from_state") != F.col(col)).select("protein_id", "pos", "from_state", F.col(col).alias("to_state"))
+
+
+def regex_spans(proteins: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Non-overlapping matches, left to right: (protein_id, pattern, start, end).
+
+    Start = text before the match, summed from the pieces between matches.
+    """
+    out = None
+    w = Window.partitionBy("protein_id").orderBy("k")
+    for name, p in patterns.items():
+        z = proteins.select("protein_id", F.posexplode(F.arrays_zip(F.split("sequence", p, -1).alias("gap"), F.regexp_extract_all("sequence", F.lit(p), 0).alias("hit"))).alias("k", "m"))
+        before = F.sum(F.length("m.gap") + F.coalesce(F.length("m.hit"), F.lit(0))).over(w)
+        s = z.select("protein_id", before.alias("end"), F.length("m.hit").alias("n")).filter("n is not null")
+        s = s.select("protein_id", F.lit(name).alias("pattern"), (F.col("end") - F.col("n")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def disorder_windows(proteins: DataFrame, width: int = 20, share_above: float = 0.6) -> DataFrame:
+    """Window starts 0 .. len-width-1 where more than ``share_above`` of the residues promote disorder."""
+    res = residues(proteins)
+    w = Window.partitionBy("protein_id").orderBy("pos")
+    k = F.sum(F.when(F.col("aa").isin(list(K.DISORDER)), 1).otherwise(0)).over(w.rowsBetween(0, width - 1))
+    x = res.select("protein_id", "pos", k.alias("k"), F.lead("pos", width).over(w).alias("beyond"))
+    return x.filter(F.col("beyond").isNotNull() & (F.col("k") > int(round(share_above * width)))).select("protein_id", F.col("pos").alias("start"), "k")
+
+
+def hydrophobic_moment(proteins: DataFrame, window: int = 11, angle: float = 100.0) -> DataFrame:
+    """Amphipathic moment of every full window: |sum h_j exp(i j angle)| / window, inside the row."""
+    h = F.transform(F.split("sequence", ""), lambda a: lookup(a, K.KYTE_DOOLITTLE, 0.0))
+    cos = [math.cos(math.radians(j * angle)) for j in range(window)]
+    sin = [math.sin(math.radians(j * angle)) for j in range(window)]
+    p = proteins.filter(F.length("sequence") >= window).select("protein_id", h.alias("h")).select(
+        "protein_id", "h", F.explode(F.expr(f"sequence(0, size(h) - {window})")).alias("pos"))
+    part = lambda t: sum((F.col("h")[F.col("pos") + j] * t[j] for j in range(1, window)), F.col("h")[F.col("pos")] * t[0])
+    sx, sy = part(cos), part(sin)
+    return p.select("protein_id", "pos", (F.sqrt(sx * sx + sy * sy) / window).alias("moment"))
+
+
+def charge_distribution(res: DataFrame) -> DataFrame:
+    q = charge_of()
+    g = res.groupBy("protein_id").agg(share(q > 0).alias("positive_fraction"), share(q < 0).alias("negative_fraction"))
+    return g.withColumn("net_charge", F.col("positive_fraction") - F.col("negative_fraction"))
+
+
+def sequence_motifs(proteins: DataFrame) -> DataFrame:
+    """Overlapping token-pattern hits at confidence 0.9: ``C any any C`` and ``S/T any charged``.
+
+    A slot named by a property (charged) is tested on the residue's charge.
+    """
+    w = Window.partitionBy("protein_id").orderBy("pos")
+    r = residues(proteins).select("protein_id", "pos", "aa", F.lead("aa", 2).over(w).alias("a2"), F.lead("aa", 3).over(w).alias("a3"))
+    zinc = (F.col("aa") == "C") & (F.col("a3") == "C")
+    phos = F.col("aa").isin("S", "T") & F.col("a2").isin(*[a for a, q in K.CHARGE.items() if abs(q) >= 1])
+    kinds = F.filter(F.array(F.when(zinc, "zinc_finger"), F.when(phos, "phosphorylation_site")), lambda x: x.isNotNull())
+    return r.select("protein_id", "pos", F.explode(kinds).alias("motif")).withColumn("confidence", F.lit(0.9))
+
+
+def property_motifs(proteins: DataFrame, thr: float = 0.7, small_below: float = 100.0) -> DataFrame:
+    """Catalytic-triad property pattern (charged, small, charged): share of matching slots > thr."""
+    w = Window.partitionBy("protein_id").orderBy("pos")
+    charged = lambda a: F.when(F.abs(lookup(a, K.CHARGE, 0.0)) >= 1, 1).otherwise(0)
+    small = lambda a: F.when(lookup(a, K.VOLUME, 100.0) < small_below, 1).otherwise(0)
+    r = residues(proteins).withColumn("a1", F.lead("aa", 1).over(w)).withColumn("a2", F.lead("aa", 2).over(w)).filter("a2 is not null")
+    conf = (charged("aa") + small("a1") + charged("a2")) / F.lit(3.0)
+    return r.select("protein_id", "pos", F.lit("catalytic_triad").alias("motif"), conf.alias("confidence")).filter(F.col("confidence") > thr)
+
+
+GROUPS = {"H": "HGI", "E": "EB", "C": "-CST", "T": "TS", "S": "S"}
+
+
+def ss_motifs(res: DataFrame, thr: float = 0.7) -> DataFrame:
+    """Secondary-structure patterns: every slot must lie in the pattern letter's group; confidence = exact share."""
+    w = Window.partitionBy("protein_id").orderBy("pos")
+    lead = res.select("protein_id", "pos", *[(F.col("ss") if k == 0 else F.lead("ss", k).over(w)).alias(f"s{k}") for k in range(6)])
+    hits = []
+    for name, pat in K.SS_MOTIFS.items():
+        ok = F.lit(True)
+        for k, ch in enumerate(pat):
+            ok = ok & F.coalesce(F.col(f"s{k}").isin(list(GROUPS[ch])), F.lit(False))
+        exact = sum([F.when(F.col(f"s{k}") == ch, 1).otherwise(0) for k, ch in enumerate(pat)], F.lit(0))
+        hits.append(F.when(ok & (exact / F.lit(float(len(pat))) >= thr), F.struct(F.lit(name).alias("motif"), F.lit(len(pat)).alias("len"), (exact / F.lit(float(len(pat)))).alias("confidence"))))
+    x = lead.select("protein_id", F.col("pos").alias("start"), F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+    return x.select("protein_id", "h.motif", "start", (F.col("start") + F.col("h.len")).alias("end"), "h.confidence")
+
+
+def remove_overlaps(hits: DataFrame) -> DataFrame:
+    """Keep hits highest confidence first, skipping any that overlaps a kept one (per protein, order-dependent).
+
+    Ties go by start, end and motif; one protein's hits are bounded by its length.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["confidence", "start", "end", "motif"], ascending=[False, True, True, True])
+        used = np.zeros(int(pdf["end"].max()) + 1, dtype=bool)
+        flags = []
+        for a, b in zip(pdf["start"].to_numpy(), pdf["end"].to_numpy()):
+            free = not used[a:b].any()
+            if free:
+                used[a:b] = True
+            flags.append(free)
+        return pdf[np.array(flags, dtype=bool)]
+
+    return hits.groupBy("protein_id").applyInPandas(keep, hits.schema)
+
+
+def ss_quality(res: DataFrame) -> DataFrame:
+    """Per protein: helix / sheet / coil share, share of runs long enough, complexity, transition rate."""
+    code = F.instr(F.lit(K.SS8), F.col("ss")) - 1
+    r = res.withColumn("code", code)
+    w = Window.partitionBy("protein_id").orderBy("pos")
+    base = (r.withColumn("chg", F.when(F.lag("code").over(w) != F.col("code"), 1).otherwise(0)).groupBy("protein_id")
+            .agg(F.count("*").alias("length"), share(F.col("code") == 0).alias("helix_fraction"), share(F.col("code") == 2).alias("sheet_fraction"),
+                 share(F.col("code") == 7).alias("coil_fraction"), F.countDistinct("code").alias("kinds"), F.sum("chg").alias("changes")))
+    part = lambda cond, n, k: runs(r, cond, 1).groupBy("protein_id").agg(share(F.col("length") >= n).alias(k))
+    helix, sheet = part(F.col("code").isin(0, 3, 4), 4, "hv"), part(F.col("code").isin(1, 2), 3, "sv")
+    j = base.join(helix, "protein_id", "left").join(sheet, "protein_id", "left")
+    z = F.lit(0.0)
+    return j.select("protein_id", "length", "helix_fraction", "sheet_fraction", "coil_fraction", F.coalesce("hv", z).alias("valid_helix"),
+                    F.coalesce("sv", z).alias("valid_sheet"), (F.col("kinds") / 8 * F.col("changes") / F.col("length")).alias("complexity"),
+                    F.coalesce(ratio("changes", F.col("length") - 1), z).alias("transition_rate"))
+
+
+def variant_sites(res: DataFrame, variants: DataFrame) -> DataFrame:
+    """Residues at a variant position whose letter is the variant's wild type (``pos`` 0-based)."""
+    return res.join(broadcast_if_small(variants.withColumnRenamed("wt", "aa")), ["pos", "aa"])
+
+
+def property_correlation(pred: DataFrame, res: DataFrame) -> DataFrame:
+    """Correlation of predicted and true normalised hydrophobicity over positions with a non-zero truth, if more than ten."""
+    t = residue_properties(res).select("protein_id", "pos", F.col("kd_unit").alias("truth")).filter("truth <> 0")
+    g = pred.join(t, ["protein_id", "pos"]).groupBy("layer", "feature").agg(pearson_agg("value", "truth").alias("corr"), F.count("*").alias("n"))
+    return g.filter("n > 10")
+
+
+def property_patterns(res: DataFrame) -> DataFrame:
+    """Composite per protein: hydrophobic clusters, charge distribution, structure regions and transitions."""
+    p = residue_properties(res)
+    hyd = runs(p, F.col("kd_unit") > 0.6, 3, "kd_unit", close_open=False).groupBy("protein_id").agg(F.count("*").alias("n_clusters"), F.avg("length").alias("avg_cluster"), F.avg("score").alias("avg_score"))
+    reg = lambda s, a: runs(res, F.col("ss") == s, 3).groupBy("protein_id").agg(F.count("*").alias(a))
+    tr = transitions_ss(res).groupBy("protein_id").agg(F.count("*").alias("n_transitions"))
+    j = charge_distribution(res)
+    for d in (hyd, reg("H", "helix_regions"), reg("E", "sheet_regions"), tr):
+        j = j.join(d, "protein_id", "left")
+    return j.fillna(0, ["n_clusters", "helix_regions", "sheet_regions", "n_transitions"])
+
+
+def level_summary(act: DataFrame, res: DataFrame, domains: DataFrame) -> DataFrame:
+    """Per protein: share of features with mean |v| > 0.1, distinct states / 8, min(1, domains / 5)."""
+    a = act.groupBy("protein_id", "feature").agg(F.avg(F.abs("value")).alias("m")).groupBy("protein_id").agg(share(F.col("m") > 0.1).alias("property_share"))
+    s = res.groupBy("protein_id").agg((F.countDistinct("ss") / F.lit(8.0)).alias("structure_share"))
+    d = domains.groupBy("protein_id").agg(F.least(F.lit(1.0), F.count("*") / F.lit(5.0)).alias("domain_share"))
+    return a.join(s, "protein_id").join(d, "protein_id")
