@@ -98,10 +98,10 @@ def concept_purity(coact: DataFrame) -> DataFrame:
     return m.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("d") / (F.col("o") + 1e-8))).alias("concept_purity"))
 
 
-def dead_features(act: DataFrame, thr: float = DEAD, min_samples: int = 10) -> DataFrame:
+def dead_features(act: DataFrame, thr: float = DEAD, min_samples: int = 10, by=("feature",)) -> DataFrame:
     """Features never above ``thr``; nothing when the sample is too small to tell."""
-    return (act.groupBy("feature").agg(F.max(F.abs("value")).alias("max_abs"), F.count("*").alias("n"))
-            .filter((F.col("max_abs") <= thr) & (F.col("n") >= min_samples)).select("feature", "max_abs"))
+    g = act.groupBy(*by).agg(F.max(F.abs("value")).alias("max_abs"), F.count("*").alias("n"))
+    return g.filter((F.col("max_abs") <= thr) & (F.col("n") >= min_samples)).drop("n")
 
 
 def dead_ratio(act: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import evolution as E
-from ..operators.gram import layer_pairs, pair_moments, with_corr
 from ..sources import views as S
 from .registry import query
 
@@ -113,8 +112,7 @@ def _(s, p):
 @query("A10_dead_features", "select layer, feature, max(abs(value)) as max_abs from act group by all having max(abs(value))<=0.25 and count(*)>=10",
        "act", d="max_abs")
 def _(s, p):
-    return (S.activations(s, p).groupBy("layer", "feature").agg(F.max(F.abs("value")).alias("max_abs"), F.count("*").alias("n"))
-            .filter("max_abs <= 0.25 and n >= 10").drop("n"))
+    return A.dead_features(S.activations(s, p), 0.25, 10, ("layer", "feature"))
 
 
 @query("A10_dead_ratio", "select avg(case when m<0.01 then 1.0::double else 0 end) as dead_ratio from (select max(abs(value)) as m from act group by feature)",

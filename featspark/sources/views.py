@@ -25,16 +25,21 @@ def _tokens(spark, path) -> DataFrame:
     return e.withColumn("protein_id", F.expr(f"vec_id div {TOKENS}")).withColumn("pos", F.col("vec_id") % TOKENS)
 
 
-def activations_vec(spark, path) -> DataFrame:
-    """protein_id, pos, layer, vec: four layers with a known drift."""
-    t = _tokens(spark, path).select("protein_id", "pos", "embedding", F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("layer"))
+def drift_vector():
+    """Vector of one layer from the embedding: a known drift that makes every transition type occur."""
 
     def cell(f):
         shifted = f + F.when(f % 7 == 6, F.col("layer")).otherwise(0)
         base = F.element_at("embedding", (shifted % WIDTH + 1).cast("int")).cast("double")
         return base * (1 + F.col("layer") * ((f % 5) - 2) / F.lit(4.0))
 
-    return t.select("protein_id", "pos", "layer", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), cell).alias("vec"))
+    return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), cell)
+
+
+def activations_vec(spark, path) -> DataFrame:
+    """protein_id, pos, layer, vec."""
+    t = _tokens(spark, path).select("protein_id", "pos", "embedding", F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("layer"))
+    return t.select("protein_id", "pos", "layer", drift_vector().alias("vec"))
 
 
 def to_long(vec: DataFrame) -> DataFrame:
@@ -130,6 +135,7 @@ from embeddings, range(4) l(layer), range(64) g(f)""",
   substr('HBEGITS-', 1 + greatest(0, least(7, floor(embedding[6]::double * 16 + 4)))::int, 1) as ss,
   least(1.0::double, abs(embedding[7]::double) * 4) as conservation, label
 from embeddings""",
+    "tprot": "select protein_id, string_agg(aa, '' order by pos) as sequence from tok group by protein_id",
     "coords": """select vec_id // 25 as protein_id, vec_id % 25 as pos, 40.0::double * embedding[1]::double as x,
   40.0::double * embedding[2]::double as y, 40.0::double * embedding[3]::double as z from embeddings""",
     "atoms": """select vec_id // 25 as protein_id, vec_id % 25 as pos, a.atom, 40.0::double * embedding[a.atom * 3 + 1]::double as x,
@@ -149,7 +155,7 @@ where length(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]',
 from embeddings, range(64) g(c)""",
     "log": "select user_id as epoch, event_type as metric, value, ts from events",
 }
-SQL_NEEDS = {"res0": ["prot"], "res": ["prot", "res0"], "domains": ["prot"]}
+SQL_NEEDS = {"tprot": ["tok"], "res0": ["prot"], "res": ["prot", "res0"], "domains": ["prot"]}
 
 
 def with_views(names: str, body: str, extra: str = "") -> str:
@@ -163,3 +169,10 @@ def with_views(names: str, body: str, extra: str = "") -> str:
     if extra.strip():
         parts.append(extra.strip().rstrip(","))
     return "with recursive " + ",\n".join(parts) + "\n" + body if parts else body
+
+
+def token_proteins(spark, path) -> DataFrame:
+    """Sequences of the activation proteins, put together from their tokens (at most TOKENS letters)."""
+    t = token_residues(spark, path)
+    s = t.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("pos", "aa"))).alias("s"))
+    return s.select("protein_id", F.array_join(F.transform("s", lambda e: e.aa), "").alias("sequence"))
