@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import count_if, ratio
 from ..functions.tables import ALIGN
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .graph import clustering, component_summary, components
 
 FAM = ["family_id"]
@@ -154,7 +154,7 @@ def apc(mi: DataFrame, n_cols: DataFrame) -> DataFrame:
 def coevolution(cells: DataFrame, weights: DataFrame, k: int = 100) -> DataFrame:
     cols = variable_columns(conservation(cells, weights), k)
     n = cells.groupBy("family_id").agg((F.max("col") + 1).alias("n"))
-    return apc(column_mi(cells, weights, cols), n)
+    return apc(cut_lineage(column_mi(cells, weights, cols)), n)  # pair table: read four times, columns^2 per family
 
 
 def attention_contacts(attn: DataFrame, min_separation: int = 6) -> DataFrame:

@@ -125,10 +125,10 @@ def pagerank(edges: DataFrame, keys: list[str], damping: float = 0.85, tol: floa
     dangling = nodes.join(e.select(*keys, F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True)), [*keys, "node"], "left")
     rank = cut_lineage(dangling.join(count, keys).select(*keys, "node", "n", F.col("has_out").isNull().alias("sink"), (1 / F.col("n")).alias("r")))
     for _ in range(max_rounds):
-        got = e.join(rank.select(*keys, F.col("node").alias("src"), "r"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("g"))
+        got = e.join(rank.select(*keys, F.col("node").alias("src"), "r"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("_in"))
         lost = rank.groupBy(*keys).agg(F.sum(F.when(F.col("sink"), F.col("r")).otherwise(0.0)).alias("lost"))
         new = rank.join(got, [*keys, "node"], "left").join(lost, keys)
-        r = (1 - damping) / F.col("n") + damping * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / F.col("n"))
+        r = (1 - damping) / F.col("n") + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("lost") / F.col("n"))
         rank = cut_lineage(new.select(*keys, "node", "n", "sink", r.alias("r"), F.abs(r - F.col("r")).alias("d")))
         if rank.groupBy(*keys).agg((F.sum("d") - F.max("n") * tol).alias("over")).filter("over >= 0").isEmpty():
             break
@@ -138,6 +138,7 @@ def pagerank(edges: DataFrame, keys: list[str], damping: float = 0.85, tol: floa
 
 def causal_importance(edges: DataFrame, keys: list[str]) -> DataFrame:
     """PageRank + betweenness + (weighted in + out degree) / 2, divided by the graph's maximum."""
+    edges = cut_lineage(edges)
     pr, bw = pagerank(edges, keys), betweenness(edges, keys)
     deg = (edges.select(*keys, F.explode(F.array("src", "dst")).alias("node"), "weight").groupBy(*keys, "node").agg((F.sum("weight") / 2).alias("d")))
     j = pr.join(bw, [*keys, "node"]).join(deg, [*keys, "node"]).withColumn("raw", F.col("pagerank") + F.col("betweenness") + F.col("d"))

@@ -6,6 +6,7 @@ from ..operators import aggregates as A
 from ..operators import circuits as C
 from ..operators import graph as G
 from ..operators.gram import cross_moments, lag_pairs, pair_moments, with_corr
+from ..session import cut_lineage
 from ..sources import views as S
 from .q_pairs import CAUSAL, DIGI, mi_sql
 from .registry import query
@@ -275,7 +276,7 @@ def _(s, p):
 
 
 def instances_of(s, p):
-    e = edges_of(s, p)
+    e = cut_lineage(edges_of(s, p))
     out = None
     for m in ("feed_forward", "cascade", "bi_fan", "feedback_loop"):
         i = C.motif_instances(e, m)

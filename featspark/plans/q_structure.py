@@ -358,9 +358,9 @@ db as materialized (select c.protein_id, c.pos, c.core, coalesce(l.cluster, (sel
  from core c left join lab l on l.protein_id=c.protein_id and l.pos=c.pos)"""
 
 
-@query("G4_dbscan", "select * from db", "coords", extra=dbscan_sql("coords", 5))
+@query("G4_dbscan", "select protein_id, pos, core, coalesce(cluster, -1) as cluster from db", "coords", extra=dbscan_sql("coords", 5))
 def _(s, p):
-    return T.dbscan3d(S.coords(s, p), 5.0, 3)
+    return T.dbscan3d(S.coords(s, p), 5.0, 3).fillna(-1, ["cluster"])
 
 
 HYD = "hyd as materialized (select c.* from coords c join rq using (protein_id, pos) where kd/5>0.3)"

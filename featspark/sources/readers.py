@@ -38,7 +38,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line number, text). A file is one alignment of one family, read as one row and unfolded."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ln", "line"))
 
 
