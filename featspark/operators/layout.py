@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vec as V
 from ..functions.num import c
 from ..functions.tables import DATASET_PRESETS, LAYER_PRESETS
+from ..session import broadcast_if_small
 
 
 def assemble(proteins: DataFrame, vec: DataFrame, coords: DataFrame, residues: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def complete_layers(vec: DataFrame, layers: list[int], width: int) -> DataFrame:
 def head_proteins(vec: DataFrame, n: int) -> DataFrame:
     """Rows of the first ``n`` proteins in key order (a sampling operator)."""
     ids = vec.select("protein_id").distinct().orderBy("protein_id").limit(n)
-    return vec.join(F.broadcast(ids), "protein_id", "left_semi")
+    return vec.join(broadcast_if_small(ids), "protein_id", "left_semi")
 
 
 def merge_embeddings(dfs: list[DataFrame]) -> DataFrame:
