@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from ..functions.num import count_if, pearson_agg, ratio, share
+from ..sources.views import to_long
 from .aggregates import ACTIVE, active, feature_importance, layer_state
 from .gram import layer_pairs, pair_moments, with_corr
 
 
 def adjacent_layers(act: DataFrame) -> DataFrame:
-    """Same token and feature in layer l and l + 1; one shuffle, bounded window (layers of a token)."""
+    """Same token and feature in layer l and l + 1.
+
+    Vectors are paired before they unfold, so the shuffle moves one row per token and layer; long
+    (possibly sparse) activations use a window over the layers of one token.
+    """
+    if "vec" in act.columns:
+        p = layer_pairs(act, "adjacent").select("protein_id", "pos", F.col("la").alias("layer"), F.posexplode(F.arrays_zip("x", "y")).alias("feature", "c"))
+        return p.select("protein_id", "pos", "layer", "feature", F.col("c.x").alias("value"), F.col("c.y").alias("next_value"))
     w = Window.partitionBy("protein_id", "pos", "feature").orderBy("layer")
     nxt = act.withColumn("next_layer", F.lead("layer").over(w)).withColumn("next_value", F.lead("value").over(w))
     return nxt.filter(F.col("next_layer") == F.col("layer") + 1).drop("next_layer")
@@ -42,7 +50,6 @@ def transition_matrix(vec: DataFrame, mode: str = "cosine") -> DataFrame:
     ``mean_cosine``: cosine of the position profiles averaged over proteins.
     """
     if mode == "mean_cosine":
-        from ..sources.views import to_long
         prof = to_long(vec).groupBy("layer", "pos", "feature").agg(F.avg("value").alias("v"))
         rows = prof.groupBy("layer", "pos").agg(F.array_sort(F.collect_list(F.struct("feature", "v"))).alias("s"))
         vec = rows.select(F.lit(0).alias("protein_id"), "pos", "layer", F.transform("s", lambda e: e.v).alias("vec"))
@@ -251,11 +258,11 @@ def evolution_report(vec: DataFrame, act: DataFrame, thr: float = 0.3) -> DataFr
     return out.join(sim, "layer", "left").join(res, "layer", "left").join(em, "layer", "left").fillna(0, ["n_emerging", "n_decaying"])
 
 
-def tracker_report(act: DataFrame, n_layers: int) -> DataFrame:
+def tracker_report(vec: DataFrame) -> DataFrame:
     """Layer tracker: mean rates per layer over proteins, plus step counts of every transition type."""
-    state = layer_state(act)
+    state = layer_state(to_long(vec))
     summ = layer_summary(state).groupBy("layer").agg(F.avg("emergence_rate").alias("emergence_rate"), F.avg("preservation_rate").alias("preservation_rate"))
-    tr = classify_transitions(act)
+    tr = classify_transitions(vec)
     kinds = ["emerged", "vanished", "amplified", "diminished", "preserved", "transformed"]
     cnt = tr.groupBy(F.col("target_layer").alias("layer")).agg(*[count_if(F.col("transformation_type") == k).alias(k) for k in kinds])
     return summ.join(cnt, "layer", "left")

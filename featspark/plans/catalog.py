@@ -15,7 +15,7 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 def flagship(spark, path):
     """Top features by frequency x magnitude with the counts of their layer transitions."""
-    act = S.activations(spark, path)
-    top = A.top_features(A.feature_stats(act), 10)
-    kinds = E.classify_transitions(act).groupBy("feature", "transformation_type").agg(F.count("*").alias("n"))
+    vec = S.activations_vec(spark, path)
+    top = A.top_features(A.feature_stats(S.to_long(vec)), 10)
+    kinds = E.classify_transitions(vec).groupBy("feature", "transformation_type").agg(F.count("*").alias("n"))
     return tidy(top.join(kinds, "feature"))

@@ -203,7 +203,7 @@ def _(s, p):
 
 @query("J2_adjacent_layers", "select * from adj", "act", d="value next_value", extra=ADJ)
 def _(s, p):
-    return E.adjacent_layers(S.activations(s, p))
+    return E.adjacent_layers(S.activations_vec(s, p))
 
 
 @query("J12_emerged", "select st.* from st where layer>0 and not exists (select 1 from st b where b.protein_id=st.protein_id and b.feature=st.feature and b.layer=st.layer-1)",
@@ -319,7 +319,7 @@ def _(s, p):
 @query("Q19_stable_features", "select feature, min(c) as min_corr from (select layer, feature, corr(value,next_value) as c from adj group by all) group by feature having min(c)>=0.8",
        "act", d="min_corr", extra=ADJ)
 def _(s, p):
-    return E.stable_features(S.activations(s, p))
+    return E.stable_features(S.activations_vec(s, p))
 
 
 @query("Q19_stable_by_moment", "select i as feature, min(sxy/n) as min_moment from tm where i=j group by i having min(sxy/n)>0.005", "act", d="min_moment", extra=XADJ)
@@ -329,18 +329,18 @@ def _(s, p):
 
 @query("Q20_classify_transitions", "select * from tr", "act", d="magnitude_change correlation", extra=TRANS)
 def _(s, p):
-    return E.classify_transitions(S.activations(s, p))
+    return E.classify_transitions(S.activations_vec(s, p))
 
 
 @query("A15_transition_counts", "select transformation_type, count(*) as n from tr group by all", "act", extra=TRANS)
 def _(s, p):
-    return E.transition_counts(E.classify_transitions(S.activations(s, p)))
+    return E.transition_counts(E.classify_transitions(S.activations_vec(s, p)))
 
 
 @query("T2_critical_transitions", """select *, abs(magnitude_change) as abs_change from tr order by abs_change desc, protein_id, source_layer, feature limit 10""",
        "act", d="magnitude_change correlation abs_change", extra=TRANS)
 def _(s, p):
-    return E.critical_transitions(E.classify_transitions(S.activations(s, p)))
+    return E.critical_transitions(E.classify_transitions(S.activations_vec(s, p)))
 
 
 RANKSQL = {
@@ -353,7 +353,7 @@ for _crit, _sql in RANKSQL.items():
     @query(f"T3_rank_{_crit}", _sql, "act", d="score", extra=STATE + "," + TRANS)
     def _(s, p, crit=_crit):
         act = S.activations(s, p)
-        return E.rank_features(A.layer_state(act), E.classify_transitions(act), crit, 4)
+        return E.rank_features(A.layer_state(act), E.classify_transitions(S.activations_vec(s, p)), crit, 4)
 
 
 @query("Q21_evolution_by_position", """select layer, pos, avg(c) as stability, avg((b-a)/64.0::double) as emergence, avg((a-b)/64.0::double) as decay from
@@ -379,7 +379,7 @@ def _(s, p):
  join st on st.protein_id=l.protein_id and st.feature=l.feature and st.layer=l.len)""")
 def _(s, p):
     act = S.activations(s, p)
-    return E.lineages(E.classify_transitions(act), A.layer_state(act), 4)
+    return E.lineages(E.classify_transitions(S.activations_vec(s, p)), A.layer_state(act), 4)
 
 
 @query("Q23_monosemanticity", f"""select avg(1-(-p*ln(p)-(1-p)*ln(1-p))/ln(2)) as monosemanticity from (select {ON} as p, max(abs(value)) as m from act group by feature)
@@ -464,7 +464,7 @@ def _(s, p):
        " from (select layer, avg(emergence_rate) as emergence_rate, avg(preservation_rate) as preservation_rate from summ group by layer) s", "act",
        d="emergence_rate preservation_rate", extra=",".join([STATE, SUMMARY, TRANS]))
 def _(s, p):
-    return E.tracker_report(S.activations(s, p), 4)
+    return E.tracker_report(S.activations_vec(s, p))
 
 
 @query("Q29_kurtosis_score", """select layer, feature, kurtosis_pop(value) as kurtosis, case when kurtosis_pop(value)>3 then least(kurtosis_pop(value)/10,1) else 0 end as heavy_tail_score
