@@ -427,8 +427,6 @@ def causality_summary(relations: DataFrame) -> DataFrame:
                          F.avg("strength").alias("avg_strength"), F.avg("confidence").alias("avg_confidence"))
 
 
-ORDER = {"temporal": 1, "direct": 2, "adjusted": 2, "mediated": 0}
-
 
 def causal_edges(relations: DataFrame) -> DataFrame:
     """One edge per (layer, cause, effect): temporal < direct < mediated, the later list wins; best strength inside a list."""
