@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe_split, exact_dedup, prefix_tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,13 @@ g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)""")
 def op8(spark, path):
     return exact_dedup.exact_duplicates(table(spark, path, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op4_prefix_tokens")
+def op4(spark, path):
+    return prefix_tokens.token_counts(table(spark, path, "documents"))
+
+
+@query("op9_bpe_split")
+def op9(spark, path):
+    return bpe_split.round_trip(table(spark, path, "documents"))
