@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, ids_and_text, stash
 
+SCHEMA = pa.schema([("sha", pa.binary()), ("mix", pa.int64()), ("n_bytes", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("node", pa.int32())])
 RUN = "sha binary, mix long, n_bytes long, no_id boolean, doc_id long, row_id long, n long, node int"
 
 
@@ -43,12 +44,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=SCHEMA)
         t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         new = [pc.not_equal(t[c].slice(1), t[c].slice(0, t.num_rows - 1)) for c in ("sha", "mix", "n_bytes")]
         first = pa.concat_arrays([pa.array([True]), *pc.or_(pc.or_(new[0], new[1]), new[2]).chunks])
         starts = pc.indices_nonzero(first).to_numpy().astype(np.int64)
         sums = np.add.reduceat(t["n"].to_numpy(), starts)
         out = t.take(pa.array(starts)).set_column(t.schema.get_field_index("n"), "n", pa.array(sums, pa.int64())).combine_chunks().to_batches()[0]
+        out = pa.RecordBatch.from_arrays(out.columns, schema=SCHEMA)
         if out.num_rows > 1:
             yield out.slice(0, out.num_rows - 1)
         held = out.slice(out.num_rows - 1)
