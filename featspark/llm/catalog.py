@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, exact_dedup, prefix_tokens
+from . import bpe_split, exact_dedup, prefix_tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op4(spark, path):
 @query("op9_bpe_split")
 def op9(spark, path):
     return bpe_split.round_trip(table(spark, path, "documents"))
+
+
+@query("op2_toxicity_neighbours")
+def op2(spark, path):
+    return toxicity.toxicity_scores(table(spark, path, "documents"), table(spark, path, "labels"))
