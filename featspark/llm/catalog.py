@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, exact_dedup, prefix_tokens, toxicity
+from . import bpe_split, exact_dedup, language_id, prefix_tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op9(spark, path):
 @query("op2_toxicity_neighbours")
 def op2(spark, path):
     return toxicity.toxicity_scores(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query("op6_language_profiles")
+def op6(spark, path):
+    return language_id.language_profiles(table(spark, path, "documents"))
