@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, exact_dedup, language_id, prefix_tokens, toxicity
+from . import bpe_split, exact_dedup, language_id, line_crf, prefix_tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op2(spark, path):
 @query("op6_language_profiles")
 def op6(spark, path):
     return language_id.language_profiles(table(spark, path, "documents"))
+
+
+@query("op1_line_crf")
+def op1(spark, path):
+    return line_crf.line_quality(table(spark, path, "documents"), table(spark, path, "labels"))
