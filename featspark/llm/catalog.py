@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, exact_dedup, language_id, line_crf, prefix_tokens, toxicity
+from . import bpe_split, exact_dedup, html_text, language_id, line_crf, prefix_tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op6(spark, path):
 @query("op1_line_crf")
 def op1(spark, path):
     return line_crf.line_quality(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query("op10_html_boosted")
+def op10(spark, path):
+    return html_text.extract(table(spark, path, "pages"))
