@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, exact_dedup, html_text, language_id, line_crf, prefix_tokens, toxicity
+from . import bpe_split, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op1(spark, path):
 @query("op10_html_boosted")
 def op10(spark, path):
     return html_text.extract(table(spark, path, "pages"))
+
+
+@query("op7_pareto_mix")
+def op7(spark, path):
+    return mix_sources.mix(table(spark, path, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
