@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, toxicity
+from . import bpe_split, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, prob_minhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op10(spark, path):
 @query("op7_pareto_mix")
 def op7(spark, path):
     return mix_sources.mix(table(spark, path, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+@query("op3_prob_minhash")
+def op3(spark, path):
+    return prob_minhash.near_duplicates(table(spark, path, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
