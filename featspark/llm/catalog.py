@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, prob_minhash, toxicity
+from . import bpe_split, chunk_dedup, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, prob_minhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op7(spark, path):
 @query("op3_prob_minhash")
 def op3(spark, path):
     return prob_minhash.near_duplicates(table(spark, path, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
+@query("op5_gear_chunks")
+def op5(spark, path):
+    return chunk_dedup.passages(table(spark, path, "documents"))
