@@ -16,8 +16,10 @@ import hashlib
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bytepair import Memo, Vocabulary, pieces, public_path, vocabulary
 from .common import ids_and_text, map_rows
@@ -96,3 +98,20 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_rows(ids_and_text(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, exact: a corpus ready for training; ``exact`` says that the ids decode to the text."""
+    path = path or public_path()
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        c = codec(path)
+        ids, same = [], []
+        for t in b["text"]:
+            text = t.as_py() or ""
+            ids.append(np.array(c.encode(text), np.int32))
+            same.append(c.decode(ids[-1].tolist()) == text)
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], b["source"], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "lang", "source", "n_tokens", "ids", "exact"])
+
+    rows = ids_and_text(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    return map_rows(rows, run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, exact boolean", rows=256)

@@ -74,3 +74,10 @@ def op3(spark, path):
 @query("op5_gear_chunks")
 def op5(spark, path):
     return chunk_dedup.passages(table(spark, path, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, path):
+    import corpus_pipeline  # the stages import this package's operators, so the module comes last
+
+    return corpus_pipeline.run(spark, path)
