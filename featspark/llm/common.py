@@ -29,6 +29,17 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a row number, and the name of that column.
+
+    Numbers given anew in a second scan could differ, since splits depend on the executors alive at the time.
+    """
+    name = "__row"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return stash(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1024) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows, so that a worker holds little beside one Arrow batch."""
 

@@ -25,15 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ids_and_text, stash
+from .common import SPACE, ids_and_text, numbered, stash
 
 SCHEMA = pa.schema([("sha", pa.binary()), ("mix", pa.int64()), ("n_bytes", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("node", pa.int32())])
 RUN = "sha binary, mix long, n_bytes long, no_id boolean, doc_id long, row_id long, n long, node int"
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, row_id and the digests of the text after white space runs became single spaces."""
-    d = ids_and_text(docs).withColumn("row_id", F.monotonically_increasing_id())
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, row_id (column ``row``, else numbered here) and the digests of the text after white space runs became single spaces."""
+    d = ids_and_text(docs, (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"))
     d = d.withColumn("norm", F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
     return d.select("doc_id", "row_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.xxhash64("norm").alias("mix"), F.octet_length("norm").cast("long").alias("n_bytes"))
 
@@ -91,7 +91,6 @@ def exact_duplicates(docs: DataFrame, rounds: int | None = None) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """``docs`` without its exact copies, all columns kept; the row with the smallest doc_id stays."""
-    prints = stash(fingerprints(docs))
-    stay = merge_runs(prints, rounds).select(F.col("row_id").alias("__row"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    return rows.join(stay, "__row", "left_semi").drop("__row")
+    base, row = numbered(docs)
+    stay = merge_runs(stash(fingerprints(base, row)), rounds).select(F.col("row_id").alias(row))
+    return base.join(stay, row, "left_semi").drop(row)

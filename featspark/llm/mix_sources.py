@@ -23,15 +23,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, stash
+from .common import ids_and_text, numbered, stash
 
 CELLS = 4096
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, row_id, size (words of the whole text)."""
+def measured(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, row_id (column ``row``, else numbered here), size (words of the whole text)."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    return ids_and_text(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.monotonically_increasing_id().alias("row_id"), words.alias("size"))
+    number = (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id")
+    return ids_and_text(docs, F.col("source").cast("string").alias("source"), number).select("doc_id", "source", "row_id", words.alias("size"))
 
 
 def targets(sizes: DataFrame, most: float) -> DataFrame:
@@ -65,9 +66,9 @@ def _placed(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     return d.withColumn("cell", F.least(F.lit(CELLS * CELLS - 1), F.floor(F.col("at") * (CELLS * CELLS))).cast("long"))
 
 
-def mix(docs: DataFrame, most: float = 3.0, seed: int = 7, giant: float = 4.0, tail: int = 2000) -> DataFrame:
+def mix(docs: DataFrame, most: float = 3.0, seed: int = 7, giant: float = 4.0, tail: int = 2000, row: str | None = None) -> DataFrame:
     """One row per input row: doc_id, row_id, source, size, source_size, target, copies, taken."""
-    sizes = stash(measured(docs))
+    sizes = stash(measured(docs, row))
     plan = stash(targets(sizes, most).coalesce(1))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size"), 6))
@@ -121,12 +122,13 @@ def _fill(pdf):
             left.append((size, row))
     over = [(size, row) for size, row in left if size - gap < gap]
     if over:
-        chosen.append(min(over)[1])
+        chosen.append(min(over, key=lambda x: x[0])[1])  # the first in rank order among the smallest
     return pdf[pdf["row_id"].isin(chosen)][["row_id"]].assign(extra=1).astype({"extra": "int32"})
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all columns of ``docs``, each as often as the mix takes it."""
-    copies = mix(docs, **options).filter("copies > 0").select(F.col("row_id").alias("__row"), F.col("copies").cast("int").alias("__n"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(copies, "__row")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__row", "__n", "__copy")
+    base, row = numbered(docs)
+    n = row + "n"
+    copies = mix(base, row=row, **options).filter("copies > 0").select(F.col("row_id").alias(row), F.col("copies").cast("int").alias(n))
+    return base.join(copies, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n)

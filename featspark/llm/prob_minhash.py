@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .bytepair import Memo
-from .common import ids_and_text, map_rows, stash
+from .common import ids_and_text, map_rows, numbered, stash
 
 SHINGLE = 5
 _U = np.uint64
@@ -92,8 +92,8 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], slots: int) -> np.ndar
     return who.reshape(n, slots)
 
 
-def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, row_id, key (digest of the words), n_shingles, bands array<long> of every whole text."""
+def sketch(base: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Of numbered rows (doc_id, text, row_id): doc_id, row_id, key (digest of the words), n_shingles, bands array<long> of every whole text."""
     slots = bands * rows
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -116,8 +116,7 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         out = [h[i] if len(sets[i][0]) else [] for i in at]
         return pa.RecordBatch.from_arrays([b["doc_id"], b["row_id"], pa.array(keys, pa.binary()), pa.array([len(sets[i][0]) for i in at], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "row_id", "key", "n_shingles", "bands"])
 
-    rows_in = ids_and_text(docs).withColumn("row_id", F.monotonically_increasing_id())
-    return map_rows(rows_in, run, "doc_id long, row_id long, key binary, n_shingles long, bands array<long>", rows=512)
+    return map_rows(base, run, "doc_id long, row_id long, key binary, n_shingles long, bands array<long>", rows=512)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -154,7 +153,7 @@ def _ordered(a, b):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def near_links(docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def near_links(base: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links (u, v, similarity) between representatives and (node, component) of all linked ones."""
     entry = reps.select("row_id", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = entry.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
@@ -165,8 +164,7 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[Data
     fits = F.least("n_shingles", "n_hub") >= F.lit(threshold) * F.greatest("n_shingles", "n_hub")
     star = entry.join(hub, "bucket").filter((F.col("row_id") != F.col("hub")) & fits).select(*_ordered(F.col("row_id"), F.col("hub")))
     star = stash(star.groupBy("u", "v").agg(F.count("*").alias("n_bands")).drop("n_bands"))
-    rows = ids_and_text(docs).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "text")
-    texts = stash(rows.join(entry.select("row_id").distinct(), "row_id", "left_semi"))
+    texts = stash(base.select("row_id", "text").join(entry.select("row_id").distinct(), "row_id", "left_semi"))
     links = stash(verify(star, texts, threshold))
     comp = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
     # pairs of a bucket that lie in different components have not been compared yet, unless the hub was one of them
@@ -183,17 +181,19 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[Data
     return links, components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 6, row: str | None = None) -> DataFrame:
     """One row per input row: doc_id, row_id, class_id, class_size, n_links, kept.
 
     ``class_id`` is the smallest doc_id of the class, ``n_links`` the verified links found for the row's text
-    to different texts, ``kept`` is true for one row of each class.
+    to different texts, ``kept`` is true for one row of each class. ``row`` names a column that already
+    numbers the rows of a written table.
     """
-    prints = stash(sketch(docs, bands, rows))
+    base = ids_and_text(docs, F.col(row).alias("row_id")) if row else stash(ids_and_text(docs, F.monotonically_increasing_id().alias("row_id")))
+    prints = stash(sketch(base, bands, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("r")
     own = stash(prints.groupBy("key").agg(first, F.count("*").alias("n")).select("key", "n", "r.no_id", "r.doc_id", "r.row_id"))
     reps = prints.select("row_id", "n_shingles", "bands").join(own.select("row_id"), "row_id", "left_semi").filter("n_shingles > 0")
-    links, comp = near_links(docs, reps, threshold)
+    links, comp = near_links(base, reps, threshold)
     degree = links.select(F.explode(F.array("u", "v")).alias("row_id")).groupBy("row_id").agg(F.count("*").alias("n_links"))
     member = own.join(comp.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("component", F.coalesce("component", "row_id")).join(degree, "row_id", "left")
     member = stash(member.select("key", "n", "no_id", "doc_id", "row_id", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
@@ -204,5 +204,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, ro
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, all columns kept."""
-    stay = near_duplicates(docs, **options).filter("kept").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").drop("__row")
+    base, row = numbered(docs)
+    stay = near_duplicates(base, row=row, **options).filter("kept").select(F.col("row_id").alias(row))
+    return base.join(stay, row, "left_semi").drop(row)

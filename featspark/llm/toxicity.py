@@ -72,7 +72,7 @@ def choose_terms(examples: DataFrame, max_terms: int, least: float) -> list[str]
     n, rest = F.col("p") + F.col("q"), F.col("p") + F.col("q") - F.col("pos") - F.col("neg")
     det = F.col("pos") * (F.col("q") - F.col("neg")) - F.col("neg") * (F.col("p") - F.col("pos"))
     chi = n * det * det / (F.col("p") * F.col("q") * (F.col("pos") + F.col("neg")) * F.greatest(rest, F.lit(1.0)))
-    rows = (counts.filter("pos + neg >= 5").crossJoin(F.broadcast(total)).withColumn("chi", chi).filter((F.col("chi") >= least) & (F.col("pos") * F.col("q") > F.col("neg") * F.col("p")))
+    rows = (counts.filter("pos + neg >= 3").crossJoin(F.broadcast(total)).withColumn("chi", chi).filter((F.col("chi") >= least) & (F.col("pos") * F.col("q") > F.col("neg") * F.col("p")))
             .orderBy(F.desc("chi"), "term").limit(max_terms).collect())
     return [r.term for r in rows]
 
