@@ -64,7 +64,7 @@ def test_decoding_is_the_best_consistent_choice():
         nodes = dom.ordered(nodes[0])
         odds = rng.normal(size=len(nodes)).tolist()
         place = {id(n): k for k, n in enumerate(nodes)}
-        best = max((sum(o for o, v in zip(odds[1:], y)), y) for y in product((0, 1), repeat=len(nodes) - 1)
+        best = max((sum(o for o, v in zip(odds[1:], y) if v), y) for y in product((0, 1), repeat=len(nodes) - 1)
                    if all(not v or n.parent is nodes[0] or y[place[id(n.parent)] - 1] for n, v in zip(nodes[1:], y)))
         got = dom.decode(nodes, list(odds))
         assert [id(n) for n in got] == [id(n) for n, v in zip(nodes[1:], best[1]) if v and n.tag == "#text"]
