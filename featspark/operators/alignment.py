@@ -116,10 +116,10 @@ def diversity(cells: DataFrame, tile: int = 512) -> DataFrame:
     return parts.groupBy("family_id").agg(F.coalesce(1 - ratio(F.sum("s"), F.sum("n")), F.lit(0.0)).alias("diversity"))
 
 
-def variable_columns(cons: DataFrame, k: int = 100, below: float = 0.9) -> DataFrame:
-    """At most ``k`` columns per family with conservation < ``below``, most variable first (the reported feature set)."""
+def variable_columns(cons: DataFrame, k: int | None = 100, below: float = 0.9) -> DataFrame:
+    """At most ``k`` columns (None: all) per family with conservation < ``below``, most variable first (the reported feature set)."""
     w = Window.partitionBy("family_id").orderBy(F.round("conservation", 9), "col")
-    return cons.filter(F.col("conservation") < below).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cons.filter(F.col("conservation") < below).withColumn("rank", F.row_number().over(w)).filter(F.lit(True) if k is None else F.col("rank") <= k)
 
 
 def column_pairs(cells: DataFrame, cols: DataFrame) -> DataFrame:
@@ -151,7 +151,8 @@ def apc(mi: DataFrame, n_cols: DataFrame) -> DataFrame:
     return j.select("family_id", "c1", "c2", "mi", F.greatest(F.lit(0.0), F.col("mi") - corr).alias("score"))
 
 
-def coevolution(cells: DataFrame, weights: DataFrame, k: int = 100) -> DataFrame:
+def coevolution(cells: DataFrame, weights: DataFrame, k: int | None = None) -> DataFrame:
+    """Corrected mutual information of all variable column pairs, or of the ``k`` most variable columns."""
     cols = variable_columns(conservation(cells, weights), k)
     n = cells.groupBy("family_id").agg((F.max("col") + 1).alias("n"))
     return apc(cut_lineage(column_mi(cells, weights, cols)), n)  # pair table: read four times, columns^2 per family

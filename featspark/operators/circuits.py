@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def motif_subgraphs(edges: DataFrame, size: int) -> DataFrame:
     return g.select("nodes", bits.alias("structure"), "n_edges", "weight_sum", F.lit(size).alias("size"))
 
 
-def find_motifs(edges: DataFrame, sizes=(3, 4), min_freq: int = 2):
+def find_motifs(edges: DataFrame, sizes=(3, 4, 5, 6, 7, 8), min_freq: int = 2):
     """(circuits, instances) of recurring structures, ranked by 0.4 frequency + 0.6 mean weight."""
     edges = cut_lineage(edges)  # read once per growth step
     inst = None
@@ -239,8 +240,8 @@ def circuit_summary(circuits: DataFrame, validated: DataFrame | None = None) ->
                      F.avg("importance").alias("avg_importance"), F.stddev_pop("importance").alias("std_importance"), F.max("importance").alias("max_importance"))
     if validated is None:
         return s
-    top = validated.join(circuits.select("structure", "importance"), "structure").orderBy(F.desc("importance"), "structure").limit(10)
-    return s.join(F.broadcast(top.agg(F.avg("coherence").alias("coherence_top10"))))
+    known = validated.join(circuits.select("structure"), "structure")
+    return s.join(F.broadcast(known.agg(F.avg("coherence").alias("avg_coherence"))))
 
 
 def circuit_features(cnodes: DataFrame) -> DataFrame:
@@ -257,10 +258,15 @@ def circuit_jaccard(cnodes: DataFrame) -> DataFrame:
     return j.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
 
 
-def circuit_modularity(circuits: DataFrame, cnodes: DataFrame, top: int = 20) -> DataFrame:
-    """1 - mean Jaccard over all pairs of the ``top`` circuits; absent pairs count as 0."""
-    best = circuits.orderBy(F.desc("importance"), "structure").limit(top).select("structure")
-    cn = cnodes.join(F.broadcast(best), "structure", "left_semi")
+def _best(circuits: DataFrame, top: int | None) -> DataFrame:
+    ranked = circuits if top is None else circuits.orderBy(F.desc("importance"), "structure").limit(top)
+    return ranked.select("structure")
+
+
+def circuit_modularity(circuits: DataFrame, cnodes: DataFrame, top: int | None = None) -> DataFrame:
+    """1 - mean Jaccard over all pairs of circuits (of the ``top`` ones if given); absent pairs count as 0."""
+    best = _best(circuits, top)
+    cn = cnodes.join(best, "structure", "left_semi")
     n = best.agg(F.count("*").alias("n"))
     s = circuit_jaccard(cn).agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("s"))
     return s.join(F.broadcast(n)).select((1 - F.coalesce(ratio("s", F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).alias("modularity"))
@@ -282,13 +288,11 @@ def circuit_evolution(cnodes: DataFrame, act: DataFrame, snapshot: str = "protei
     return f.join(circuit_features(cnodes), "feature").groupBy("structure", snapshot).agg(F.avg("v").alias("activation"))
 
 
-def circuit_profile(circuits: DataFrame, cnodes: DataFrame, act: DataFrame, top: int = 20) -> DataFrame:
-    """Position profile of each top circuit's first instance, z-scored per circuit."""
-    best = circuits.orderBy(F.desc("importance"), "structure").limit(top).select("structure")
-    first = cnodes.join(F.broadcast(best), "structure", "left_semi").groupBy("structure").agg(F.min("instance").alias("instance"))
-    cn = cnodes.join(first, ["structure", "instance"], "left_semi").select("structure", "layer", "feature")
+def circuit_profile(circuits: DataFrame, cnodes: DataFrame, act: DataFrame, top: int | None = None) -> DataFrame:
+    """Mean position profile of the nodes of all instances of a circuit, z-scored per circuit."""
+    cn = cnodes.join(_best(circuits, top), "structure", "left_semi").groupBy("structure", "layer", "feature").agg(F.count("*").alias("n"))
     prof = act.groupBy("layer", "feature", "pos").agg(F.avg("value").alias("v"))
-    p = prof.join(cn, ["layer", "feature"]).groupBy("structure", "pos").agg(F.avg("v").alias("v"))
+    p = prof.join(cn, ["layer", "feature"]).groupBy("structure", "pos").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
     w = Window.partitionBy("structure")
     return p.select("structure", "pos", ((F.col("v") - F.avg("v").over(w)) / (F.stddev_pop("v").over(w) + 1e-8)).alias("z"))
 
@@ -367,25 +371,49 @@ def _bipartite(size: int) -> Column:
     return tests
 
 
+def pattern_share(structure: str, n: int, pattern: list[tuple[int, int]]) -> float:
+    """Best share of a pattern's edges that a graph of ``n`` nodes (adjacency bits) preserves, over all injective mappings.
+
+    Mappings grow node by node and stop where they cannot beat the best one.
+    """
+    have = {(k // n, k % n) for k, bit in enumerate(structure) if bit == "1"}
+    k, best = max(max(e) for e in pattern) + 1, 0
+    closing = [[e for e in pattern if max(e) == u] for u in range(k)]  # edges known once node u is placed
+    rest = [sum(map(len, closing[u:])) for u in range(k + 1)]
+    stack = [((), 0)]
+    while stack:
+        placed, kept = stack.pop()
+        u = len(placed)
+        if kept + rest[u] <= best:
+            continue
+        if u == k:
+            best = kept
+            continue
+        for v in range(n):
+            if v not in placed:
+                at = (*placed, v)
+                stack.append((at, kept + sum((at[a], at[b]) in have for a, b in closing[u])))
+    return best / len(pattern)
+
+
 def match_motifs(circuits: DataFrame, tolerance: float = 0.8) -> DataFrame:
-    """Library motifs against circuit structures (adjacency bits): best share of preserved pattern edges.
+    """Library motifs against circuit structures (adjacency bits) of every size a motif allows.
 
-    All injective mappings are tried; circuits have at most a few nodes, so the mapping list is a constant.
+    Structures are few however many instances there are; each is compared once.
     """
-    from itertools import permutations
-    out = None
-    for n in range(3, 6):
-        for name, pattern, _, _, lo, hi, _ in MOTIF_LIBRARY:
-            k = max(max(p) for p in pattern) + 1
-            if k > n or not lo <= n <= hi:
-                continue
-            cells = sorted({tuple(sorted(perm[u] * n + perm[v] for u, v in pattern)) for perm in permutations(range(n), k)})
-            maps = F.array(*[F.array(*[F.lit(x) for x in m]) for m in cells])
-            bit = lambda x: F.col("structure").substr(x + 1, F.lit(1)) == "1"
-            share = F.array_max(F.transform(maps, lambda m: F.size(F.filter(m, bit)) / F.lit(float(len(pattern)))))
-            part = circuits.filter(F.col("size") == n).select("structure", F.lit(name).alias("motif"), share.alias("match_score"))
-            out = part if out is None else out.unionByName(part)
-    return out.filter(F.col("match_score") >= tolerance)
+
+    @F.pandas_udf("array<struct<motif:string,match_score:double>>")
+    def matches(structure: pd.Series, size: pd.Series) -> pd.Series:
+        def one(bits, n):
+            out = []
+            for name, pattern, _, _, lo, hi, _ in MOTIF_LIBRARY:
+                if lo <= n <= hi and max(map(max, pattern)) < n and (share := pattern_share(bits, n, pattern)) >= tolerance:
+                    out.append({"motif": name, "match_score": share})
+            return out
+        return pd.Series([one(b, int(n)) for b, n in zip(structure, size)])
+
+    found = circuits.select("structure", "size").distinct().withColumn("m", F.explode(matches("structure", "size")))
+    return found.select("structure", "m.motif", "m.match_score")
 
 
 def score_motifs(instances: DataFrame, library: DataFrame, annotation: Column | None = None) -> DataFrame:

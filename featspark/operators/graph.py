@@ -115,8 +115,12 @@ def betweenness(edges: DataFrame, keys: list[str], directed: bool = True) -> Dat
     return j.select(*keys, "node", F.when(F.col("n") > 2, F.coalesce("b", F.lit(0.0)) / scale).otherwise(0.0).alias("betweenness"))
 
 
-def pagerank(edges: DataFrame, keys: list[str], damping: float = 0.85, tol: float = 1e-6, max_rounds: int = 100) -> DataFrame:
-    """Weighted PageRank with dangling mass spread evenly; stops at an L1 change below n * tol."""
+def pagerank(edges: DataFrame, keys: list[str], damping: float = 0.85, tol: float = 1e-6) -> DataFrame:
+    """Weighted PageRank with dangling mass spread evenly; stops at an L1 change below n * tol.
+
+    The change shrinks by ``damping`` each round, so the rounds it needs are known and it always converges.
+    """
+    from math import ceil, log
     e = edges.groupBy(*keys, "src", "dst").agg(F.sum("weight").alias("w"))
     out = e.groupBy(*keys, "src").agg(F.sum("w").alias("ws"))
     e = cut_lineage(e.join(out, [*keys, "src"]).select(*keys, "src", "dst", (F.col("w") / F.col("ws")).alias("p")))
@@ -124,7 +128,7 @@ def pagerank(edges: DataFrame, keys: list[str], damping: float = 0.85, tol: floa
     count = nodes.groupBy(*keys).agg(F.count("*").alias("n"))
     dangling = nodes.join(e.select(*keys, F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True)), [*keys, "node"], "left")
     rank = cut_lineage(dangling.join(count, keys).select(*keys, "node", "n", F.col("has_out").isNull().alias("sink"), (1 / F.col("n")).alias("r")))
-    for _ in range(max_rounds):
+    for _ in range(max(1, ceil(log(tol / 2) / log(damping)) + 1)):
         got = e.join(rank.select(*keys, F.col("node").alias("src"), "r"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("_in"))
         lost = rank.groupBy(*keys).agg(F.sum(F.when(F.col("sink"), F.col("r")).otherwise(0.0)).alias("lost"))
         new = rank.join(got, [*keys, "node"], "left").join(lost, keys)
@@ -167,13 +171,21 @@ def distinct_paths(paths: DataFrame) -> DataFrame:
     return paths.dropDuplicates()
 
 
-def feedback_loops(edges: DataFrame, keys: list[str], max_len: int = 5) -> DataFrame:
-    """Simple cycles of 2 .. max_len nodes, each once, starting at its smallest node."""
+def feedback_loops(edges: DataFrame, keys: list[str], max_len: int | None = None) -> DataFrame:
+    """Simple cycles, each once, starting at its smallest node; of at most ``max_len`` nodes if that is given.
+
+    Without a bound, growth ends when no path is open; the result has as many rows as the graph has cycles.
+    """
     e = edges.select(*keys, "src", "dst").filter("src <> dst").distinct()
     step = e.select(*keys, F.col("src").alias("last"), F.col("dst").alias("next"))
     cur = e.filter("src < dst").select(*keys, F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
-    out = None
-    for _ in range(2, max_len + 1):
+    out, length = None, 2
+    while max_len is None or length <= max_len:
+        length += 1
+        if max_len is None:
+            cur = cut_lineage(cur)
+            if out is not None and cur.isEmpty():
+                break
         grown = cur.join(step, [*keys, "last"])
         done = grown.filter("next = start").select(*keys, "path")
         out = done if out is None else out.unionByName(done)

@@ -50,17 +50,20 @@ def gap_regularity(act: DataFrame, thr: float = 0.1, sparse: float = 0.05) -> Da
     return rate.join(g, FEAT, "left").select(*FEAT, F.when(F.col("rate") < sparse, F.coalesce("g", F.lit(0.0))).otherwise(0.0).alias("regularity"))
 
 
-def periodicity(act: DataFrame, max_lag: int = 20, thr: float = 0.1) -> DataFrame:
+def periodicity(act: DataFrame, max_lag: int | None = None, thr: float = 0.1) -> DataFrame:
     """Regular spacing of autocorrelation peaks of the active mask: value of the first peak, else 0.
 
     Lags run inside a protein; peaks are lags >= 5 with correlation > 0.5 above both neighbours, and at
-    least two of them with spacing cv < 0.2.
+    least two of them with spacing cv < 0.2. ``max_lag`` defaults to half of the longest protein.
     """
     on = act.filter(F.abs("value") > thr).select("protein_id", *FEAT, "pos")
     n0 = on.groupBy(*FEAT).agg(F.count("*").alias("n0")).filter("n0 >= 5")
-    lagged = on.select("protein_id", *FEAT, F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"), "pos").withColumn("pos", F.col("pos") + F.col("lag"))
+    span = act.agg(F.floor((F.max("pos") + 1) / 2).cast("int").alias("max_lag")) if max_lag is None else act.sparkSession.range(1).select(F.lit(max_lag).alias("max_lag"))
+    span = F.broadcast(span.filter("max_lag >= 1"))  # one row
+    lags = F.explode(F.sequence(F.lit(1), F.col("max_lag"))).alias("lag")
+    lagged = on.crossJoin(span).select("protein_id", *FEAT, lags, "pos").withColumn("pos", F.col("pos") + F.col("lag"))
     c = lagged.join(on, ["protein_id", *FEAT, "pos"]).groupBy(*FEAT, "lag").agg(F.count("*").alias("k"))
-    grid = n0.select(*FEAT, "n0", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"))
+    grid = n0.crossJoin(span).select(*FEAT, "n0", lags)
     r = grid.join(c, [*FEAT, "lag"], "left").select(*FEAT, "lag", (F.coalesce("k", F.lit(0)) / F.col("n0")).alias("acf"))
     w = Window.partitionBy(*FEAT).orderBy("lag")
     pk = (r.withColumn("a", F.lag("acf").over(w)).withColumn("b", F.lead("acf").over(w)).filter("lag >= 5 and acf > 0.5 and acf > a and acf > b")
@@ -147,10 +150,10 @@ def rank_discoveries(d: DataFrame) -> DataFrame:
     return d.withColumn("combined", F.col("novelty_score") * F.col("confidence")).orderBy(F.desc("combined"), "discovery_type", *FEAT)
 
 
-def annotate_discoveries(d: DataFrame, top: int = 20) -> DataFrame:
-    """Priority of the top discoveries: high above 0.7 combined, else medium; hypothesis by discovery type."""
+def annotate_discoveries(d: DataFrame, top: int | None = None) -> DataFrame:
+    """Priority of the discoveries (of the ``top`` ones if given): high above 0.7 combined, else medium; hypothesis by discovery type."""
     text = {"statistical": "distinct activation regime", "pattern": "position-dependent function", "circuit": "coordinated computation", "structural": "spatially localised function"}
-    r = rank_discoveries(d).limit(top)
+    r = rank_discoveries(d) if top is None else rank_discoveries(d).limit(top)
     return r.withColumn("priority", F.when(F.col("combined") > 0.7, "high").otherwise("medium")).withColumn("hypothesis", lookup("discovery_type", text, "unknown role"))
 
 

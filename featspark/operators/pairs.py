@@ -221,8 +221,7 @@ def granger_f(vec: DataFrame, max_lag: int = 3) -> DataFrame:
     now = m.filter("j < f").select("layer", "lag", "i", "j", "n", F.col("sxx").alias("xx"), F.col("sxy").alias("xc"), F.col("sy").alias("sc"), F.col("syy").alias("cc"))
     past = m.filter("j >= f").select("layer", "lag", "i", (F.col("j") - F.col("f")).alias("j"), F.col("sxy").alias("xy"), F.col("syy").alias("yy"), F.col("sy").alias("sl"))
     auto = now.filter("i = j").select("layer", "lag", "j", F.col("xc").alias("yc"))
-    tokens = vec.groupBy("layer").agg(F.count("*").alias("tokens"))
-    d = now.join(past, ["layer", "lag", "i", "j"]).join(auto, ["layer", "lag", "j"]).join(F.broadcast(tokens), "layer").filter("i <> j")
+    d = now.join(past, ["layer", "lag", "i", "j"]).join(auto, ["layer", "lag", "j"]).filter("i <> j")
     c1 = F.coalesce(pearson("n", "sl", "sc", "yy", "cc", "yc"), F.lit(0.0))
     mse1 = (F.col("cc") - 2 * c1 * F.col("yc") + c1 * c1 * F.col("yy")) / F.col("n")
     det = F.col("yy") * F.col("xx") - F.col("xy") * F.col("xy")
@@ -230,9 +229,9 @@ def granger_f(vec: DataFrame, max_lag: int = 3) -> DataFrame:
     b1 = F.when(~singular, F.try_divide(F.col("yc") * F.col("xx") - F.col("xc") * F.col("xy"), det)).otherwise(F.try_divide("yc", "yy"))
     b2 = F.when(~singular, F.try_divide(F.col("xc") * F.col("yy") - F.col("yc") * F.col("xy"), det)).otherwise(0.0)
     mse2 = (F.col("cc") - F.coalesce(b1, F.lit(0.0)) * F.col("yc") - F.coalesce(b2, F.lit(0.0)) * F.col("xc")) / F.col("n")
-    dof = F.col("tokens") - F.col("lag") - 2
+    dof = F.col("n") - 2  # pairs stay inside proteins, so each protein loses ``lag`` of them
     d = d.withColumn("mse1", mse1).withColumn("mse2", mse2).withColumn("dof", dof)
-    enough = F.col("tokens") >= max_lag + 10
+    enough = F.col("n") + F.col("lag") >= max_lag + 10
     f = F.when(enough & (F.col("mse2") < F.col("mse1")) & (F.col("mse2") > 1e-12), (F.col("mse1") - F.col("mse2")) / F.col("mse2") * F.col("dof"))
     return d.select("layer", "lag", "i", "j", f.alias("f_stat"), "dof")
 
@@ -413,10 +412,12 @@ def temporal_causality(vec: DataFrame, thr: float = 0.3) -> DataFrame:
 
 
 def union_relations(**kinds: DataFrame) -> DataFrame:
-    """One relation table from several kinds, tagged by mechanism."""
+    """One relation table from several kinds, tagged by mechanism, with the lag and the mediators of each relation."""
     out = None
     for name, df in kinds.items():
-        part = df.select("layer", "cause", "effect", "strength", "confidence", F.lit(name).alias("mechanism"))
+        lag = F.col("lag").cast("int") if "lag" in df.columns else F.lit(0)
+        via = F.array(F.col("mediator").cast("int")) if "mediator" in df.columns else F.array().cast("array<int>")
+        part = df.select("layer", "cause", "effect", "strength", "confidence", F.lit(name).alias("mechanism"), lag.alias("lag"), via.alias("mediators"))
         out = part if out is None else out.unionByName(part)
     return out
 

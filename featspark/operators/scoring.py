@@ -189,16 +189,17 @@ def relevance_scores(act: DataFrame, parts: list[DataFrame]) -> DataFrame:
     j = act.groupBy(*FEAT).agg(F.max(F.abs("value")).alias("_m")).filter("_m >= 0.1").drop("_m")
     for p in parts:
         j = j.join(p, FEAT, "left")
-    have = set(j.columns)
+    missing = sorted({k for w in PARTS.values() for k in w} - set(j.columns))
+    if missing:
+        raise ValueError(f"scores need all their parts; missing: {missing}")
     evidence = []
     for comp, w in PARTS.items():
         total = F.lit(0.0)
         for k, x in w.items():
-            if k in have:
-                v = F.coalesce(F.col(k), F.lit(0.0))
-                fired = v > GATES.get(k, 0.0)
-                total = total + F.when(fired, v * x).otherwise(0.0)
-                evidence.append(F.when(fired, F.lit(k)))
+            v = F.coalesce(F.col(k), F.lit(0.0))
+            fired = v > GATES.get(k, 0.0)
+            total = total + F.when(fired, v * x).otherwise(0.0)
+            evidence.append(F.when(fired, F.lit(k)))
         j = j.withColumn(comp, total)
     j = j.withColumn("total", sum((F.col(k) * w for k, w in TOTAL.items()), F.lit(0.0)))
     names = F.array_sort(F.filter(F.array(*evidence), lambda e: e.isNotNull()))
@@ -261,7 +262,7 @@ def resample(act: DataFrame, target: int) -> DataFrame:
 
 def repeat_protein(pooled: DataFrame, lengths: DataFrame) -> DataFrame:
     """A protein-level value repeated at each of its positions."""
-    return pooled.join(lengths.select("protein_id", F.explode(F.expr("sequence(0, length - 1)")).alias("pos")), "protein_id")
+    return pooled.join(lengths.filter("length > 0").select("protein_id", F.explode(F.expr("sequence(0, length - 1)")).alias("pos")), "protein_id")
 
 
 def confident_sites(sites: DataFrame, regions: DataFrame, thr: float = 0.7) -> DataFrame:
@@ -348,11 +349,11 @@ def start_end_regions(probs: DataFrame, thr: float = 0.5) -> DataFrame:
     return seq.select("protein_id", F.explode(F.aggregate("ev", init, step).out).alias("r")).select("protein_id", "r.start", "r.end")
 
 
-def peak_links(series: DataFrame, thr: float = 0.5, first: int = 5, min_weight: float = 0.2) -> DataFrame:
-    """Links between the first peaks of consecutive layers, weight = product of their values."""
+def peak_links(series: DataFrame, thr: float = 0.5, first: int | None = None, min_weight: float = 0.2) -> DataFrame:
+    """Links between the peaks of consecutive layers, weight = product of their values; ``first`` keeps that many per layer."""
     keys = ["protein_id", "feature", "layer"]
     p = peaks(series, keys, thr)
-    k = p.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).filter(F.col("_k") <= first).drop("_k")
+    k = p if first is None else p.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).filter(F.col("_k") <= first).drop("_k")
     nxt = k.select("protein_id", "feature", (F.col("layer") - 1).alias("layer"), F.col("pos").alias("pos_next"), F.col("value").alias("v2"))
     j = k.join(nxt, keys).withColumn("weight", F.col("value") * F.col("v2"))
     return j.filter(F.col("weight") > min_weight).select(*keys, "pos", "pos_next", "weight")

@@ -125,7 +125,7 @@ def assign_split(proteins: DataFrame, seed: int = 42, train: float = 0.8, val: f
 
 def in_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
     """Rows whose position lies in [start, end) of a region of the same protein, as an equi-join on exploded positions."""
-    r = regions.select("protein_id", "domain_id", F.explode(F.expr("sequence(start, end - 1)")).alias("pos"))
+    r = regions.filter("end > start").select("protein_id", "domain_id", F.explode(F.expr("sequence(start, end - 1)")).alias("pos"))  # a sequence would count down for an empty region
     return rows.join(r, ["protein_id", "pos"])
 
 

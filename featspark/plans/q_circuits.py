@@ -64,9 +64,9 @@ def _(s, p):
     return motifs_of(s, p)[0].drop("importance")
 
 
-@query("T5_motif_ranking", "select * from circ order by importance desc, structure limit 20", "act", d="avg_weight importance", i="size", extra=BASE)
+@query("T5_motif_ranking", "select * from circ", "act", d="avg_weight importance", i="size", extra=BASE)
 def _(s, p):
-    return motifs_of(s, p)[0].orderBy(F.desc("importance"), "structure").limit(20)
+    return motifs_of(s, p)[0].orderBy(F.desc("importance"), "structure")
 
 
 @query("G6_motif_instances", "select inst.structure, nm.instance from inst join nm using (nodes)", "act", extra=BASE)
@@ -134,9 +134,9 @@ def _(s, p):
     return C.validate_circuits_adv(motifs_of(s, p)[1], S.activations_vec(s, p), labels_of(s, p), known_features(s, p), 0.2)
 
 
-@query("T12_rank_validated", f"select * from ({VADV}) where overall_score>=0.1 order by overall_score desc, structure limit 10", "act tok", d=DADV, extra=",".join([BASE, DIGI, KNOWN, PLAUS, VAL]))
+@query("T12_rank_validated", f"select * from ({VADV}) where overall_score>=0.1", "act tok", d=DADV, extra=",".join([BASE, DIGI, KNOWN, PLAUS, VAL]))
 def _(s, p):
-    return C.validate_circuits_adv(motifs_of(s, p)[1], S.activations_vec(s, p), labels_of(s, p), known_features(s, p), 0.1).limit(10)
+    return C.validate_circuits_adv(motifs_of(s, p)[1], S.activations_vec(s, p), labels_of(s, p), known_features(s, p), 0.1)
 
 
 @query("A17_circuit_summary", """select count(*) as num_circuits, avg(size) as avg_size, stddev_pop(size) as std_size, avg(importance) as avg_importance, stddev_pop(importance) as std_importance,
@@ -154,12 +154,10 @@ def _(s, p):
     return C.circuit_jaccard(C.circuit_nodes(motifs_of(s, p)[1]))
 
 
-MODU = """(select 1-coalesce(sum(k::double/(x.n+y.n-k)),0)/(t.c*(t.c-1)/2) from (select count(*) as c from top20) t, jac join cfn x on x.structure=a join cfn y on y.structure=b
- where a in (select structure from top20) and b in (select structure from top20) group by t.c)"""
-TOP20 = "top20 as (select structure from circ order by importance desc, structure limit 20)"
+MODU = """(select 1-coalesce(sum(k::double/(x.n+y.n-k)),0)/(t.c*(t.c-1)/2) from (select count(*) as c from circ) t, jac join cfn x on x.structure=a join cfn y on y.structure=b group by t.c)"""
 
 
-@query("SO4_circuit_modularity", f"select {MODU} as modularity", "act", d="modularity", extra=",".join([BASE, JAC, TOP20]))
+@query("SO4_circuit_modularity", f"select {MODU} as modularity", "act", d="modularity", extra=",".join([BASE, JAC]))
 def _(s, p):
     c, i = motifs_of(s, p)
     return C.circuit_modularity(c, C.circuit_nodes(i))
@@ -182,8 +180,8 @@ def _(s, p):
 
 
 @query("A48_circuit_profile", """select structure, pos, (v-avg(v) over w)/(stddev_pop(v) over w+1e-8) as z from (select structure, pos, avg(v) as v from (select layer, feature, pos, avg(value) as v from act group by all)
- join (select cn.structure, layer, feature from cn join (select structure, min(instance) as instance from cn where structure in (select structure from top20) group by structure) using (structure, instance)) using (layer, feature) group by all)
- window w as (partition by structure)""", "act", d="z", extra=",".join([BASE, TOP20]))
+ join (select structure, layer, feature from cn) using (layer, feature) group by all)
+ window w as (partition by structure)""", "act", d="z", extra=BASE)
 def _(s, p):
     c, i = motifs_of(s, p)
     return C.circuit_profile(c, C.circuit_nodes(i), S.activations(s, p))
@@ -194,13 +192,12 @@ def _(s, p):
     return C.circuit_novelty(motifs_of(s, p)[0], 0.3)
 
 
-@query("Q42_circuit_interpretability", f"""select (select avg(coherence) from (select c.structure, v.coherence from ({VBASIC}) v join circ c using (structure) order by importance desc, structure limit 50)) as clarity, {MODU} as modularity,
- (select avg(importance) from circ) as specificity""", "act tok", d="clarity modularity specificity", extra=",".join([BASE, DIGI, VAL, JAC, TOP20]))
+@query("Q42_circuit_interpretability", f"""select (select avg(coherence) from (select c.structure, v.coherence from ({VBASIC}) v join circ c using (structure))) as clarity, {MODU} as modularity,
+ (select avg(importance) from circ) as specificity""", "act tok", d="clarity modularity specificity", extra=",".join([BASE, DIGI, VAL, JAC]))
 def _(s, p):
     c, i = motifs_of(s, p)
     v = C.validate_circuits(i, S.activations_vec(s, p), labels_of(s, p), -1.0)
-    top = v.join(c.select("structure", "importance"), "structure").orderBy(F.desc("importance"), "structure").limit(50)
-    return top.agg(F.avg("coherence").alias("clarity")).join(F.broadcast(C.circuit_modularity(c, C.circuit_nodes(i)))).join(F.broadcast(c.agg(F.avg("importance").alias("specificity"))))
+    return v.join(c.select("structure"), "structure").agg(F.avg("coherence").alias("clarity")).join(F.broadcast(C.circuit_modularity(c, C.circuit_nodes(i)))).join(F.broadcast(c.agg(F.avg("importance").alias("specificity"))))
 
 
 @query("C8_discover_circuits", f"""select c.structure, c.size, c.frequency, c.avg_weight, c.importance, v.overall_score from circ c join ({VBASIC}) v using (structure) where overall_score>=0.3""", "act tok",
@@ -298,7 +295,7 @@ def _(s, p):
 
 @query("T13_rank_instances")
 def _(s, p):
-    return C.rank_instances(C.score_motifs(instances_of(s, p), C.motif_library(s))).limit(50)
+    return C.rank_instances(C.score_motifs(instances_of(s, p), C.motif_library(s)))
 
 
 @query("P19_combine_scores", """select feature, frequency*0.4::double+mean_abs*0.6::double as score from (select feature, avg(case when abs(value)>0.1 then 1.0::double else 0 end) as frequency, avg(abs(value)) as mean_abs from act group by feature)""",

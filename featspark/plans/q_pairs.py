@@ -136,13 +136,12 @@ GR = """lg as materialized (select a.layer, l.lag, a.protein_id, a.pos, a.featur
 fs as materialized (select layer, lag, feature, case when isnan(corr(p,v)) then 0 else corr(p,v) end as c1, sum(p*p) as yy, sum(v*v) as cc, sum(p*v) as yc, count(*) as n from lg group by all),
 xs as materialized (select x.layer, x.lag, x.feature as i, y.feature as j, sum(x.p*y.p) as xy, sum(x.p*y.v) as xc from lg x join lg y
  on x.layer=y.layer and x.lag=y.lag and x.protein_id=y.protein_id and x.pos=y.pos and x.feature<>y.feature group by all),
-g0 as (select xs.layer, xs.lag, i, j, xy, xc, fx.yy as xx, fy.yy as yy, fy.cc, fy.yc, fy.c1, fy.n, tk.t, fy.yy*fx.yy-xy*xy as det from xs
- join fs fx on fx.layer=xs.layer and fx.lag=xs.lag and fx.feature=i join fs fy on fy.layer=xs.layer and fy.lag=xs.lag and fy.feature=j
- join (select layer, count(*)/64 as t from act group by layer) tk on tk.layer=xs.layer),
+g0 as (select xs.layer, xs.lag, i, j, xy, xc, fx.yy as xx, fy.yy as yy, fy.cc, fy.yc, fy.c1, fy.n, fy.yy*fx.yy-xy*xy as det from xs
+ join fs fx on fx.layer=xs.layer and fx.lag=xs.lag and fx.feature=i join fs fy on fy.layer=xs.layer and fy.lag=xs.lag and fy.feature=j),
 g1 as (select *, (cc-2*c1*yc+c1*c1*yy)/n as mse1, (cc - case when det>1e-9*yy*xx then (yc*xx-xc*xy)/det*yc+(xc*yy-yc*xy)/det*xc when yy>0 then yc/yy*yc else 0 end)/n as mse2 from g0)"""
 
 
-@query("Q7_granger_f", "select layer, lag, i, j, case when mse2<mse1 and mse2>1e-12 then (mse1-mse2)/mse2*(t-lag-2) end as f_stat, t-lag-2 as dof from g1", "act",
+@query("Q7_granger_f", "select layer, lag, i, j, case when mse2<mse1 and mse2>1e-12 then (mse1-mse2)/mse2*(n-2) end as f_stat, n-2 as dof from g1", "act",
        d="f_stat", i="dof", extra=GR)
 def _(s, p):
     return P.granger_f(S.activations_vec(s, p))
@@ -228,8 +227,8 @@ def _(s, p):
     return P.temporal_causality(S.activations_vec(s, p))
 
 
-RELS = """rel as materialized (select layer, cause, effect, strength, confidence, 'direct' as mechanism from ed0 union all select layer, cause, effect, strength, confidence, 'mediated' from md
- union all select layer, cause, effect, strength, confidence, 'temporal' from tp)"""
+RELS = """rel as materialized (select layer, cause, effect, strength, confidence, 'direct' as mechanism, 0 as lag, '' as mediators from ed0 union all select layer, cause, effect, strength, confidence, 'mediated', 0, mediator::varchar from md
+ union all select layer, cause, effect, strength, confidence, 'temporal', 1, '' from tp)"""
 ALLREL = ",".join([COV, CAUSAL, EDG, MED, PM, TEMP, RELS])
 
 
@@ -238,9 +237,9 @@ def all_relations(vec):
     return P.union_relations(direct=e, mediated=P.mediation(e, P.covariances(vec), 0.005), temporal=P.temporal_causality(vec))
 
 
-@query("SO1_union_relations", "select * from rel", "act", d="strength confidence", extra=ALLREL)
+@query("SO1_union_relations", "select * from rel", "act", d="strength confidence", i="lag", extra=ALLREL)
 def _(s, p):
-    return all_relations(S.activations_vec(s, p))
+    return all_relations(S.activations_vec(s, p)).withColumn("mediators", F.array_join("mediators", ","))
 
 
 @query("Q14_causality_summary", """select count(*) as n_relations, sum((mechanism='direct')::int) as n_direct, sum((mechanism='mediated')::int) as n_mediated,

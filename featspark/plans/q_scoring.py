@@ -132,7 +132,7 @@ def _(s, p):
 def all_scores(s, p):
     act, res, prot = S.activations(s, p), S.token_residues(s, p), S.token_proteins(s, p)
     parts = [B.go_correlation(act, flags(s, p)), B.catalytic_score(act, res), B.binding_score(act, prot), B.domain_score(act, prot), B.ss_preference(act, res), B.structural_score(act, prot),
-             B.conservation_corr(act, res), B.group_f(act, clusters(s, p)), B.variant_enrichment(act, res, variants(s)), B.ptm_score(act, prot),
+             B.conservation_corr(act, res), B.coevolution_enrichment(act, T.contacts(S.coords(s, p)).select("protein_id", "i", "j", (1 / (1 + F.col("distance"))).alias("score"))), B.group_f(act, clusters(s, p)), B.variant_enrichment(act, res, variants(s)), B.ptm_score(act, prot),
              B.disorder_score(act, Q.disorder_windows(prot), prot)]
     return B.relevance_scores(act, parts)
 
@@ -291,9 +291,9 @@ def _(s, p):
 
 
 @query("W23_peak_links", """select a.protein_id, a.feature, a.layer, a.pos, b.pos as pos_next, a.value*b.value as weight from pk a join pk b on a.protein_id=b.protein_id and a.feature=b.feature and b.layer=a.layer+1 where a.value*b.value>0.08""", "act", d="weight",
-       extra="""pk as materialized (select * from (select *, row_number() over (partition by protein_id, layer, feature order by pos) as k from (select *, lag(value) over w as a, lead(value) over w as b from act window w as (partition by protein_id, layer, feature order by pos)) where value>0.2 and value>a and value>b) where k<=5)""")
+       extra="""pk as materialized (select * from (select *, row_number() over (partition by protein_id, layer, feature order by pos) as k from (select *, lag(value) over w as a, lead(value) over w as b from act window w as (partition by protein_id, layer, feature order by pos)) where value>0.2 and value>a and value>b))""")
 def _(s, p):
-    return B.peak_links(S.activations(s, p), 0.2, 5, 0.08)
+    return B.peak_links(S.activations(s, p), 0.2, min_weight=0.08)
 
 
 @query("G15_community_pool", """select protein_id, community, layer, feature, avg(value) as pooled from act join (select protein_id, n as pos, min(r) as community from rc group by all) using (protein_id, pos) group by all""", "act coords", d="pooled",
@@ -317,7 +317,7 @@ def _(s, p):
 @query("W21_periodicity", """select f.layer, f.feature, coalesce(case when n>1 and cv<0.2 then least(1, first) end, 0) as periodicity from fs0 f left join (select layer, feature, count(*) as n, arg_min(acf, lag) as first, stddev_pop(step)/(avg(step)+1e-10) as cv from
  (select *, lag-lag(lag) over (partition by layer, feature order by lag) as step from (select *, lag(acf) over w as a, lead(acf) over w as b from acf window w as (partition by layer, feature order by lag)) where lag>=5 and acf>0.5 and acf>a and acf>b) group by all) q on q.layer=f.layer and q.feature=f.feature""", "act", d="periodicity",
        extra=FEATS + """, onn as materialized (select protein_id, layer, feature, pos from act where abs(value)>0.1), n0 as (select layer, feature, count(*) as n0 from onn group by all having count(*)>=5),
-acf as materialized (select g.layer, g.feature, g.lag, coalesce(k,0)::double/n0 as acf from (select n0.*, l.lag from n0, range(1,21) l(lag)) g left join (select a.layer, a.feature, b.pos-a.pos as lag, count(*) as k from onn a join onn b on a.protein_id=b.protein_id and a.layer=b.layer and a.feature=b.feature and b.pos-a.pos between 1 and 20 group by all) c
+acf as materialized (select g.layer, g.feature, g.lag, coalesce(k,0)::double/n0 as acf from (select n0.*, l.lag from n0, range(1,13) l(lag)) g left join (select a.layer, a.feature, b.pos-a.pos as lag, count(*) as k from onn a join onn b on a.protein_id=b.protein_id and a.layer=b.layer and a.feature=b.feature and b.pos-a.pos between 1 and 12 group by all) c
  on c.layer=g.layer and c.feature=g.feature and c.lag=g.lag)""")
 def _(s, p):
     return N.periodicity(S.activations(s, p))
@@ -382,12 +382,12 @@ def _(s, p):
     return N.validate_discoveries(discoveries(s, p), known_motifs(s, p)).select("layer", "feature", "novelty_score", "confidence")
 
 
-@query("T10_rank_discoveries", "select layer, feature, novelty_score*0.7::double as combined from pn where novelty_score>0.4 order by combined desc, layer, feature limit 20", "act", d="combined", extra=",".join([COACT, MK, PN]))
+@query("T10_rank_discoveries", "select layer, feature, novelty_score*0.7::double as combined from pn where novelty_score>0.4", "act", d="combined", extra=",".join([COACT, MK, PN]))
 def _(s, p):
-    return N.rank_discoveries(discoveries(s, p)).select("layer", "feature", "combined").limit(20)
+    return N.rank_discoveries(discoveries(s, p)).select("layer", "feature", "combined")
 
 
-@query("P23_annotate_discoveries", """select layer, feature, case when novelty_score*0.7>0.7 then 'high' else 'medium' end as priority, 'position-dependent function' as hypothesis from pn where novelty_score>0.4 order by novelty_score desc, layer, feature limit 20""", "act", extra=",".join([COACT, MK, PN]))
+@query("P23_annotate_discoveries", """select layer, feature, case when novelty_score*0.7>0.7 then 'high' else 'medium' end as priority, 'position-dependent function' as hypothesis from pn where novelty_score>0.4 """, "act", extra=",".join([COACT, MK, PN]))
 def _(s, p):
     return N.annotate_discoveries(discoveries(s, p)).select("layer", "feature", "priority", "hypothesis")
 

@@ -77,7 +77,8 @@ def read_flatfile(spark: SparkSession, path: str, max_len: int = 1022):
                  one(r"EC=([\d.\-]+)").alias("ec_number"), dom.alias("domains"), "v")
     good = F.col("protein_id").isNotNull() & (F.length("sequence") > 0) & F.upper("sequence").rlike("^[A-Z]+$")
     ok = p.filter(good & (F.length("sequence") <= max_len)).drop("v").withColumn("length", F.length("sequence"))
-    return ok, p.filter(~F.coalesce(good, F.lit(False))).select("v")
+    reason = F.when(~F.coalesce(good, F.lit(False)), "malformed").when(F.length("sequence") > max_len, "too long")
+    return ok, p.withColumn("reason", reason).filter("reason is not null").select("v", "reason")
 
 
 def read_pdb_ca(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
@@ -110,7 +111,7 @@ def read_activations(spark: SparkSession, path: str, layers: list[int] | None =
 
 def structures_for(proteins: DataFrame, coords: DataFrame) -> DataFrame:
     """Coordinates on every residue of every protein, cut to its length; missing ones become zeros with a flag."""
-    grid = proteins.select("protein_id", F.explode(F.expr("sequence(0, length(sequence) - 1)")).alias("pos"))
+    grid = proteins.filter("length(sequence) > 0").select("protein_id", F.explode(F.expr("sequence(0, length(sequence) - 1)")).alias("pos"))
     j = grid.join(coords, ["protein_id", "pos"], "left").withColumn("has_structure", F.col("x").isNotNull())
     return j.fillna(0.0, ["x", "y", "z"])
 
