@@ -39,10 +39,6 @@ def share(cond) -> Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
 
-def mean_if(cond, value) -> Column:
-    return F.avg(F.when(cond, c(value)))
-
-
 def count_if(cond) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 

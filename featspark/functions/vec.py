@@ -41,11 +41,6 @@ def mean(a) -> Column:
     return asum(a) / F.size(c(a))
 
 
-def dist3(x1, y1, z1, x2, y2, z2) -> Column:
-    dx, dy, dz = c(x1) - c(x2), c(y1) - c(y2), c(z1) - c(z2)
-    return F.sqrt(dx * dx + dy * dy + dz * dz)
-
-
 def cross3(a, b):
     """Cross product of two (x, y, z) tuples of columns."""
     return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])

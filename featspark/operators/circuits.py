@@ -306,9 +306,9 @@ def circuit_novelty(circuits: DataFrame, thr: float = 0.6) -> DataFrame:
 
 
 def motif_library(spark) -> DataFrame:
-    schema = ("name string, pattern array<struct<src:int,dst:int>>, biological_function string, conservation_score double, "
-              "min_size int, max_size int, required_properties map<string,boolean>")
-    return spark.createDataFrame([(n, p, f, cs, lo, hi, {q: True}) for n, p, f, cs, lo, hi, q in MOTIF_LIBRARY], schema)
+    from ..sources.readers import read_kb
+
+    return read_kb(spark, "motif_library")
 
 
 def pattern_matches(edges: DataFrame, pattern: list[tuple[int, int]]) -> DataFrame:

@@ -119,7 +119,3 @@ def dict_decode(act: DataFrame, weights: DataFrame, bias: Column | None = None)
 
 def export_dictionary(weights: DataFrame, dims: int) -> DataFrame:
     return weights.select(F.col("feature").alias("feature_id"), *[F.col("vec")[k].alias(f"dim_{k}") for k in range(dims)])
-
-
-def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")

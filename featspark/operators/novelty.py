@@ -32,11 +32,6 @@ def count_modes(act: DataFrame, grid: int = 100, cells: int = 2048) -> DataFrame
     return st.select(*FEAT, flat.alias("flat")).join(pk, FEAT, "left").select(*FEAT, F.when(F.col("flat"), 1).otherwise(F.coalesce("n_modes", F.lit(1))).cast("long").alias("n_modes"))
 
 
-def token_index(act: DataFrame, length: int) -> DataFrame:
-    """Flat token number protein_id * length + pos, the time axis of the flattened tests."""
-    return act.withColumn("t", F.col("protein_id").cast("long") * length + F.col("pos"))
-
-
 def gap_regularity(act: DataFrame, thr: float = 0.1, sparse: float = 0.05) -> DataFrame:
     """1 - std / mean of the gaps between active positions of a protein, for features active below ``sparse``; else 0.
 

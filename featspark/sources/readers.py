@@ -56,12 +56,15 @@ def read_msa(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
     w = Window.partitionBy("file").orderBy("ln")
     fa = src.filter("fmt = 'fasta'").withColumn("rec", F.sum(F.when(F.col("line").startswith(">"), 1).otherwise(0)).over(w)).filter("rec > 0")
     fa = fa.withColumn("id", F.max(F.when(F.col("line").startswith(">"), F.element_at(F.split(F.expr("substring(line, 2)"), r"\s+"), 1))).over(Window.partitionBy("file", "rec")))
-    fa = fa.filter(~F.col("line").startswith(">")).select("file", F.concat_ws("#", "rec", "id").alias("key"), "id", "ln", F.regexp_replace("line", r"\s", "").alias("part"))
-    il = src.filter("fmt <> 'fasta'").filter(F.col("line").rlike(r"^[^\s#/*.:][^\s]*\s+[A-Za-z.\-*]+(\s+\d+)?\s*$") & ~F.upper("line").startswith("CLUSTAL"))
-    il = il.select("file", F.element_at(F.split("line", r"\s+"), 1).alias("key"), F.element_at(F.split("line", r"\s+"), 1).alias("id"), "ln", F.element_at(F.split("line", r"\s+"), 2).alias("part"))
-    g = fa.unionByName(il).groupBy("file", "key", "id").agg(F.min("ln").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "part"))), lambda s: s.part), "").alias("aligned"))
+    fa = fa.filter(~F.col("line").startswith(">")).select("file", F.lit(0).cast("long").alias("no"), F.concat_ws("#", "rec", "id").alias("key"), "id", "ln", F.regexp_replace("line", r"\s", "").alias("part"))
+    # a Stockholm file may hold several families, each closed by a line of slashes
+    il = src.filter("fmt <> 'fasta'").withColumn("no", F.coalesce(F.sum(F.when(F.col("line").startswith("//"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    il = il.filter(F.col("line").rlike(r"^[^\s#/*.:][^\s]*\s+[A-Za-z.\-*]+(\s+\d+)?\s*$") & ~F.upper("line").startswith("CLUSTAL"))
+    il = il.select("file", "no", F.element_at(F.split("line", r"\s+"), 1).alias("key"), F.element_at(F.split("line", r"\s+"), 1).alias("id"), "ln", F.element_at(F.split("line", r"\s+"), 2).alias("part"))
+    g = fa.unionByName(il).groupBy("file", "no", "key", "id").agg(F.min("ln").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "part"))), lambda s: s.part), "").alias("aligned"))
     fam = F.regexp_extract("file", r"([^/]+?)(\.[^./]+)?$", 1)
-    return g.select(fam.alias("family_id"), (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).alias("seq_idx"), F.col("id").alias("seq_id"), F.upper(F.translate("aligned", ".", "-")).alias("aligned"))
+    family = F.when(F.col("no") == 0, fam).otherwise(F.concat_ws("_", fam, F.col("no") + 1))
+    return g.select(family.alias("family_id"), (F.row_number().over(Window.partitionBy("file", "no").orderBy("at")) - 1).alias("seq_idx"), F.col("id").alias("seq_id"), F.upper(F.translate("aligned", ".", "-")).alias("aligned"))
 
 
 def read_flatfile(spark: SparkSession, path: str, max_len: int = 1022):

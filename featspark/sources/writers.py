@@ -21,9 +21,14 @@ def write_proteins(df: DataFrame, path: str, fmt: str = "csv") -> None:
     w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
 
 
-def write_activations(vec: DataFrame, path: str, meta: dict | None = None) -> None:
-    """Partitioned by layer, clustered by protein so that a layer's files stay few and a protein's rows adjacent."""
-    out = vec.repartition("layer", F.pmod(F.xxhash64("protein_id"), F.lit(64))).sortWithinPartitions("layer", "protein_id", "pos")
+def write_activations(vec: DataFrame, path: str, meta: dict | None = None, rows_per_file: int = 1_000_000) -> None:
+    """Partitioned by layer, clustered by protein so that a protein's rows are adjacent.
+
+    The number of protein buckets follows the rows of the largest layer, so files have about ``rows_per_file`` rows at any size.
+    """
+    largest = vec.groupBy("layer").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    buckets = max(1, -(-largest // rows_per_file))
+    out = vec.repartition("layer", F.pmod(F.xxhash64("protein_id"), F.lit(buckets))).sortWithinPartitions("layer", "protein_id", "pos")
     out.write.mode("overwrite").partitionBy("layer").option("compression", "zstd").parquet(path)
     if meta is not None:
         rows = [(str(k), str(v)) for k, v in sorted(meta.items())]

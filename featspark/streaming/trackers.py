@@ -49,13 +49,15 @@ def run_complete(result: DataFrame, reset: bool = True, checkpoint: str | None =
     ckpt = new_location(spark, "stream-state") if reset or checkpoint is None else checkpoint
     out = new_location(spark, "stream-out")
 
+    last = []
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        last[:] = [batch_id]
 
     q = result.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    t = spark.read.parquet(out)
-    return t.join(F.broadcast(t.agg(F.max("batch_id").alias("batch_id"))), "batch_id").drop("batch_id")
+    return spark.read.parquet(f"{out}/batch_id={last[0]}") if last else spark.createDataFrame([], result.schema)
 
 
 def batch_statistics(vec: DataFrame) -> DataFrame:

@@ -36,6 +36,9 @@ def test_alignment_formats(spark, tmp_path):
     put(tmp_path / "f2.sto", "# STOCKHOLM 1.0\n\na AC.\nb ACG\n\na D\nb D\n//\n")
     put(tmp_path / "f3.aln", "CLUSTAL W\n\na  AC-\nb  ACG\n   ** \n\na  D\nb  D\n")
     rows = R.read_msa(spark, str(tmp_path)).collect()
+    put(tmp_path / "f4.sto", "# STOCKHOLM 1.0\n\na AC\nb AG\n//\n# STOCKHOLM 1.0\n\na TTT\nc TT-\n//\n")
+    two = {(r["family_id"], r["seq_idx"], r["seq_id"], r["aligned"]) for r in R.read_msa(spark, str(tmp_path / "f4.sto")).collect()}
+    assert two == {("f4", 0, "a", "AC"), ("f4", 1, "b", "AG"), ("f4_2", 0, "a", "TTT"), ("f4_2", 1, "c", "TT-")}
     for fam in ("f1", "f2", "f3"):
         assert [(r["seq_id"], r["aligned"]) for r in sorted(rows, key=lambda r: r["seq_idx"]) if r["family_id"] == fam] == [("a", "AC-D"), ("b", "ACGD")]
 
