@@ -30,16 +30,27 @@ def stash(df: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written once with a row number, and the name of that column.
+    """``docs`` with a column that tells its rows apart, and the name of that column.
 
-    Numbers given anew in a second scan could differ, since splits depend on the executors alive at the time.
+    It is the doc_id where that is complete and unique (checked over all rows, ids only). Otherwise the rows are
+    numbered and written once: numbers given anew in a second scan could differ, since splits depend on the
+    executors alive at the time.
     """
     name = "__row"
     while name in map(str.lower, docs.columns):
         name += "_"
+    key = F.col("doc_id").cast("long")
+    if docs.select(key.alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(name, key), name
     return stash(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
+def pick(base: DataFrame, chosen: DataFrame, row: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``base`` chosen by ``row``. Always a sort-merge join: it behaves alike at every size, while the
+    chosen rows grow with the corpus and must not be broadcast."""
+    return base.join(chosen.hint("merge"), row, how)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1024) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows, so that a worker holds little beside one Arrow batch."""
 

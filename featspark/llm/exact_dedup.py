@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ids_and_text, numbered, stash
+from .common import SPACE, ids_and_text, numbered, pick, stash
 
 SCHEMA = pa.schema([("sha", pa.binary()), ("mix", pa.int64()), ("n_bytes", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("node", pa.int32())])
 RUN = "sha binary, mix long, n_bytes long, no_id boolean, doc_id long, row_id long, n long, node int"
@@ -93,4 +93,4 @@ def drop_exact_duplicates(docs: DataFrame, rounds: int | None = None) -> DataFra
     """``docs`` without its exact copies, all columns kept; the row with the smallest doc_id stays."""
     base, row = numbered(docs)
     stay = merge_runs(stash(fingerprints(base, row)), rounds).select(F.col("row_id").alias(row))
-    return base.join(stay, row, "left_semi").drop(row)
+    return pick(base, stay, row).drop(row)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, numbered, stash
+from .common import ids_and_text, numbered, pick, stash
 
 CELLS = 4096
 
@@ -131,4 +131,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     base, row = numbered(docs)
     n = row + "n"
     copies = mix(base, row=row, **options).filter("copies > 0").select(F.col("row_id").alias(row), F.col("copies").cast("int").alias(n))
-    return base.join(copies, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n)
+    return pick(base, copies, row, "inner").withColumn(row, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n)

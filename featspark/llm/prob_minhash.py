@@ -10,9 +10,9 @@ of the two shingle sets has been verified to be at least ``threshold``.
 
 Equal texts (same words) are one class from the start, so copies are never compared. In each bucket all members
 are compared with one hub first, the member that shares most with the rest; linked members form components.
-Only buckets whose members lie in different components are looked at again, and there exactly the pairs
-between different components whose sizes allow the similarity; so no link that joins two groups is lost,
-and a group of thousands costs its size, not its square. Skewed buckets are split by the join.
+Only buckets whose members lie in different components are looked at again: small ones pair by pair, large
+ones in bounded tiles whose tasks return a spanning forest of the links they find. So no link that joins two
+groups is lost, and no task emits the pairs of a group. Skewed buckets are split by the join.
 
 Defined results: null text counts as empty; all texts without a word are one class; rows with the same
 identifier are members like others, exactly one row of a class stays (smallest identifier, null last); ties and
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .bytepair import Memo
-from .common import ids_and_text, map_rows, numbered, stash
+from .common import ids_and_text, map_rows, numbered, pick, stash
 
 SHINGLE = 5
 _U = np.uint64
@@ -145,7 +145,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         keep = [i for i, s in enumerate(sims) if s >= threshold]
         return pa.RecordBatch.from_arrays([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64()), pa.array([sims[i] for i in keep], pa.float64())], names=["u", "v", "similarity"])
 
-    both = pairs.join(texts.select(F.col("row_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("row_id").alias("v"), F.col("text").alias("tv")), "v")
+    both = pick(pick(pairs, texts.select(F.col("row_id").alias("u"), F.col("text").alias("tu")), "u", "inner"), texts.select(F.col("row_id").alias("v"), F.col("text").alias("tv")), "v", "inner")
     return map_rows(both, run, "u long, v long, similarity double", rows=4096)
 
 
@@ -157,38 +157,99 @@ def near_links(base: DataFrame, reps: DataFrame, threshold: float) -> tuple[Data
     """Links (u, v, similarity) between representatives and (node, component) of all linked ones."""
     entry = reps.select("row_id", "n_shingles", F.explode("bands").alias("bucket"))
     sizes = entry.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    entry = stash(entry.join(sizes, "bucket"))
+    entry = stash(entry.join(sizes, "bucket"))  # bucket, row_id, n_shingles, size
     share = entry.groupBy("row_id").agg(F.sum("size").alias("shared"))
     ranked = entry.join(share, "row_id").select("bucket", "row_id", "n_shingles", "shared")
     hub = ranked.groupBy("bucket").agg(F.max(F.struct("shared", (-F.col("row_id")).alias("neg"), "n_shingles")).alias("h")).select("bucket", (-F.col("h.neg")).alias("hub"), F.col("h.n_shingles").alias("n_hub"))
     fits = F.least("n_shingles", "n_hub") >= F.lit(threshold) * F.greatest("n_shingles", "n_hub")
     star = entry.join(hub, "bucket").filter((F.col("row_id") != F.col("hub")) & fits).select(*_ordered(F.col("row_id"), F.col("hub")))
     star = stash(star.groupBy("u", "v").agg(F.count("*").alias("n_bands")).drop("n_bands"))
-    texts = stash(base.select("row_id", "text").join(entry.select("row_id").distinct(), "row_id", "left_semi"))
+    texts = stash(pick(base.select("row_id", "text"), entry.select("row_id").distinct(), "row_id"))
     links = stash(verify(star, texts, threshold))
     comp = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
-    # pairs of a bucket that lie in different components have not been compared yet, unless the hub was one of them
-    placed = stash(entry.join(comp, entry["row_id"] == comp["node"], "left").select("bucket", "row_id", "n_shingles", F.coalesce("component", "row_id").alias("component")))
+    # members of a bucket in different components have not been compared yet, unless one of them was the hub
+    placed = stash(entry.join(comp, entry["row_id"] == comp["node"], "left").select("bucket", "row_id", "n_shingles", "size", F.coalesce("component", "row_id").alias("component")))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    open_ = stash(placed.join(mixed, "bucket", "left_semi"))
-    a, b = open_.alias("a"), open_.alias("b")
-    possible = (F.col("a.row_id") < F.col("b.row_id")) & (F.col("a.component") != F.col("b.component")) & (F.least("a.n_shingles", "b.n_shingles") >= F.lit(threshold) * F.greatest("a.n_shingles", "b.n_shingles"))
-    cross = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & possible).select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    more = stash(verify(cross, texts, threshold))
+    more = stash(cross_links(stash(placed.join(mixed, "bucket", "left_semi")), star, texts, threshold))
     if more.isEmpty():
         return links, comp
-    links = links.unionByName(more)
-    return links, components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    # the new links join components, so only the graph of components is searched again
+    joined = components(more.select(F.col("cu").alias("src"), F.col("cv").alias("dst")))
+    nodes = comp.unionByName(more.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("cu").alias("component")), F.struct(F.col("v").alias("node"), F.col("cv").alias("component")))).alias("x")).select("x.*")).distinct()
+    whole = nodes.join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return links.unionByName(more.select("u", "v", "similarity")), stash(whole)
+
+
+#: Buckets of up to SMALL members are compared pair by pair (at most half of SMALL rows a member), larger ones in tiles of TILE members.
+SMALL, TILE = 16, 512
+
+
+def cross_links(members: DataFrame, done: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v, similarity, cu, cv) between members of a bucket in different components, enough to join all that belong together.
+
+    A large bucket is cut into tiles by a hash of the member; every two tiles meet in one task, which counts common
+    shingles through an inverted list and returns a spanning forest of the links it finds, never its pairs.
+    """
+    few, many = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
+    a, b = few.alias("a"), few.alias("b")
+    possible = (F.col("a.row_id") < F.col("b.row_id")) & (F.col("a.component") != F.col("b.component")) & (F.least("a.n_shingles", "b.n_shingles") >= F.lit(threshold) * F.greatest("a.n_shingles", "b.n_shingles"))
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & possible).select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct().join(done, ["u", "v"], "left_anti")
+    home = members.select("row_id", "component").distinct()
+    found = verify(pairs, texts, threshold).join(home.select(F.col("row_id").alias("u"), F.col("component").alias("cu")), "u").join(home.select(F.col("row_id").alias("v"), F.col("component").alias("cv")), "v")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    many = many.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("tiles")).cast("int"))
+    many = many.join(texts, "row_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    many = many.select("bucket", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "own", "row_id", "component", "text")
+    schema = "u long, v long, similarity double, cu long, cv long"
+    tiled = many.groupBy("bucket", "ta", "tb").applyInPandas(lambda pdf: _tile_links(pdf, threshold), schema)
+    return found.select("u", "v", "similarity", "cu", "cv").unionByName(tiled)
+
+
+def _tile_links(pdf, threshold: float):
+    """Links between different components of the rows of two tiles: a spanning forest of the components they join."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("row_id", ignore_index=True)
+    sets = [np.unique(shingles(words_of(t))) for t in pdf["text"]]
+    ids, comp, own = pdf["row_id"].tolist(), pdf["component"].tolist(), pdf["own"].to_numpy()
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    start = np.searchsorted(flat[order], np.arange(flat.max() + 2))
+    holder, ends = holder[order], size.cumsum()
+    parent = {c: c for c in comp}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    apart = own.min() != own.max()
+    out = []
+    for i in range(1, len(sets)):
+        codes = flat[ends[i] - size[i]:ends[i]]
+        both = np.bincount(np.concatenate([holder[start[k]:start[k + 1]] for k in codes]), minlength=len(sets))[:i]
+        sim = both / (size[:i] + size[i] - both)
+        for j in np.flatnonzero((sim >= threshold) & ((own[:i] != own[i]) | (not apart))).tolist():
+            x, y = root(comp[i]), root(comp[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((ids[j], ids[i], float(sim[j]), comp[j], comp[i]))
+    return pd.DataFrame(out, columns=["u", "v", "similarity", "cu", "cv"]).astype({"u": "int64", "v": "int64", "similarity": "float64", "cu": "int64", "cv": "int64"})
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 6, row: str | None = None) -> DataFrame:
     """One row per input row: doc_id, row_id, class_id, class_size, n_links, kept.
 
     ``class_id`` is the smallest doc_id of the class, ``n_links`` the verified links found for the row's text
-    to different texts, ``kept`` is true for one row of each class. ``row`` names a column that already
-    numbers the rows of a written table.
+    to different texts, ``kept`` is true for one row of each class. ``row`` names a column that
+    already tells the rows apart.
     """
-    base = ids_and_text(docs, F.col(row).alias("row_id")) if row else stash(ids_and_text(docs, F.monotonically_increasing_id().alias("row_id")))
+    if row is None:
+        docs, row = numbered(ids_and_text(docs))
+    base = ids_and_text(docs, F.col(row).alias("row_id"))
     prints = stash(sketch(base, bands, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("r")
     own = stash(prints.groupBy("key").agg(first, F.count("*").alias("n")).select("key", "n", "r.no_id", "r.doc_id", "r.row_id"))
@@ -206,4 +267,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, all columns kept."""
     base, row = numbered(docs)
     stay = near_duplicates(base, row=row, **options).filter("kept").select(F.col("row_id").alias(row))
-    return base.join(stay, row, "left_semi").drop(row)
+    return pick(base, stay, row).drop(row)
