@@ -35,6 +35,14 @@ def residues(proteins: DataFrame) -> DataFrame:
     return proteins.select("protein_id", F.posexplode(F.split("sequence", "")).alias("pos", "aa"))
 
 
+def neighbours(proteins: DataFrame, *offsets: int) -> DataFrame:
+    """(protein_id, pos, a<offset>...): letters at fixed distances, zipped inside the row."""
+    a = F.split("sequence", "")
+    shifted = F.arrays_zip(*[(a if k == 0 else F.slice(a, k + 1, F.length("sequence"))).alias(f"a{k}") for k in offsets])
+    z = proteins.filter(F.length("sequence") > 0).select("protein_id", F.posexplode(shifted).alias("pos", "z"))
+    return z.select("protein_id", "pos", *[F.col(f"z.a{k}").alias(f"a{k}") for k in offsets])
+
+
 def property_table(spark: SparkSession) -> DataFrame:
     rows = [(a, K.KYTE_DOOLITTLE[a], K.HOPP_WOODS[a], K.CHARGE.get(a, 0.0), K.CHARGE_COARSE.get(a, 0.0), K.WEIGHT[a], K.DALTON[a], K.VOLUME[a],
              K.HELIX[a], K.SHEET[a], K.FLEXIBILITY[a], K.DONOR_COUNT.get(a, 0), K.ACCEPTOR_COUNT.get(a, 0)) for a in K.AMINO]
@@ -156,26 +164,29 @@ def transitions_ss(res: DataFrame, col: str = "ss") -> DataFrame:
 def regex_spans(proteins: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Non-overlapping matches, left to right: (protein_id, pattern, start, end).
 
-    Start = text before the match, summed from the pieces between matches.
+    One pass: a match starts after the text before it, summed inside the row from the pieces between matches.
     """
-    out = None
-    w = Window.partitionBy("protein_id").orderBy("k")
-    for name, p in patterns.items():
-        z = proteins.select("protein_id", F.posexplode(F.arrays_zip(F.split("sequence", p, -1).alias("gap"), F.regexp_extract_all("sequence", F.lit(p), 0).alias("hit"))).alias("k", "m"))
-        before = F.sum(F.length("m.gap") + F.coalesce(F.length("m.hit"), F.lit(0))).over(w)
-        s = z.select("protein_id", before.alias("end"), F.length("m.hit").alias("n")).filter("n is not null")
-        s = s.select("protein_id", F.lit(name).alias("pattern"), (F.col("end") - F.col("n")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    def spans(p):
+        pieces = F.arrays_zip(F.split("sequence", p, -1).alias("gap"), F.regexp_extract_all("sequence", F.lit(p), 0).alias("hit"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+        def step(acc, m):
+            at = acc["at"] + F.length(m["gap"])
+            end = at + F.length(m["hit"])
+            return F.struct(F.coalesce(end, at).alias("at"), F.when(end.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(at.alias("start"), end.alias("end")))).alias("out"))
+
+        return F.aggregate(pieces, start, step)["out"]
+
+    per = F.array(*[F.struct(F.lit(n).alias("pattern"), spans(p).alias("spans")) for n, p in patterns.items()])
+    x = proteins.select("protein_id", F.explode(per).alias("x")).select("protein_id", "x.pattern", F.explode("x.spans").alias("s"))
+    return x.select("protein_id", "pattern", "s.start", "s.end")
 
 
 def disorder_windows(proteins: DataFrame, width: int = 20, share_above: float = 0.6) -> DataFrame:
-    """Window starts 0 .. len-width-1 where more than ``share_above`` of the residues promote disorder."""
-    res = residues(proteins)
-    w = Window.partitionBy("protein_id").orderBy("pos")
-    k = F.sum(F.when(F.col("aa").isin(list(K.DISORDER)), 1).otherwise(0)).over(w.rowsBetween(0, width - 1))
-    x = res.select("protein_id", "pos", k.alias("k"), F.lead("pos", width).over(w).alias("beyond"))
-    return x.filter(F.col("beyond").isNotNull() & (F.col("k") > int(round(share_above * width)))).select("protein_id", F.col("pos").alias("start"), "k")
+    """Window starts 0 .. len-width-1 where more than ``share_above`` of the residues promote disorder, counted inside the row."""
+    p = proteins.filter(F.length("sequence") > width).select("protein_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - width - 1)).alias("start"))
+    k = width - F.length(F.translate(F.substring("sequence", F.col("start") + 1, F.lit(width)), "".join(K.DISORDER), ""))
+    return p.select("protein_id", "start", k.cast("long").alias("k")).filter(F.col("k") > int(round(share_above * width)))
 
 
 def hydrophobic_moment(proteins: DataFrame, window: int = 11, angle: float = 100.0) -> DataFrame:
@@ -201,8 +212,7 @@ def sequence_motifs(proteins: DataFrame) -> DataFrame:
 
     A slot named by a property (charged) is tested on the residue's charge.
     """
-    w = Window.partitionBy("protein_id").orderBy("pos")
-    r = residues(proteins).select("protein_id", "pos", "aa", F.lead("aa", 2).over(w).alias("a2"), F.lead("aa", 3).over(w).alias("a3"))
+    r = neighbours(proteins, 0, 2, 3).withColumnRenamed("a0", "aa")
     zinc = (F.col("aa") == "C") & (F.col("a3") == "C")
     phos = F.col("aa").isin("S", "T") & F.col("a2").isin(*[a for a, q in K.CHARGE.items() if abs(q) >= 1])
     kinds = F.filter(F.array(F.when(zinc, "zinc_finger"), F.when(phos, "phosphorylation_site")), lambda x: x.isNotNull())
@@ -211,10 +221,9 @@ def sequence_motifs(proteins: DataFrame) -> DataFrame:
 
 def property_motifs(proteins: DataFrame, thr: float = 0.7, small_below: float = 100.0) -> DataFrame:
     """Catalytic-triad property pattern (charged, small, charged): share of matching slots > thr."""
-    w = Window.partitionBy("protein_id").orderBy("pos")
     charged = lambda a: F.when(F.abs(lookup(a, K.CHARGE, 0.0)) >= 1, 1).otherwise(0)
     small = lambda a: F.when(lookup(a, K.VOLUME, 100.0) < small_below, 1).otherwise(0)
-    r = residues(proteins).withColumn("a1", F.lead("aa", 1).over(w)).withColumn("a2", F.lead("aa", 2).over(w)).filter("a2 is not null")
+    r = neighbours(proteins, 0, 1, 2).withColumnRenamed("a0", "aa").filter("a2 is not null")
     conf = (charged("aa") + small("a1") + charged("a2")) / F.lit(3.0)
     return r.select("protein_id", "pos", F.lit("catalytic_triad").alias("motif"), conf.alias("confidence")).filter(F.col("confidence") > thr)
 
