@@ -16,7 +16,7 @@ from ..sources import views as S
 from .q_sequence import in_list, span_sql
 from .q_stats import ACONS, COACT, COENT, SPEC
 from .q_structure import CONT
-from .registry import query
+from .registry import RAW, query
 
 FEATS = "fs0 as (select distinct layer, feature from act)"
 PM = "pmn as materialized (select protein_id, layer, feature, avg(value) as mean, stddev_samp(value) as std from act group by all)"
@@ -137,17 +137,40 @@ def all_scores(s, p):
     return B.relevance_scores(act, parts)
 
 
-@query("B9_relevance_scores")
+DISORDER = f"""select layer, feature, least(1, count(*)/(5*(select count(*) from tprot))::double) as disorder_score from (select w.protein_id, w.pos, a.layer, a.feature, avg(a.value) as v, any_value(mean) as mean from
+ (select protein_id, pos, sum((aa in ({in_list(K.DISORDER)}))::int) over (partition by protein_id order by pos rows between current row and 19 following) as k, max(pos) over (partition by protein_id) as last from tok) w
+ join act a on a.protein_id=w.protein_id and a.pos between w.pos and w.pos+19 join pmn on pmn.protein_id=a.protein_id and pmn.layer=a.layer and pmn.feature=a.feature where k>12 and w.pos+20<=last group by w.protein_id, w.pos, a.layer, a.feature) where v>mean group by layer, feature"""
+
+
+@query("B10_disorder_score", zero(DISORDER, "disorder_score"), "act tok tprot", d="disorder_score", extra=",".join([FEATS, PM]))
+def _(s, p):
+    prot = S.token_proteins(s, p)
+    return B.disorder_score(S.activations(s, p), Q.disorder_windows(prot), prot)
+
+
+def relevance_sql():
+    """All parts side by side, each the unrounded SQL of its own query, then the weights and gates of the definition."""
+    source = {part: next(q for q in RAW if q.endswith("_" + part)) for w in B.PARTS.values() for part in w}
+    joins = " ".join(f"left join ({RAW[q]}) {part} using (layer, feature)" for part, q in source.items())
+    fired = {part: f"coalesce({part}, 0)>{B.GATES.get(part, 0.0)}" for part in source}
+    comp = {k: "+".join(f"case when {fired[part]} then {part}*{x} else 0 end" for part, x in w.items()) for k, w in B.PARTS.items()}
+    names = "concat_ws(';', " + ", ".join(f"case when {fired[part]} then '{part}' end" for part in sorted(fired)) + ")"
+    return f"""select layer, feature, function, structure, evolution, disease, {'+'.join(f'{k}*{w}' for k, w in B.TOTAL.items())} as total, case when greatest(function, structure, evolution, disease)>0.3 then names else '' end as evidence
+ from (select layer, feature, {', '.join(f'({x})::double as {k}' for k, x in comp.items())}, {names} as names from (select layer, feature from act group by all having max(abs(value))>=0.1) {joins})"""
+
+
+@query("B9_relevance_scores", relevance_sql(), "act", d="function structure evolution disease total")
 def _(s, p):
     return all_scores(s, p)
 
 
-@query("T9_important_features")
+@query("T9_important_features", f"select * from ({relevance_sql()}) where total>0.3", "act", d="function structure evolution disease total")
 def _(s, p):
     return B.important_features(all_scores(s, p), 0.3)
 
 
-@query("A45_relevance_summary")
+@query("A45_relevance_summary", f"""select count(*) as n_features, sum((total>0.7)::int) as high, sum((total>0.4 and total<=0.7)::int) as medium, sum((total<=0.4)::int) as low, avg(function) as avg_function, avg(structure) as avg_structure,
+ avg(evolution) as avg_evolution, avg(disease) as avg_disease from ({relevance_sql()})""", "act", d="avg_function avg_structure avg_evolution avg_disease", i="high medium low")
 def _(s, p):
     return B.relevance_summary(all_scores(s, p))
 

@@ -16,6 +16,8 @@ from ..sources.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL without rounding, for queries built from others.
+RAW: dict[str, str] = {}
 DIGITS = 6
 
 
@@ -42,6 +44,7 @@ def query(name: str, sql: str | None = None, views: str = "", d: str = "", i: st
             fixes = [f'round("{x}"::double, {DIGITS}) + 0e0 as "{x}"' for x in d.split()]
             fixes += [f'"{x}"::bigint as "{x}"' for x in i.split()]
             repl = f" replace ({', '.join(fixes)})" if fixes else ""
+            RAW[name] = with_views(views, sql.strip(), extra)
             ORACLES[name] = with_views(views, f"select *{repl} from (\n{sql.strip()}\n) result_rows", extra)
         return fn
 
