@@ -83,7 +83,8 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
     doc = F.coalesce("doc_id", -1 - F.col("row_id"))
     c = chunks.select(doc.alias("doc"), "row_id", F.posexplode("digests").alias("number", "digest"))
     order = F.struct((F.col("doc") < 0).cast("int").alias("late"), F.col("doc"))
-    twice = c.groupBy("digest").agg(F.min(order).alias("a"), F.max(order).alias("b")).filter("a.doc <> b.doc").select("digest", F.col("a.doc").alias("first_doc"))
+    # written apart from the join, so that the join has an exchange of its own and can split a frequent digest
+    twice = stash(c.groupBy("digest").agg(F.min(order).alias("a"), F.max(order).alias("b")).filter("a.doc <> b.doc").select("digest", F.col("a.doc").alias("first_doc")))
     return c.join(twice, "digest").select("row_id", "number", "first_doc")
 
 
