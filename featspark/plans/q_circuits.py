@@ -64,6 +64,20 @@ def _(s, p):
     return motifs_of(s, p)[0].drop("importance")
 
 
+WIDE = 0.575
+SETS8 = """cs as (select [nd, nb] as nodes from nb where nd<nb union select list_sort(list_append(q.nodes, nb.nb)) from (select nodes, unnest(nodes) as nd from cs where len(nodes)<8) q join nb on nb.nd=q.nd where not list_contains(q.nodes, nb.nb)),
+alls as materialized (select distinct nodes from cs where len(nodes)>=3),
+cell as (select nodes, len(nodes) as size, r.k, nodes[(r.k//len(nodes))+1] as src, nodes[(r.k%len(nodes))+1] as dst from alls, range(64) r(k) where r.k<len(nodes)*len(nodes)),
+mi0 as materialized (select nodes, size, string_agg(case when ge.src is null then '0' else '1' end, '' order by k) as structure, count(ge.src) as n_edges, sum(ge.weight) as weight_sum
+ from cell left join ge on ge.src=cell.src and ge.dst=cell.dst group by nodes, size)"""
+
+
+@query("G6_motif_circuits_to_eight", "select structure, size, count(*) as frequency, sum(weight_sum)/sum(n_edges) as avg_weight from mi0 group by structure, size having count(*)>=2", "act", d="avg_weight", i="size",
+       extra=",".join([CAUSAL, ED.replace(str(THR), str(WIDE)), NB, SETS8]))
+def _(s, p):
+    return C.find_motifs(edges_of(s, p).filter(F.col("weight") > WIDE))[0].drop("importance")
+
+
 @query("T5_motif_ranking", "select * from circ", "act", d="avg_weight importance", i="size", extra=BASE)
 def _(s, p):
     return motifs_of(s, p)[0].orderBy(F.desc("importance"), "structure")
@@ -234,12 +248,12 @@ def _(s, p):
     return G.distinct_paths(c.select(F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"), F.size("path").alias("n_nodes")))
 
 
-@query("G12_feedback_loops", """select layer, array_to_string(path, '>') as path from lp where closed""", "act", extra=LED + """,
+@query("G12_feedback_loops", """select layer, array_to_string(path, '>') as path from lp where closed""", "act", extra=LED.replace("0.545", "0.55") + """,
 lp as (select layer, src as start, [src, dst] as path, dst as last, false as closed from led where src<dst union all
  select lp.layer, lp.start, case when led.dst=lp.start then lp.path else list_append(lp.path, led.dst) end, led.dst, led.dst=lp.start from lp join led on led.layer=lp.layer and led.src=lp.last
- where not lp.closed and (led.dst=lp.start or (led.dst>lp.start and not list_contains(lp.path, led.dst) and len(lp.path)<4)))""")
+ where not lp.closed and (led.dst=lp.start or (led.dst>lp.start and not list_contains(lp.path, led.dst))))""")
 def _(s, p):
-    return G.feedback_loops(lag_graph(s, p), ["layer"], 4).select("layer", F.array_join("path", ">").alias("path"))
+    return G.feedback_loops(lag_graph(s, p, 0.55), ["layer"]).select("layer", F.array_join("path", ">").alias("path"))
 
 
 @query("G3_graph_components", """select layer, node, min(reach) as component from (select layer, src as node, src as reach from u union select layer, node, reach from rc) group by all""", "act", extra=LED + """,
