@@ -103,45 +103,47 @@ def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors in blocks of 64 with the largest weight of each term and block."""
+    """Inverted index of unit vectors: a term's postings in blocks of 64 examples, with the largest weight of each block.
+
+    Inside a block the 64 weights lie side by side, so one product scores a block; the size is bounded by
+    terms x examples, both parameters.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), *vectors[i][0].tolist()[:4], i))
-        self.order = np.array(order, np.int64)  # position in the index -> example
         self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        post: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
+        self.order = np.array(order + [-1] * (self.blocks * BLOCK - self.n), np.int64)  # position in the index -> example
+        self.lists = np.zeros((n_terms, self.blocks, BLOCK))
         for pos, i in enumerate(order):
-            for t, w in zip(*vectors[i]):
-                post[t].append((pos, w))
-        self.doc = [np.array([p for p, _ in x], np.int64) for x in post]
-        self.weight = [np.array([w for _, w in x]) for x in post]
-        self.start = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK) for d in self.doc]
-        self.most = np.zeros((n_terms, self.blocks))
-        for t, (d, w) in enumerate(zip(self.doc, self.weight)):
-            np.maximum.at(self.most[t], d // BLOCK, w)
+            self.lists[vectors[i][0], pos // BLOCK, pos % BLOCK] = vectors[i][1]
+        self.most = self.lists.max(2) if self.n else np.zeros((n_terms, 0))
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest positive cosines, exactly; ties in the order of the examples."""
+        """The k examples with the largest positive cosines, exactly; ties in the order of the examples.
+
+        Blocks come by falling bound, a few at first and then more at a time; those whose bound is below the k-th
+        best cosine so far are skipped, and the first such block ends the search.
+        """
         bound = w @ self.most[ids]
-        got_s, got_i, limit = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < limit - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for t, x in zip(ids, w):
-                lo, hi = self.start[t][b], self.start[t][b + 1]
-                if lo < hi:
-                    acc[self.doc[t][lo:hi] - b * BLOCK] += x * self.weight[t][lo:hi]
+        order = np.argsort(-bound, kind="stable")
+        order = order[:int((bound > 0).sum())]
+        got_s, got_i, limit, at, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 4
+        while at < len(order) and bound[order[at]] >= limit - 1e-12:
+            b = order[at:at + step]
+            b = b[bound[b] >= limit - 1e-12]
+            acc = (w @ self.lists[ids[:, None], b].reshape(len(ids), -1))
             hit = np.flatnonzero((acc > 0) & (acc >= limit - 1e-12))
-            if not len(hit):
-                continue
-            found = self.order[hit + b * BLOCK]
+            found = self.order[b[hit // BLOCK] * BLOCK + hit % BLOCK]
             keep = found != without
-            got_s, got_i = np.concatenate([got_s, acc[hit][keep]]), np.concatenate([got_i, found[keep]])
+            got_s, got_i = np.concatenate([got_s, acc[hit[keep]]]), np.concatenate([got_i, found[keep]])
             if len(got_s) > k:
+                edge = np.partition(got_s, len(got_s) - k)[len(got_s) - k] - 1e-12  # only the best and their ties are sorted
+                near = got_s >= edge
+                got_s, got_i = got_s[near], got_i[near]
                 best = np.lexsort((got_i, -np.round(got_s, 12)))[:k]
                 got_s, got_i = got_s[best], got_i[best]
                 limit = got_s.min()
+            at, step = at + step, step * 4
         best = np.lexsort((got_i, -np.round(got_s, 12)))
         return got_s[best], got_i[best]
 
