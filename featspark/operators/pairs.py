@@ -329,14 +329,16 @@ def _residual_corr(take: int, zs: list[int]):
     return fn
 
 
-def partial_corr(cov: DataFrame, conditioning: int = 5, zs: list[int] | None = None) -> DataFrame:
-    """Correlation of i and j after regressing out other features one by one (proper slopes).
+def partial_corr(cov: DataFrame, zs: list[int] | None = None) -> DataFrame:
+    """|partial correlation| of i and j given all other features of the layer, or given the stated set ``zs``.
 
-    Conditions on the first ``conditioning`` features other than i and j, or on all of ``zs``.
-    Only the rows of the conditioning features travel: at most a few dozen numbers per feature.
+    Without ``zs`` it follows from the inverse of the layer's covariance matrix (pseudo-inverse if features
+    depend on each other); one task holds one F x F matrix, the size of the result's layer. With ``zs`` the
+    features are regressed out one by one (proper slopes) and only their rows travel.
     """
-    ids = zs if zs is not None else list(range(conditioning + 2))
-    take = len(ids) if zs is not None else conditioning
+    if zs is None:
+        return cov.groupBy("layer", "i").agg(F.array_sort(F.collect_list(F.struct("j", "cov"))).alias("r")).groupBy("layer").applyInPandas(_inverse_corr, "layer int, i int, j int, partial_corr double")
+    ids, take = zs, len(zs)
     near = cov.filter(F.col("j").isin(ids))
     pos = F.array_position(F.array(*[F.lit(k) for k in ids]), F.col("j"))
     rows = near.groupBy("layer", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("k"), F.col("cov").alias("v")))), lambda s: s.v).alias("cz"))
@@ -350,6 +352,20 @@ def partial_corr(cov: DataFrame, conditioning: int = 5, zs: list[int] | None = N
     return p.select("layer", "i", "j", F.abs(fn("i", "j", "ci", "cj", "zz", "cov", "vi", "vj")).alias("partial_corr"))
 
 
+def _inverse_corr(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("i")
+    ids = pdf["i"].to_numpy(np.int32)
+    m = np.array([[x["cov"] for x in r] for r in pdf["r"]], float)
+    sd = np.sqrt(np.maximum(np.diag(m), 0))
+    live = sd > 1e-8
+    inv = np.zeros_like(m)
+    inv[np.ix_(live, live)] = np.linalg.pinv(m[np.ix_(live, live)] / np.outer(sd[live], sd[live]), rcond=1e-10, hermitian=True)
+    d = np.sqrt(np.maximum(np.diag(inv), 1e-300))
+    out = np.where(np.outer(live, live), np.minimum(np.abs(inv) / np.outer(d, d), 1.0), 0.0)
+    i, j = np.nonzero(~np.eye(len(ids), dtype=bool))
+    return pd.DataFrame({"layer": np.int32(pdf["layer"].iloc[0]), "i": ids[i], "j": ids[j], "partial_corr": out[i, j]})
+
+
 def combine_tests(scores: list) -> tuple:
     """Mean of the tests and their confidence: harmonic mean x (1 - pop std / mean) of the positive ones."""
     arr = F.filter(F.array(*scores), lambda s: s > 0)

@@ -102,3 +102,18 @@ def test_coevolution_reads_all_columns(spark):
     m = spark.createDataFrame(cells, "family_id string, seq_idx int, col int, aa string")
     cols = M.variable_columns(M.conservation(m, M.sequence_weights(m)), None).count()
     assert cols > 100 and M.coevolution(m, M.sequence_weights(m)).count() == cols * (cols - 1) // 2
+
+
+def test_partial_correlation_given_all_others(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 8))
+    x[:, 3] += x[:, 0] + 0.5 * x[:, 1]
+    x[:, 7] = x[:, 6] + x[:, 5] + 0.3 * rng.normal(size=200)
+    x = np.concatenate([x, np.ones((200, 1))], 1)  # a constant feature correlates with nothing
+    vec = spark.createDataFrame([(k // 20, 0, k % 20, r.tolist()) for k, r in enumerate(x)], "protein_id long, layer int, pos int, vec array<double>")
+    got = {(r.i, r.j): r.partial_corr for r in P.partial_corr(P.covariances(vec)).collect()}
+    for i, j in permutations(range(8), 2):
+        rest = np.concatenate([x[:, [k for k in range(8) if k not in (i, j)]], np.ones((200, 1))], 1)
+        a, b = (x[:, k] - rest @ np.linalg.lstsq(rest, x[:, k], rcond=None)[0] for k in (i, j))
+        assert math.isclose(got[i, j], abs(np.corrcoef(a, b)[0, 1]), abs_tol=1e-7)
+    assert got[8, 0] == 0 and len(got) == 72
