@@ -57,8 +57,9 @@ def training_sample(labels: DataFrame, per_class: int) -> DataFrame:
     return known.join(sizes, "toxic").filter(draw < F.col("share"))
 
 
-def choose_terms(examples: DataFrame, max_terms: int, least: float) -> list[str]:
-    """The terms most tied to the label among the examples (doc_id, text, toxic)."""
+def choose_terms(examples: DataFrame, max_terms: int, least: float, lift: float) -> list[str]:
+    """The terms most tied to the label among the examples (text, toxic): chi-square of at least ``least``, and at least
+    ``lift`` times as frequent among toxic examples as among others, which does not loosen as the sample grows."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         seen = (Counter(), Counter())
@@ -72,11 +73,21 @@ def choose_terms(examples: DataFrame, max_terms: int, least: float) -> list[str]
     n, rest = F.col("p") + F.col("q"), F.col("p") + F.col("q") - F.col("pos") - F.col("neg")
     det = F.col("pos") * (F.col("q") - F.col("neg")) - F.col("neg") * (F.col("p") - F.col("pos"))
     chi = n * det * det / (F.col("p") * F.col("q") * (F.col("pos") + F.col("neg")) * F.greatest(rest, F.lit(1.0)))
-    rows = (counts.filter("pos + neg >= 3").crossJoin(F.broadcast(total)).withColumn("chi", chi).filter((F.col("chi") >= least) & (F.col("pos") * F.col("q") > F.col("neg") * F.col("p")))
+    rows = (counts.filter("pos + neg >= 3").crossJoin(F.broadcast(total)).withColumn("chi", chi).filter((F.col("chi") >= least) & (F.col("pos") * F.col("q") >= lift * (F.col("neg") + 0.5) * F.col("p")))
             .orderBy(F.desc("chi"), "term").limit(max_terms).collect())
     return [r.term for r in rows]
 
 
+def document_frequencies(vectors: DataFrame) -> DataFrame:
+    """(t, n): in how many of all documents each term occurs, summed per batch before the shuffle."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        t, n = np.unique(np.asarray(b["ids"].flatten()), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n, pa.int64())], names=["t", "n"])
+
+    return map_rows(vectors.select("ids"), run, "t int, n long", rows=100_000).groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, held_out, ids, tfs: term counts of every whole text, ids ascending."""
     index = {t: i for i, t in enumerate(terms)}
@@ -206,16 +217,16 @@ class Votes:
         return self.seen[key]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, k: int = 32, per_class: int = 4000, max_terms: int = 512, least: float = 30.0) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, k: int = 32, per_class: int = 4000, max_terms: int = 512, least: float = 30.0, lift: float = 8.0) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (closest examples), similarity (their cosines)."""
     spark = docs.sparkSession
     sample = stash(training_sample(labels, per_class).coalesce(1))
     near = F.broadcast(sample)  # about 2 * per_class rows of three numbers
     examples = ids_and_text(docs).join(near, "doc_id").select("text", "toxic")
-    terms = choose_terms(examples, max_terms, least)
+    terms = choose_terms(examples, max_terms, least, lift)
     vectors = stash(vectorize(docs, terms))
     n = vectors.count()
-    df = dict(vectors.select(F.explode("ids").alias("t")).groupBy("t").count().collect())
+    df = dict(document_frequencies(vectors).collect())  # one row per vocabulary term
     idf = np.log((n + 1) / (np.array([df.get(i, 0) for i in range(len(terms))], float) + 1)) + 1e-6
     model = spark.sparkContext.broadcast(Votes(vectors.join(near, "doc_id").select("doc_id", "ids", "tfs", "toxic", "share").dropDuplicates(["doc_id"]).collect(), idf, k))
 
