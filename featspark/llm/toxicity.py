@@ -1,47 +1,62 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are letter words and their first four, five and six letters. The vocabulary is what a chi-square test on
-a bounded, documented sample of labelled training rows (``per_class`` expected rows of each label, chosen by a
-hash of the identifier) finds tied to the label; document frequencies are counted over all documents.
-
-The labelled examples form an inverted index whose postings are cut into blocks. The largest weight of a
-term in a block bounds what the block can contribute, so blocks are visited in the order of their bounds
-and the search stops, exactly, when no bound exceeds the k-th best cosine found so far. Neighbours vote with
-weight 1 / (distance + 0.05); a monotone map fitted on the sample, each example scored without itself,
-calibrates the share. The closest examples are returned as evidence.
-
-Defined results: null text counts as empty; a text without any vocabulary term gets the label rate of such
-training examples; without a positive training label every score is 0; equal cosines are ordered by doc_id
-of the example; repeated label rows of a document count once, toxic if any says so; rows are independent.
+Terms are letter words and their first four, five and six letters; every term of the whole text counts. They are
+known by 64-bit hashes. The index holds the labelled examples, a bounded, documented sample of training rows
+(``per_class`` expected rows of each label, chosen by a hash of the identifier); document frequencies are counted
+over all documents, for terms of the examples as well as for those that occur in no example.
+
+A term without an example cannot add to a cosine, only to the length of the document's vector. So the nearest
+examples are found by the terms of the index alone, and the squares of the other weights are added up by a
+join on numbers afterwards. Frequent terms of the index are rows of a dense block scored by one product, the
+others are sparse postings; nothing is skipped. Neighbours vote with weight 1 / (distance + 0.05); a monotone map
+fitted on the sample, each example scored without itself, calibrates the share. The closest examples are evidence.
+
+Defined results: null text counts as empty; a text without any term of an example gets the label rate of
+training examples without terms, or else of all; without a positive training label every score is 0; equal
+cosines are ordered by doc_id of the example; repeated label rows of a document count once, toxic if any says so;
+rows are independent.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
+import zlib
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytepair import Memo
 from .common import ids_and_text, map_rows, stash
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+#: Terms that are rows of the dense block, at most.
+DENSE = 1024
 
 
-def words_of(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
+def _hashes(word: str) -> bytes:
+    terms = [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) >= k)]
+    return b"".join(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for t in terms)
 
 
-def terms_of(words: Counter) -> Counter:
-    out = Counter(words)
-    for w, n in words.items():
-        for k in (4, 5, 6):
-            if len(w) >= k:
-                out[w[:k] + "~"] += n
-    return out
+@lru_cache(maxsize=1)
+def _memo() -> Memo:
+    return Memo(_hashes)
+
+
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the terms of a whole text, ascending, and their counts."""
+    return np.unique(np.frombuffer(b"".join(map(_memo().__getitem__, WORD.findall((text or "").lower()))), "<u8"), return_counts=True)
+
+
+def places(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``terms`` in the ascending ``vocabulary``, and which of them are there."""
+    at = np.minimum(np.searchsorted(vocabulary, terms), max(len(vocabulary) - 1, 0))
+    return at, vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
 
 
 def held_out(col: str = "doc_id"):
@@ -57,106 +72,108 @@ def training_sample(labels: DataFrame, per_class: int) -> DataFrame:
     return known.join(sizes, "toxic").filter(draw < F.col("share"))
 
 
-def choose_terms(examples: DataFrame, max_terms: int, least: float, lift: float) -> list[str]:
-    """The terms most tied to the label among the examples (text, toxic): chi-square of at least ``least``, and at least
-    ``lift`` times as frequent among toxic examples as among others, which does not loosen as the sample grows."""
+def example_terms(examples: DataFrame) -> list[dict]:
+    """The examples with the terms and counts of their whole texts, by doc_id, each once."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        seen = (Counter(), Counter())
-        for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
-            seen[int(toxic > 0)].update(terms_of(words_of(text or "")).keys())
-        keys = [*(seen[0] | seen[1])]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["term", "pos", "neg"])
-
-    total = examples.agg(F.sum((F.col("toxic") > 0).cast("double")).alias("p"), F.sum((F.col("toxic") <= 0).cast("double")).alias("q"))
-    counts = map_rows(examples, run, "term string, pos long, neg long", rows=4096).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n, rest = F.col("p") + F.col("q"), F.col("p") + F.col("q") - F.col("pos") - F.col("neg")
-    det = F.col("pos") * (F.col("q") - F.col("neg")) - F.col("neg") * (F.col("p") - F.col("pos"))
-    chi = n * det * det / (F.col("p") * F.col("q") * (F.col("pos") + F.col("neg")) * F.greatest(rest, F.lit(1.0)))
-    rows = (counts.filter("pos + neg >= 3").crossJoin(F.broadcast(total)).withColumn("chi", chi).filter((F.col("chi") >= least) & (F.col("pos") * F.col("q") >= lift * (F.col("neg") + 0.5) * F.col("p")))
-            .orderBy(F.desc("chi"), "term").limit(max_terms).collect())
-    return [r.term for r in rows]
-
-
-def document_frequencies(vectors: DataFrame) -> DataFrame:
-    """(t, n): in how many of all documents each term occurs, summed per batch before the shuffle."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        t, n = np.unique(np.asarray(b["ids"].flatten()), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n, pa.int64())], names=["t", "n"])
-
-    return map_rows(vectors.select("ids"), run, "t int, n long", rows=100_000).groupBy("t").agg(F.sum("n").alias("n"))
-
-
-def vectorize(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, held_out, ids, tfs: term counts of every whole text, ids ascending."""
-    index = {t: i for i, t in enumerate(terms)}
-    heads = {t[:-1] for t in terms if t.endswith("~")}
-    plain = {t for t in terms if not t.endswith("~")}
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, tfs = [], []
-        for text in b["text"]:
-            found: dict[int, int] = {}
-            for w, n in words_of(text.as_py() or "").items():
-                if w in plain:
-                    found[index[w]] = found.get(index[w], 0) + n
-                for k in (4, 5, 6):
-                    if len(w) >= k and w[:k] in heads:
-                        i = index[w[:k] + "~"]
-                        found[i] = found.get(i, 0) + n
-            order = sorted(found)
-            ids.append(order)
-            tfs.append([found[i] for i in order])
-        return pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["doc_id", "held_out", "ids", "tfs"])
-
-    return map_rows(ids_and_text(docs, held_out().alias("held_out")), run, "doc_id long, held_out boolean, ids array<int>, tfs array<int>")
-
-
-class BlockMaxIndex:
-    """Inverted index of unit vectors: a term's postings in blocks of 64 examples, with the largest weight of each block.
-
-    Inside a block the 64 weights lie side by side, so one product scores a block; the size is bounded by
-    terms x examples, both parameters.
+        pairs = [terms_of(t.as_py()) for t in b["text"]]
+        made = [pa.array([x[0].tobytes() for x in pairs], pa.binary()), pa.array([x[1].astype(np.int32).tobytes() for x in pairs], pa.binary())]
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], b["share"], *made], names=["doc_id", "toxic", "share", "terms", "tfs"])
+
+    rows = map_rows(examples, run, "doc_id long, toxic int, share double, terms binary, tfs binary").dropDuplicates(["doc_id"]).toArrow().to_pylist()
+    for r in rows:
+        r["terms"], r["tfs"] = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["tfs"], np.int32)
+    return sorted(rows, key=lambda r: r["doc_id"])
+
+
+def tied_to_label(vocabulary: np.ndarray, rows: list[dict], least: float) -> np.ndarray:
+    """Of each term, whether a chi-square test on at least three examples ties it to the label by ``least``."""
+    with_, toxic = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for r in rows:
+        at = places(vocabulary, r["terms"])[0]
+        with_[at] += 1
+        toxic[at] += r["toxic"] > 0
+    n, p = len(rows), sum(r["toxic"] > 0 for r in rows)
+    det = toxic * (n - p) - (with_ - toxic) * p
+    return (with_ >= 3) & (n * det * det / np.maximum(p * (n - p) * with_ * np.maximum(n - with_, 1.0), 1e-300) >= least)
+
+
+def document_frequencies(docs: DataFrame, vocabulary) -> tuple[int, np.ndarray]:
+    """How many documents there are, and in how many of them each term of the (broadcast) vocabulary occurs; added up in each task."""
+
+    def run(batches):
+        v = vocabulary.value
+        n, seen = 0, np.zeros(len(v), np.int64)
+        for b in batches:
+            n += b.num_rows
+            for t in b["text"]:
+                at, hit = places(v, terms_of(t.as_py())[0])
+                seen[at[hit]] += 1
+        t = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *t], pa.int64()), pa.array([n, *seen[t]], pa.int64())], names=["t", "n"])
+
+    got = ids_and_text(docs).select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = got["t"].to_numpy(), got["n"].to_numpy()
+    out = np.zeros(len(vocabulary.value), np.int64)
+    out[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), out
+
+
+class Postings:
+    """Inverted index of unit vectors: a dense block for the terms with most postings, sparse lists for the others.
+
+    Its size is bounded by the terms of the examples, whose number is a parameter.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), *vectors[i][0].tolist()[:4], i))
-        self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        self.order = np.array(order + [-1] * (self.blocks * BLOCK - self.n), np.int64)  # position in the index -> example
-        self.lists = np.zeros((n_terms, self.blocks, BLOCK))
-        for pos, i in enumerate(order):
-            self.lists[vectors[i][0], pos // BLOCK, pos % BLOCK] = vectors[i][1]
-        self.most = self.lists.max(2) if self.n else np.zeros((n_terms, 0))
+        self.n = len(vectors)
+        ids = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        owner = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        count = np.bincount(ids, minlength=n_terms)
+        often = np.argsort(-count, kind="stable")[:DENSE]
+        often = often[count[often] > 64]
+        self.row = np.full(n_terms, -1, np.int64)  # term -> row of the dense block
+        self.row[often] = np.arange(len(often))
+        self.block = np.zeros((len(often), self.n))
+        dense = self.row[ids] >= 0
+        self.block[self.row[ids[dense]], owner[dense]] = weight[dense]
+        ids, weight, owner = ids[~dense], weight[~dense], owner[~dense]
+        order = np.argsort(ids, kind="stable")
+        self.weight, self.owner = weight[order], owner[order]
+        self.start = np.searchsorted(ids[order], np.arange(n_terms + 1))
+
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The products of the queries (terms, weights) with all examples."""
+        q = np.zeros((len(queries), len(self.block)))
+        for i, (ids, w) in enumerate(queries):
+            r = self.row[ids]
+            q[i, r[r >= 0]] = w[r >= 0]
+        out = q @ self.block
+        for i, (ids, w) in enumerate(queries):
+            first, size = self.start[ids], self.start[ids + 1] - self.start[ids]
+            if total := int(size.sum()):
+                at = np.arange(total) + np.repeat(first - size.cumsum() + size, size)
+                out[i] += np.bincount(self.owner[at], self.weight[at] * np.repeat(w, size), self.n)
+        return out
+
+    def best(self, acc: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest positive products and their examples; ties in the order of the examples."""
+        if without >= 0:
+            acc[without] = 0.0
+        who = np.flatnonzero(acc > 0)
+        if len(who) > k:
+            edge = np.partition(acc[who], len(who) - k)[len(who) - k] - 1e-11  # only the best and their ties are sorted
+            who = who[acc[who] >= edge]
+        who = who[np.lexsort((who, -np.round(acc[who], 12)))[:k]]
+        return acc[who], who
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest positive cosines, exactly; ties in the order of the examples.
-
-        Blocks come by falling bound, a few at first and then more at a time; those whose bound is below the k-th
-        best cosine so far are skipped, and the first such block ends the search.
-        """
-        bound = w @ self.most[ids]
-        order = np.argsort(-bound, kind="stable")
-        order = order[:int((bound > 0).sum())]
-        got_s, got_i, limit, at, step = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 4
-        while at < len(order) and bound[order[at]] >= limit - 1e-12:
-            b = order[at:at + step]
-            b = b[bound[b] >= limit - 1e-12]
-            acc = (w @ self.lists[ids[:, None], b].reshape(len(ids), -1))
-            hit = np.flatnonzero((acc > 0) & (acc >= limit - 1e-12))
-            found = self.order[b[hit // BLOCK] * BLOCK + hit % BLOCK]
-            keep = found != without
-            got_s, got_i = np.concatenate([got_s, acc[hit[keep]]]), np.concatenate([got_i, found[keep]])
-            if len(got_s) > k:
-                edge = np.partition(got_s, len(got_s) - k)[len(got_s) - k] - 1e-12  # only the best and their ties are sorted
-                near = got_s >= edge
-                got_s, got_i = got_s[near], got_i[near]
-                best = np.lexsort((got_i, -np.round(got_s, 12)))[:k]
-                got_s, got_i = got_s[best], got_i[best]
-                limit = got_s.min()
-            at, step = at + step, step * 4
-        best = np.lexsort((got_i, -np.round(got_s, 12)))
-        return got_s[best], got_i[best]
+        return self.best(self.scores([(ids, w)])[0], k, without)
+
+
+#: Its name while terms were few and blocks were visited by bound.
+BlockMaxIndex = Postings
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,29 +191,56 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Votes:
-    """The fitted model: idf, index, labels of the examples, calibration."""
-
-    def __init__(self, rows: list, idf: np.ndarray, k: int):
-        rows = sorted(rows, key=lambda r: r.doc_id)
-        self.idf, self.k = idf, k
-        empty = [r for r in rows if not r.ids]
-        rows = [r for r in rows if r.ids]
-        self.doc_id = np.array([r.doc_id for r in rows], np.int64)
-        self.y = np.array([float(r.toxic > 0) for r in rows])
-        self.c = np.array([1 / r.share for r in rows])
-        weight = sum(1 / r.share for r in empty)
+    """The model without its calibration: vocabulary, idf, terms and labels of the examples.
+
+    It travels as term numbers and counts, packed; every worker makes weights and index of them once.
+    """
+
+    def __init__(self, rows: list[dict], vocabulary: np.ndarray, idf: np.ndarray, k: int):
+        self.vocabulary, self.idf, self.k = vocabulary, idf, k
+        kept, empty, ids, tfs = [], [], [], []
+        for r in rows:
+            at = places(vocabulary, r["terms"])[0].astype(np.int32)
+            use = idf[at] > 0
+            (kept if use.any() else empty).append(r)
+            ids.append(at[use])
+            tfs.append(r["tfs"][use])
+        self.ends = np.cumsum([0, *(len(x) for x in ids if len(x))])
+        self.ids, self.tfs = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (ids, tfs))
+        self.doc_id = np.array([r["doc_id"] for r in kept], np.int64)
+        self.y = np.array([float(r["toxic"] > 0) for r in kept])
+        self.c = np.array([1 / r["share"] for r in kept])
+        weight = sum(1 / r["share"] for r in empty)
         everyone = weight + self.c.sum()
-        self.rate = (sum((r.toxic > 0) / r.share for r in empty) / weight if weight else float((self.y * self.c).sum() / everyone) if everyone else 0.0)
-        vectors = [self.unit(r.ids, r.tfs) for r in rows]
-        self.index = BlockMaxIndex(vectors, len(idf))
-        raw = np.array([self.share(*self.index.nearest(*v, k, without=i)) for i, v in enumerate(vectors)])
-        self.knots = monotone(raw, self.y, self.c)
-        self.seen: dict = {}
-
-    def unit(self, ids, tfs):
-        ids = np.array(ids, np.int64)
-        w = (1 + np.log(np.array(tfs, float))) * self.idf[ids]
-        return ids, w / max(float(np.sqrt(w @ w)), 1e-300)
+        self.rate = (sum((r["toxic"] > 0) / r["share"] for r in empty) / weight if weight else float((self.y * self.c).sum() / everyone) if everyone else 0.0)
+
+    def __getstate__(self):
+        state = {k: v for k, v in self.__dict__.items() if k not in ("index", "vectors")}
+        return zlib.compress(pickle.dumps(state | {"ids": np.diff(self.ids, prepend=np.int32(0))}), 1)
+
+    def __setstate__(self, packed):
+        self.__dict__.update(pickle.loads(zlib.decompress(packed)))
+        self.ids = np.cumsum(self.ids, dtype=np.int32)
+
+    @cached_property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts = [slice(a, b) for a, b in zip(self.ends, self.ends[1:])]
+        return [(self.ids[p], self.unit(self.ids[p], self.tfs[p])[0]) for p in parts]
+
+    @cached_property
+    def index(self) -> Postings:
+        return Postings(self.vectors, len(self.vocabulary))
+
+    def unit(self, ids: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, float]:
+        w = (1 + np.log(tfs)) * self.idf[ids]
+        length = float(np.sqrt(w @ w))
+        return w / max(length, 1e-300), length
+
+    def known(self, terms: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+        """Terms of the index with weights of length one, that length before, and which of ``terms`` are in no example."""
+        at, hit = places(self.vocabulary, terms)
+        use = hit & (self.idf[at] > 0) if len(self.idf) else hit
+        return at[use], *self.unit(at[use], tfs[use]), ~hit
 
     def share(self, sims: np.ndarray, who: np.ndarray) -> float:
         if not len(sims):
@@ -204,36 +248,80 @@ class Votes:
         v = self.c[who] / (1.05 - np.minimum(sims, 1.0))
         return float((v * self.y[who]).sum() / v.sum())
 
-    def score(self, ids, tfs) -> tuple[float, list[int], list[float]]:
-        if not ids or not self.index.n:
-            return self.rate, [], []
-        key = (tuple(ids), tuple(tfs))
-        if key not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            sims, who = self.index.nearest(*self.unit(ids, tfs), self.k)
-            s = float(np.interp(self.share(sims, who), *self.knots)) if len(sims) else self.rate
-            self.seen[key] = (min(1.0, max(0.0, s)), self.doc_id[who[:3]].tolist(), np.round(sims[:3], 6).tolist())
-        return self.seen[key]
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, k: int = 32, per_class: int = 4000, max_terms: int = 512, least: float = 30.0, lift: float = 8.0) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (closest examples), similarity (their cosines)."""
+
+def own_shares(spark, model) -> np.ndarray:
+    """The share that every example of the (broadcast) model gets from the others."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        m, out = model.value, []
+        ids = b["id"].to_pylist()
+        for lo in range(0, len(ids), 128):
+            part = ids[lo:lo + 128]
+            out += [m.share(*m.index.best(acc, m.k, without=i)) for i, acc in zip(part, m.index.scores([m.vectors[i] for i in part]))]
+        return pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.float64())], names=["id", "share"])
+
+    got = map_rows(spark.range(len(model.value.y)), run, "id long, share double").toArrow()
+    out = np.zeros(len(model.value.y))
+    out[got["id"].to_numpy()] = got["share"].to_numpy()
+    return out
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, k: int = 32, per_class: int = 4000, least: float = 0.0) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (closest examples), similarity (their cosines).
+
+    All terms of all texts count. ``least`` > 0 is for callers who want only terms that a chi-square test ties to the label.
+    """
     spark = docs.sparkSession
     sample = stash(training_sample(labels, per_class).coalesce(1))
     near = F.broadcast(sample)  # about 2 * per_class rows of three numbers
-    examples = ids_and_text(docs).join(near, "doc_id").select("text", "toxic")
-    terms = choose_terms(examples, max_terms, least, lift)
-    vectors = stash(vectorize(docs, terms))
-    n = vectors.count()
-    df = dict(document_frequencies(vectors).collect())  # one row per vocabulary term
-    idf = np.log((n + 1) / (np.array([df.get(i, 0) for i in range(len(terms))], float) + 1)) + 1e-6
-    model = spark.sparkContext.broadcast(Votes(vectors.join(near, "doc_id").select("doc_id", "ids", "tfs", "toxic", "share").dropDuplicates(["doc_id"]).collect(), idf, k))
+    rows = example_terms(ids_and_text(docs).join(near, "doc_id"))
+    vocabulary = np.unique(np.concatenate([r["terms"] for r in rows])) if rows else np.zeros(0, np.uint64)
+    n, df = document_frequencies(docs, spark.sparkContext.broadcast(vocabulary))
+    idf = np.log((n + 1) / (df + 1.0)) + 1e-6
+    if least > 0:
+        idf = np.where(tied_to_label(vocabulary, rows, least), idf, 0.0)
+    votes = Votes(rows, vocabulary, idf, k)
+    del rows
+    toxic = bool(votes.y.any()) or votes.rate > 0
+    model = spark.sparkContext.broadcast(votes)
+
+    def rank(b: pa.RecordBatch) -> pa.RecordBatch:
+        m = model.value
+        sims, who, length, absent, tfs = [], [], [], [], []
+        for lo in range(0, b.num_rows, 128):
+            part = [(terms, n, *m.known(terms, n)) for terms, n in (terms_of(t.as_py()) for t in b["text"][lo:lo + 128])]
+            for (terms, n, _, _, norm, away), acc in zip(part, m.index.scores([x[2:4] for x in part])):
+                s, w = m.index.best(acc, k)
+                sims.append(s)
+                who.append(w.astype(np.int32))
+                length.append(norm)
+                absent.append(terms[away].astype(np.int64) if least <= 0 else [])
+                tfs.append(n[away].astype(np.int32) if least <= 0 else [])
+        made = [pa.array(sims, pa.list_(pa.float64())), pa.array(who, pa.list_(pa.int32())), pa.array(length, pa.float64()), pa.array(absent, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], *made], names=["doc_id", "held_out", "sims", "who", "length", "absent", "tfs"])
+
+    ranked = map_rows(ids_and_text(docs, held_out().alias("held_out")), rank, "doc_id long, held_out boolean, sims array<double>, who array<int>, length double, absent array<long>, tfs array<int>")
+    ranked = stash(ranked.withColumn("row_id", F.monotonically_increasing_id()))
+    knots = monotone(own_shares(spark, model), votes.y, votes.c)
+
+    # a term of no example is in as many documents as it has rows here
+    away = ranked.select("row_id", F.explode(F.arrays_zip("absent", "tfs")).alias("x")).select("row_id", F.col("x.absent").alias("term"), F.col("x.tfs").alias("tf"))
+    seen = away.groupBy("term").agg(F.count("*").alias("df"))
+    weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log(F.lit(n + 1.0) / (F.col("df") + 1.0)) + 1e-6)
+    rest = away.join(seen.hint("merge"), "term").groupBy("row_id").agg(F.sum(weight * weight).alias("rest"))
+    whole = ranked.drop("absent", "tfs").join(rest.hint("merge"), "row_id", "left").drop("row_id")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = [model.value.score(i, t) for i, t in zip(b["ids"].to_pylist(), b["tfs"].to_pylist())]
-        s = [x[0] for x in out]
-        return pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))],
+        m = model.value
+        score, ids, cosines = [], [], []
+        for sims, who, length, rest in zip(b["sims"].to_pylist(), b["who"].to_pylist(), b["length"].to_pylist(), b["rest"].to_pylist()):
+            who = np.array(who, np.int64)
+            sims = np.array(sims) * (length / np.sqrt(length * length + rest)) if rest else np.array(sims)
+            s = float(np.interp(m.share(sims, who), *knots)) if len(sims) else m.rate
+            score.append(min(1.0, max(0.0, s)) if toxic else 0.0)
+            ids.append(m.doc_id[who[:3]].tolist())
+            cosines.append(np.round(sims[:3], 6).tolist())
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score, pa.float64()), pa.array([int(x >= 0.5) for x in score], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],
                                           names=["doc_id", "held_out", "score", "predicted", "evidence", "similarity"])
 
-    return map_rows(vectors, run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, similarity array<double>")
+    return map_rows(whole, run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>, similarity array<double>")

@@ -129,3 +129,30 @@ def test_toxicity_edges(spark):
     assert by[None][0].predicted == 1 and not by[None][0].held_out and by[502][0].predicted == 1 and by[500][0].score == by[501][0].score
     assert all(r.score == 0 for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect())
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_cosine_is_over_all_terms(spark):
+    """Against brute force: every term of the whole text counts, also terms that no example has or no label is tied to."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdeg"), int(rng.integers(1, 9))))
+    pool = [word() for _ in range(60)]
+    texts = [" ".join([*rng.choice(pool, 8), *(word() for _ in range(4)), f"slur{chr(97 + i // 2)}" if i % 2 else "fine"]) for i in range(50)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(36)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    examples = [r.doc_id for r in toxicity.training_sample(labels, 4000).orderBy("doc_id").collect()]
+    bags = []
+    for t in texts:
+        bag = Counter()
+        for w in t.split():
+            bag.update([w, *(w[:k] + "~" for k in (4, 5, 6) if len(w) >= k)])
+        bags.append(bag)
+    df = Counter(t for b in bags for t in b)
+    vec = [{t: (1 + np.log(n)) * (np.log(52 / (df[t] + 1)) + 1e-6) for t, n in b.items()} for b in bags]
+    norm = [np.sqrt(sum(w * w for w in v.values())) for v in vec]
+    assert any(t not in {x for e in examples for x in bags[e]} for t in bags[49])
+    for i, v in enumerate(vec):
+        cos = sorted(((-round(sum(w * vec[e].get(t, 0) for t, w in v.items()) / norm[i] / norm[e], 9), e) for e in examples))[:3]
+        assert [c for c in got[i].similarity] == [round(-c, 6) for c, _ in cos] or np.allclose(got[i].similarity, [-c for c, _ in cos], atol=2e-6)
+        assert got[i].evidence[0] == cos[0][1]
+    assert got[50].evidence == [] and len(got) == 51
