@@ -1,10 +1,10 @@
-"""Near-duplicate groups by ProbMinHash over weighted five-word shingles.
+"""Near-duplicate groups by ProbMinHash over five-word shingles.
 
-A text is the weighted set of its five-word shingles (a text of fewer words is one shingle), weight
-1 + ln(count). Every shingle sends a Poisson process of arrivals, its rate the weight; each arrival falls on one
-of the signature's slots, and a slot keeps the shingle that arrives first. A shingle stops as soon as its next
-arrival is later than the latest slot, so all but a few send one. Two signatures agree in a slot with the
-probability Jaccard similarity of the texts. Signatures are cut into ``bands`` bands of ``rows`` slots; texts
+A text is the set of its five-word shingles (a text of fewer words is one shingle), each with weight 1 however
+often it occurs, since links are verified by the similarity of the sets. Every shingle sends a Poisson process of
+arrivals, its rate the weight; each arrival falls on one of the signature's slots, and a slot keeps the shingle
+that arrives first. A shingle stops as soon as its next arrival is later than the latest slot, so all but a few
+send one. With equal weights two signatures agree in a slot with the Jaccard similarity of the sets. Signatures are cut into ``bands`` bands of ``rows`` slots; texts
 that agree in a band are candidates, and a candidate link counts only after the exact Jaccard similarity
 of the two shingle sets has been verified to be at least ``threshold``.
 
@@ -104,8 +104,8 @@ def sketch(base: DataFrame, bands: int, rows: int) -> DataFrame:
             keys.append(key)
             if key not in place:
                 place[key] = len(sets)
-                element, count = np.unique(shingles(words), return_counts=True)
-                sets.append((element, 1.0 + np.log(count)))
+                element = np.unique(shingles(words))
+                sets.append((element, np.ones(len(element))))
             at.append(place[key])
         sig = np.concatenate([signatures(sets[i:i + 64], slots) for i in range(0, len(sets), 64)])
         with np.errstate(over="ignore"):

@@ -178,3 +178,16 @@ def test_mix_takes_the_smallest_ranks(spark):
 def test_mix_one_source(spark, source):
     docs = spark.createDataFrame([(1, "a b", source), (2, None, source)], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.copies, r.taken) for r in mix_sources.mix(docs).collect()) == [(1, 1, 2), (2, 1, 0)]
+
+
+def test_repeated_lines_are_candidates(spark):
+    """Repeats change no set similarity, so pairs with a block repeated in one copy only are found like others."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        text, block = words(rng, 204), words(rng, 36)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text + block * 30))]
+    sets = [set(prob_minhash.shingles(prob_minhash.words_of(t)).tolist()) for _, t in rows]
+    assert all(len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2]))
+    got = prob_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i in range(120)}
