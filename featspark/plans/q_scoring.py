@@ -1,5 +1,8 @@
 """Queries: biological scores, regions and levels, novelty, layout, probes."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as K
@@ -531,22 +534,28 @@ def _(s, p):
 # probes ------------------------------------------------------------------------------------
 
 
+def per_layer(s, p, fit):
+    """``fit`` of the vectors of every layer, with the layer."""
+    v = S.activations_vec(s, p)
+    layers = [r.layer for r in v.select("layer").distinct().orderBy("layer").collect()]
+    return reduce(DataFrame.unionByName, [fit(v.filter(F.col("layer") == k).drop("layer")).withColumn("layer", F.lit(k)) for k in layers])
+
+
 @query("M1_linear_probe_class")
 def _(s, p):
-    v = S.activations_vec(s, p).filter("layer = 0").drop("layer")
-    return ml.linear_probe(ml.probe_input(v, S.token_residues(s, p).select("protein_id", "pos", "label"), ["protein_id", "pos"]), 20)
+    lab = S.token_residues(s, p).select("protein_id", "pos", "label")
+    return per_layer(s, p, lambda v: ml.linear_probe(ml.probe_input(v, lab, ["protein_id", "pos"])))
 
 
 @query("M1_linear_probe_domain")
 def _(s, p):
-    v = S.activations_vec(s, p).filter("layer = 0").drop("layer")
     lab = S.token_residues(s, p).select("protein_id", "pos", (F.col("conservation") > 0.5).cast("int").alias("label"))
-    return ml.linear_probe(ml.probe_input(v, lab, ["protein_id", "pos"]), 20)
+    return per_layer(s, p, lambda v: ml.linear_probe(ml.probe_input(v, lab, ["protein_id", "pos"])))
 
 
 @query("M2_pca")
 def _(s, p):
-    return ml.pca(S.activations_vec(s, p).filter("layer = 0"), 2).select("protein_id", "pos", F.abs(F.col("pc")[0]).alias("pc1"), F.abs(F.col("pc")[1]).alias("pc2"))
+    return per_layer(s, p, lambda v: ml.pca(v, 2).select("protein_id", "pos", F.abs(F.col("pc")[0]).alias("pc1"), F.abs(F.col("pc")[1]).alias("pc2")))
 
 
 # composites --------------------------------------------------------------------------------
