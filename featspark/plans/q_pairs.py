@@ -293,4 +293,4 @@ def _(s, p):
 
 @query("Q40_bootstrap_ci")
 def _(s, p):
-    return P.bootstrap_ci(S.activations(s, p).withColumn("id", F.concat_ws("-", "protein_id", "pos", "layer", "feature")), "id", "value", 200)
+    return P.bootstrap_ci(S.activations(s, p).withColumn("id", F.concat_ws("-", "protein_id", "pos", "layer", "feature")), "id", "value")
