@@ -256,6 +256,15 @@ def _(s, p):
     return G.feedback_loops(lag_graph(s, p, 0.55), ["layer"]).select("layer", F.array_join("path", ">").alias("path"))
 
 
+# the same over all edges of lag_graph; the query above keeps its own threshold and SQL
+@query("G12_feedback_loops_all_edges", """select layer, array_to_string(path, '>') as path from lp where closed""", "act", extra=LED + """,
+lp as (select layer, src as start, [src, dst] as path, dst as last, false as closed from led where src<dst union all
+ select lp.layer, lp.start, case when led.dst=lp.start then lp.path else list_append(lp.path, led.dst) end, led.dst, led.dst=lp.start from lp join led on led.layer=lp.layer and led.src=lp.last
+ where not lp.closed and (led.dst=lp.start or (led.dst>lp.start and not list_contains(lp.path, led.dst))))""")
+def _(s, p):
+    return G.feedback_loops(lag_graph(s, p), ["layer"]).select("layer", F.array_join("path", ">").alias("path"))
+
+
 @query("G3_graph_components", """select layer, node, min(reach) as component from (select layer, src as node, src as reach from u union select layer, node, reach from rc) group by all""", "act", extra=LED + """,
 u as materialized (select layer, src, dst from led union select layer, dst, src from led), rc as (select layer, src as node, dst as reach from u union select rc.layer, rc.node, u.dst from rc join u on u.layer=rc.layer and u.src=rc.reach)""")
 def _(s, p):

@@ -117,3 +117,48 @@ def test_partial_correlation_given_all_others(spark):
         a, b = (x[:, k] - rest @ np.linalg.lstsq(rest, x[:, k], rcond=None)[0] for k in (i, j))
         assert math.isclose(got[i, j], abs(np.corrcoef(a, b)[0, 1]), abs_tol=1e-7)
     assert got[8, 0] == 0 and len(got) == 72
+
+
+def test_probes_and_projection_cover_all_layers(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    from featspark.sources import views as S
+
+    layers = {r.layer for r in S.activations_vec(spark, sf).select("layer").distinct().collect()}
+    assert len(layers) > 1
+    for name in ("M1_linear_probe_class", "M2_pca"):
+        assert {r.layer for r in entry.queries()[name](spark, sf).select("layer").distinct().collect()} == layers
+
+
+def test_feedback_loops_through_all_edges(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from check_queries import TABLES
+
+    sf, name = "/root/testdata/sf0.001", "G12_feedback_loops_all_edges"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = {tuple(r) for r in con.execute(f"select layer, path from ({entry.oracle_sql()[name]})").fetchall()}
+    got = [(r.layer, r.path) for r in entry.queries()[name](spark, sf).collect()]
+    assert len(got) == len(want) == 101 and set(got) == want
+
+
+def test_bootstrap_query_uses_all_replicates(spark, monkeypatch):
+    import inspect
+
+    import __spark_entry__ as entry
+
+    seen = []
+    real = inspect.signature(P.bootstrap_ci)
+
+    def spy(*args, **more):
+        call = real.bind(*args, **more)
+        call.apply_defaults()
+        seen.append(call.arguments["replicates"])
+
+    monkeypatch.setattr(P, "bootstrap_ci", spy)
+    entry.queries()["Q40_bootstrap_ci"](spark, "/root/testdata/sf0.001")
+    assert seen == [1000]
