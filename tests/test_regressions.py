@@ -158,6 +158,7 @@ def test_bootstrap_query_uses_all_replicates(spark, monkeypatch):
         call = real.bind(*args, **more)
         call.apply_defaults()
         seen.append(call.arguments["replicates"])
+        return spark.range(1)
 
     monkeypatch.setattr(P, "bootstrap_ci", spy)
     entry.queries()["Q40_bootstrap_ci"](spark, "/root/testdata/sf0.001")
