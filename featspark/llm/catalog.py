@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_split, chunk_dedup, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, prob_minhash, toxicity
+from . import best_fit, bpe_split, chunk_dedup, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, prob_minhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op5(spark, path):
     return chunk_dedup.passages(table(spark, path, "documents"))
 
 
+@query("op11_best_fit")
+def op11(spark, path):
+    return best_fit.pack(table(spark, path, "documents")).sequences
+
+
 @query("pipeline")
 def pipeline(spark, path):
     import corpus_pipeline  # the stages import this package's operators, so the module comes last
