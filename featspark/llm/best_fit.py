@@ -4,12 +4,12 @@ A document is its token ids and one closing id. Documents above the capacity are
 pieces are sequences of their own. All other pieces are dealt by a hash to nodes. A node reads its pieces longest first
 (Spark sorts them, spilling if it must) and puts each into the sequence with the smallest gap that still takes it; only
 open sequences are held. At its end the node knows the histogram of its lengths, from which dual feasible functions give
-a lower bound of the number of sequences any packing needs. A node that meets its bound exactly has no gap and is final.
-A node above it, by whole sequences or by a part of one, has a gap: the pieces of such nodes are exchanged, that is
-dealt anew to fewer nodes and packed again, and the new packing replaces the old one if it needs fewer sequences. This
-ends when the total equals the bound of the whole table (no packing is better), when no node has a gap, when a round
-gains nothing, or when a node would get more than ``node_rows`` pieces; that last limit bounds a task, no piece is ever
-left out.
+a lower bound of the number of sequences any packing needs. A node that meets its bound is certified; one above it, by
+whole sequences or by a part of one, has a gap. The pieces of nodes with gaps are exchanged, that is dealt anew to fewer
+nodes and packed again, and the new packing replaces the old one if it needs fewer sequences. When this gains nothing,
+certified nodes with free places join in. All ends when the total equals the bound of the whole table (no packing is
+better), or when no exchange gains anything, down to one node or to ``node_rows`` pieces a node; that limit bounds a
+task, no piece is ever left out.
 
 Bounds are exact integers. The functions are ``u_k`` (multiples of 1/(k+1) stay, others are rounded down to multiples of
 1/k) applied after the threshold function that lifts lengths above ``capacity - e`` to a full sequence and drops those
@@ -110,11 +110,11 @@ class _Node:
 
 
 def _packed(items: DataFrame, nodes: int, capacity: int) -> DataFrame:
-    """``items`` (row, length) packed on ``nodes`` nodes: row, length, node, bin, offset; with row null one line per node: its pieces, sequences and the whole part of its bound."""
-    fields = [("row", pa.int64()), ("length", pa.int64()), ("node", pa.int32()), ("bin", pa.int64()), ("offset", pa.int64())]
+    """``items`` (row, length) packed on ``nodes`` nodes: row, length, node, bin, offset; with row null one line per node: its pieces, sequences, the whole part of its bound and its free places."""
+    fields = [("row", pa.int64()), ("length", pa.int64()), ("node", pa.int32()), ("bin", pa.int64()), ("offset", pa.int64()), ("free", pa.int64())]
 
     def closed(node: int, state: _Node) -> pa.RecordBatch:
-        values = [None], [int(state.histogram.sum())], [node], [state.bins], [floor(max(bounds(state.histogram, capacity)))]
+        values = [None], [int(state.histogram.sum())], [node], [state.bins], [floor(max(bounds(state.histogram, capacity)))], [state.bins * capacity - int(state.histogram @ np.arange(capacity + 1))]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(values, fields)], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +132,13 @@ def _packed(items: DataFrame, nodes: int, capacity: int) -> DataFrame:
                 state.histogram += np.bincount(lengths[a:b], minlength=capacity + 1)
                 places = [state.put(x) for x in lengths[a:b].tolist()]
                 bins, offsets = zip(*places)
-                yield pa.RecordBatch.from_arrays([batch["row"].slice(a, b - a), batch["length"].slice(a, b - a), batch["node"].slice(a, b - a), pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())], names=[n for n, _ in fields])
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(a, b - a), batch["length"].slice(a, b - a), batch["node"].slice(a, b - a), pa.array(bins, pa.int64()), pa.array(offsets, pa.int64()), pa.nulls(b - a, pa.int64())], names=[n for n, _ in fields])
         if state is not None:
             yield closed(node, state)
 
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(nodes)), F.lit(nodes)).cast("int").alias("node"))
     dealt = dealt.repartitionById(nodes, F.col("node")).sortWithinPartitions("node", F.desc("length"), "row")
-    return dealt.mapInArrow(run, "row long, length long, node int, bin long, offset long")
+    return dealt.mapInArrow(run, "row long, length long, node int, bin long, offset long, free long")
 
 
 @dataclass
@@ -163,39 +163,45 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, nod
     histogram[capacity] = 0
     bound = lower_bound(histogram, capacity)
 
-    def counts(packed: DataFrame) -> dict[int, tuple[int, int, int]]:
-        """Per node, of which there are as many as partitions: pieces, sequences, whole part of the bound."""
-        return {r.node: (r.length, r.bin, r.offset) for r in packed.filter("row is null").collect()}
+    def layer(packed: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int, int, int]]]:
+        """The packing and per node, of which there are as many as partitions: pieces, sequences, whole part of the bound, free places."""
+        packed = stash(packed)
+        return packed, {r.node: (r.length, r.bin, r.offset, r.free) for r in packed.filter("row is null").collect()}
 
     def of(packed: DataFrame, chosen: list[int]) -> DataFrame:
         return packed.filter("row is not null").join(F.broadcast(spark.createDataFrame([(n,) for n in chosen], "node int")), "node", "left_semi")
 
-    nodes = nodes or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    current = stash(_packed(cut.filter(F.col("length") < capacity).select("row", "length"), nodes, capacity))
-    now, done, total, rounds = counts(current), [], 0, 0
-    while True:
-        gaps = sorted(n for n, (_, bins, least) in now.items() if bins > least)
-        sure = sorted(set(now) - set(gaps))
-        if sure:
-            done.append((rounds, of(current, sure)))
-            total += sum(now[n][1] for n in sure)
-        if not gaps:
-            break
-        pending, used, size = of(current, gaps), sum(now[n][1] for n in gaps), sum(now[n][0] for n in gaps)
-        fewer = max(-(-len(gaps) // MERGE), -(-size // node_rows))
-        better = None
-        if total + used > bound and fewer < len(gaps):
-            better = stash(_packed(pending.select("row", "length"), fewer, capacity))
-            found = counts(better)
-        if better is None or sum(x[1] for x in found.values()) >= used:
-            done.append((rounds, pending))
-            total += used
-            break
+    nodes, rounds = nodes or int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+    layers = [layer(_packed(cut.filter(F.col("length") < capacity).select("row", "length"), nodes, capacity))]
+    # First the nodes above their own bound; once that gains nothing, all that have room: two certified nodes may still do better together.
+    rules = [lambda node: node[1] > node[2], lambda node: node[3] > 0]
+    while rules and sum(n[1] for _, stats in layers for n in stats.values()) > bound:
+        chosen = [[k for k, n in stats.items() if rules[0](n)] for _, stats in layers]
+        picked = [stats[k] for (_, stats), ks in zip(layers, chosen) for k in ks]
+        used, least, fewer, gained = sum(n[1] for n in picked), max(1, -(-sum(n[0] for n in picked) // node_rows)), len(picked), False
+        pending = None
+        for (packed, _), ks in zip(layers, chosen):
+            if ks:
+                part = of(packed, ks).select("row", "length")
+                pending = part if pending is None else pending.unionByName(part)
+        while fewer > least and not gained:
+            fewer = max(-(-fewer // MERGE), least)
+            trial, stats = layer(_packed(pending, fewer, capacity))
+            gained = sum(n[1] for n in stats.values()) < used
+        if not gained:
+            rules.pop(0)
+            continue
+        for (_, old), ks in zip(layers, chosen):
+            for k in ks:
+                del old[k]
+        layers.append((trial, stats))
         rounds += 1
-        current, now = better, found
-    places = None
-    for k, part in done:
-        part = part.select("row", (F.lit(k << 56) + F.shiftleft(F.col("node").cast("long"), 32) + F.col("bin")).alias("sequence_id"), "offset")
+    places, total = None, 0
+    for k, (packed, stats) in enumerate(layers):
+        if not stats:
+            continue
+        total += sum(n[1] for n in stats.values())
+        part = of(packed, sorted(stats)).select("row", (F.lit(k << 56) + F.shiftleft(F.col("node").cast("long"), 32) + F.col("bin")).alias("sequence_id"), "offset")
         places = part if places is None else places.unionByName(part)
     whole = cut.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     rest = cut.filter(F.col("length") < capacity)
