@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, bpe_split, chunk_dedup, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, prob_minhash, toxicity, turn_repair
+from . import best_fit, bpe_split, chunk_dedup, exact_dedup, html_text, language_id, line_crf, mix_sources, prefix_tokens, prob_minhash, toxicity, turn_repair, variants
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op11(spark, path):
     return best_fit.pack(table(spark, path, "documents")).sequences
 
 
+@query("op12_variants")
+def op12(spark, path):
+    return variants.variants(table(spark, path, "documents"))
+
+
 @query("op13_turn_repair")
 def op13(spark, path):
     return turn_repair.repaired(table(spark, path, "conversations"))
