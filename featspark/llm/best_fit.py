@@ -49,8 +49,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder, rows = word_ids(path), []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-            ids = coder.ids(text.as_py() or "") + end
+        texts = [t or "" for t in batch["text"].to_pylist()]
+        for doc, ids in zip(batch["doc_id"].to_pylist(), coder.many(texts)):
+            ids += end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
                 rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import ChainMap
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ PLAIN = re.compile("[\\x00-\\u012f\\u0131-\\u02ff\\u0384-\\u0482\\u048a-\\u052f\
 class WordIds:
     """``ids(text)``: the ids as unsigned little-endian 32-bit numbers in one bytes object."""
 
-    #: Entries kept, and the longest word kept; others are encoded anew. Both bound memory, not results.
+    #: Entries kept, and the longest word kept; others are encoded anew with each slice of texts. Both bound memory, not results.
     ENTRIES, LONGEST = 400_000, 64
 
     def __init__(self, path: str):
@@ -40,32 +41,51 @@ class WordIds:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.closing = np.zeros(1 + max(vocabulary.values()), bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        found = self.kept.get(word)
-        if found is None:
-            found = self.whole(word)
-            if len(word) <= self.LONGEST and len(self.kept) < self.ENTRIES:
-                self.kept[word] = found
-        return found
-
-    def ids(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text, None if only the library may cut it."""
         if any(s in text for s in self.special):
-            return self.whole(text)
+            return None
         if LATIN_ONLY.fullmatch(text):
-            words = LATIN.findall(text.lower())
-        elif PLAIN.fullmatch(text):
-            words = ANY.findall(text.replace("Σ", "σ").lower())  # a capital sigma is lower-cased by itself, without its context
-        else:
-            return self.whole(text)
+            return LATIN.findall(text.lower())
+        if PLAIN.fullmatch(text):
+            return ANY.findall(text.replace("Σ", "σ").lower())  # a capital sigma is lower-cased by itself, without its context
+        return None
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words by one call of the library: in a text of these words each ends with the token that closes a word."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)  # without offsets
+        ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return {w: self.whole(w) for w in words}
+        data = ids.astype("<u4").tobytes()
+        return {w: data[4 * a:4 * b] for w, a, b in zip(words, [0, *ends], ends)}
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that are not kept are encoded together."""
+        cut = [self.words(t) for t in texts]
         kept = self.kept
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            return b"".join([self.word(w) for w in words])
+        missing = list(set().union(*(w for w in cut if w is not None)).difference(kept))
+        known = kept
+        if missing:
+            found = self.encoded(missing)
+            if len(kept) + len(found) > self.ENTRIES or max(map(len, missing)) > self.LONGEST:
+                known = ChainMap(found, kept)
+                known = {w: known[w] for words in cut if words is not None for w in words}
+                room = self.ENTRIES - len(kept)
+                kept.update([(w, x) for w, x in found.items() if len(w) <= self.LONGEST][:max(0, room)])
+            else:
+                kept.update(found)
+        return [self.whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, cut)]
+
+    def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=2)
