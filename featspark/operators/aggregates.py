@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from ..functions.num import c, count_if, ratio, share
-from .gram import cross_moments
+from . import blocks
+from .gram import cross_moments, is_sparse
 from .quantiles import percentile_table
 
 ACTIVE, DEAD = 0.1, 0.01
@@ -85,8 +86,17 @@ def node_stats(act: DataFrame) -> DataFrame:
     return act.groupBy("layer", "feature").agg(F.avg("value").alias("activation_mean"), F.stddev_samp("value").alias("activation_std"))
 
 
-def coactivation(vec: DataFrame, thr: float = ACTIVE) -> DataFrame:
-    """P(i active and j active) over all tokens and layers, dense in (i, j)."""
+def coactivation(vec: DataFrame, thr: float = ACTIVE, every: DataFrame | None = None, width: int | None = None, all_pairs: bool = True) -> DataFrame:
+    """P(i active and j active) over all tokens and layers, dense in (i, j).
+
+    From sparse long activations too; ``every`` (protein_id, pos, layer) then names all token rows.
+    """
+    if is_sparse(vec):
+        on = active_rows(vec, thr).select("protein_id", "pos", F.col("layer").alias("of"), F.lit(0).alias("layer"), "feature", F.lit(1.0).alias("value"))
+        codes = blocks.Codes.of(vec.withColumn("layer", F.lit(0)), width)
+        rows = (every if every is not None else vec).select("protein_id", "pos", F.col("layer").alias("of"))
+        r = blocks.sparse_rows(on, codes, ("protein_id", "pos", "of"), rows).select(F.col("code").alias("xi"), F.col("value").alias("xv"), F.col("code").alias("yi"), F.col("value").alias("yv"))
+        return blocks.sparse_moments(r, codes, "same", all_pairs, half=False).select("i", "j", (F.col("sxy") / F.col("n")).alias("p"))
     on = F.transform("vec", lambda v: F.when(F.abs(v) > thr, 1.0).otherwise(0.0))
     m = cross_moments(vec.select(on.alias("x"), on.alias("y")), [])
     return m.select("i", "j", (F.col("sxy") / F.col("n")).alias("p"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.num import count_if, ratio
 from ..functions.tables import ALIGN
 from ..session import broadcast_if_small, cut_lineage
+from . import blocks
 from .graph import clustering, component_summary, components
 
 FAM = ["family_id"]
@@ -122,22 +123,33 @@ def variable_columns(cons: DataFrame, k: int | None = 100, below: float = 0.9) -
     return cons.filter(F.col("conservation") < below).withColumn("rank", F.row_number().over(w)).filter(F.lit(True) if k is None else F.col("rank") <= k)
 
 
+def _column_codes(cells: DataFrame, cols: DataFrame) -> DataFrame:
+    """(family_id, seq_idx, x, y): the letters of the chosen columns of a sequence as codes, in column order."""
+    kept = cells.join(cols.select("family_id", "col"), ["family_id", "col"], "left_semi")
+    code = (F.instr(F.lit(ALIGN), F.col("aa")) - 1).alias("c")
+    rows = kept.groupBy("family_id", "seq_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", code))), lambda s: s.c).alias("x"))
+    return rows.withColumn("y", F.col("x"))
+
+
+def _named_columns(pairs: DataFrame, cols: DataFrame) -> DataFrame:
+    """Replace the positions i, j among the chosen columns by the columns c1, c2."""
+    at = cols.groupBy("family_id").agg(F.array_sort(F.collect_list(F.col("col"))).alias("at"))
+    p = pairs.join(at, "family_id").withColumn("c1", F.element_at("at", F.col("i") + 1)).withColumn("c2", F.element_at("at", F.col("j") + 1))
+    return p.drop("i", "j", "at")
+
+
 def column_pairs(cells: DataFrame, cols: DataFrame) -> DataFrame:
-    """(family_id, seq_idx, c1, c2, a1, a2), c1 < c2, over the chosen columns: pairs unfold inside each sequence's row."""
-    kept = cells.join(broadcast_if_small(cols.select("family_id", "col")), ["family_id", "col"], "left_semi")
-    rows = kept.groupBy("family_id", "seq_idx").agg(F.array_sort(F.collect_list(F.struct("col", "aa"))).alias("v"))
-    pr = F.explode(F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b.col > a.col), lambda b: F.struct(
-        a.col.alias("c1"), b.col.alias("c2"), a.aa.alias("a1"), b.aa.alias("a2"))))))
-    return rows.select("family_id", "seq_idx", pr.alias("p")).select("family_id", "seq_idx", "p.*")
+    """(family_id, c1, c2, a1, a2, n), c1 < c2: how often letters of two chosen columns meet, counted in tiles of columns."""
+    n = blocks.joint_cells(_column_codes(cells, cols), ["family_id"], len(ALIGN), len(ALIGN), half=lambda key: True)
+    letter = lambda k: F.substring(F.lit(ALIGN), F.col(k) + 1, F.lit(1))
+    return _named_columns(n, cols).select("family_id", "c1", "c2", letter("bx").alias("a1"), letter("by").alias("a2"), "n")
 
 
 def column_mi(cells: DataFrame, weights: DataFrame, cols: DataFrame) -> DataFrame:
-    """Weighted mutual information of column pairs; cells of a pair number at most 441."""
-    j = column_pairs(cells, cols).join(weights, ["family_id", "seq_idx"]).groupBy("family_id", "c1", "c2", "a1", "a2").agg(F.sum("weight").alias("w"))
-    pair = ["family_id", "c1", "c2"]
-    t = F.sum("w").over(Window.partitionBy(*pair))
-    p = j.select(*pair, (F.col("w") / t).alias("p"), (F.sum("w").over(Window.partitionBy(*pair, "a1")) / t).alias("p1"), (F.sum("w").over(Window.partitionBy(*pair, "a2")) / t).alias("p2"))
-    return p.filter("p > 0").groupBy(*pair).agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("p1") * F.col("p2")))).alias("mi"))
+    """Weighted mutual information of column pairs, scored where a tile of columns has been merged."""
+    rows = _column_codes(cells, cols).join(weights, ["family_id", "seq_idx"])
+    mi = blocks.joint_scores(rows, ["family_id"], len(ALIGN), len(ALIGN), blocks.information, "mi", weight="weight", half=lambda key: True)
+    return _named_columns(mi, cols).select("family_id", "c1", "c2", "mi")
 
 
 def apc(mi: DataFrame, n_cols: DataFrame) -> DataFrame:

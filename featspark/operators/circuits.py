@@ -11,8 +11,8 @@ from ..functions.tables import MOTIF_LIBRARY
 from ..session import broadcast_if_small, cut_lineage
 from ..sources.views import to_long
 from .aggregates import node_stats
-from .gram import pair_moments, with_corr
-from .pairs import causal_strength, mutual_info, quantile_codes
+from .gram import is_sparse, pair_moments, with_corr
+from .pairs import binary_information, binned_mutual_info, causal_strength
 
 WIDE = 1_000_000
 
@@ -49,23 +49,33 @@ def path_text(path) -> Column:
 # graph construction ------------------------------------------------------------------------
 
 
-def pair_mutual_info(vec: DataFrame, pairs: DataFrame, bins: int = 10, eps: float = 1e-10) -> DataFrame:
-    """MI of selected node pairs only (``src``, ``dst`` node keys): their coded values meet on the token."""
-    codes = to_long(quantile_codes(vec, bins)).select("protein_id", "pos", node_key("layer", "feature").alias("node"), F.col("value").alias("code"))
-    a = codes.join(broadcast_if_small(pairs.select("src", "dst")), F.col("node") == F.col("src")).select("protein_id", "pos", "src", "dst", F.col("code").alias("bx"))
-    b = codes.select("protein_id", "pos", F.col("node").alias("dst"), F.col("code").alias("by"))
-    n = a.join(b, ["protein_id", "pos", "dst"]).groupBy("src", "dst", "bx", "by").agg(F.count("*").alias("n"))
-    m = mutual_info(n.select(F.col("src").alias("i"), F.col("dst").alias("j"), "bx", "by", "n"), [], eps)
-    return m.select(F.col("i").alias("src"), F.col("j").alias("dst"), "mutual_info")
+def pair_mutual_info(act: DataFrame, pairs: DataFrame, bins: int = 10, tokens: DataFrame | None = None, eps: float = 1e-10) -> DataFrame:
+    """MI of selected node pairs (``src``, ``dst`` node keys).
+
+    Dense vectors: of quantile codes, scored in tiles of features. Sparse activations: of the two states active and
+    not active, since quantiles of values that are mostly zero coincide; pairs that are never active together count too.
+    """
+    if is_sparse(act):
+        m = pair_moments(act.filter("value != 0").withColumn("value", F.lit(1.0)), "upper", tokens)
+        mi = m.select("la", "lb", "i", "j", binary_information("n", "sx", "sy", "sxy").alias("mutual_info"))
+    else:
+        mi = binned_mutual_info(act, "upper", bins, eps)
+    mi = mi.select(node_key("la", "i").alias("src"), node_key("lb", "j").alias("dst"), "mutual_info")
+    return pairs.select("src", "dst").join(mi, ["src", "dst"])
 
 
-def interaction_graph(vec: DataFrame, thr: float = 0.3, min_mutual_info: float | None = None):
-    """(nodes, edges): an edge where the causal strength exceeds ``thr``; MI is computed for edges only."""
-    nodes = node_stats(to_long(vec))
-    e = causal_strength(vec).filter(F.col("causal_strength") > thr).select(
+def interaction_graph(vec: DataFrame, thr: float = 0.3, min_mutual_info: float | None = None, tokens: DataFrame | None = None):
+    """(nodes, edges): an edge where the causal strength exceeds ``thr``, with correlation and mutual information.
+
+    From dense vectors or sparse activations. The latter need at least one activation of both nodes in neighbouring
+    tokens for an edge; node statistics then cover active tokens.
+    """
+    sparse = is_sparse(vec)
+    nodes = node_stats(vec if sparse else to_long(vec))
+    e = causal_strength(vec, tokens, all_pairs=not sparse).filter(F.col("causal_strength") > thr).select(
         node_key("la", "i").alias("src"), node_key("lb", "j").alias("dst"), F.col("causal_strength").alias("weight"))
-    corr = with_corr(pair_moments(vec, "upper")).select(node_key("la", "i").alias("src"), node_key("lb", "j").alias("dst"), F.col("corr").alias("correlation"))
-    e = e.filter("src <> dst").join(corr, ["src", "dst"]).join(pair_mutual_info(vec, e), ["src", "dst"])
+    corr = with_corr(pair_moments(vec, "upper", tokens)).select(node_key("la", "i").alias("src"), node_key("lb", "j").alias("dst"), F.col("corr").alias("correlation"))
+    e = e.filter("src <> dst").join(corr, ["src", "dst"]).join(pair_mutual_info(vec, e, tokens=tokens), ["src", "dst"])
     if min_mutual_info is not None:
         e = e.filter(F.col("mutual_info") >= min_mutual_info)
     return nodes, e

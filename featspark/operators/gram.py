@@ -1,65 +1,25 @@
-"""Distributed sufficient statistics for all feature pairs.
+"""Second moments of all feature pairs, for dense vectors and for sparse activations.
 
-An ``explode`` self-join costs tokens x F^2 rows. Here every task folds its own Arrow batches into
-F x F sums with numpy and emits F array rows per key, so the shuffle carries tasks x F^2 numbers
-whatever the token count, and no key (layer, family) can become a hot task.
+The sums themselves are folded in tiles (``blocks``); this module pairs the vectors of layers and positions.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import pearson
-
-
-def _matrix(col) -> np.ndarray:
-    arr = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    flat = arr.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(arr), -1).astype(np.float64, copy=False) if len(arr) else np.zeros((0, 0))
+from . import blocks
 
 
 def cross_moments(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """n, sx, sy, sxx, syy, sxy per (keys, i, j) for rows holding two dense vectors.
+    """n, sx, syy, ... per (keys, i, j) for rows holding two dense vectors."""
+    return blocks.moments(pairs, keys, x=x, y=y)
 
-    ``keys`` must take few distinct values (layer pairs): one F x F block per key sits in a task.
-    """
-    src = pairs.select(*keys, x, y)
-    key_schema = ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in keys)
-    schema = (f"{key_schema}, " if keys else "") + ("i int, n double, sx double, sxx double, sy array<double>, "
-                                                    "syy array<double>, sxy array<double>")
-
-    def fold(batches):
-        acc: dict = {}
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            xs, ys = _matrix(b.column(len(keys))), _matrix(b.column(len(keys) + 1))
-            labels = list(zip(*[b.column(k).to_pylist() for k in range(len(keys))])) if keys else [()] * b.num_rows
-            codes: dict = {}
-            ids = np.array([codes.setdefault(k, len(codes)) for k in labels])
-            for key, code in codes.items():
-                mask = ids == code
-                xm, ym = xs[mask], ys[mask]
-                part = [float(len(xm)), xm.sum(0), (xm * xm).sum(0), ym.sum(0), (ym * ym).sum(0), xm.T @ ym]
-                acc[key] = [p + q for p, q in zip(acc[key], part)] if key in acc else part
-        for key, (n, sx, sxx, sy, syy, sxy) in acc.items():
-            f, g = len(sx), len(sy)
-            cols = [pa.array([k] * f, type=pa_types[i]) for i, k in enumerate(key)]
-            cols += [pa.array(np.arange(f, dtype=np.int32)), pa.array(np.full(f, n)), pa.array(sx), pa.array(sxx)]
-            tile = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(f + 1, dtype=np.int32) * g), pa.array(v))
-            cols += [tile(np.tile(sy, f)), tile(np.tile(syy, f)), tile(sxy.ravel())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "i", "n", "sx", "sxx", "sy", "syy", "sxy"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    pa_types = [to_arrow_type(src.schema[k].dataType) for k in keys]
-    parts = src.mapInArrow(fold, schema)
-    cells = parts.select(*keys, "i", "n", "sx", "sxx", F.posexplode(F.arrays_zip("sy", "syy", "sxy")).alias("j", "c"))
-    return cells.groupBy(*keys, "i", "j").agg(
-        F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("c.sy").alias("sy"), F.sum("sxx").alias("sxx"),
-        F.sum("c.syy").alias("syy"), F.sum("c.sxy").alias("sxy"))
+
+def is_sparse(act: DataFrame) -> bool:
+    """Long activations (feature, value) instead of dense vectors (vec)."""
+    return "vec" not in act.columns
 
 
 def with_corr(moments: DataFrame) -> DataFrame:
@@ -90,7 +50,20 @@ def lag_pairs(vec: DataFrame, lag: int = 1, cross_layers: bool = True) -> DataFr
     return prev.join(cur, ["protein_id", "pos"]).filter(cond)
 
 
-def pair_moments(vec: DataFrame, mode: str = "adjacent") -> DataFrame:
-    """Moments for feature pairs of two layers; in ``same``/``upper`` mode only i < j inside a layer."""
-    m = cross_moments(layer_pairs(vec, mode), ["la", "lb"])
-    return m.filter((F.col("la") != F.col("lb")) | (F.col("i") < F.col("j"))) if mode in ("upper", "same") else m
+def pair_moments(act: DataFrame, mode: str = "adjacent", tokens: DataFrame | None = None, width: int | None = None, all_pairs: bool = True) -> DataFrame:
+    """Moments for feature pairs of two layers; in ``same``/``upper`` mode only i < j inside a layer.
+
+    ``act`` has dense vectors, or sparse long activations; for these ``tokens`` names all tokens (default: those with
+    any activation) and ``all_pairs=False`` leaves out pairs that are never active together.
+    """
+    if is_sparse(act):
+        return blocks.sparse_pair_moments(act, mode, tokens, width, all_pairs)
+    half = (lambda key: key[0] == key[1]) if mode in ("upper", "same") else None
+    return blocks.moments(layer_pairs(act, mode), ["la", "lb"], half=half)
+
+
+def lag_moments(act: DataFrame, tokens: DataFrame | None = None, width: int | None = None, all_pairs: bool = True) -> DataFrame:
+    """Moments of x one position before y, la <= lb, all ordered pairs."""
+    if is_sparse(act):
+        return blocks.sparse_lag_moments(act, 1, tokens, width, all_pairs)
+    return blocks.moments(lag_pairs(act), ["la", "lb"])

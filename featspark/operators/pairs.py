@@ -1,7 +1,7 @@
 """Statistics on feature pairs: correlation, information, causality.
 
 Everything pairwise is computed from distributed sums (``gram``): second moments or joint code
-counts, whose size depends on the feature count only.
+counts, whose size depends on the feature count only and which are folded in tiles (``blocks``).
 """
 
 from __future__ import annotations
@@ -17,60 +17,11 @@ from ..functions import vec as V
 from ..functions.num import c, pearson, pearson_agg, ratio
 from ..session import broadcast_if_small
 from ..sources.views import to_long
-from .gram import _matrix, cross_moments, lag_pairs, layer_pairs, pair_moments, with_corr
+from . import blocks
+from .gram import cross_moments, lag_moments, layer_pairs, pair_moments, with_corr
 from .quantiles import percentile_table, ranks
 
-# joint counts of coded vectors -------------------------------------------------------------
-
-
-def joint_counts(pairs: DataFrame, keys: list[str], nx: int, ny: int, x: str = "x", y: str = "y") -> DataFrame:
-    """(keys, i, j, bx, by, n): how often code bx of feature i meets code by of feature j.
-
-    Codes are small integers (0 .. nx-1, 0 .. ny-1) in array columns. Each task counts with a
-    one-hot product and emits its non-zero cells, so rows per task stay below F^2 * nx * ny.
-    """
-    src = pairs.select(*keys, x, y)
-    head = "".join(f"{k} {src.schema[k].dataType.simpleString()}, " for k in keys)
-    schema = head + "i int, cell array<long>, cnt array<long>, g int"
-
-    def hot(m, k):
-        n, f = m.shape
-        out = np.zeros((n, f * k), dtype=np.float32)
-        out[np.arange(n)[:, None], np.arange(f)[None, :] * k + m] = 1.0
-        return out
-
-    def fold(batches):
-        acc: dict = {}
-        width = {}
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            xs, ys = _matrix(b.column(len(keys))).astype(np.int64), _matrix(b.column(len(keys) + 1)).astype(np.int64)
-            labels = list(zip(*[b.column(k).to_pylist() for k in range(len(keys))])) if keys else [()] * b.num_rows
-            codes: dict = {}
-            ids = np.array([codes.setdefault(k, len(codes)) for k in labels])
-            for key, code in codes.items():
-                rows = np.flatnonzero(ids == code)
-                for at in range(0, len(rows), 2048):
-                    r = rows[at:at + 2048]
-                    part = (hot(xs[r], nx).T @ hot(ys[r], ny)).astype(np.int64)
-                    acc[key] = acc[key] + part if key in acc else part
-                width[key] = (xs.shape[1], ys.shape[1])
-        for key, m in acc.items():
-            f, g = width[key]
-            for i in range(f):
-                flat = m[i * nx:(i + 1) * nx].ravel()
-                nz = np.flatnonzero(flat)
-                yield pa.RecordBatch.from_pylist([dict(zip(keys, key), i=i, cell=nz.tolist(), cnt=flat[nz].tolist(), g=g)], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    arrow = pa.schema([(k, to_arrow_type(src.schema[k].dataType)) for k in keys] +
-                      [("i", pa.int32()), ("cell", pa.list_(pa.int64())), ("cnt", pa.list_(pa.int64())), ("g", pa.int32())])
-    cells = src.mapInArrow(fold, schema).select(*keys, "i", "g", F.explode(F.arrays_zip("cell", "cnt")).alias("c"))
-    row = F.col("g") * ny  # cells of one code of i: g features x ny codes
-    return (cells.select(*keys, "i", F.expr(f"cast((c.cell % (g * {ny})) div {ny} as int)").alias("j"),
-                         F.expr(f"cast(c.cell div (g * {ny}) as int)").alias("bx"), (F.col("c.cell") % ny).cast("int").alias("by"), "c.cnt")
-            .groupBy(*keys, "i", "j", "bx", "by").agg(F.sum("cnt").alias("n")))
+# information -------------------------------------------------------------------------------
 
 
 def mutual_info(counts: DataFrame, keys: list[str], eps: float = 1e-10) -> DataFrame:
@@ -103,11 +54,10 @@ def uniform_codes(vec: DataFrame, bins: int = 10) -> DataFrame:
     return vec.join(broadcast_if_small(per_layer), "layer").select("protein_id", "pos", "layer", F.transform("vec", code).alias("vec"))
 
 
-def binned_mutual_info(vec: DataFrame, mode: str = "adjacent", bins: int = 10) -> DataFrame:
-    n = joint_counts(layer_pairs(quantile_codes(vec, bins), mode), ["la", "lb"], bins, bins)
-    if mode in ("upper", "same"):
-        n = n.filter("la <> lb or i < j")
-    return mutual_info(n, ["la", "lb"])
+def binned_mutual_info(vec: DataFrame, mode: str = "adjacent", bins: int = 10, eps: float = 1e-10) -> DataFrame:
+    """MI of quantile codes of feature pairs of two layers, scored tile by tile; in ``same``/``upper`` mode only i < j inside a layer."""
+    half = (lambda key: key[0] == key[1]) if mode in ("upper", "same") else None
+    return blocks.joint_scores(layer_pairs(quantile_codes(vec, bins), mode), ["la", "lb"], bins, bins, lambda n: blocks.information(n, eps), "mutual_info", half=half)
 
 
 def info_flow_median(vec: DataFrame) -> DataFrame:
@@ -117,14 +67,18 @@ def info_flow_median(vec: DataFrame) -> DataFrame:
     split = vec.join(broadcast_if_small(per_layer), "layer").select(
         "protein_id", "pos", "layer", F.zip_with("vec", "m", lambda v, m: F.when(v > m, 1.0).otherwise(0.0)).alias("vec"))
     m = pair_moments(split, "adjacent")
+    return m.groupBy("la").agg(F.avg(binary_information("n", "sx", "sy", "sxy")).alias("information_flow"))
+
+
+def binary_information(n: str, x: str, y: str, both: str):
+    """MI in nats of two yes/no states from their counts."""
+    n, x, y, k = (F.col(v) for v in (n, x, y, both))
 
     def term(k, a, b):
-        p, q = k / F.col("n"), (a / F.col("n")) * (b / F.col("n"))
+        p, q = k / n, (a / n) * (b / n)
         return F.when(k > 0, p * F.log(p / q)).otherwise(0.0)
 
-    n, x, y, k = (F.col(v) for v in ("n", "sx", "sy", "sxy"))
-    mi = term(k, x, y) + term(x - k, x, n - y) + term(y - k, n - x, y) + term(n - x - y + k, n - x, n - y)
-    return m.groupBy("la").agg(F.avg(mi).alias("information_flow"))
+    return term(k, x, y) + term(x - k, x, n - y) + term(y - k, n - x, y) + term(n - x - y + k, n - x, n - y)
 
 
 def layer_flow(vec: DataFrame, method: str = "mutual_information", bins: int = 10) -> DataFrame:
@@ -150,8 +104,8 @@ def layer_flow(vec: DataFrame, method: str = "mutual_information", bins: int = 1
 # correlation -------------------------------------------------------------------------------
 
 
-def pearson_matrix(vec: DataFrame, mode: str = "same") -> DataFrame:
-    return with_corr(pair_moments(vec, mode)).select("la", "lb", "i", "j", "corr")
+def pearson_matrix(vec: DataFrame, mode: str = "same", tokens: DataFrame | None = None, width: int | None = None) -> DataFrame:
+    return with_corr(pair_moments(vec, mode, tokens, width)).select("la", "lb", "i", "j", "corr")
 
 
 def pearson_standardized(vec: DataFrame) -> DataFrame:
@@ -196,9 +150,9 @@ def conservation_correlation(vec, residues) -> DataFrame:
 # causality ---------------------------------------------------------------------------------
 
 
-def causal_strength(vec: DataFrame) -> DataFrame:
-    """(corr(x[t-1], y[t]) + 1) / 2 for all layer pairs la <= lb, i < j inside a layer."""
-    m = with_corr(cross_moments(lag_pairs(vec), ["la", "lb"])).filter("la < lb or i < j")
+def causal_strength(vec: DataFrame, tokens: DataFrame | None = None, width: int | None = None, all_pairs: bool = True) -> DataFrame:
+    """(corr(x[t-1], y[t]) + 1) / 2 for all layer pairs la <= lb, i < j inside a layer; dense or sparse activations."""
+    m = with_corr(lag_moments(vec, tokens, width, all_pairs)).filter("la < lb or i < j")
     return m.select("la", "lb", "i", "j", ((F.col("corr") + 1) / 2).alias("causal_strength"))
 
 
@@ -282,13 +236,9 @@ def granger(vec: DataFrame, max_lag: int = 3, alpha: float = 0.05) -> DataFrame:
 def transfer_entropy(vec: DataFrame, bins: int = 10) -> DataFrame:
     """TE(i -> j) = sum p(y,x1,y1) ln[p(y,x1,y1) p(y1) / (p(y,y1) p(x1,y1))], floor 0, per layer."""
     rows = lag_rows(uniform_codes(vec, bins), 1)
-    n = joint_counts(rows.select("layer", "x", F.zip_with("y", "x", lambda now, was: now * bins + was).alias("y")), ["layer"], bins, bins * bins)
-    n = n.filter("i <> j").withColumn("y1", F.col("by") % bins)
-    pair = ["layer", "i", "j"]
-    over = lambda *k: F.sum("n").over(Window.partitionBy(*pair, *k))
-    t = n.select(*pair, "n", over().alias("t"), over("by").alias("yy"), over("bx", "y1").alias("xy"), over("y1").alias("y1n"))
-    te = F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("y1n") / (F.col("yy") * F.col("xy"))))
-    return t.groupBy(*pair).agg(F.greatest(F.lit(0.0), te).alias("transfer_entropy"))
+    now = F.zip_with("y", "x", lambda now, was: now * bins + was)
+    te = blocks.joint_scores(rows.select("layer", "x", now.alias("y")), ["layer"], bins, bins * bins, lambda n: blocks.transfer(n, bins), "transfer_entropy", block=16)
+    return te.filter("i <> j")
 
 
 def covariances(vec: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ COEV = ",".join([CONS, VC, APC])
 @query("J10_column_pairs", "select family_id, c1, c2, a1, a2, n from jp", "cells", extra=",".join([CONS, VC, JP]))
 def _(s, p):
     c = S.msa_cells(s, p)
-    return M.column_pairs(c, M.variable_columns(M.conservation(c, M.sequence_weights(c)))).groupBy("family_id", "c1", "c2", "a1", "a2").agg(F.count("*").alias("n"))
+    return M.column_pairs(c, M.variable_columns(M.conservation(c, M.sequence_weights(c))))
 
 
 def scores(s, p):
