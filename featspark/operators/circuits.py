@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.num import c, pearson_agg, ratio
+from ..functions.num import c, ratio
 from ..functions.tables import MOTIF_LIBRARY
 from ..session import broadcast_if_small, cut_lineage
 from ..sources.views import to_long
@@ -84,44 +86,144 @@ def interaction_graph(vec: DataFrame, thr: float = 0.3, min_mutual_info: float |
 # motif enumeration -------------------------------------------------------------------------
 
 
-def _neighbours(edges: DataFrame) -> DataFrame:
-    e = edges.select("src", "dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().select(F.col("src").alias("at"), F.col("dst").alias("nb"))
+#: Bytes of a graph's adjacency up to which the enumerating tasks get it as a whole.
+SHARED_GRAPH = 256 << 20
 
 
-def connected_sets(edges: DataFrame, size: int) -> DataFrame:
-    """Every connected node set of ``size`` as a sorted array, grown one neighbour at a time."""
-    nbs = _neighbours(edges)
-    cur = nbs.filter("at < nb").select(F.array("at", "nb").alias("nodes"))
-    for _ in range(2, size):
-        cur = (cur.select("nodes", F.explode("nodes").alias("at")).join(nbs, "at").filter(~F.array_contains("nodes", F.col("nb")))
-               .select(F.array_sort(F.array_append("nodes", F.col("nb"))).alias("nodes")).distinct())
-    return cur
+def _adjacency(edges: DataFrame) -> DataFrame:
+    """at, nbs: the sorted neighbours of every node, directions ignored."""
+    e = edges.select("src", "dst").filter("src <> dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return both.groupBy(F.col("src").alias("at")).agg(F.array_sort(F.collect_set("dst")).alias("nbs"))
 
 
-def motif_subgraphs(edges: DataFrame, size: int) -> DataFrame:
-    """(nodes, structure, n_edges, weight_sum) of every connected set; structure is its adjacency bits."""
-    sets = connected_sets(edges, size)
-    idx = F.sequence(F.lit(0), F.lit(size * size - 1))
-    cells = sets.select("nodes", F.explode(idx).alias("k")).select(
-        "nodes", "k", F.element_at("nodes", F.floor(F.col("k") / size).cast("int") + 1).alias("src"), F.element_at("nodes", F.col("k") % size + 1).alias("dst"))
-    hit = cells.filter("src <> dst").join(edges.select("src", "dst", "weight"), ["src", "dst"])
-    g = hit.groupBy("nodes").agg(F.collect_set("k").alias("ks"), F.count("*").alias("n_edges"), F.sum("weight").alias("weight_sum"))
-    bits = F.array_join(F.transform(idx, lambda k: F.when(F.array_contains("ks", k), "1").otherwise("0")), "")
-    return g.select("nodes", bits.alias("structure"), "n_edges", "weight_sum", F.lit(size).alias("size"))
+def grown_sets(edges: DataFrame, size: int) -> DataFrame:
+    """Every connected node set of ``size`` as a sorted array, each arising once, by joins alone.
 
-
-def find_motifs(edges: DataFrame, sizes=(3, 4, 5, 6, 7, 8), min_freq: int = 2):
-    """(circuits, instances) of recurring structures, ranked by 0.4 frequency + 0.6 mean weight."""
-    edges = cut_lineage(edges)  # read once per growth step
+    A set is rooted at its smallest node. A step takes one node of the extension and leaves the earlier ones out for
+    good; the new extension gains only the taken node's exclusive neighbours, those not seen from the set before. So no
+    set comes twice and nothing has to be made distinct. The form for graphs too large to share with every task.
+    """
+    adj = cut_lineage(_adjacency(edges))
+    cur = adj.select(F.array("at").alias("nodes"), F.filter("nbs", lambda u: u > F.col("at")).alias("ext"), F.array_union(F.array("at"), "nbs").alias("near"))
+    for _ in range(1, size):
+        step = cur.select("nodes", "near", "ext", F.posexplode("ext").alias("k", "w"))
+        j = step.join(adj.withColumnsRenamed({"at": "w", "nbs": "wn"}), "w")
+        new = F.filter(F.array_except("wn", "near"), lambda u: u > F.element_at("nodes", 1))
+        cur = j.select(F.array_append("nodes", F.col("w")).alias("nodes"), F.concat(F.slice("ext", F.col("k") + 2, F.size("ext")), new).alias("ext"), F.array_union("near", "wn").alias("near"))
+    return cur.select(F.array_sort("nodes").alias("nodes"))
+
+
+def _structured(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes, structure, n_edges, weight_sum, size) of node sets; structure is the adjacency bits in node order."""
+    n = F.size("nodes")
+    cells = sets.select("nodes", F.explode(F.sequence(F.lit(0), n * n - 1)).alias("k")).select(
+        "nodes", "k", F.element_at("nodes", F.floor(F.col("k") / n).cast("int") + 1).alias("src"), F.element_at("nodes", F.col("k") % n + 1).alias("dst"))
+    g = cells.filter("src <> dst").join(edges.select("src", "dst", "weight"), ["src", "dst"]).groupBy("nodes").agg(F.collect_set("k").alias("ks"), F.count("*").alias("n_edges"), F.sum("weight").alias("weight_sum"))
+    bits = F.array_join(F.transform(F.sequence(F.lit(0), n * n - 1), lambda k: F.when(F.array_contains("ks", k), "1").otherwise("0")), "")
+    return g.select("nodes", bits.alias("structure"), "n_edges", "weight_sum", n.alias("size"))
+
+
+class _Graph:
+    """Adjacency of a shared graph: neighbours in both directions and weights by (src, dst)."""
+
+    def __init__(self, src, dst, weight):
+        self.near: dict[int, set] = {}
+        self.weight = dict(zip(zip(src, dst), weight))
+        for a, b in self.weight:
+            self.near.setdefault(a, set()).add(b)
+            self.near.setdefault(b, set()).add(a)
+
+    def from_edge(self, v: int, w: int, most: int):
+        """All connected sets of 2 to ``most`` nodes whose smallest node is v and whose second node taken is w."""
+        near = self.near
+        first = sorted(u for u in near[v] if u > v)
+        seen = near[v] | {v}
+        stack = [((v, w), [u for u in first if u > w] + [u for u in near[w] if u > v and u not in seen], seen | near[w])]
+        while stack:
+            nodes, ext, known = stack.pop()
+            yield nodes
+            if len(nodes) < most:
+                for k, u in enumerate(ext):
+                    stack.append(((*nodes, u), ext[k + 1:] + [x for x in near[u] if x > v and x not in known], known | near[u]))
+
+    def structure(self, nodes) -> tuple[str, int, float]:
+        found = [self.weight.get((a, b)) for a in nodes for b in nodes]
+        there = [x for x in found if x is not None]
+        return "".join("0" if x is None else "1" for x in found), len(there), sum(there)
+
+
+def _enumerated(edges: DataFrame, sizes: tuple[int, ...], folded: bool) -> DataFrame:
+    """Connected sets enumerated inside the tasks, one seed per undirected edge, so that a hub spreads over its edges.
+
+    ``folded``: counts per structure (structure, size, frequency, n_edges, weight_sum), a few rows per task; otherwise
+    the instances themselves. The graph is shared with the tasks; :func:`motifs` checks its size.
+    """
+    rows = edges.select("src", "dst", "weight").filter("src <> dst").toPandas()
+    shared = edges.sparkSession.sparkContext.broadcast((rows["src"].tolist(), rows["dst"].tolist(), rows["weight"].tolist()))
+    seeds = edges.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("w")).filter("v < w").distinct()
+    seeds = seeds.repartition(max(2, 4 * edges.sparkSession.sparkContext.defaultParallelism), "v", "w")
+    wanted, most = set(sizes), max(sizes)
+
+    def run(batches):
+        graph, folds = None, {}
+        for b in batches:
+            graph = graph or _Graph(*shared.value)
+            out = []
+            for v, w in zip(b.column("v").to_pylist(), b.column("w").to_pylist()):
+                for nodes in graph.from_edge(v, w, most):
+                    if len(nodes) in wanted:
+                        nodes = sorted(nodes)
+                        bits, n_edges, weight = graph.structure(nodes)
+                        if folded:
+                            f = folds.setdefault(bits, [len(nodes), 0, 0, 0.0])
+                            f[1], f[2], f[3] = f[1] + 1, f[2] + n_edges, f[3] + weight
+                        else:
+                            out.append((nodes, bits, n_edges, weight, len(nodes)))
+                            if len(out) == 10_000:
+                                yield lines(out)
+                                out = []
+            if out:
+                yield lines(out)
+        if folds:
+            cols = list(zip(*[(k, *f) for k, f in folds.items()]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))], names=["structure", "size", "frequency", "n_edges", "weight_sum"])
+
+    def lines(out):
+        cols = zip(zip(*out), (pa.list_(pa.int64()), pa.string(), pa.int64(), pa.float64(), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["nodes", "structure", "n_edges", "weight_sum", "size"])
+
+    if folded:
+        return seeds.mapInArrow(run, "structure string, size int, frequency long, n_edges long, weight_sum double")
+    return seeds.mapInArrow(run, "nodes array<long>, structure string, n_edges long, weight_sum double, size int")
+
+
+def motif_subgraphs(edges: DataFrame, sizes=(3, 4, 5, 6, 7, 8), share: int = SHARED_GRAPH) -> tuple[DataFrame, DataFrame]:
+    """(folded, instances) of all connected sets of these sizes.
+
+    Up to ``share`` bytes of adjacency (about 200 an edge in a worker, counted first) the sets are enumerated inside
+    the tasks; beyond, they grow by joins. Both give every set once.
+    """
+    sizes = tuple(sizes)
+    if edges.count() * 200 <= share:
+        return _enumerated(edges, sizes, True), _enumerated(edges, sizes, False)
     inst = None
-    for s in sizes:
-        part = motif_subgraphs(edges, s)
+    for k in sizes:
+        part = _structured(grown_sets(edges, k), edges)
         inst = part if inst is None else inst.unionByName(part)
-    inst = cut_lineage(inst)  # circuits, instances and every validation score read this
-    circ = inst.groupBy("structure", "size").agg(F.count("*").alias("frequency"), (F.sum("weight_sum") / F.sum("n_edges")).alias("avg_weight"))
-    circ = rank_motifs(circ.filter(F.col("frequency") >= min_freq))
-    return circ, inst.join(circ.select("structure"), "structure", "left_semi")
+    return inst.groupBy("structure", "size").agg(F.count("*").alias("frequency"), F.sum("n_edges").alias("n_edges"), F.sum("weight_sum").alias("weight_sum")), inst
+
+
+def find_motifs(edges: DataFrame, sizes=(3, 4, 5, 6, 7, 8), min_freq: int = 2, share: int = SHARED_GRAPH):
+    """(circuits, instances) of recurring structures, ranked by 0.4 frequency + 0.6 mean weight.
+
+    Circuits come from folded counts, so the sets themselves are written only for structures that recur.
+    """
+    edges = cut_lineage(edges)
+    folded, inst = motif_subgraphs(edges, sizes, share)
+    circ = folded.groupBy("structure", "size").agg(F.sum("frequency").alias("frequency"), F.sum("weight_sum").alias("w"), F.sum("n_edges").alias("e"))
+    circ = cut_lineage(rank_motifs(circ.select("structure", "size", "frequency", (F.col("w") / F.col("e")).alias("avg_weight")).filter(F.col("frequency") >= min_freq)))
+    return circ, cut_lineage(inst.join(circ.select("structure"), "structure", "left_semi"))  # every validation score reads the instances
 
 
 def rank_motifs(circuits: DataFrame) -> DataFrame:
@@ -139,9 +241,16 @@ def circuit_nodes(instances: DataFrame) -> DataFrame:
 
 
 def circuit_activations(cnodes: DataFrame, act: DataFrame) -> DataFrame:
+    """Activations of the nodes of every instance: tokens x instances rows by definition; for sums use the next function."""
     return act.join(broadcast_if_small(cnodes), ["layer", "feature"])
 
 
+def circuit_activation_sums(cnodes: DataFrame, act: DataFrame) -> DataFrame:
+    """n, s per (structure, instance, layer, feature): summed per feature first, so only sums meet the instances."""
+    sums = act.groupBy("layer", "feature").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
+    return cnodes.select("structure", "instance", "layer", "feature").join(sums, ["layer", "feature"])
+
+
 def _instance_pairs(cnodes: DataFrame) -> DataFrame:
     g = cnodes.groupBy("structure", "instance").agg(F.array_sort(F.collect_list("node")).alias("ns"))
     pr = F.explode(F.flatten(F.transform("ns", lambda a: F.transform(F.filter("ns", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst"))))))
@@ -159,32 +268,76 @@ def coherence(cnodes: DataFrame, corr: DataFrame) -> DataFrame:
     return i
 
 
-def active_counts(cnodes: DataFrame, act: DataFrame, thr: float = 0.1) -> DataFrame:
-    """How many nodes of each instance are active (v > thr) at each token where at least one is."""
-    on = act.filter(F.col("value") > thr).select("protein_id", "pos", "layer", "feature")
-    return circuit_activations(cnodes, on).groupBy("structure", "instance", "size", "protein_id", "pos").agg(F.count("*").alias("k"))
+#: Tokens and instances of one block of the activity counts.
+TOKEN_BLOCK, INSTANCE_BLOCK = 16_384, 4_096
+
+
+def active_counts(cnodes: DataFrame, act: DataFrame, thr: float = 0.1, token_block: int = TOKEN_BLOCK, instance_block: int = INSTANCE_BLOCK) -> DataFrame:
+    """(structure, instance, size, counts): at how many tokens exactly k = 1, 2, ... nodes of an instance are active (v > thr).
+
+    Tokens and instances are dealt into blocks by hashes; a pair of blocks is one task's work: a bitmap of tokens per
+    node, summed over the nodes of each instance. It returns one short histogram per instance, never tokens x instances.
+    """
+    inst = cnodes.groupBy("structure", "instance", "size").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    inst = inst.withColumn("id", F.xxhash64("structure", "instance"))
+    on = act.filter(F.col("value") > thr).select("protein_id", "pos", node_key("layer", "feature").alias("node")).join(cnodes.select("node").distinct(), "node", "left_semi")
+    size = on.agg(F.approx_count_distinct(F.struct("protein_id", "pos")).alias("n")).first()["n"]  # the number of blocks need not be exact
+    nt, ni = max(1, -(-size // token_block)), max(1, -(-inst.count() // instance_block))
+    tokens = on.select(F.pmod(F.xxhash64("protein_id", "pos"), F.lit(nt)).cast("int").alias("bt"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("bi"), "protein_id", "pos", "node")
+    blocks = inst.select(F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("bt"), F.pmod("id", F.lit(ni)).cast("int").alias("bi"), "structure", "instance", "size", "nodes")
+
+    def count(active: pd.DataFrame, insts: pd.DataFrame) -> pd.DataFrame:
+        if active.empty or insts.empty:
+            return pd.DataFrame({k: pd.Series([], dtype=object) for k in ("structure", "instance", "size", "counts")})
+        token = pd.MultiIndex.from_arrays([active["protein_id"], active["pos"]]).factorize()[0]
+        node, names = pd.factorize(active["node"])
+        bits = np.zeros((len(names) + 1, token.max() + 1), np.uint8)  # the last row: nodes without any active token here
+        bits[node, token] = 1
+        at = {int(n): k for k, n in enumerate(names)}
+        out = []
+        for nodes in insts["nodes"]:
+            k = bits[[at.get(int(n), len(names)) for n in nodes]].sum(0, dtype=np.uint8)
+            out.append(np.bincount(k, minlength=len(nodes) + 1)[1:].tolist())
+        return insts[["structure", "instance", "size"]].assign(counts=out)
+
+    parts = tokens.groupBy("bt", "bi").cogroup(blocks.groupBy("bt", "bi")).applyInPandas(count, "structure string, instance string, size int, counts array<long>")
+    one = parts.select("structure", "instance", "size", F.posexplode("counts").alias("k", "n")).groupBy("structure", "instance", "size", "k").agg(F.sum("n").alias("n"))
+    return one.withColumn("k", F.col("k") + 1).filter("n > 0")
 
 
 def stability(cnodes: DataFrame, act: DataFrame, tokens: DataFrame) -> DataFrame:
     """Per instance: 1 - mean over tokens of the sample std of node masks, and the share of tokens with all nodes active.
 
-    Tokens with no active node have std 0, so only active rows are joined.
+    Both follow from the numbers of tokens with k active nodes; where none is, the std is 0.
     """
     k, n = F.col("k"), F.col("size")
     sd = F.sqrt((k - k * k / n) / (n - 1))
-    g = active_counts(cnodes, act).groupBy("structure", "instance").agg(F.sum(sd).alias("s"), F.sum(F.when(k == n, 1.0).otherwise(0.0)).alias("all_on"))
+    g = active_counts(cnodes, act).groupBy("structure", "instance").agg(F.sum(sd * F.col("n")).alias("s"), F.sum(F.when(k == n, F.col("n")).otherwise(0)).alias("all_on"))
     every = cnodes.select("structure", "instance").distinct()
     j = every.join(g, ["structure", "instance"], "left").join(F.broadcast(tokens.agg(F.count("*").alias("n"))))
     return j.select("structure", "instance", (1 - F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("stability"),
-                    (F.coalesce("all_on", F.lit(0.0)) / F.col("n")).alias("joint_share"))
+                    (F.coalesce("all_on", F.lit(0)) / F.col("n")).alias("joint_share"))
 
 
 def task_relevance(cnodes: DataFrame, act: DataFrame, labels: DataFrame) -> DataFrame:
-    """|corr| over proteins of the instance's mean activation with the protein label (``protein_id``, ``label``)."""
-    pooled = act.groupBy("protein_id", "layer", "feature").agg(F.avg("value").alias("v"))
-    a = circuit_activations(cnodes, pooled).groupBy("structure", "instance", "protein_id").agg(F.avg("v").alias("v"))
+    """|corr| over proteins of the instance's mean activation with the protein label (``protein_id``, ``label``).
+
+    The moments of all node pairs over the proteins, the label as one more node, are folded once; an instance only
+    sums the covariances of its own nodes, so no row per protein and instance arises.
+    """
     lab = labels.groupBy("protein_id").agg(F.avg("label").alias("label"))
-    return a.join(lab, "protein_id").groupBy("structure", "instance").agg(F.abs(pearson_agg("v", "label")).alias("task_relevance"))
+    pooled = act.groupBy("protein_id", "layer", "feature").agg(F.avg("value").alias("value")).join(lab, "protein_id")
+    top = act.agg(F.max("layer").alias("top"))
+    target = lab.join(act.select("protein_id").distinct(), "protein_id", "left_semi").join(F.broadcast(top)).select("protein_id", (F.col("top") + 1).cast("int").alias("layer"), F.lit(0).alias("feature"), F.col("label").cast("double").alias("value"))
+    rows = cut_lineage(pooled.select("protein_id", "layer", "feature", "value").unionByName(target).filter("value is not null").withColumn("pos", F.lit(0)))
+    m = pair_moments(rows, "upper").select(node_key("la", "i").alias("src"), node_key("lb", "j").alias("dst"), "n", "sx", "sxx", "sy", "syy", "sxy")
+    goal = F.broadcast(top.select(node_key(F.col("top") + 1, F.lit(0)).alias("goal")))
+    pairs = _instance_pairs(cnodes.select("structure", "instance", "node").unionByName(cnodes.select("structure", "instance").distinct().join(goal).select("structure", "instance", F.col("goal").alias("node"))))
+    j = pairs.join(m, ["src", "dst"]).join(goal)
+    to_goal = F.col("dst") == F.col("goal")
+    cov, var_x, var_y = (F.col("n") * F.col(a) - F.col(b) * F.col(c) for a, b, c in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
+    s = j.groupBy("structure", "instance").agg(F.sum(F.when(to_goal, cov)).alias("c"), F.sum(F.when(to_goal, var_x).otherwise(2 * cov)).alias("v"), F.max(F.when(to_goal, var_y)).alias("y"))
+    return s.select("structure", "instance", F.abs(F.try_divide("c", F.sqrt(F.col("v") * F.col("y")))).alias("task_relevance"))
 
 
 def validate_circuits(instances: DataFrame, vec: DataFrame, labels: DataFrame, thr: float = 0.7) -> DataFrame:

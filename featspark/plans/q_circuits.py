@@ -9,16 +9,16 @@ from ..operators.gram import cross_moments, lag_pairs, pair_moments, with_corr
 from ..session import cut_lineage
 from ..sources import views as S
 from .q_pairs import CAUSAL, DIGI, mi_sql
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 
 THR = 0.55
+#: Circuits are sought among stronger edges: at 0.55 the derived data has some three million connected sets of eight nodes.
+STRONG = 0.565
 ED = f"""ge as materialized (select la*1000000+i as src, lb*1000000+j as dst, causal_strength as weight from cz where causal_strength>{THR} and (la<>lb or i<>j))"""
 NB = "nb as materialized (select src as nd, dst as nb from ge union select dst, src from ge)"
-SETS = """s2 as materialized (select [nd, nb] as nodes from nb where nd<nb),
-s3 as materialized (select distinct list_sort(list_append(q.nodes, nb.nb)) as nodes from (select nodes, unnest(nodes) as nd from s2) q join nb on nb.nd=q.nd where not list_contains(q.nodes, nb.nb)),
-s4 as materialized (select distinct list_sort(list_append(q.nodes, nb.nb)) as nodes from (select nodes, unnest(nodes) as nd from s3) q join nb on nb.nd=q.nd where not list_contains(q.nodes, nb.nb)),
-alls as (select nodes from s3 union all select nodes from s4),
-cell as (select nodes, len(nodes) as size, r.k, nodes[(r.k//len(nodes))+1] as src, nodes[(r.k%len(nodes))+1] as dst from alls, range(16) r(k) where r.k<len(nodes)*len(nodes)),
+SETS = """cs as (select [nd, nb] as nodes from nb where nd<nb union select list_sort(list_append(q.nodes, nb.nb)) from (select nodes, unnest(nodes) as nd from cs where len(nodes)<8) q join nb on nb.nd=q.nd where not list_contains(q.nodes, nb.nb)),
+alls as materialized (select distinct nodes from cs where len(nodes)>=3),
+cell as (select nodes, len(nodes) as size, r.k, nodes[(r.k//len(nodes))+1] as src, nodes[(r.k%len(nodes))+1] as dst from alls, range(64) r(k) where r.k<len(nodes)*len(nodes)),
 mi0 as materialized (select nodes, size, string_agg(case when ge.src is null then '0' else '1' end, '' order by k) as structure, count(ge.src) as n_edges, sum(ge.weight) as weight_sum
  from cell left join ge on ge.src=cell.src and ge.dst=cell.dst group by nodes, size),
 circ as materialized (select structure, size, count(*) as frequency, sum(weight_sum)/sum(n_edges) as avg_weight, count(*)*0.4::double+sum(weight_sum)/sum(n_edges)*0.6::double as importance
@@ -26,7 +26,7 @@ circ as materialized (select structure, size, count(*) as frequency, sum(weight_
 inst as materialized (select m.structure, m.size, m.nodes from mi0 m join circ using (structure)),
 nm as (select nodes, string_agg('L'||(n//1000000)||'_F'||(n%1000000), ',' order by n) as instance from (select nodes, unnest(nodes) as n from alls) group by nodes),
 cn as materialized (select structure, instance, size, n as node, (n//1000000) as layer, n%1000000 as feature from (select inst.structure, nm.instance, inst.size, unnest(inst.nodes) as n from inst join nm on nm.nodes=inst.nodes))"""
-BASE = ",".join([CAUSAL, ED, NB, SETS])
+BASE = ",".join([CAUSAL, ED.replace(str(THR), str(STRONG)), NB, SETS])
 
 
 def edges_of(s, p):
@@ -35,7 +35,8 @@ def edges_of(s, p):
 
 
 def motifs_of(s, p):
-    return C.find_motifs(edges_of(s, p), (3, 4))
+    """Circuits of 3 to 8 nodes and their instances."""
+    return C.find_motifs(edges_of(s, p).filter(F.col("weight") > STRONG))
 
 
 @query("J3_feature_pairs", """select a.layer as la, b.layer as lb, a.feature as i, b.feature as j, count(*) as n, sum(a.value*b.value) as sxy from act a join act b
@@ -65,15 +66,8 @@ def _(s, p):
 
 
 WIDE = 0.575
-SETS8 = """cs as (select [nd, nb] as nodes from nb where nd<nb union select list_sort(list_append(q.nodes, nb.nb)) from (select nodes, unnest(nodes) as nd from cs where len(nodes)<8) q join nb on nb.nd=q.nd where not list_contains(q.nodes, nb.nb)),
-alls as materialized (select distinct nodes from cs where len(nodes)>=3),
-cell as (select nodes, len(nodes) as size, r.k, nodes[(r.k//len(nodes))+1] as src, nodes[(r.k%len(nodes))+1] as dst from alls, range(64) r(k) where r.k<len(nodes)*len(nodes)),
-mi0 as materialized (select nodes, size, string_agg(case when ge.src is null then '0' else '1' end, '' order by k) as structure, count(ge.src) as n_edges, sum(ge.weight) as weight_sum
- from cell left join ge on ge.src=cell.src and ge.dst=cell.dst group by nodes, size)"""
-
-
 @query("G6_motif_circuits_to_eight", "select structure, size, count(*) as frequency, sum(weight_sum)/sum(n_edges) as avg_weight from mi0 group by structure, size having count(*)>=2", "act", d="avg_weight", i="size",
-       extra=",".join([CAUSAL, ED.replace(str(THR), str(WIDE)), NB, SETS8]))
+       extra=",".join([CAUSAL, ED.replace(str(THR), str(WIDE)), NB, SETS]))
 def _(s, p):
     return C.find_motifs(edges_of(s, p).filter(F.col("weight") > WIDE))[0].drop("importance")
 
@@ -91,7 +85,7 @@ def _(s, p):
 @query("J13_circuit_activations", "select cn.structure, cn.instance, cn.layer, cn.feature, count(*) as n, sum(value) as s from cn join act using (layer, feature) group by all", "act", d="s", extra=BASE)
 def _(s, p):
     cn = C.circuit_nodes(motifs_of(s, p)[1])
-    return C.circuit_activations(cn, S.activations(s, p)).groupBy("structure", "instance", "layer", "feature").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
+    return C.circuit_activation_sums(cn, S.activations(s, p))
 
 
 KNOWN = "kn as (select f as feature, case when f%5=0 then 1.0::double when f%5=1 then 0.8 when f%5=2 then 0.6 else 0 end as s from range(64) r(f))"
@@ -201,9 +195,9 @@ def _(s, p):
     return C.circuit_profile(c, C.circuit_nodes(i), S.activations(s, p))
 
 
-@query("Q37_circuit_novelty", "select *, least(1, size/10.0::double) as topology_score from circ where least(1, size/10.0::double)>0.3", "act", d="avg_weight importance topology_score", i="size", extra=BASE)
+@query("Q37_circuit_novelty", "select *, least(1, size/10.0::double) as topology_score from circ where least(1, size/10.0::double)>0.6", "act", d="avg_weight importance topology_score", i="size", extra=BASE)
 def _(s, p):
-    return C.circuit_novelty(motifs_of(s, p)[0], 0.3)
+    return C.circuit_novelty(motifs_of(s, p)[0])
 
 
 @query("Q42_circuit_interpretability", f"""select (select avg(coherence) from (select c.structure, v.coherence from ({VBASIC}) v join circ c using (structure))) as clarity, {MODU} as modularity,
@@ -248,23 +242,20 @@ def _(s, p):
     return G.distinct_paths(c.select(F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"), F.size("path").alias("n_nodes")))
 
 
-@query("G12_feedback_loops", """select layer, array_to_string(path, '>') as path from lp where closed""", "act", extra=LED.replace("0.545", "0.55") + """,
+LOOPS = LED + """,
 lp as (select layer, src as start, [src, dst] as path, dst as last, false as closed from led where src<dst union all
  select lp.layer, lp.start, case when led.dst=lp.start then lp.path else list_append(lp.path, led.dst) end, led.dst, led.dst=lp.start from lp join led on led.layer=lp.layer and led.src=lp.last
- where not lp.closed and (led.dst=lp.start or (led.dst>lp.start and not list_contains(lp.path, led.dst))))""")
-def _(s, p):
-    return G.feedback_loops(lag_graph(s, p, 0.55), ["layer"]).select("layer", F.array_join("path", ">").alias("path"))
+ where not lp.closed and (led.dst=lp.start or (led.dst>lp.start and not list_contains(lp.path, led.dst))))"""
 
 
-# the same over all edges of lag_graph; the query above keeps its own threshold and SQL
-@query("G12_feedback_loops_all_edges", """select layer, array_to_string(path, '>') as path from lp where closed""", "act", extra=LED + """,
-lp as (select layer, src as start, [src, dst] as path, dst as last, false as closed from led where src<dst union all
- select lp.layer, lp.start, case when led.dst=lp.start then lp.path else list_append(lp.path, led.dst) end, led.dst, led.dst=lp.start from lp join led on led.layer=lp.layer and led.src=lp.last
- where not lp.closed and (led.dst=lp.start or (led.dst>lp.start and not list_contains(lp.path, led.dst))))""")
+@query("G12_feedback_loops", "select layer, array_to_string(path, '>') as path from lp where closed", "act", extra=LOOPS)
 def _(s, p):
     return G.feedback_loops(lag_graph(s, p), ["layer"]).select("layer", F.array_join("path", ">").alias("path"))
 
 
+QUERIES["G12_feedback_loops_all_edges"], ORACLES["G12_feedback_loops_all_edges"] = QUERIES["G12_feedback_loops"], ORACLES["G12_feedback_loops"]  # its name of the last round
+
+
 @query("G3_graph_components", """select layer, node, min(reach) as component from (select layer, src as node, src as reach from u union select layer, node, reach from rc) group by all""", "act", extra=LED + """,
 u as materialized (select layer, src, dst from led union select layer, dst, src from led), rc as (select layer, src as node, dst as reach from u union select rc.layer, rc.node, u.dst from rc join u on u.layer=rc.layer and u.src=rc.reach)""")
 def _(s, p):
