@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections import ChainMap
 from functools import lru_cache
 
 import numpy as np
 import regex
 
+from .bytepair import byte_letters
+
 # The pattern of this family of vocabularies, once for any text and once for texts below U+0250.
 ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _S, _L, _N = "\\t-\\r \\x85\\xa0", "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -30,7 +33,7 @@ class WordIds:
     """``ids(text)``: the ids as unsigned little-endian 32-bit numbers in one bytes object."""
 
     #: Entries kept, and the longest word kept; others are encoded anew with each slice of texts. Both bound memory, not results.
-    ENTRIES, LONGEST = 400_000, 64
+    ENTRIES, LONGEST = 600_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,9 +44,7 @@ class WordIds:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
-        vocabulary = self.library.get_vocab()
-        self.closing = np.zeros(1 + max(vocabulary.values()), bool)
-        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters = {x: c for c, x in byte_letters().items()}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -59,13 +60,12 @@ class WordIds:
         return None
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words by one call of the library: in a text of these words each ends with the token that closes a word."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)  # without offsets
-        ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
-        if len(ends) != len(words):
-            return {w: self.whole(w) for w in words}
-        data = ids.astype("<u4").tobytes()
-        return {w: data[4 * a:4 * b] for w, a, b in zip(words, [0, *ends], ends)}
+        """Ids of words by the library's model alone; the words are normalised and cut already, only bytes get their stand-ins."""
+        tokenize, letters, out = self.library.model.tokenize, self.letters, {}
+        for w in words:
+            ids = [t.id for t in tokenize(w if w.isascii() else "".join([letters[x] for x in w.encode()]))]
+            out[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words that are not kept are encoded together."""
