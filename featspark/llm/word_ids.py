@@ -63,7 +63,7 @@ class WordIds:
         """Ids of words by the library's model alone; the words are normalised and cut already, only bytes get their stand-ins."""
         tokenize, letters, out = self.library.model.tokenize, self.letters, {}
         for w in words:
-            ids = [t.id for t in tokenize(w if w.isascii() else "".join([letters[x] for x in w.encode()]))]
+            ids = [t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([letters[x] for x in w.encode()]))]
             out[w] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
