@@ -25,8 +25,9 @@ ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}
 _S, _L, _N = "\\t-\\r \\x85\\xa0", "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 LATIN_ONLY = re.compile("[\\x00-\\u012f\\u0131-\\u024f]*")
-#: Latin, Greek, Cyrillic, punctuation, kana, Han and Hangul without combining marks, conjoining letters and the dotted capital I.
-PLAIN = re.compile("[\\x00-\\u012f\\u0131-\\u02ff\\u0384-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u3001-\\u3029\\u3041-\\u3096\\u30a0-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7a3]*")
+#: Latin, Greek, Cyrillic, punctuation, kana, Han and Hangul without combining marks, conjoining letters, the dotted
+#: capital I and what NFC replaces.
+PLAIN = re.compile("[\\x00-\\u012f\\u0131-\\u02ff\\u0384-\\u0386\\u0388-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u3001-\\u3029\\u3041-\\u3096\\u30a0-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7a3]*")
 
 
 class WordIds:
