@@ -11,6 +11,7 @@ from ..functions import vec as V
 from ..functions.num import c
 from ..functions.tables import DATASET_PRESETS, LAYER_PRESETS
 from ..session import broadcast_if_small
+from .blocks import matrix
 
 
 def assemble(proteins: DataFrame, vec: DataFrame, coords: DataFrame, residues: DataFrame) -> DataFrame:
@@ -77,36 +78,49 @@ def merge_embeddings(dfs: list[DataFrame]) -> DataFrame:
     return out.join(first, ["protein_id", "_src"]).drop("_src")
 
 
-def dict_encode(vec: DataFrame, weights: DataFrame, pre_bias: list[float] | None = None, max_bytes: int = 512 << 20) -> DataFrame:
+#: Bytes of dictionary rows that one pass holds.
+BLOCK_BYTES = 64 << 20
+
+
+def dict_encode(vec: DataFrame, weights: DataFrame, pre_bias: list[float] | None = None, block: int | None = None) -> DataFrame:
     """Sparse feature activations relu((x - b) W^T + c), ``weights``: (feature, row ARRAY<DOUBLE>, bias DOUBLE).
 
-    The dictionary is model-sized, not data-sized; its bytes are checked before it goes to the tasks.
+    The dictionary is cut into blocks of ``block`` features (default: about 64 MB of rows). Every block is one pass
+    over the vectors with that block alone in driver and tasks, so a dictionary of any size works in bounded memory,
+    and a token's features simply meet in the result. Vectors are neither shuffled nor copied.
     """
-    w, bias = _matrix(weights, max_bytes)
-    b = np.zeros(w.shape[1]) if pre_bias is None else np.asarray(pre_bias, float)
-    shared = vec.sparkSession.sparkContext.broadcast((w, bias, b))
+    top = weights.agg(F.max("feature").alias("f"), F.max(F.size("row")).alias("d")).first()
+    if top.f is None:
+        return vec.sparkSession.createDataFrame([], ENCODED)
+    width = top.d
+    block = block or max(1, BLOCK_BYTES // (8 * width))
+    out = None
+    for at in range(0, top.f + 1, block):
+        part = _encode_block(vec, weights.filter((F.col("feature") >= at) & (F.col("feature") < at + block)), np.zeros(width) if pre_bias is None else np.asarray(pre_bias, float))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+ENCODED = "protein_id long, pos long, layer int, feature int, value double"
+
+
+def _encode_block(vec: DataFrame, weights: DataFrame, pre_bias: np.ndarray) -> DataFrame:
+    t = weights.select(F.col("feature").cast("int").alias("feature"), F.col("row").cast("array<double>").alias("row"), F.col("bias").cast("double").alias("bias")).toArrow()
+    w = t["row"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, len(pre_bias))
+    shared = vec.sparkSession.sparkContext.broadcast((t["feature"].to_numpy().astype(np.int32), np.ascontiguousarray(w.T), t["bias"].to_numpy() - w @ pre_bias))
 
     def run(batches):
-        w, bias, b = shared.value
-        for t in batches:
-            x = np.array(t.column("vec").to_pylist(), dtype=float)
-            if not len(x):
-                continue
-            a = np.maximum(0.0, (x - b) @ w.T + bias)
-            r, f = np.nonzero(a)
-            idx = pa.array(r)
-            yield pa.RecordBatch.from_arrays([t.column(k).take(idx) for k in ("protein_id", "pos", "layer")] + [pa.array(f.astype(np.int32)), pa.array(a[r, f])],
-                                             names=["protein_id", "pos", "layer", "feature", "value"])
-
-    return vec.select("protein_id", "pos", "layer", "vec").mapInArrow(run, "protein_id long, pos long, layer int, feature int, value double")
-
-
-def _matrix(weights: DataFrame, max_bytes: int):
-    size = weights.agg(F.count("*").alias("n"), F.max(F.size("row")).alias("d")).first()
-    if size["n"] * size["d"] * 8 > max_bytes:
-        raise ValueError("dictionary too large to hold in a task; encode it in feature blocks")
-    rows = weights.orderBy("feature").collect()
-    return np.array([r["row"] for r in rows], dtype=float), np.array([r["bias"] for r in rows], dtype=float)
+        names, w, bias = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(names) else 0, 2048):
+                b = whole.slice(at, 2048)
+                a = np.maximum(0.0, matrix(b.column(3)) @ w + bias)
+                r, f = np.nonzero(a)
+                idx = pa.array(r)
+                yield pa.RecordBatch.from_arrays([b.column(k).take(idx) for k in range(3)] + [pa.array(names[f]), pa.array(a[r, f])], names=["protein_id", "pos", "layer", "feature", "value"])
+
+    src = vec.select(F.col("protein_id").cast("long").alias("protein_id"), F.col("pos").cast("long").alias("pos"), F.col("layer").cast("int").alias("layer"), "vec")
+    return src.mapInArrow(run, ENCODED)
 
 
 def dict_decode(act: DataFrame, weights: DataFrame, bias: Column | None = None) -> DataFrame:

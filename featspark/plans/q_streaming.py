@@ -19,7 +19,7 @@ def vec_stream(s, p):
 
 @query("X1_stream_accumulate", """select layer, feature, sum((abs(value)>0.1)::int) as activation_count, sum(abs(value)) as magnitude_sum, count(*) as samples from act group by all""", "act", d="magnitude_sum", i="activation_count")
 def _(s, p):
-    return X.run_complete(X.running_sums(X.long_stream(vec_stream(s, p))))
+    return X.run_sums(X.long_stream(vec_stream(s, p)), X.running_sums, ["layer", "feature"])
 
 
 @query("X1_stream_moments", "select la, i, j, n, sxy from tm", "act", d="sxy", i="n", extra=XADJ)
@@ -44,4 +44,5 @@ def _(s, p):
 @query("X4_stream_mean_metrics", "select epoch, metric, avg(value) as mean_value, count(*) as n from log group by all", "log", d="mean_value")
 def _(s, p):
     e = stream_of(s, p, "events").select(F.col("user_id").alias("epoch"), F.col("event_type").alias("metric"), "value", "ts")
-    return X.run_complete(X.running_means(e))
+    t = X.run_sums(e, X.log_sums, ["epoch", "metric"])
+    return t.select("epoch", "metric", (F.col("value_sum") / F.col("n_values")).alias("mean_value"), "n")

@@ -40,6 +40,59 @@ def drop_duplicate_proteins(stream: DataFrame, event_time: str, delay: str = "1
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["protein_id", "layer", "pos"])
 
 
+def log_sums(log: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Sums behind the epoch averages of a metric log, for :func:`run_sums`."""
+    if watermark is not None:
+        log = log.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["epoch", "metric", "ts"])
+    return log.groupBy("epoch", "metric").agg(F.sum("value").alias("value_sum"), F.count("value").alias("n_values"), F.count("*").alias("n"))
+
+
+def run_sums(stream: DataFrame, partial, keys: list[str], location: str | None = None, keep_batches: int = 64) -> DataFrame:
+    """Drain the available input; the sums of ``partial`` per ``keys`` over everything the location has seen.
+
+    A batch writes its own sums under ``batch_id=<n>`` and nothing else: no state is carried or rewritten, and a batch
+    that runs again after a failure replaces its own folder. Give the same ``location`` to go on where an earlier run
+    ended; without one the tracker starts anew. Every ``keep_batches`` batches the finished ones are folded into one.
+    """
+    spark = stream.sparkSession
+    base = location or new_location(spark, "stream-sums")
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+
+    def total(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in schema.names if c not in keys])
+
+    def parts(upto: int) -> DataFrame:
+        """Sums up to a batch: the last fold before it and the batches after that fold."""
+        start = max([f for f in range(keep_batches - 1, upto + 1, keep_batches) if f < upto or _exists(spark, f"{base}/folded/upto={f}")], default=-1)
+        paths = [f"{base}/folded/upto={start}"] * (start >= 0) + [f"{base}/sums/batch_id={k}" for k in range(start + 1, upto + 1)]
+        return spark.read.schema(schema).parquet(*paths)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{base}/sums/batch_id={batch_id}")
+        if batch_id % keep_batches == keep_batches - 1:
+            paths = [f"{base}/folded/upto={batch_id - keep_batches}"] * (batch_id >= keep_batches) + [f"{base}/sums/batch_id={k}" for k in range(batch_id - keep_batches + 1, batch_id + 1)]
+            total(spark.read.schema(schema).parquet(*paths)).write.mode("overwrite").parquet(f"{base}/folded/upto={batch_id}")
+
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = _batches_done(spark, base)
+    return total(spark.createDataFrame([], schema) if last < 0 else parts(last))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _batches_done(spark: SparkSession, base: str) -> int:
+    """Number of the last batch whose sums are written; batches are numbered without gaps."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/sums")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return -1
+    return max((int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(p) if f.getPath().getName().startswith("batch_id=")), default=-1)
+
+
 def run_complete(result: DataFrame, reset: bool = True, checkpoint: str | None = None) -> DataFrame:
     """Drain the available input into a table holding the aggregate's latest state.
 
@@ -65,13 +118,14 @@ def batch_statistics(vec: DataFrame) -> DataFrame:
     return cross_moments(layer_pairs(vec, "adjacent"), ["la", "lb"])
 
 
-def run_batches(vec_stream: DataFrame, every: int | None = None, analysis=None):
+def run_batches(vec_stream: DataFrame, every: int | None = None, analysis=None, location: str | None = None):
     """Write each batch's statistics; every ``every``-th batch also write ``analysis(statistics so far)``.
 
-    Returns (statistics path, analysis path).
+    Returns (statistics path, analysis path). The same ``location`` continues an earlier run.
     """
     spark = vec_stream.sparkSession
-    stats, found = new_location(spark, "batch-stats"), new_location(spark, "batch-analysis")
+    base = location or new_location(spark, "batches")
+    stats, found = f"{base}/statistics", f"{base}/analysis"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch_statistics(batch).write.mode("overwrite").parquet(f"{stats}/batch_id={batch_id}")
@@ -79,7 +133,7 @@ def run_batches(vec_stream: DataFrame, every: int | None = None, analysis=None):
             so_far = merged(batch.sparkSession, stats, upto=batch_id)
             analysis(so_far).write.mode("overwrite").parquet(f"{found}/batch_id={batch_id}")
 
-    q = vec_stream.writeStream.foreachBatch(sink).option("checkpointLocation", new_location(spark, "stream-state")).trigger(availableNow=True).start()
+    q = vec_stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return stats, found
 

@@ -165,3 +165,17 @@ def test_empty(spark, data):
     _, vec, act, tokens = data
     assert B.moments(vec.limit(0).select(F.col("vec").alias("x"), F.col("vec").alias("y")), []).count() == 0
     assert B.sparse_pair_moments(act.limit(0), "upper").count() == 0
+
+
+def test_dictionary_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 8))
+    w, c, b = rng.normal(size=(200, 8)), rng.normal(size=200), rng.normal(size=8)
+    vec = spark.createDataFrame([(k, 0, 1, x[k].tolist()) for k in range(30)], "protein_id long, pos long, layer int, vec array<double>")
+    rows = spark.createDataFrame([(f, w[f].tolist(), float(c[f])) for f in range(200) if f != 70], "feature int, row array<double>, bias double")
+    want = np.maximum(0, (x - b) @ w.T + c)
+    want[:, 70] = 0
+    for block in (None, 64, 7):
+        got = L.dict_encode(vec, rows, b.tolist(), block).collect()
+        assert len(got) == (want > 0).sum() and all(np.isclose(r.value, want[r.protein_id, r.feature]) for r in got)
+    assert L.dict_encode(vec, rows.limit(0)).count() == 0

@@ -95,3 +95,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert np.allclose(list(a), list(b))
     last = X.merged(spark, stats, last=2).agg(F.max("n")).first()[0]
     assert last == 50
+
+
+def test_sums_continue_after_a_restart(spark, tmp_path):
+    """Seven files, one a batch, in three runs over one location; folds happen every third batch."""
+    vec = S.activations_vec(spark, SF)
+    src, home = tmp_path / "in", str(tmp_path / "state")
+    ids = sorted(r[0] for r in vec.select("protein_id").distinct().collect())[:7]
+    stream = lambda: X.long_stream(X.activation_stream(spark, str(src), vec.schema))
+    keys = ["layer", "feature"]
+
+    def same(got, upto):
+        want = {(r["layer"], r["feature"]): r for r in X.running_sums(S.to_long(vec.filter(F.col("protein_id").isin(ids[:upto])))).collect()}
+        got = {(r["layer"], r["feature"]): r for r in got.collect()}
+        assert got.keys() == want.keys()
+        for k, r in want.items():
+            assert got[k]["samples"] == r["samples"] and got[k]["activation_count"] == r["activation_count"] and got[k]["magnitude_sum"] == pytest.approx(r["magnitude_sum"])
+
+    done = 0
+    for upto in (2, 3, 7):
+        for k in ids[done:upto]:
+            vec.filter(F.col("protein_id") == k).coalesce(1).write.mode("append").parquet(str(src))
+        done = upto
+        same(X.run_sums(stream(), X.running_sums, keys, home, keep_batches=3), upto)
+    same(X.run_sums(stream(), X.running_sums, keys, home, keep_batches=3), 7)  # nothing new arrives
+    written = {d.name for d in (tmp_path / "state" / "sums").iterdir()}
+    assert written == {f"batch_id={k}" for k in range(7)}
+    again = spark.read.parquet(home + "/sums/batch_id=5").agg(F.sum("samples")).first()[0]
+    assert again == vec.filter(F.col("protein_id") == ids[5]).count() * 64  # a batch holds its own rows only
+    stats, _ = X.run_batches(X.activation_stream(spark, str(src), vec.schema), location=home + "2")
+    assert X.run_batches(X.activation_stream(spark, str(src), vec.schema), location=home + "2")[0] == stats
+    assert spark.read.parquet(stats).select("batch_id").distinct().count() == 7
