@@ -145,6 +145,56 @@ def rank_discoveries(d: DataFrame) -> DataFrame:
     return d.withColumn("combined", F.col("novelty_score") * F.col("confidence")).orderBy(F.desc("combined"), "discovery_type", *FEAT)
 
 
+# Hypothesis and test by kind of discovery and the evidence they need (none for circuits), and experiments.
+HYPOTHESES = [
+    ("statistical", "multimodal", "Feature %d represents multiple distinct functional states", "Cluster proteins by this feature and test functional differences"),
+    ("pattern", "position_specific", "Feature %d encodes position-specific functional information", "Mutate residues at high-activation positions and measure functional impact"),
+    ("circuit", None, "Circuit %d represents a coordinated functional module", "Perturb circuit components simultaneously and measure synergistic effects"),
+    ("structural", "spatial_cluster", "Feature %d identifies a structural-functional hotspot", "Design mutations in the spatial cluster and test for loss of function"),
+]
+EXPERIMENTS = {
+    "statistical": [("mutagenesis", "Systematic mutation of high-activation residues"), ("biochemical", "Activity assays under different conditions")],
+    "pattern": [("deletion", "Domain deletion to test necessity"), ("chimera", "Domain swapping with homologs")],
+    "circuit": [("double_mutant", "Test epistatic interactions"), ("coevolution", "Analyze coevolution in protein family")],
+    "structural": [("crystallography", "Structural determination of variants"), ("dynamics", "MD simulations or NMR dynamics")],
+}
+#: Ids of circuits among the features: below this number.
+FIRST_CIRCUIT = -1000
+
+
+def circuit_discoveries(circuits: DataFrame, thr: float = 0.6) -> DataFrame:
+    """Circuits of novel topology as discoveries with the ids -1000, -1001, ... in order of importance (layer -1), and their structure.
+
+    The ids need one order over all structures; these are few beside their instances.
+    """
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round("importance", 9)), "structure"))
+    c = circuits.withColumn("feature", (FIRST_CIRCUIT + 1 - rank).cast("int")).withColumn("topology", F.least(F.lit(1.0), F.col("size") / 10))
+    k = _combine(c, {"novel_topology": (F.col("topology") > thr, F.col("topology"))}).filter("novelty_score > 0.4")
+    return k.select(F.lit(-1).alias("layer"), "feature", "structure", "novelty_score", F.lit(0.6).alias("confidence"), F.lit("circuit").alias("discovery_type"), "evidence",
+                    F.format_string("Circuit with %d components", "size").alias("biological_context"))
+
+
+def hypotheses(d: DataFrame) -> DataFrame:
+    """Testable hypothesis of each discovery by its kind and evidence; empty texts where the evidence is of another kind."""
+    name = F.when(F.col("discovery_type") == "circuit", F.abs(F.col("feature") - FIRST_CIRCUIT)).otherwise(F.col("feature"))
+    text, test = F.lit(""), F.lit("")
+    for kind, key, claim, suggestion in HYPOTHESES:
+        fits = F.col("discovery_type") == kind
+        if key is not None:
+            fits = fits & F.array_contains(F.map_keys("evidence"), key)
+        text, test = F.when(fits, F.format_string(claim, name)).otherwise(text), F.when(fits, suggestion).otherwise(test)
+    return d.select(*FEAT, "discovery_type", text.alias("hypothesis"), test.alias("test_suggestion"))
+
+
+def experiments(d: DataFrame) -> DataFrame:
+    """Suggested experiments of each discovery: one row each, with the priority (high above 0.7 combined)."""
+    listed = F.lit(None).cast("array<struct<type:string,description:string>>")
+    for kind, rows in EXPERIMENTS.items():
+        listed = F.when(F.col("discovery_type") == kind, F.array(*[F.struct(F.lit(t).alias("type"), F.lit(x).alias("description")) for t, x in rows])).otherwise(listed)
+    priority = F.when(F.col("novelty_score") * F.col("confidence") > 0.7, "high").otherwise("medium")
+    return d.select(*FEAT, "discovery_type", priority.alias("priority"), F.explode(listed).alias("e")).select(*FEAT, "discovery_type", "priority", "e.type", "e.description")
+
+
 def annotate_discoveries(d: DataFrame, top: int | None = None) -> DataFrame:
     """Priority of the discoveries (of the ``top`` ones if given): high above 0.7 combined, else medium; hypothesis by discovery type."""
     text = {"statistical": "distinct activation regime", "pattern": "position-dependent function", "circuit": "coordinated computation", "structural": "spatially localised function"}

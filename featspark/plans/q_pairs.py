@@ -258,6 +258,11 @@ def _(s, p):
     return P.causal_edges(all_relations(S.activations_vec(s, p))).drop("confidence")
 
 
+@query("G16_causal_edges_confidence", "select layer, cause, effect, strength, confidence, mechanism from ce", "act", d="strength confidence", extra=ALLREL + "," + GED)
+def _(s, p):
+    return P.causal_edges(all_relations(S.activations_vec(s, p)))
+
+
 for _side in ("cause", "effect"):
     @query(f"T7_top_{_side}s", f"select {_side} as feature, sum(strength) as degree from ce group by all order by degree desc, feature limit 5", "act", d="degree", extra=ALLREL + "," + GED)
     def _(s, p, side=_side):
