@@ -78,13 +78,14 @@ def chunk(docs: DataFrame, apart: int = 4) -> DataFrame:
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """row_id, number, first_doc of every chunk that another document has as well."""
-    # a null doc_id stands for its row: negative numbers cannot meet identifiers of other rows
-    doc = F.coalesce("doc_id", -1 - F.col("row_id"))
-    c = chunks.select(doc.alias("doc"), "row_id", F.posexplode("digests").alias("number", "digest"))
-    order = F.struct((F.col("doc") < 0).cast("int").alias("late"), F.col("doc"))
+    """row_id, number, first_doc of every chunk that another document has as well.
+
+    A document is (no_id, doc): its doc_id, or, where that is null, its row; null ids are larger than all others.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", "row_id").alias("doc"))
+    c = chunks.select(order.alias("at"), "row_id", F.posexplode("digests").alias("number", "digest"))
     # written apart from the join, so that the join has an exchange of its own and can split a frequent digest
-    twice = stash(c.groupBy("digest").agg(F.min(order).alias("a"), F.max(order).alias("b")).filter("a.doc <> b.doc").select("digest", F.col("a.doc").alias("first_doc")))
+    twice = stash(c.groupBy("digest").agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a <> b").select("digest", F.col("a").alias("first_doc")))
     return c.join(twice, "digest").select("row_id", "number", "first_doc")
 
 
@@ -97,8 +98,8 @@ def passages(docs: DataFrame, min_words: int = 12, apart: int = 4) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for doc, row, ends, words, found in zip(*(b[c].to_pylist() for c in ("doc_id", "row_id", "ends", "words", "hits"))):
-            own = doc if doc is not None else -1 - row
-            found = sorted((h["number"], h["first_doc"]) for h in found)
+            own = (doc is None, row if doc is None else doc)
+            found = sorted((h["number"], (h["first_doc"]["no_id"], h["first_doc"]["doc"])) for h in found)
             at = 0
             while at < len(found):
                 stop = at + 1
@@ -108,8 +109,8 @@ def passages(docs: DataFrame, min_words: int = 12, apart: int = 4) -> DataFrame:
                 n = words[z] - (words[a - 1] if a else 0)
                 if n >= min_words:
                     others = [f for _, f in found[at:stop]]
-                    first = min(others, key=lambda f: (f < 0, f))
-                    out.append((doc, ends[a - 1] if a else 0, ends[z], n, stop - at, first if first >= 0 else None, all(f == own for f in others)))
+                    no_id, first = min(others)
+                    out.append((doc, ends[a - 1] if a else 0, ends[z], n, stop - at, None if no_id else first, all(f == own for f in others)))
                 at = stop
         cols = [*zip(*out)] or [[]] * 7
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]

@@ -191,3 +191,49 @@ def test_repeated_lines_are_candidates(spark):
     assert all(len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2]))
     got = prob_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i in range(120)}
+
+
+def passages_by_hand(rows, least=12):
+    """The whole query of op5 in plain Python."""
+    import xxhash
+
+    docs, seen = [], {}
+    for k, (doc, text) in enumerate(rows):
+        data = (text or "").encode()
+        ends = chunk_dedup.borders(data).tolist() if data else []
+        parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+        own = (doc is None, k if doc is None else doc)
+        docs.append((doc, own, data, ends, [xxhash.xxh3_64_intdigest(p) for p in parts]))
+        for d in docs[-1][4]:
+            seen.setdefault(d, set()).add(own)
+    out = []
+    for doc, own, data, ends, digests in docs:
+        begins = [i for i in range(len(data)) if data[i:i + 1].strip(b" \t\n\v\f\r") and (i == 0 or not data[i - 1:i].strip(b" \t\n\v\f\r"))]
+        words = lambda z: sum(b < z for b in begins)  # noqa: B023,E731
+        at = 0
+        while at < len(digests):
+            stop = at
+            while stop < len(digests) and len(seen[digests[stop]]) > 1:
+                stop += 1
+            if stop > at:
+                start = ends[at - 1] if at else 0
+                n = words(ends[stop - 1]) - words(start)
+                first = [min(seen[d]) for d in digests[at:stop]]
+                if n >= least:
+                    out.append((doc, start, ends[stop - 1], n, stop - at, None if min(first)[0] else min(first)[1], all(f == own for f in first)))
+            at = max(stop, at + 1)
+    return out
+
+
+def test_passages_against_plain_python(spark):
+    """Negative, null and repeated ids, copies, shared passages and short texts."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared, whole = text(70), text(120)
+    rows = [(-5, whole), (8, whole), (None, whole), (-1, text(30) + " " + shared + " " + text(40)), (0, shared), (None, text(25) + "\n" + shared), (3, None), (4, ""), (5, "short"), (5, "short"), (6, text(200)), (7, text(60) + " é日本 " + shared), (-9, text(10))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in chunk_dedup.passages(df).select("doc_id", "start_byte", "end_byte", "n_words", "n_chunks", "first_doc_id", "kept").collect()]
+    key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
+    assert sorted(got, key=key) == sorted(passages_by_hand(rows), key=key)
+    assert {(r[0], r[5], r[6]) for r in got if r[0] in (-5, 8)} == {(-5, -5, True), (8, -5, False)}
