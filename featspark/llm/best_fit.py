@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_rows(ids_and_text(docs), cut, PIECE, rows=256)
+    return map_rows(ids_and_text(docs), cut, PIECE, rows=512)
 
 
 @lru_cache(maxsize=2)

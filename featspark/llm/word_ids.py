@@ -34,7 +34,7 @@ class WordIds:
     """``ids(text)``: the ids as unsigned little-endian 32-bit numbers in one bytes object."""
 
     #: Entries kept, and the longest word kept; others are encoded anew with each slice of texts. Both bound memory, not results.
-    ENTRIES, LONGEST = 600_000, 64
+    ENTRIES, LONGEST = 1_200_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
