@@ -448,34 +448,121 @@ def match_summary(matches: DataFrame) -> DataFrame:
 # bootstrap ---------------------------------------------------------------------------------
 
 
-def bootstrap_ci(df: DataFrame, id_col: str, value: str, replicates: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean from Poisson(1) resampling weights.
-
-    Weights come from a hash of (row id, replicate), so they do not depend on the partitioning;
-    each task sends one partial sum per replicate.
-    """
-    cuts = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate([[1.0], np.arange(1, 12)])))
-
-    def mix(z):
+def _mixed(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
 
+
+def poisson_weights(ids: np.ndarray, replicates: int, seed: int = 0) -> np.ndarray:
+    """Poisson(1) resampling weights [rows, replicates] from a hash of (row id, replicate): the same in any partitioning."""
+    cuts = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate([[1.0], np.arange(1, 12)])))
+    with np.errstate(over="ignore"):
+        rep = _mixed(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        h = _mixed(_mixed(ids + np.uint64(1))[:, None] ^ rep[None, :])
+    return np.searchsorted(cuts, (h >> np.uint64(11)).astype(np.float64) / 2.0 ** 53, side="right").astype(float)
+
+
+class MeanOf:
+    """A weighted mean of one column. The interface of every statistic here: ``width`` sums per replicate,
+    ``add(columns, weights)`` gives [replicates, width] of some rows, sums of parts add up, ``finish`` turns them into values."""
+
+    width = 2
+
+    def add(self, columns: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+        return np.stack([weights.sum(0), columns[0] @ weights], 1)
+
+    def finish(self, sums: np.ndarray) -> np.ndarray:
+        return sums[:, 1] / sums[:, 0]
+
+
+class CorrelationOf:
+    """Pearson correlation of two columns."""
+
+    width = 6
+
+    def add(self, columns, weights):
+        x, y = columns
+        return np.stack([weights.sum(0), x @ weights, y @ weights, (x * x) @ weights, (y * y) @ weights, (x * y) @ weights], 1)
+
+    def finish(self, sums):
+        n, sx, sy, sxx, syy, sxy = sums.T
+        return (n * sxy - sx * sy) / np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+
+
+class QuantileOf:
+    """Quantile ``q`` of one column from a histogram between ``low`` and ``high``; exact to one of ``cells`` cells."""
+
+    def __init__(self, q: float, low: float, high: float, cells: int = 2048):
+        self.q, self.low, self.high, self.width = q, low, high, cells
+
+    def add(self, columns, weights):
+        at = np.clip(((columns[0] - self.low) / max(self.high - self.low, 1e-300) * self.width).astype(np.int64), 0, self.width - 1)
+        order = np.argsort(at, kind="stable")
+        at, w = at[order], weights[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.array([], int)
+        out = np.zeros((weights.shape[1], self.width))
+        if len(first):
+            out[:, at[first]] = np.add.reduceat(w, first, axis=0).T
+        return out
+
+    def finish(self, sums):
+        run = np.cumsum(sums, 1)
+        want = self.q * run[:, -1:]
+        cell = (run < want).sum(1).clip(0, self.width - 1)
+        r = np.arange(len(sums))
+        before = run[r, cell] - sums[r, cell]
+        inside = (want[:, 0] - before) / np.where(sums[r, cell] > 0, sums[r, cell], 1.0)
+        return self.low + (cell + inside) * (self.high - self.low) / self.width
+
+
+def bootstrap(df: DataFrame, id_col: str, values: list[str], statistic, replicates: int = 1000, confidence: float = 0.95, seed: int = 0, block: int = 50) -> DataFrame:
+    """Estimate and percentile interval of any statistic of mergeable sums, all replicates in one pass over ``df``.
+
+    A task sends one array per block of replicates; blocks merge where they meet and leave one number per replicate.
+    Rows with a null among ``values`` are left out.
+    """
+    blocks_of = range(0, replicates, block)
+
     def fold(batches):
-        sw, sx = np.zeros(replicates), np.zeros(replicates)
-        rep = mix(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        total = [np.zeros((min(block, replicates - at), statistic.width)) for at in blocks_of]
+        for b in batches:
+            ids = b.column(0).to_numpy().view(np.uint64)
+            cols = [b.column(k + 1).to_numpy() for k in range(len(values))]
+            for at in range(0, len(ids), 4096):
+                w = poisson_weights(ids[at:at + 4096], replicates, seed)
+                for k, first in enumerate(blocks_of):
+                    total[k] += statistic.add([c[at:at + 4096] for c in cols], w[:, first:first + block])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], names=["b", "sums"])
+
+    def merge(batches):
+        at, total = None, None
+
+        def done():
+            rows = total.reshape(-1, statistic.width)
+            with np.errstate(all="ignore"):
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32) + at * block), pa.array(statistic.finish(rows), pa.float64())], names=["rep", "m"])
+
         for b in batches:
-            ids, v = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            for at in range(0, len(v), 4096):
-                with np.errstate(over="ignore"):
-                    h = mix(mix(ids[at:at + 4096] + np.uint64(1))[:, None] ^ rep[None, :])
-                u = (h >> np.uint64(11)).astype(np.float64) / 2.0 ** 53
-                w = np.searchsorted(cuts, u, side="right").astype(float)
-                sw += w.sum(0)
-                sx += v[at:at + 4096] @ w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(sw), pa.array(sx)], names=["rep", "w", "s"])
-
-    parts = df.select(F.xxhash64(id_col).alias("h"), F.col(value).cast("double").alias("v")).mapInArrow(fold, "rep int, w double, s double")
-    means = parts.groupBy("rep").agg((F.sum("s") / F.sum("w")).alias("m"))
+            for k, found in enumerate(b.column(0).to_pylist()):
+                part = np.frombuffer(b.column(1)[k].as_buffer(), np.float64)
+                if found != at:
+                    if at is not None:
+                        yield done()
+                    at, total = found, part.copy()
+                else:
+                    total += part
+        if at is not None:
+            yield done()
+
+    src = df.select(F.xxhash64(id_col).alias("h"), *[F.col(v).cast("double").alias(v) for v in values]).dropna()
+    parts = src.mapInArrow(fold, "b int, sums binary").repartition("b").sortWithinPartitions("b")
+    m = parts.mapInArrow(merge, "rep int, m double").filter(~F.isnan("m"))
     lo, hi = (1 - confidence) / 2, 1 - (1 - confidence) / 2
-    return means.agg(F.avg("m").alias("estimate"), F.expr(f"percentile(m, {lo})").alias("ci_low"), F.expr(f"percentile(m, {hi})").alias("ci_high"))
+    return m.agg(F.avg("m").alias("estimate"), F.expr(f"percentile(m, {lo})").alias("ci_low"), F.expr(f"percentile(m, {hi})").alias("ci_high"))
+
+
+def bootstrap_ci(df: DataFrame, id_col: str, value: str, replicates: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """Percentile interval of the mean from Poisson(1) resampling weights."""
+    return bootstrap(df, id_col, [value], MeanOf(), replicates, confidence, seed)

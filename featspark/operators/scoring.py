@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as K
 from ..functions import vec as V
 from ..functions.num import count_if, pearson_agg, ratio, share
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .sequence import in_region, regex_spans, variant_sites
 
 FEAT = ["layer", "feature"]
@@ -249,6 +249,49 @@ def roll_levels(act: DataFrame, regions: DataFrame, domains: DataFrame) -> DataF
     return one(act, "residue_mean").join(one(r, "region_mean"), PF, "left").join(one(d, "domain_mean"), PF, "left")
 
 
+LEVELS = ("residue", "region", "domain", "protein")
+
+
+def level_links(residues: DataFrame, regions: DataFrame, domains: DataFrame) -> DataFrame:
+    """The hierarchy as parent links: (protein_id, level, child, parent), level 1 .. 3 of the parent, node names as text.
+
+    Residues lie in regions by position, regions in domains by their start, all domains in their protein. A child may
+    have several parents (overlapping regions) or none.
+    """
+    name = lambda c: F.col(c).cast("string")
+    at = residues.select("protein_id", "pos").distinct()
+    reg = regions.select("protein_id", "start", "end", F.col("start").alias("domain_id"))
+    first = in_region(at, reg).select("protein_id", F.lit(1).alias("level"), name("pos").alias("child"), name("domain_id").alias("parent"))
+    starts = reg.select("protein_id", F.col("start").alias("pos")).distinct()
+    second = in_region(starts, domains).select("protein_id", F.lit(2).alias("level"), name("pos").alias("child"), name("domain_id").alias("parent"))
+    third = domains.select("protein_id", F.lit(3).alias("level"), name("domain_id").alias("child"), F.lit("protein").alias("parent")).distinct()
+    return first.unionByName(second).unionByName(third).distinct()
+
+
+def pass_messages(act: DataFrame, links: DataFrame, own: float = 0.5) -> DataFrame:
+    """(protein_id, layer, feature, level, node, up, down): both directions over the hierarchy.
+
+    Upwards a node takes the mean of its children. Downwards, from the protein, a node takes ``own`` times its upward
+    value plus the rest times the mean of its parents' downward values; without a parent it keeps its own. Every step
+    is one join with the links of one level.
+    """
+    links = cut_lineage(links)
+    key = ["protein_id", "layer", "feature"]
+    ups = [act.select(*key, F.col("pos").cast("string").alias("node"), F.col("value").alias("up"))]
+    for level in (1, 2, 3):
+        step = links.filter(F.col("level") == level).select("protein_id", F.col("child").alias("node"), "parent")
+        ups.append(cut_lineage(ups[-1].join(step, ["protein_id", "node"]).groupBy(*key, F.col("parent").alias("node")).agg(F.avg("up").alias("up"))))
+    down = ups[3].withColumn("down", F.col("up"))
+    out = down.withColumn("level", F.lit(LEVELS[3]))
+    for level in (3, 2, 1):
+        step = links.filter(F.col("level") == level).select("protein_id", F.col("child").alias("node"), "parent")
+        message = down.select(*key, F.col("node").alias("parent"), "down").join(step, ["protein_id", "parent"]).groupBy(*key, "node").agg(F.avg("down").alias("m"))
+        down = ups[level - 1].join(message, [*key, "node"], "left").select(*key, "node", "up", F.coalesce(own * F.col("up") + (1 - own) * F.col("m"), F.col("up")).alias("down"))
+        down = cut_lineage(down)
+        out = out.unionByName(down.withColumn("level", F.lit(LEVELS[level - 1])))
+    return out.select(*key, "level", "node", "up", "down")
+
+
 def resample(act: DataFrame, target: int) -> DataFrame:
     """Linear interpolation of a feature along positions to ``target`` points (half-pixel centres, clamped ends)."""
     n = act.groupBy("protein_id", "layer").agg((F.max("pos") + 1).alias("n"))

@@ -4,7 +4,10 @@ windows run inside one protein, whose size one row already bounds."""
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,32 +164,53 @@ def transitions_ss(res: DataFrame, col: str = "ss") -> DataFrame:
     return res.withColumn("from_state", prev).filter(F.col("from_state") != F.col(col)).select("protein_id", "pos", "from_state", F.col(col).alias("to_state"))
 
 
-def regex_spans(proteins: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """Non-overlapping matches, left to right: (protein_id, pattern, start, end).
+def _found(proteins: DataFrame, find, columns: str) -> DataFrame:
+    """(protein_id, ...) of what ``find(sequence)`` returns, arrays of equal length: one pass over each sequence, only hits become rows."""
+    src = proteins.select("protein_id", "sequence")
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    kinds = [types[c.split()[1]] for c in columns.split(", ")]
 
-    One pass: a match starts after the text before it, summed inside the row from the pieces between matches.
-    """
-    def spans(p):
-        pieces = F.arrays_zip(F.split("sequence", p, -1).alias("gap"), F.regexp_extract_all("sequence", F.lit(p), 0).alias("hit"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    def run(batches):
+        for b in batches:
+            counts, parts = [], [[] for _ in names]
+            for text in b.column(1):
+                got = find(text.as_py() or "")
+                counts.append(len(got[0]))
+                for part, values in zip(parts, got):
+                    part.append(np.asarray(values))
+            rows = pa.array(np.repeat(np.arange(b.num_rows), counts))
+            cols = [pa.array(np.concatenate(x).tolist() if k == pa.string() else np.concatenate(x), k) if x else pa.array([], k) for x, k in zip(parts, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *cols], names=["protein_id", *names])
+
+    return src.mapInArrow(run, f"protein_id {src.schema['protein_id'].dataType.simpleString()}, {columns}")
 
-        def step(acc, m):
-            at = acc["at"] + F.length(m["gap"])
-            end = at + F.length(m["hit"])
-            return F.struct(F.coalesce(end, at).alias("at"), F.when(end.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(at.alias("start"), end.alias("end")))).alias("out"))
 
-        return F.aggregate(pieces, start, step)["out"]
+def regex_spans(proteins: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Non-overlapping matches, left to right: (protein_id, pattern, start, end). Linear in the length of a sequence."""
+    compiled = {n: re.compile(p) for n, p in patterns.items()}
+
+    def find(text):
+        hits = [(n, *m.span()) for n, p in compiled.items() for m in p.finditer(text)]
+        return tuple(zip(*hits)) if hits else ((), (), ())
 
-    per = F.array(*[F.struct(F.lit(n).alias("pattern"), spans(p).alias("spans")) for n, p in patterns.items()])
-    x = proteins.select("protein_id", F.explode(per).alias("x")).select("protein_id", "x.pattern", F.explode("x.spans").alias("s"))
-    return x.select("protein_id", "pattern", "s.start", "s.end")
+    return _found(proteins, find, "pattern string, start int, end int")
 
 
 def disorder_windows(proteins: DataFrame, width: int = 20, share_above: float = 0.6) -> DataFrame:
-    """Window starts 0 .. len-width-1 where more than ``share_above`` of the residues promote disorder, counted inside the row."""
-    p = proteins.filter(F.length("sequence") > width).select("protein_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - width - 1)).alias("start"))
-    k = width - F.length(F.translate(F.substring("sequence", F.col("start") + 1, F.lit(width)), "".join(K.DISORDER), ""))
-    return p.select("protein_id", "start", k.cast("long").alias("k")).filter(F.col("k") > int(round(share_above * width)))
+    """Window starts 0 .. len-width-1 where more than ``share_above`` of the residues promote disorder.
+
+    One prefix sum per sequence, a window is the difference of two of its entries.
+    """
+    letters, least = np.array([ord(x) for x in K.DISORDER], np.uint32), int(round(share_above * width))
+
+    def find(text):
+        total = np.concatenate([[0], np.cumsum(np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), letters))])
+        k = total[width:-1] - total[:-width - 1] if len(text) > width else total[:0]
+        start = np.flatnonzero(k > least)
+        return start.astype(np.int32), k[start]
+
+    return _found(proteins, find, "start int, k long")
 
 
 def hydrophobic_moment(proteins: DataFrame, window: int = 11, angle: float = 100.0) -> DataFrame:
@@ -251,7 +275,6 @@ def remove_overlaps(hits: DataFrame) -> DataFrame:
 
     Ties go by start, end and motif; one protein's hits are bounded by its length.
     """
-    import numpy as np
     import pandas as pd
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -250,12 +250,30 @@ def _(s, p):
        "act tok tdom", d="residue_mean region_mean domain_mean", extra="""reg as (select protein_id, min(pos) as s, max(pos)+1 as e from (select protein_id, pos, ss, pos-row_number() over (partition by protein_id, ss order by pos) as g from tok) group by protein_id, ss, g),
 rg as materialized (select a.protein_id, layer, feature, s, avg(value) as value from act a join reg on reg.protein_id=a.protein_id and pos>=s and pos<e group by all)""")
 def _(s, p):
-    res = S.token_residues(s, p)
-    reg = None
+    return B.roll_levels(S.activations(s, p), ss_regions(s, p), S.token_domains(s, p))
+
+
+def ss_regions(s, p):
+    """Runs of one structure state."""
+    res, reg = S.token_residues(s, p), None
     for st in K.SS8:
         r = Q.runs(res, F.col("ss") == st)
         reg = r if reg is None else reg.unionByName(r)
-    return B.roll_levels(S.activations(s, p), reg, S.token_domains(s, p))
+    return reg
+
+
+@query("B17_messages", """select protein_id, layer, feature, 'protein' as level, 'protein' as node, v as up, v as down from u3 union all select protein_id, layer, feature, 'domain', domain_id, v, m from d2
+ union all select protein_id, layer, feature, 'region', s::varchar, value, m from d1 union all select protein_id, layer, feature, 'residue', pos::varchar, value, m from d0""",
+       "act tok tdom", d="up down", extra="""reg as materialized (select protein_id, min(pos) as s, max(pos)+1 as e from (select protein_id, pos, ss, pos-row_number() over (partition by protein_id, ss order by pos) as g from tok) group by protein_id, ss, g),
+rg as materialized (select a.protein_id, layer, feature, s, avg(value) as value from act a join reg on reg.protein_id=a.protein_id and pos>=s and pos<e group by all),
+u2 as materialized (select rg.protein_id, layer, feature, domain_id, avg(value) as v from rg join tdom d on d.protein_id=rg.protein_id and s>=d."start" and s<d."end" group by all),
+u3 as materialized (select protein_id, layer, feature, avg(v) as v from u2 group by all),
+d2 as materialized (select u2.*, (u2.v+u3.v)/2 as m from u2 join u3 using (protein_id, layer, feature)),
+d1 as materialized (select rg.protein_id, rg.layer, rg.feature, rg.s, rg.value, (rg.value+d2.m)/2 as m from rg join tdom d on d.protein_id=rg.protein_id and s>=d."start" and s<d."end" join d2 on d2.protein_id=rg.protein_id and d2.layer=rg.layer and d2.feature=rg.feature and d2.domain_id=d.domain_id),
+d0 as (select a.protein_id, a.layer, a.feature, a.pos, a.value, (a.value+d1.m)/2 as m from act a join reg on reg.protein_id=a.protein_id and pos>=reg.s and pos<e join d1 on d1.protein_id=a.protein_id and d1.layer=a.layer and d1.feature=a.feature and d1.s=reg.s)""")
+def _(s, p):
+    act = S.activations(s, p)
+    return B.pass_messages(act, B.level_links(act, ss_regions(s, p), S.token_domains(s, p)))
 
 
 @query("B19_resample", """select protein_id, layer, feature, t as pos, sum(value*w) as value from (select t, lo as pos, 1-f as w from g union all select t, least(lo+1, 24), f from g) e join act using (pos) group by all""", "act", d="value",

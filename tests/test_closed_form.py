@@ -270,3 +270,32 @@ def test_bootstrap_is_stable_over_partitions(spark):
     rows = [P.bootstrap_ci(df.repartition(n), "id", "v", 300).first() for n in (1, 9)]
     assert rows[0]["ci_low"] == pytest.approx(rows[1]["ci_low"]) and rows[0]["ci_low"] < 3.0 < rows[0]["ci_high"] + 0.1
     assert rows[0]["ci_high"] - rows[0]["ci_low"] == pytest.approx(2 * 1.96 / math.sqrt(2000), rel=0.25)
+
+
+def test_spans_and_windows_of_long_sequences(spark):
+    """Against plain Python; a text of 200,000 letters takes no more than its share, so nothing is quadratic in it."""
+    import random
+    import re
+    import time
+
+    from featspark.functions import tables as K
+    from featspark.operators import sequence as Q
+
+    rng = random.Random(3)
+    texts = ["", None, "A" * 20, "P" * 21, "".join(rng.choice("ACDEFGHIKLMNPQRSTVWYPESK") for _ in range(400)), "".join(rng.choice("PESKRQAG") for _ in range(200_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "protein_id long, sequence string")
+    t = time.time()
+    got = sorted(map(tuple, Q.disorder_windows(df).collect()))
+    want = []
+    for i, s in enumerate(texts):
+        on = [x in K.DISORDER for x in s or ""]
+        k = sum(on[:20])
+        for start in range(len(on) - 20):
+            if k > 12:
+                want.append((i, start, k))
+            k += on[start + 20] - on[start]
+    assert got == want
+    pats = {"a": "N[^P][ST][^P]", "b": "[ST].[RK]", "c": "P{2,5}"}
+    spans = sorted(map(tuple, Q.regex_spans(df, pats).collect()))
+    assert spans == sorted((i, n, *m.span()) for i, s in enumerate(texts) for n, p in pats.items() for m in re.finditer(p, s or ""))
+    assert time.time() - t < 60

@@ -163,3 +163,42 @@ def test_bootstrap_query_uses_all_replicates(spark, monkeypatch):
     monkeypatch.setattr(P, "bootstrap_ci", spy)
     entry.queries()["Q40_bootstrap_ci"](spark, "/root/testdata/sf0.001")
     assert seen == [1000]
+
+
+def test_messages_over_a_hand_made_hierarchy(spark):
+    """Six residues, overlapping regions, one residue and one region without a parent."""
+    from featspark.operators import scoring as B
+
+    act = spark.createDataFrame([(1, p, 0, 7, float(v)) for p, v in enumerate([1, 3, 5, 7, 9, 11])], "protein_id long, pos long, layer int, feature int, value double")
+    reg = spark.createDataFrame([(1, 0, 2), (1, 1, 4), (1, 4, 5)], "protein_id long, start int, end int")
+    dom = spark.createDataFrame([(1, 0, 2, "a"), (1, 1, 3, "b")], "protein_id long, start int, end int, domain_id string")
+    got = {(r.level, r.node): (r.up, r.down) for r in B.pass_messages(act, B.level_links(act, reg, dom)).collect()}
+    r0, r1, r4 = 2.0, 5.0, 9.0
+    a, b = (r0 + r1) / 2, r1
+    top = (a + b) / 2
+    da, db = (a + top) / 2, (b + top) / 2
+    d0, d1 = (r0 + da) / 2, (r1 + (da + db) / 2) / 2
+    want = {("protein", "protein"): (top, top), ("domain", "a"): (a, da), ("domain", "b"): (b, db), ("region", "0"): (r0, d0), ("region", "1"): (r1, d1), ("region", "4"): (r4, r4),
+            ("residue", "0"): (1.0, (1 + d0) / 2), ("residue", "1"): (3.0, (3 + (d0 + d1) / 2) / 2), ("residue", "2"): (5.0, (5 + d1) / 2), ("residue", "3"): (7.0, (7 + d1) / 2),
+            ("residue", "4"): (9.0, (9 + r4) / 2), ("residue", "5"): (11.0, 11.0)}
+    assert got.keys() == want.keys() and all(abs(got[k][i] - want[k][i]) < 1e-12 for k in want for i in (0, 1))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_bootstrap_of_any_statistic(spark, parts):
+    """Mean, correlation and median against numpy with the same weights."""
+    from featspark.operators import pairs as P
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=500)
+    y = x + rng.normal(size=500)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(999, None, 1.0)], "id long, x double, y double").repartition(parts)
+    ids = np.array([r[0] for r in spark.range(500).select(F.xxhash64("id")).collect()], np.int64).view(np.uint64)
+    w = P.poisson_weights(ids, 120, 5)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    corr = [np.cov(x, y, aweights=k)[0, 1] / np.sqrt(np.cov(x, aweights=k) * np.cov(y, aweights=k)) for k in w.T]
+    order = np.argsort(x)
+    median = [x[order][np.searchsorted(np.cumsum(k[order]), k.sum() / 2)] for k in w.T]
+    for stat, cols, want, near in ((P.MeanOf(), ["x"], (x @ w) / w.sum(0), 1e-9), (P.CorrelationOf(), ["x", "y"], np.array(corr), 1e-9), (P.QuantileOf(0.5, float(x.min()), float(x.max())), ["x"], np.array(median), 0.02)):
+        got = P.bootstrap(df, "id", cols, stat, 120, 0.9, 5, block=50).first()
+        assert np.allclose([got.estimate, got.ci_low, got.ci_high], [want.mean(), np.quantile(want, 0.05), np.quantile(want, 0.95)], atol=near)
