@@ -6,11 +6,13 @@ or becomes a leader itself. The sequential rule is kept exactly, without compari
 * Equal sequences are one, under their smallest id.
 * Every sequence is cut into pieces of ``q`` letters at fixed positions. Two similar sequences differ in fewer places
   than they have pieces, so they agree in a minimum number of pieces; it is enough to index the rarest ones of each
-  sequence, one more than it may have differences (prefix filter). Very common pieces are hardly ever indexed.
-* Leaders are elected in rounds: an undecided sequence with the smallest id in all of its buckets cannot be similar to
-  an earlier undecided one and is a leader. Only leaders meet their buckets, so a group of near copies costs a few
-  links per member. Who is similar to an earlier leader will not lead; it ends with the smallest such leader of all
-  rounds.
+  sequence, ``AGREE`` more than it may have differences (prefix filter): similar sequences then share as many of them
+  (fewer for short ones). Very common pieces are hardly ever indexed, and pairs below that count are never compared.
+* Leaders are elected in rounds. An undecided sequence that is similar to no earlier undecided one leads. It is compared
+  only if none of its buckets holds more than ``AHEAD`` earlier undecided ones; the others wait, and the first of all
+  never waits. New leaders then meet their whole buckets: who is similar to an earlier leader will not lead, and ends
+  with the smallest such leader of all rounds. So of a group of near copies the first few are compared, and all others
+  only with their leader.
 """
 
 from __future__ import annotations
@@ -19,13 +21,19 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
 
+#: Indexed pieces that two similar long sequences share at least.
+AGREE = 6
+#: Earlier undecided sequences of one bucket with which a sequence is compared in one round.
+AHEAD = 32
+
+
 def piece_length(thr: float, longest: int = 5000) -> int:
     """The longest pieces of which two similar sequences always share at least one."""
     allowed = [(m, ceil(round((1 - thr) * m, 9)) - 1) for m in range(1, longest + 1)]
@@ -46,17 +54,30 @@ def identity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def anchored_pieces(seqs: DataFrame, thr: float) -> DataFrame:
-    """(id, bucket): the rarest pieces of every sequence, as many as prove similarity to be impossible without a common one."""
+    """(id, n, agree, bucket): the rarest pieces of every sequence, so many that similar ones share ``agree`` of them (the lesser of both)."""
     q = piece_length(thr)
     n = F.length("sequence")
-    cut = seqs.filter(n >= q).select("id", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(n / q).cast("int") - 1), lambda k: F.substring("sequence", k * q + 1, F.lit(q)))).alias("k", "piece"))
+    cut = seqs.filter(n >= q).select("id", n.alias("n"), F.posexplode(F.regexp_extract_all("sequence", F.lit("(?s).{%d}" % q), F.lit(0))).alias("k", "piece"))
     cut = cut.select("id", "n", F.xxhash64("k", "piece").alias("bucket"))
     often = cut.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")  # a piece of one sequence only joins nothing
     rare = cut.join(often, "bucket").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("b"), F.count("*").alias("shared"))
-    # Differences allowed, and one more; pieces that no other sequence has come first in the order and are counted off.
-    allowed = F.ceil(F.round((1 - F.lit(thr)) * F.col("n"), 9)) - 1
-    own = F.floor(F.col("n") / q) - F.col("shared")
-    return rare.select("id", F.explode(F.slice("b", F.lit(1), F.greatest(F.lit(0), allowed + 1 - own).cast("int"))).alias("b")).select("id", "b.bucket")
+    # Pieces that no other sequence has come first in the order and are counted off.
+    allowed, pieces = F.ceil(F.round((1 - F.lit(thr)) * F.col("n"), 9)) - 1, F.floor(F.col("n") / q)
+    agree = F.greatest(F.lit(1), F.least(F.lit(AGREE), pieces - allowed))
+    take = F.greatest(F.lit(0), allowed + agree - (pieces - F.col("shared"))).cast("int")
+    return rare.select("id", "n", agree.cast("int").alias("agree"), F.explode(F.slice("b", F.lit(1), take)).alias("b")).select("id", "n", "agree", "b.bucket")
+
+
+def _candidates(ahead: DataFrame, index: DataFrame, thr: float) -> DataFrame:
+    """(id, leader): rows of ``index`` and earlier ones of ``ahead`` that share enough pieces and have fitting lengths."""
+    fit = (F.col("id") > F.col("leader")) & (F.least("n", "m") > thr * F.greatest("n", "m"))
+    pairs = ahead.join(index, "bucket").filter(fit).groupBy("id", "leader").agg(F.count("*").alias("common"), F.min(F.least("agree", "also")).alias("least"))
+    return pairs.filter("common >= least").select("id", "leader")
+
+
+def _similar(pairs: DataFrame, seqs: DataFrame, thr: float) -> DataFrame:
+    both = pairs.join(seqs, "id").join(seqs.select(F.col("id").alias("leader"), F.col("sequence").alias("other")), "leader")
+    return both.filter(identity("sequence", "other") > thr).select("id", "leader")
 
 
 def cluster_sequences(proteins: DataFrame, thr: float = 0.8) -> DataFrame:
@@ -80,12 +101,13 @@ def cluster_sequences(proteins: DataFrame, thr: float = 0.8) -> DataFrame:
         if undecided.isEmpty():
             break
         at = index.join(undecided, "id", "left_semi")
-        first = at.groupBy("bucket").agg(F.min("id").alias("first"))
-        leaders = cut_lineage(at.join(first, "bucket").groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("lead")).filter("lead").select("id"))
-        theirs = index.join(leaders, "id", "left_semi").select("bucket", F.col("id").alias("leader"))
-        pairs = theirs.join(index, "bucket").filter("id > leader").select("id", "leader").distinct()
-        pairs = pairs.join(seqs, "id").join(seqs.select(F.col("id").alias("leader"), F.col("sequence").alias("other")), "leader")
-        found = cut_lineage(pairs.filter(identity("sequence", "other") > thr).select("id", "leader"))
+        ranked = at.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
+        ready = cut_lineage(ranked.groupBy("id").agg(F.max("rank").alias("last")).filter(F.col("last") <= AHEAD + 1).select("id"))
+        ahead = ranked.filter(F.col("rank") <= AHEAD).select("bucket", F.col("id").alias("leader"), F.col("n").alias("m"), F.col("agree").alias("also"))
+        blocked = _similar(_candidates(ahead, at.join(ready, "id", "left_semi"), thr), seqs, thr).select("id").distinct()
+        leaders = cut_lineage(ready.join(blocked, "id", "left_anti"))
+        theirs = index.join(leaders, "id", "left_semi").select("bucket", F.col("id").alias("leader"), F.col("n").alias("m"), F.col("agree").alias("also"))
+        found = cut_lineage(_similar(_candidates(theirs, index, thr), seqs, thr))
         links = found if links is None else links.unionByName(found)
         undecided = undecided.join(leaders, "id", "left_anti").join(found.select("id").distinct(), "id", "left_anti")
     home = seqs.select("id") if links is None else seqs.select("id").join(links.groupBy("id").agg(F.min("leader").alias("leader")), "id", "left")

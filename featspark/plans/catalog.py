@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import evolution as E
 from ..sources import views as S
-from . import q_circuits, q_pairs, q_scoring, q_sequence, q_stats, q_streaming, q_structure  # noqa: F401
+from . import q_circuits, q_pairs, q_scoring, q_sequence, q_sparse, q_stats, q_streaming, q_structure  # noqa: F401
 from . import q_reports  # noqa: F401  (after the queries whose SQL it joins)
 from .registry import ORACLES, QUERIES, tidy
 
