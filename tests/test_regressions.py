@@ -202,3 +202,27 @@ def test_bootstrap_of_any_statistic(spark, parts):
     for stat, cols, want, near in ((P.MeanOf(), ["x"], (x @ w) / w.sum(0), 1e-9), (P.CorrelationOf(), ["x", "y"], np.array(corr), 1e-9), (P.QuantileOf(0.5, float(x.min()), float(x.max())), ["x"], np.array(median), 0.02)):
         got = P.bootstrap(df, "id", cols, stat, 120, 0.9, 5, block=50).first()
         assert np.allclose([got.estimate, got.ci_low, got.ci_high], [want.mean(), np.quantile(want, 0.05), np.quantile(want, 0.95)], atol=near)
+
+
+def test_statistical_novelty_fires(spark):
+    """A heavy-tailed, a periodic and an inactive feature: the first two are discoveries with their evidence, the third is not."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for p in range(4):
+        for t in range(72):
+            rows.append((p, t, 0, 0, 30.0 if rng.random() < 0.03 else 0.2 + 0.01 * float(rng.random())))
+            rows.append((p, t, 0, 1, 1.0 if t % 6 == 0 else 0.0))
+            rows.append((p, t, 0, 2, 0.05 * float(rng.random())))
+    act = spark.createDataFrame(rows, "protein_id long, pos long, layer int, feature int, value double")
+    got = {r.feature: r for r in N.statistical_novelty(act).collect()}
+    assert "heavy_tailed" in got[0].evidence and got[0].novelty_score > 0.3
+    assert {"periodic", "sparse_pattern"} & set(got[1].evidence)
+    assert 2 not in got
+    h = {r.feature: r for r in N.hypotheses(N.statistical_novelty(act)).collect()}
+    assert all((r.hypothesis != "") == ("multimodal" in got[f].evidence) for f, r in h.items())
+    e = N.experiments(N.statistical_novelty(act)).filter("feature = 0").collect()
+    assert [x.type for x in e] == ["mutagenesis", "biochemical"]
+    circ = spark.createDataFrame([("a", 7, 3, 0.5, 1.5), ("b", 8, 2, 0.5, 1.1), ("c", 3, 9, 0.5, 3.9)], "structure string, size int, frequency long, avg_weight double, importance double")
+    c = {r.structure: r for r in N.circuit_discoveries(circ).collect()}
+    assert {k: r.feature for k, r in c.items()} == {"a": -1001, "b": -1002} and c["b"].novelty_score == 0.8
+    assert N.hypotheses(N.circuit_discoveries(circ)).filter("feature = -1001").first().hypothesis == "Circuit 1 represents a coordinated functional module"
