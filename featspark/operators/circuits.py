@@ -97,7 +97,7 @@ def _adjacency(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("src").alias("at")).agg(F.array_sort(F.collect_set("dst")).alias("nbs"))
 
 
-def grown_sets(edges: DataFrame, size: int) -> DataFrame:
+def connected_sets(edges: DataFrame, size: int) -> DataFrame:
     """Every connected node set of ``size`` as a sorted array, each arising once, by joins alone.
 
     A set is rooted at its smallest node. A step takes one node of the extension and leaves the earlier ones out for
@@ -209,7 +209,7 @@ def motif_subgraphs(edges: DataFrame, sizes=(3, 4, 5, 6, 7, 8), share: int = SHA
         return _enumerated(edges, sizes, True), _enumerated(edges, sizes, False)
     inst = None
     for k in sizes:
-        part = _structured(grown_sets(edges, k), edges)
+        part = _structured(connected_sets(edges, k), edges)
         inst = part if inst is None else inst.unionByName(part)
     return inst.groupBy("structure", "size").agg(F.count("*").alias("frequency"), F.sum("n_edges").alias("n_edges"), F.sum("weight_sum").alias("weight_sum")), inst
 
