@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.num import count_if, lookup, share
 from ..session import broadcast_if_small
-from .structure import dbscan3d
+from .structure import radius_pairs
 
 FEAT = ["layer", "feature"]
 
@@ -112,14 +113,71 @@ def pattern_novelty(act: DataFrame, coact_score: DataFrame) -> DataFrame:
     return k.filter("novelty_score > 0.4").select(*FEAT, "novelty_score", F.lit(0.7).alias("confidence"), F.lit("pattern").alias("discovery_type"), "evidence")
 
 
+#: Features of one group of :func:`spatial_clusters`, and cells (features x pairs) it looks at in one step.
+BLOCK, STEP = 64, 1 << 21
+
+
+def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node of the component of each of ``n`` nodes; edges a - b."""
+    label = np.arange(n)
+    while True:
+        lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_ = lo != hi
+        if not open_.any():
+            return label
+        a, b = a[open_], b[open_]
+        np.minimum.at(label, hi[open_], lo[open_])
+        while (label != (up := label[label])).any():
+            label = up
+
+
+def _cluster_counts(min_pts: int):
+    """Points and clusters of every feature of one protein, layer and block; a place is paired with itself too."""
+
+    def count(active: pa.Table, pairs: pa.Table) -> pa.Table:
+        i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+        places, apart = np.unique(i[i == j]), i != j
+        a, b = np.searchsorted(places, i[apart]), np.searchsorted(places, j[apart])
+        known = np.isin(active["pos"].to_numpy(), places)
+        feats, row = np.unique(active["feature"].to_numpy()[known], return_inverse=True)
+        live = np.zeros((len(feats), len(places)), bool)
+        live[row, np.searchsorted(places, active["pos"].to_numpy()[known])] = True
+        clusters = []
+        step = max(1, STEP // max(1, len(a), len(places)))
+        for s in range(0, len(feats), step):
+            on = live[s:s + step]
+            f, k = np.nonzero(on[:, a] & on[:, b])
+            u, v = f * len(places) + a[k], f * len(places) + b[k]
+            core = on.ravel() & (np.bincount(u, minlength=on.size) + np.bincount(v, minlength=on.size) + 1 >= min_pts)
+            both = core[u] & core[v]
+            first = _components(u[both], v[both], on.size) == np.arange(on.size)
+            clusters.append((core & first).reshape(on.shape).sum(axis=1))
+        schema = active.schema
+        return pa.table({"layer": pa.array(np.full(len(feats), active["layer"][0].as_py() if len(feats) else 0), schema.field("layer").type), "feature": pa.array(feats, schema.field("feature").type),
+                         "n": pa.array(np.bincount(row, minlength=len(feats)), pa.int64()), "k": pa.array(np.concatenate(clusters or [[]]), pa.int64())})
+
+    return count
+
+
+def spatial_clusters(on: DataFrame, coords: DataFrame, eps: float = 8.0, min_pts: int = 3) -> DataFrame:
+    """(layer, feature, n, k) per protein: active places that have coordinates and their clusters, as :func:`dbscan3d` finds them.
+
+    Neighbours depend on the protein alone, so they are joined once per protein and not once per feature; the tasks
+    look up which of them are active. A group is one protein, layer and block of features.
+    """
+    keys = ["protein_id", "layer", "block"]
+    on = on.select("protein_id", *FEAT, "pos", F.floor(F.col("feature") / BLOCK).alias("block"))
+    near = radius_pairs(coords, eps, inclusive=True).select("protein_id", "i", "j").unionByName(coords.select("protein_id", F.col("pos").alias("i"), F.col("pos").alias("j")))
+    near = on.select(*keys).distinct().join(near, "protein_id").toDF("protein", "at_layer", "at_block", "i", "j")
+    kind = on.schema
+    out = T.StructType([kind["layer"], kind["feature"], T.StructField("n", T.LongType()), T.StructField("k", T.LongType())])
+    return on.groupBy(*keys).cogroup(near.groupBy("protein", "at_layer", "at_block")).applyInArrow(_cluster_counts(min_pts), out)
+
+
 def structural_novelty(act: DataFrame, coords: DataFrame) -> DataFrame:
     """Spatial clusters of a feature's active residues, per protein, averaged: min(1, clusters / (active / 5))."""
-    key = F.concat_ws(":", "protein_id", "layer", "feature")
-    on = act.filter(F.abs("value") > 0.1).select("protein_id", *FEAT, "pos").join(coords, ["protein_id", "pos"])
-    pts = on.withColumn("protein_id", key).select("protein_id", "pos", "x", "y", "z")
-    cl = dbscan3d(pts, 8.0, 3).groupBy("protein_id").agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("k")).filter("n >= 3")
-    parts = F.split("protein_id", ":")
-    s = cl.select(parts[1].cast("int").alias("layer"), parts[2].cast("int").alias("feature"), F.least(F.lit(1.0), F.col("k") / (F.col("n") / 5)).alias("s"))
+    cl = spatial_clusters(act.filter(F.abs("value") > 0.1), coords).filter("n >= 3")
+    s = cl.select(F.col("layer").cast("int").alias("layer"), F.col("feature").cast("int").alias("feature"), F.least(F.lit(1.0), F.col("k") / (F.col("n") / 5)).alias("s"))
     g = s.groupBy(*FEAT).agg(F.avg("s").alias("spatial"))
     k = _combine(g, {"spatial_cluster": (F.col("spatial") > 0.7, F.col("spatial"))})
     return k.filter("novelty_score > 0.4").select(*FEAT, "novelty_score", F.lit(0.6).alias("confidence"), F.lit("structural").alias("discovery_type"), "evidence")
