@@ -56,9 +56,11 @@ def periodicity(act: DataFrame, max_lag: int | None = None, thr: float = 0.1) ->
     n0 = on.groupBy(*FEAT).agg(F.count("*").alias("n0")).filter("n0 >= 5")
     span = act.agg(F.floor((F.max("pos") + 1) / 2).cast("int").alias("max_lag")) if max_lag is None else act.sparkSession.range(1).select(F.lit(max_lag).alias("max_lag"))
     span = F.broadcast(span.filter("max_lag >= 1"))  # one row
+    # Pairs arise inside the join and leave it as counts, so only the active places are shuffled.
     lags = F.explode(F.sequence(F.lit(1), F.col("max_lag"))).alias("lag")
-    lagged = on.crossJoin(span).select("protein_id", *FEAT, lags, "pos").withColumn("pos", F.col("pos") + F.col("lag"))
-    c = lagged.join(on, ["protein_id", *FEAT, "pos"]).groupBy(*FEAT, "lag").agg(F.count("*").alias("k"))
+    gap = F.col("later") - F.col("pos")
+    pairs = on.join(on.withColumnRenamed("pos", "later"), ["protein_id", *FEAT]).filter(gap >= 1).select(*FEAT, gap.cast("int").alias("lag"))
+    c = pairs.join(span, F.col("lag") <= F.col("max_lag")).groupBy(*FEAT, "lag").agg(F.count("*").alias("k"))
     grid = n0.crossJoin(span).select(*FEAT, "n0", lags)
     r = grid.join(c, [*FEAT, "lag"], "left").select(*FEAT, "lag", (F.coalesce("k", F.lit(0)) / F.col("n0")).alias("acf"))
     w = Window.partitionBy(*FEAT).orderBy("lag")
