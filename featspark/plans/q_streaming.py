@@ -9,7 +9,8 @@ from .registry import query
 
 
 def stream_of(s, p, name):
-    return s.readStream.schema(s.read.parquet(f"{p}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(p)
+    """A table as a stream of its files; the pattern in the path stands for a single file as well as for a folder of parts."""
+    return s.readStream.schema(s.read.parquet(f"{p}/{name}.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{p}/{name}.parque[t]")
 
 
 def vec_stream(s, p):
