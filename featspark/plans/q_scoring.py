@@ -282,7 +282,7 @@ def _(s, p):
     return B.resample(S.activations(s, p), 10)
 
 
-@query("B19_repeat_protein", "select protein_id, layer, feature, r.pos, pooled from (select protein_id, layer, feature, avg(value) as pooled from act group by all), range(25) r(pos)", "act", d="pooled")
+@query("B19_repeat_protein", "select protein_id, layer, feature, r.pos, pooled from (select protein_id, layer, feature, avg(value) as pooled from act group by all) join (select protein_id, unnest(range(max(pos)+1)) as pos from act group by protein_id) r using (protein_id)", "act", d="pooled")
 def _(s, p):
     act = S.activations(s, p)
     n = act.groupBy("protein_id").agg((F.max("pos") + 1).alias("length"))
