@@ -276,8 +276,8 @@ def _(s, p):
     return B.pass_messages(act, B.level_links(act, ss_regions(s, p), S.token_domains(s, p)))
 
 
-@query("B19_resample", """select protein_id, layer, feature, t as pos, sum(value*w) as value from (select t, lo as pos, 1-f as w from g union all select t, least(lo+1, 24), f from g) e join act using (pos) group by all""", "act", d="value",
-       extra="g as (select t, floor(x)::bigint as lo, x-floor(x) as f from (select t, greatest(0, (t+0.5::double)*25/10-0.5::double) as x from range(10) r(t)))")
+@query("B19_resample", """select protein_id, layer, feature, t as pos, sum(value*w) as value from (select protein_id, t, lo as pos, 1-f as w from g union all select protein_id, t, least(lo+1, n-1), f from g) e join act using (protein_id, pos) group by all""", "act", d="value",
+       extra="""g as (select protein_id, n, t, floor(x)::bigint as lo, x-floor(x) as f from (select protein_id, n, t, greatest(0, (t+0.5::double)*n/10-0.5::double) as x from (select protein_id, max(pos)+1 as n from act group by protein_id), range(10) r(t)))""")
 def _(s, p):
     return B.resample(S.activations(s, p), 10)
 
