@@ -464,7 +464,7 @@ def _(s, p):
     return L.fill_missing(S.proteins(s, p).select("protein_id").join(c, "protein_id", "left"), ["x"])
 
 
-@query("P12_pad_export", "select protein_id, layer, 25 as length, 30 as padded, sum(value) as total from act group by all", "act", d="total", i="length padded")
+@query("P12_pad_export", "select protein_id, layer, count(distinct pos) as length, 30 as padded, sum(value) as total from (select *, dense_rank() over (partition by protein_id, layer order by pos) as k from act) where k<=30 group by all", "act", d="total", i="length padded")
 def _(s, p):
     e = L.pad_export(S.activations_vec(s, p), 30)
     return e.select("protein_id", "layer", "length", F.size("rows").alias("padded"), F.aggregate("rows", F.lit(0.0), lambda a, r: a + F.aggregate(r, F.lit(0.0), lambda b, v: b + v)).alias("total"))
