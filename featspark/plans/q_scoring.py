@@ -542,7 +542,7 @@ def _(s, p):
     return S.proteins(s, p).select("protein_id", F.length("sequence").alias("length"), "lang", "source")
 
 
-@query("S18_read_structures", """select p.protein_id, r.pos, coalesce(c.x,0) as x, c.x is not null as has_structure from (select distinct protein_id from tok) p cross join range(30) r(pos) left join coords c on c.protein_id=p.protein_id and c.pos=r.pos where r.pos<25""", "tok coords", d="x")
+@query("S18_read_structures", """select p.protein_id, r.pos, coalesce(c.x,0) as x, c.x is not null as has_structure from (select protein_id, unnest(range(length(sequence))) as pos from tprot) r join tprot p using (protein_id) left join coords c on c.protein_id=p.protein_id and c.pos=r.pos""", "tprot coords", d="x")
 def _(s, p):
     from ..sources.readers import structures_for
     prot = S.token_proteins(s, p)
