@@ -162,7 +162,8 @@ def _(s, p):
     return C.circuit_jaccard(C.circuit_nodes(motifs_of(s, p)[1]))
 
 
-MODU = """(select 1-coalesce(sum(k::double/(x.n+y.n-k)),0)/(t.c*(t.c-1)/2) from (select count(*) as c from circ) t, jac join cfn x on x.structure=a join cfn y on y.structure=b group by t.c)"""
+# Without two circuits, or without a shared feature, there is no overlap: 1.
+MODU = """(select 1-coalesce(coalesce(sum(k::double/(x.n+y.n-k)),0)/nullif((select count(*)*(count(*)-1)/2 from circ),0),0) from jac join cfn x on x.structure=a join cfn y on y.structure=b)"""
 
 
 @query("SO4_circuit_modularity", f"select {MODU} as modularity", "act", d="modularity", extra=",".join([BASE, JAC]))
