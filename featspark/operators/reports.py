@@ -89,11 +89,13 @@ def biophysics(res: DataFrame, coords: DataFrame) -> Report:
             "hbond_energy": T.hbond_energy(hb), "hbond_motifs": T.hbond_motifs(hb), "hbond_network": T.hbond_network(hb, res)}
 
 
-def properties(res: DataFrame, proteins: DataFrame) -> Report:
-    """Property patterns along sequences: hydrophobic clusters, charges, structure regions, their transitions, motifs, and the row per protein."""
-    helix = Q.runs(res, F.col("ss").isin("H", "G", "I"), 3)
-    return {"clusters": Q.runs(Q.residue_properties(res), F.col("kd_unit") > 0.6, 3, "kd_unit", close_open=False), "charge": Q.charge_distribution(res), "helices": helix,
-            "transitions": Q.transitions_ss(res), "sequence_motifs": Q.sequence_motifs(proteins), "property_motifs": Q.property_motifs(proteins), "per_protein": Q.property_patterns(res)}
+def properties(proteins: DataFrame) -> Report:
+    """Property patterns along sequences (``sequence``, ``states``): hydrophobic clusters, charges, structure regions, their transitions, motifs, and the row per protein."""
+    per = Q.property_patterns_of(proteins)
+    changes = proteins.select("protein_id", F.posexplode(F.split("states", "")).alias("pos", "ss"))
+    return {"clusters": Q.hydrophobic_runs_of(proteins), "charge": per.select("protein_id", "positive_fraction", "negative_fraction", "net_charge"), "helices": Q.runs_of(proteins, "HGI", 3),
+            "transitions": Q.transitions_ss(changes), "transition_counts": Q.transition_counts_of(proteins), "sequence_motifs": Q.sequence_motifs(proteins),
+            "property_motifs": Q.property_motifs(proteins), "per_protein": per}
 
 
 def circuits(edges: DataFrame, vec: DataFrame, labels: DataFrame, thr: float = 0.7, sizes=(3, 4, 5, 6, 7, 8)) -> Report:

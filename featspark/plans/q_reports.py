@@ -91,8 +91,8 @@ def _(s, p):
     "helices": ("W2_runs", "protein_id start end", "length"), "transitions": ("W3_transitions", "protein_id from_state to_state", "n"), "sequence_motifs": ("B10_sequence_motifs", "protein_id motif", "n pos_sum"),
     "property_motifs": ("B10_property_motifs", "protein_id", "n pos_sum confidence")})
 def _(s, p):
-    r = R.properties(S.residues(s, p), S.proteins(s, p))
-    counted = {"transitions": r["transitions"].groupBy("protein_id", "from_state", "to_state").agg(F.count("*").alias("n")),
+    r = R.properties(S.states(s, p))
+    counted = {"transitions": r["transition_counts"],
                "sequence_motifs": r["sequence_motifs"].groupBy("protein_id", "motif").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum")),
                "property_motifs": r["property_motifs"].groupBy("protein_id").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"), F.avg("confidence").alias("confidence"))}
     return r | counted

@@ -100,7 +100,7 @@ def _(s, p):
 @query("P18_hbond_sites", f"""select protein_id, sum((aa in ({in_list(K.DONOR_SIDE)}) or pos>0)::int) as donors, sum((aa in ({in_list(K.ACCEPTOR_SIDE)}) or pos<last)::int) as acceptors
  from (select *, max(pos) over (partition by protein_id) as last from res) group by protein_id""", "res", i="donors acceptors")
 def _(s, p):
-    h = Q.hbond_sites(S.residues(s, p))
+    h = Q.hbond_sites_of(S.proteins(s, p))
     return h.groupBy("protein_id").agg(F.sum(F.col("donor").cast("int")).alias("donors"), F.sum(F.col("acceptor").cast("int")).alias("acceptors"))
 
 
@@ -114,7 +114,7 @@ def _(s, p):
        "res domains")
 def _(s, p):
     d = S.domains(s, p).filter("end > start")
-    return Q.in_region(S.residues(s, p), d).groupBy("protein_id", "domain_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return Q.in_region_of(S.proteins(s, p), d).groupBy("protein_id", "domain_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 RUNS = """(select protein_id, min(pos) as "start", max(pos)+1 as "end", count(*) as length{x} from (select *, pos-row_number() over (partition by protein_id order by pos) as g from {src} where {cond}) group by protein_id, g having count(*)>={n})"""
@@ -122,18 +122,18 @@ RUNS = """(select protein_id, min(pos) as "start", max(pos)+1 as "end", count(*)
 
 @query("W2_runs", "select * from " + RUNS.format(x="", src="res", cond="ss in ('H','G','I')", n=3), "res")
 def _(s, p):
-    return Q.runs(S.residues(s, p), F.col("ss").isin("H", "G", "I"), 3)
+    return Q.runs_of(S.states(s, p), "HGI", 3)
 
 
 @query("W2_hydrophobic_clusters", "select c.* from " + RUNS.format(x=", avg(kd_unit) as score", src="(select r.*, (kd+5)/10.0::double as kd_unit from res r join pt using (aa))", cond="kd_unit>0.6", n=3)
        + """ c join (select protein_id, max(pos) as last from res group by protein_id) l using (protein_id) where c."end"<=l.last""", "res", d="score", extra=PT)
 def _(s, p):
-    return Q.runs(Q.residue_properties(S.residues(s, p)), F.col("kd_unit") > 0.6, 3, "kd_unit", close_open=False)
+    return Q.hydrophobic_runs_of(S.proteins(s, p))
 
 
 @query("W3_transitions", "select protein_id, from_state, ss as to_state, count(*) as n from (select protein_id, ss, lag(ss) over (partition by protein_id order by pos) as from_state from res) where from_state<>ss group by all", "res")
 def _(s, p):
-    return Q.transitions_ss(S.residues(s, p)).groupBy("protein_id", "from_state", "to_state").agg(F.count("*").alias("n"))
+    return Q.transition_counts_of(S.states(s, p))
 
 
 @query("W5_disorder_windows", f"""select protein_id, count(*) as n_windows, min(pos) as first_start, sum(k) as k_sum from (select protein_id, pos, sum((aa in ({in_list(K.DISORDER)}))::int) over (partition by protein_id order by pos rows between current row and 19 following) as k,
@@ -180,7 +180,7 @@ select b.protein_id, b.length, helix_fraction, sheet_fraction, coil_fraction, co
 
 @query("A43_ss_quality", SSQ, "res", d="helix_fraction sheet_fraction coil_fraction valid_helix valid_sheet complexity transition_rate")
 def _(s, p):
-    return Q.ss_quality(S.residues(s, p))
+    return Q.ss_quality_of(S.states(s, p))
 
 
 @query("B10_sequence_motifs", """select protein_id, motif, count(*) as n, sum(pos) as pos_sum from (select protein_id, pos, 'zinc_finger' as motif from l where aa='C' and a3='C' union all
@@ -211,18 +211,18 @@ LEADS = "l as (select protein_id, pos, ss as s0, " + ", ".join(f"lead(ss,{k}) ov
 
 @query("B11_ss_motifs", ssm_sql("res"), "res", d="confidence", extra=LEADS.format(src="res"))
 def _(s, p):
-    return Q.ss_motifs(S.residues(s, p))
+    return Q.ss_motifs_of(S.states(s, p))
 
 
 @query("W22_remove_overlaps")
 def _(s, p):
-    return Q.remove_overlaps(Q.ss_motifs(S.residues(s, p)))
+    return Q.remove_overlaps(Q.ss_motifs_of(S.states(s, p)))
 
 
 @query("J6_variant_sites", """select r.protein_id, pos, aa, v.mut, v.cls as class from res r join (values (53,'R','H','pathogenic'),(175,'R','H','pathogenic'),(72,'P','R','benign')) v(vpos, wt, mut, cls) on v.vpos=r.pos and v.wt=r.aa""", "res")
 def _(s, p):
     v = s.createDataFrame(K.VARIANTS, "pos int, wt string, mut string, disease string, class string")
-    return Q.variant_sites(S.residues(s, p).select("protein_id", "pos", "aa"), v).select("protein_id", "pos", "aa", "mut", "class")
+    return Q.variant_sites_of(S.proteins(s, p), v).select("protein_id", "pos", "aa", "mut", "class")
 
 
 @query("B18_property_correlation", "select layer, feature, corr(value, (kd+5)/10) as corr, count(*) as n from act join tok using (protein_id, pos) join pt using (aa) where kd<>-5 group by all having count(*)>10".replace("corr(value, (kd+5)/10)", "case when not isnan(corr(value, (kd+5)/10)) then corr(value, (kd+5)/10) end"),
@@ -240,7 +240,7 @@ def _(s, p):
  left join (select protein_id, count(*) as n from (select protein_id, ss, lag(ss) over (partition by protein_id order by pos) as f from res) where f<>ss group by protein_id) t using (protein_id)""", "res",
        d="positive_fraction negative_fraction net_charge avg_cluster avg_score", extra=PT)
 def _(s, p):
-    return Q.property_patterns(S.residues(s, p))
+    return Q.property_patterns_of(S.states(s, p))
 
 
 @query("A49_level_summary", """select a.protein_id, property_share, structure_share, domain_share from (select protein_id, avg((m>0.1)::int) as property_share from (select protein_id, feature, avg(abs(value)) as m from act group by all) group by protein_id) a

@@ -95,6 +95,11 @@ def residues(spark, path) -> DataFrame:
     return r.select("protein_id", "pos", "aa", F.substring(F.lit(SS8), F.ascii("aa") % 8 + 1, F.lit(1)).alias("ss"))
 
 
+def states(spark, path) -> DataFrame:
+    """Proteins with the structure letters of :func:`residues` as one string."""
+    return proteins(spark, path).withColumn("states", F.translate("sequence", AMINO, "".join(SS8[ord(a) % 8] for a in AMINO)))
+
+
 def domains(spark, path) -> DataFrame:
     p = proteins(spark, path)
     n = F.length("sequence")
