@@ -216,7 +216,7 @@ def _(s, p):
 
 @query("W22_remove_overlaps")
 def _(s, p):
-    return Q.remove_overlaps(Q.ss_motifs_of(S.states(s, p)))
+    return Q.ss_motifs_of(S.states(s, p), overlaps=False)
 
 
 @query("J6_variant_sites", """select r.protein_id, pos, aa, v.mut, v.cls as class from res r join (values (53,'R','H','pathogenic'),(175,'R','H','pathogenic'),(72,'P','R','benign')) v(vpos, wt, mut, cls) on v.vpos=r.pos and v.wt=r.aa""", "res")
