@@ -1,37 +1,37 @@
 """Greedy leader clustering of sequences by positional identity.
 
 In id order a sequence joins the first leader it is similar to (equal letters at equal positions / longer length > thr)
-or becomes a leader itself. The sequential rule is kept exactly, without comparing all pairs:
+or becomes a leader itself. The sequential rule is kept exactly:
 
 * Equal sequences are one, under their smallest id.
-* Every sequence is cut into pieces of ``q`` letters at fixed positions. Two similar sequences differ in fewer places
-  than they have pieces, so they agree in a minimum number of pieces; it is enough to index the rarest ones of each
-  sequence, ``AGREE`` more than it may have differences (prefix filter): similar sequences then share as many of them
-  (fewer for short ones). Very common pieces are hardly ever indexed, and pairs below that count are never compared.
-* Leaders are elected in rounds. An undecided sequence that is similar to no earlier undecided one leads. It is compared
-  only if none of its buckets holds more than ``AHEAD`` earlier undecided ones; the others wait, and the first of all
-  never waits. New leaders then meet their whole buckets: who is similar to an earlier leader will not lead, and ends
-  with the smallest such leader of all rounds. So of a group of near copies the first few are compared, and all others
-  only with their leader.
+* Similar sequences lie in the same band of lengths or in neighbouring ones. Bands are cut into blocks of ``BLOCK``
+  letters; a task takes two blocks and returns for every sequence its first ``AHEAD`` earlier similar ones. Sequences travel,
+  their pieces and candidate pairs never do.
+* In a task every sequence is cut into pieces of ``q`` letters at fixed positions. Two similar sequences differ in fewer
+  places than they have pieces, so of the rarest pieces of a sequence, ``AGREE`` more than it may have differences, a similar
+  one has as many (fewer for short ones). Only pairs with so many are compared.
+* Links elect leaders in rounds: without an earlier similar sequence that leads or is undecided, a sequence leads; if the
+  first of these leads, it is the home. A sequence whose links were cut at ``AHEAD`` and all turned out members is asked again.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, log
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
 
-#: Indexed pieces that two similar long sequences share at least.
+#: Chosen pieces that two similar long sequences share at least.
 AGREE = 6
-#: Earlier undecided sequences of one bucket with which a sequence is compared in one round.
+#: Earlier similar sequences that a task returns for one sequence.
 AHEAD = 32
+#: Letters of a block, about; a task holds two blocks and the pieces of one.
+BLOCK = 16_000_000
 
 
 def piece_length(thr: float, longest: int = 5000) -> int:
@@ -41,43 +41,104 @@ def piece_length(thr: float, longest: int = 5000) -> int:
     return next((q for q in range(differing[0][0] if differing else 1, 0, -1) if all(m // q > d for m, d in differing)), 1)
 
 
-@F.pandas_udf(T.DoubleType())
-def identity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Equal letters at equal positions divided by the longer length."""
-
-    def one(x, y):
-        u, v = np.frombuffer(x.encode("utf-32-le"), np.uint32), np.frombuffer(y.encode("utf-32-le"), np.uint32)
-        n = min(len(u), len(v))
-        return float((u[:n] == v[:n]).sum()) / max(len(u), len(v), 1)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
-
-
-def anchored_pieces(seqs: DataFrame, thr: float) -> DataFrame:
-    """(id, n, agree, bucket): the rarest pieces of every sequence, so many that similar ones share ``agree`` of them (the lesser of both)."""
-    q = piece_length(thr)
-    n = F.length("sequence")
-    cut = seqs.filter(n >= q).select("id", n.alias("n"), F.posexplode(F.regexp_extract_all("sequence", F.lit("(?s).{%d}" % q), F.lit(0))).alias("k", "piece"))
-    cut = cut.select("id", "n", F.xxhash64("k", "piece").alias("bucket"))
-    often = cut.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")  # a piece of one sequence only joins nothing
-    rare = cut.join(often, "bucket").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("b"), F.count("*").alias("shared"))
-    # Pieces that no other sequence has come first in the order and are counted off.
-    allowed, pieces = F.ceil(F.round((1 - F.lit(thr)) * F.col("n"), 9)) - 1, F.floor(F.col("n") / q)
-    agree = F.greatest(F.lit(1), F.least(F.lit(AGREE), pieces - allowed))
-    take = F.greatest(F.lit(0), allowed + agree - (pieces - F.col("shared"))).cast("int")
-    return rare.select("id", "n", agree.cast("int").alias("agree"), F.explode(F.slice("b", F.lit(1), take)).alias("b")).select("id", "n", "agree", "b.bucket")
-
-
-def _candidates(ahead: DataFrame, index: DataFrame, thr: float) -> DataFrame:
-    """(id, leader): rows of ``index`` and earlier ones of ``ahead`` that share enough pieces and have fitting lengths."""
-    fit = (F.col("id") > F.col("leader")) & (F.least("n", "m") > thr * F.greatest("n", "m"))
-    pairs = ahead.join(index, "bucket").filter(fit).groupBy("id", "leader").agg(F.count("*").alias("common"), F.min(F.least("agree", "also")).alias("least"))
-    return pairs.filter("common >= least").select("id", "leader")
-
-
-def _similar(pairs: DataFrame, seqs: DataFrame, thr: float) -> DataFrame:
-    both = pairs.join(seqs, "id").join(seqs.select(F.col("id").alias("leader"), F.col("sequence").alias("other")), "leader")
-    return both.filter(identity("sequence", "other") > thr).select("id", "leader")
+def allowed(n, thr: float):
+    """Differing places that a sequence of ``n`` letters may have at most to a similar one, its surplus of letters included."""
+    return np.ceil(np.round((1 - thr) * np.asarray(n, float), 9)).astype(np.int64) - 1
+
+
+def _piece_for(n: np.ndarray, thr: float) -> int:
+    """The longest pieces of which sequences of these lengths have ``AGREE`` more than differences, or as many more as can be."""
+    return next(q for more in range(AGREE, 0, -1) for q in range(8, 0, -1) if (n // q - allowed(n, thr) >= more).all() or (q, more) == (1, 1))
+
+
+def _pieces(codes: list[np.ndarray], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of (place, letters) of all whole pieces of the sequences, and their number in each."""
+    count = np.array([len(x) // q for x in codes], np.int64)
+    if not count.sum():
+        return np.zeros(0, np.uint64), count
+    cells = np.concatenate([x[:n * q] for x, n in zip(codes, count)]).reshape(-1, q)
+    key = (np.arange(len(cells)) - np.repeat(count.cumsum() - count, count)).astype(np.uint64)
+    for k in range(q):
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ (cells[:, k] + np.uint64(1))
+        key ^= key >> np.uint64(29)
+    return key * np.uint64(0xBF58476D1CE4E5B9), count
+
+
+def _earlier_similar(ids, codes, ref_ids, refs, thr: float) -> dict[int, list]:
+    """For the place of each sequence: the first ``AHEAD`` similar ones of ``refs`` (ascending ids) with smaller ids."""
+    n = np.array([len(x) for x in codes], np.int64)
+    found = {i: [] for i in np.flatnonzero(n).tolist()}
+    if not found or not len(refs):
+        return found
+    q = _piece_for(n[list(found)], thr)
+    # The first references come first: of a group of near copies most are done with them.
+    for lo, hi in ((0, len(refs) // 16), (len(refs) // 16, len(refs))):
+        open_ = [i for i, x in found.items() if len(x) < AHEAD and hi > lo and ids[i] > ref_ids[lo]]
+        if not open_:
+            continue
+        keys, count = _pieces(refs[lo:hi], q)
+        order = np.argsort(keys, kind="stable")
+        owner, keys = np.repeat(np.arange(hi - lo), count)[order].astype(np.int32), keys[order]
+        step = max(1, min(256, (1 << 22) // (hi - lo)))
+        for at in range(0, len(open_), step):
+            part = open_[at:at + step]
+            mine, have = _pieces([codes[i] for i in part], q)
+            first = np.searchsorted(keys, mine)
+            size = np.searchsorted(keys, mine, "right") - first
+            row = np.repeat(np.arange(len(part)), have)
+            may = allowed(n[part], thr)
+            least = np.clip(have - may, 1, AGREE)
+            by = np.lexsort((size, row))
+            by = by[(np.arange(len(by)) - np.repeat(have.cumsum() - have, have) < np.repeat(may + least, have)) & (size[by] > 0)]
+            for some in np.split(by, np.flatnonzero(np.diff(size[by].cumsum() >> 22)) + 1) if len(by) else []:
+                hits = size[some]
+                place = np.arange(hits.sum()) + np.repeat(first[some] - hits.cumsum() + hits, hits)
+                met = np.bincount(np.repeat(row[some], hits) * (hi - lo) + owner[place], minlength=len(part) * (hi - lo))
+                total = met if some[0] == by[0] else total + met
+            if not len(by):
+                continue
+            total = total.reshape(len(part), hi - lo)
+            for r, k in zip(*(x.tolist() for x in np.nonzero(total >= least[:, None]))):
+                i, other = part[r], refs[lo + k]
+                if len(found[i]) < AHEAD and ref_ids[lo + k] < ids[i]:
+                    m = min(n[i], len(other))
+                    if int((codes[i][:m] == other[:m]).sum()) / max(n[i], len(other)) > thr:
+                        found[i].append(ref_ids[lo + k])
+    return found
+
+
+def _links(seqs: DataFrame, asked: DataFrame, thr: float) -> DataFrame:
+    """(id, leader, last): for sequences with ``ask`` the first earlier similar ones of all ``seqs`` that each task found; ``last``: more may follow it."""
+    band = F.floor(F.log(F.greatest(F.length("sequence"), F.lit(1)).cast("double")) / F.lit(log(1 / thr) * (1 + 1e-9)))
+    rows = seqs.join(asked, "id", "left").select("id", "sequence", F.coalesce("ask", F.lit(False)).alias("ask"), band.cast("int").alias("band"))
+    blocks = {r.band: 1 + r.letters // BLOCK for r in rows.groupBy("band").agg(F.sum(F.length("sequence")).alias("letters")).collect()}  # a row for each power of 1 / thr
+    tiles = {a: [(a, i, b, j) for i in range(k) for b in (a - 1, a, a + 1) if b in blocks for j in range(blocks[b])] for a, k in blocks.items()}
+    numbers: dict = {}
+    routes = []
+    for a, pairs in tiles.items():
+        for a, i, b, j in pairs:
+            one = numbers.setdefault(min((a, i, b, j), (b, j, a, i)), len(numbers))
+            routes.append((a, i, one, (a, i) <= (b, j)))
+    spark = seqs.sparkSession
+    routes = spark.createDataFrame(routes or [(0, 0, 0, True)], "band int, block long, tile int, left boolean")
+    sizes = spark.createDataFrame(list(blocks.items()) or [(0, 1)], "band int, blocks long")
+    placed = rows.join(F.broadcast(sizes), "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+    kind = seqs.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, ask, left = table["id"].to_pylist(), table["ask"].to_pylist(), table["left"].to_pylist()
+        codes = [np.frombuffer(x.encode("ascii"), np.uint8) if x.isascii() else np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in table["sequence"].to_pylist()]
+        sides = [[i for i in range(len(ids)) if left[i] == s] for s in (True, False)]
+        out = []
+        for us, them in ((sides[0], sides[0]),) if not sides[1] else ((sides[0], sides[1]), (sides[1], sides[0])):
+            us = [i for i in us if ask[i]]
+            for i, got in _earlier_similar([ids[i] for i in us], [codes[i] for i in us], [ids[i] for i in them], [codes[i] for i in them], thr).items():
+                out += [(ids[us[i]], y, len(got) >= AHEAD and y == got[-1]) for y in got]
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table([pa.array(cols[0], table.schema.field("id").type), pa.array(cols[1], table.schema.field("id").type), pa.array(cols[2], pa.bool_())], names=["id", "leader", "last"])
+
+    return placed.join(F.broadcast(routes), ["band", "block"]).select("tile", "left", "id", "ask", "sequence").groupBy("tile").applyInArrow(run, f"id {kind}, leader {kind}, last boolean")
 
 
 def cluster_sequences(proteins: DataFrame, thr: float = 0.8) -> DataFrame:
@@ -93,25 +154,30 @@ def cluster_sequences(proteins: DataFrame, thr: float = 0.8) -> DataFrame:
     seqs = cut_lineage(ids)
     same = named.select("protein_id", "sha").join(seqs.select("sha", "id"), "sha")
     seqs = seqs.select("id", "sequence")
-    index = cut_lineage(anchored_pieces(seqs, thr))
-    undecided = index.select("id").distinct()
-    links = None  # (id, leader): every link between a sequence and an earlier similar leader
+    undecided = seqs.filter(F.length("sequence") > 0).select("id", F.lit(True).alias("ask"))
+    links = home = None  # (id, leader): links of the undecided to leaders and undecided ones; homes of the decided
     while True:
         undecided = cut_lineage(undecided)
         if undecided.isEmpty():
             break
-        at = index.join(undecided, "id", "left_semi")
-        ranked = at.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        ready = cut_lineage(ranked.groupBy("id").agg(F.max("rank").alias("last")).filter(F.col("last") <= AHEAD + 1).select("id"))
-        ahead = ranked.filter(F.col("rank") <= AHEAD).select("bucket", F.col("id").alias("leader"), F.col("n").alias("m"), F.col("agree").alias("also"))
-        blocked = _similar(_candidates(ahead, at.join(ready, "id", "left_semi"), thr), seqs, thr).select("id").distinct()
-        leaders = cut_lineage(ready.join(blocked, "id", "left_anti"))
-        theirs = index.join(leaders, "id", "left_semi").select("bucket", F.col("id").alias("leader"), F.col("n").alias("m"), F.col("agree").alias("also"))
-        found = cut_lineage(_similar(_candidates(theirs, index, thr), seqs, thr))
-        links = found if links is None else links.unionByName(found)
-        undecided = undecided.join(leaders, "id", "left_anti").join(found.select("id").distinct(), "id", "left_anti")
-    home = seqs.select("id") if links is None else seqs.select("id").join(links.groupBy("id").agg(F.min("leader").alias("leader")), "id", "left")
-    home = home.select("id", F.coalesce("leader", "id").alias("leader_id")) if links is not None else home.withColumn("leader_id", F.col("id"))
-    out = same.select("protein_id", "id").join(home, "id").select("protein_id", "leader_id")
+        asked = undecided.filter("ask")
+        if not asked.isEmpty():
+            # Members lead nobody: they take no part any more.
+            still = seqs if home is None else seqs.join(home.filter("id <> leader").select("id"), "id", "left_anti")
+            new = cut_lineage(_links(still, asked, thr))
+            known = new.filter("last").groupBy("id").agg(F.min("leader").alias("known"))  # of earlier ones beyond, some tasks told nothing
+            new = new.join(known, "id", "left").filter("known is null or leader <= known").select("id", "leader")
+            undecided = undecided.join(known, "id", "left").select("id", F.when(F.col("ask"), F.col("known").isNotNull()).otherwise(F.col("more") if "more" in undecided.columns else F.lit(False)).alias("more"))
+            links = cut_lineage(new if links is None else links.unionByName(new))
+        first = undecided.join(links.groupBy("id").agg(F.min("leader").alias("leader")), "id", "left")
+        leaders = first.filter("leader is null and not more").select("id", F.col("id").alias("leader"))
+        home = cut_lineage(leaders if home is None else home.unionByName(leaders))
+        heads = home.filter("id = leader").select("leader")
+        settled = first.join(heads, "leader", "left_semi").select("id", "leader")
+        home = cut_lineage(home.unionByName(settled))
+        links = cut_lineage(links.join(home.select("id"), "id", "left_anti").join(home.filter("id <> leader").select(F.col("id").alias("leader")), "leader", "left_anti").select("id", "leader"))
+        undecided = undecided.join(home, "id", "left_anti")
+        undecided = undecided.join(links.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left").select("id", "more", (F.col("linked").isNull() & F.col("more")).alias("ask"))
+    home = seqs.select("id", F.col("id").alias("leader")).limit(0) if home is None else home
+    out = same.select("protein_id", "id").join(home.withColumnRenamed("leader", "leader_id"), "id", "left").select("protein_id", F.coalesce("leader_id", "id").alias("leader_id"))
     return out.join(out.groupBy("leader_id").agg(F.count("*").alias("size")), "leader_id").select("protein_id", "leader_id", "size")
-

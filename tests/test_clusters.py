@@ -1,6 +1,7 @@
 """Leader clustering against the greedy loop."""
 
 import random
+import time
 
 import pytest
 
@@ -80,3 +81,15 @@ def test_pieces_always_meet():
     for thr in (0.5, 0.6, 0.8, 0.9, 0.95):
         q = K.piece_length(thr)
         assert q >= 1 and all(m // q > -(-round((1 - thr) * m, 9) // 1) - 1 for m in range(q, 3000) if -(-round((1 - thr) * m, 9) // 1) > 1)
+
+
+def test_pieces_and_candidates_are_not_shuffled(spark):
+    """Unrelated sequences of few letters share many pieces; only the sequences travel, a few times each."""
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("ACD") for _ in range(600))) for i in range(150)] + [(200, "A" * 4), (201, "AAAAC")]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert run(spark, rows, 0.8) == greedy(rows, 0.8)
+    time.sleep(1)
+    assert written() - before < 1 << 20
+    assert run(spark, [(1, "AAAAA"), (2, "AAAAAC"), (3, "AAAAC")], 0.8) == {1: 1, 2: 1, 3: 3}
