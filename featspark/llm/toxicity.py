@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are letter words and their first four, five and six letters; every term of the whole text counts. They are
-known by 64-bit hashes. The index holds the labelled examples, a bounded, documented sample of training rows
+known by hashes of 63 bits. The index holds the labelled examples, a bounded, documented sample of training rows
 (``per_class`` expected rows of each label, chosen by a hash of the identifier); document frequencies are counted
 over all documents, for terms of the examples as well as for those that occur in no example.
 
 A term without an example cannot add to a cosine, only to the length of the document's vector. So the nearest
 examples are found by the terms of the index alone, and the squares of the other weights are added up by a
-join on numbers afterwards. Frequent terms of the index are rows of a dense block scored by one product, the
-others are sparse postings; nothing is skipped. Neighbours vote with weight 1 / (distance + 0.05); a monotone map
+join on numbers afterwards. Examples are put into groups that share frequent words (languages, as a rule). The frequent
+terms of a group are rows of its dense tile, all other weights are sparse postings; nothing is skipped. A text with many
+terms of a tile is scored by a product, one with few by adding up their rows. Neighbours vote with weight 1 / (distance + 0.05); a monotone map
 fitted on the sample, each example scored without itself, calibrates the share. The closest examples are evidence.
 
 Defined results: null text counts as empty; a text without any term of an example gets the label rate of
@@ -22,35 +23,50 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_digest as digest
 
-from .bytepair import Memo
 from .common import ids_and_text, map_rows, stash
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Terms that are rows of the dense block, at most.
-DENSE = 1024
-
-
-def _hashes(word: str) -> bytes:
-    terms = [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) >= k)]
-    return b"".join(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for t in terms)
-
-
-@lru_cache(maxsize=1)
-def _memo() -> Memo:
-    return Memo(_hashes)
-
-
-def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the terms of a whole text, ascending, and their counts."""
-    return np.unique(np.frombuffer(b"".join(map(_memo().__getitem__, WORD.findall((text or "").lower()))), "<u8"), return_counts=True)
+#: Latin-1 with a space in place of all that is in no word.
+LETTERS = bytes(c if WORD.match(chr(c)) else 32 for c in range(256))
+#: Terms that are rows of the dense tile of a group, at most; a row also needs one weight in SPARSE places.
+DENSE, SPARSE = 1536, 12
+#: Groups of examples, and how many terms of a tile a text may have to be scored row by row.
+GROUPS, FEW = 8, 48
+#: Words whose terms a worker keeps; beyond it, it starts anew. It bounds memory, not results.
+CACHE = 250_000
+
+
+def words_of(text: str | None) -> list:
+    """The letter words of a whole text in lower case, as Latin-1 where it has no other characters."""
+    text = (text or "").lower()
+    try:
+        return text.encode("latin-1").translate(LETTERS).split()
+    except UnicodeEncodeError:
+        return WORD.findall(text)
+
+
+def _hashes(word: str | bytes) -> list[bytes]:
+    if isinstance(word, bytes):
+        if word.isascii():
+            n = len(word)
+            if n < 4:
+                return [digest(word)]
+            terms = [digest(word), digest(word[:4] + b"~")]
+            if n > 4:
+                terms.append(digest(word[:5] + b"~"))
+            if n > 5:
+                terms.append(digest(word[:6] + b"~"))
+            return terms
+        word = word.decode("latin-1")
+    return [digest(t.encode("utf-8", "surrogatepass")) for t in (word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) >= k))]
 
 
 def places(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +75,47 @@ def places(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
 
 
+class Terms:
+    """Codes of the terms of texts: the place in an ascending vocabulary of hashes, or the hash itself, which is negative."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.memo = vocabulary, {}
+
+    def __getstate__(self):
+        return {"vocabulary": self.vocabulary, "memo": {}}
+
+    def coded(self, texts: list) -> list[bytes]:
+        """Of each whole text the codes of all its terms, as bytes."""
+        words, memo = [words_of(t) for t in texts], self.memo
+        if len(memo) > CACHE:
+            memo.clear()
+        made = [list(map(memo.get, w)) for w in words]
+        if new := list({x for w, m in zip(words, made) if None in m for x, c in zip(w, m) if c is None}):
+            parts = [_hashes(w) for w in new]
+            terms = np.frombuffer(b"".join([h for p in parts for h in p]), ">i8").astype(np.int64) | np.int64(-1 << 63)
+            order = np.argsort(terms)  # places are looked up in ascending order, which stays in the processor's cache
+            at, hit = places(self.vocabulary, terms[order])
+            terms[order[hit]] = at[hit]
+            coded, end = terms.tobytes(), 0
+            for w, p in zip(new, parts):
+                memo[w] = coded[end:end + 8 * len(p)]
+                end += 8 * len(p)
+            made = [[memo[x] if c is None else c for x, c in zip(w, m)] if None in m else m for w, m in zip(words, made)]
+        return list(map(b"".join, made))
+
+    def codes(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each whole text the codes of its terms, ascending, and their counts."""
+        return [np.unique(np.frombuffer(c, np.int64), return_counts=True) for c in self.coded(texts)]
+
+    def found_in(self, texts: list) -> np.ndarray:
+        """In how many of the texts each term of the vocabulary occurs."""
+        n, coded = max(len(self.vocabulary), 1), self.coded(texts)
+        codes = np.frombuffer(b"".join(coded), np.int64)
+        pairs = (codes + np.repeat(np.arange(len(texts)) * n, [len(c) // 8 for c in coded]))[codes >= 0]
+        pairs.sort()
+        return np.bincount(pairs[np.flatnonzero(np.diff(pairs, prepend=-1))] % n, minlength=len(self.vocabulary))
+
+
 def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 5 == 0, F.lit(False))
 
@@ -76,13 +133,13 @@ def example_terms(examples: DataFrame) -> list[dict]:
     """The examples with the terms and counts of their whole texts, by doc_id, each once."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = [terms_of(t.as_py()) for t in b["text"]]
+        pairs = Terms(np.zeros(0, np.int64)).codes(b["text"].to_pylist())
         made = [pa.array([x[0].tobytes() for x in pairs], pa.binary()), pa.array([x[1].astype(np.int32).tobytes() for x in pairs], pa.binary())]
         return pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], b["share"], *made], names=["doc_id", "toxic", "share", "terms", "tfs"])
 
     rows = map_rows(examples, run, "doc_id long, toxic int, share double, terms binary, tfs binary").dropDuplicates(["doc_id"]).toArrow().to_pylist()
     for r in rows:
-        r["terms"], r["tfs"] = np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["tfs"], np.int32)
+        r["terms"], r["tfs"] = np.frombuffer(r["terms"], np.int64), np.frombuffer(r["tfs"], np.int32)
     return sorted(rows, key=lambda r: r["doc_id"])
 
 
@@ -98,29 +155,39 @@ def tied_to_label(vocabulary: np.ndarray, rows: list[dict], least: float) -> np.
     return (with_ >= 3) & (n * det * det / np.maximum(p * (n - p) * with_ * np.maximum(n - with_, 1.0), 1e-300) >= least)
 
 
-def document_frequencies(docs: DataFrame, vocabulary) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
     """How many documents there are, and in how many of them each term of the (broadcast) vocabulary occurs; added up in each task."""
 
     def run(batches):
-        v = vocabulary.value
-        n, seen = 0, np.zeros(len(v), np.int64)
+        v = terms.value
+        n, seen = 0, np.zeros(len(v.vocabulary), np.int64)
         for b in batches:
             n += b.num_rows
-            for t in b["text"]:
-                at, hit = places(v, terms_of(t.as_py())[0])
-                seen[at[hit]] += 1
+            for lo in range(0, b.num_rows, 256):
+                seen += v.found_in(b["text"][lo:lo + 256].to_pylist())
         t = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *t], pa.int64()), pa.array([n, *seen[t]], pa.int64())], names=["t", "n"])
 
     got = ids_and_text(docs).select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     t, n = got["t"].to_numpy(), got["n"].to_numpy()
-    out = np.zeros(len(vocabulary.value), np.int64)
+    out = np.zeros(len(terms.value.vocabulary), np.int64)
     out[t[t >= 0]] = n[t >= 0]
     return int(n[t < 0].sum()), out
 
 
+def alike(rows: np.ndarray, k: int) -> np.ndarray:
+    """A group for each column of ``rows``: some rounds of k-means by cosine, from columns at even steps."""
+    x = rows / np.maximum(np.linalg.norm(rows, axis=0), 1e-9)
+    centres = x[:, np.linspace(0, x.shape[1] - 1, k).astype(int)]
+    for _ in range(8):
+        group = np.argmax(centres.T @ x, axis=0)
+        centres = x @ np.eye(k, dtype=x.dtype)[group]
+        centres /= np.maximum(np.linalg.norm(centres, axis=0), 1e-9)
+    return group
+
+
 class Postings:
-    """Inverted index of unit vectors: a dense block for the terms with most postings, sparse lists for the others.
+    """Inverted index of unit vectors: a dense tile for the frequent terms of each group of examples, sparse lists for the rest.
 
     Its size is bounded by the terms of the examples, whose number is a parameter.
     """
@@ -130,31 +197,69 @@ class Postings:
         ids = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
         owner = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
-        count = np.bincount(ids, minlength=n_terms)
-        often = np.argsort(-count, kind="stable")[:DENSE]
-        often = often[count[often] > 64]
-        self.row = np.full(n_terms, -1, np.int64)  # term -> row of the dense block
-        self.row[often] = np.arange(len(often))
-        self.block = np.zeros((len(often), self.n))
-        dense = self.row[ids] >= 0
-        self.block[self.row[ids[dense]], owner[dense]] = weight[dense]
-        ids, weight, owner = ids[~dense], weight[~dense], owner[~dense]
+        group = self._groups(ids, weight, owner, n_terms) if self.n else np.zeros(0, np.int64)
+        order = np.argsort(group, kind="stable")
+        self.place = np.argsort(order, kind="stable")  # example -> its column when groups lie side by side
+        size = np.bincount(group, minlength=GROUPS)
+        self.tiles, sparse = [], np.ones(len(ids), bool)  # a tile: term -> its row, weights, first column
+        for g in np.flatnonzero(size):
+            mine = np.flatnonzero(group[owner] == g)
+            count = np.bincount(ids[mine], minlength=n_terms)
+            often = np.argsort(-count, kind="stable")[:DENSE]
+            often = often[count[often] > max(16, size[g] / SPARSE)]
+            row = np.full(n_terms, -1, np.int16)
+            row[often] = np.arange(len(often))
+            mine = mine[row[ids[mine]] >= 0]
+            first = int(size[:g].sum())
+            block = np.zeros((len(often), size[g]))
+            block[row[ids[mine]], self.place[owner[mine]] - first] = weight[mine]
+            sparse[mine] = False
+            if len(often):
+                self.tiles.append((row, block, first))
+        ids, weight, owner = ids[sparse], weight[sparse], owner[sparse]
         order = np.argsort(ids, kind="stable")
         self.weight, self.owner = weight[order], owner[order]
         self.start = np.searchsorted(ids[order], np.arange(n_terms + 1))
 
+    def _groups(self, ids: np.ndarray, weight: np.ndarray, owner: np.ndarray, n_terms: int) -> np.ndarray:
+        """Groups of examples by their weights of the 256 terms with most postings."""
+        often = np.argsort(-np.bincount(ids, minlength=n_terms), kind="stable")[:256]
+        row = np.full(n_terms, -1, np.int16)
+        row[often] = np.arange(len(often))
+        use = row[ids] >= 0
+        rows = np.zeros((len(often), self.n), np.float32)
+        rows[row[ids[use]], owner[use]] = weight[use]
+        return alike(rows, GROUPS)
+
     def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The products of the queries (terms, weights) with all examples."""
-        q = np.zeros((len(queries), len(self.block)))
+        terms = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in queries)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in queries)])
+        query = np.repeat(np.arange(len(queries)), [len(ids) for ids, _ in queries])
+        out = np.zeros((len(queries), self.n))
+        for row, block, first in self.tiles:
+            r = row[terms]
+            use = np.flatnonzero(r >= 0)
+            r, i, w = r[use], query[use], weights[use]
+            n = np.bincount(i, minlength=len(queries))
+            end = n.cumsum()
+            q = np.zeros((len(queries), len(block)))
+            q[i, r] = w
+            many = np.flatnonzero(n > FEW)
+            out[many, first:first + block.shape[1]] = q[many] @ block
+            for j in np.flatnonzero((n > 0) & (n <= FEW)):
+                part = slice(end[j] - n[j], end[j])
+                out[j, first:first + block.shape[1]] = w[part] @ block[r[part]]
+        out = out[:, self.place]
         for i, (ids, w) in enumerate(queries):
-            r = self.row[ids]
-            q[i, r[r >= 0]] = w[r >= 0]
-        out = q @ self.block
-        for i, (ids, w) in enumerate(queries):
-            first, size = self.start[ids], self.start[ids + 1] - self.start[ids]
+            first = self.start[ids]
+            size = self.start[ids + 1] - first
             if total := int(size.sum()):
-                at = np.arange(total) + np.repeat(first - size.cumsum() + size, size)
-                out[i] += np.bincount(self.owner[at], self.weight[at] * np.repeat(w, size), self.n)
+                at = np.repeat(first - size.cumsum() + size, size)
+                at += np.arange(total)
+                x = self.weight.take(at)
+                x *= np.repeat(w, size)
+                out[i] += np.bincount(self.owner.take(at), x, self.n)
         return out
 
     def best(self, acc: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +302,7 @@ class Votes:
     """
 
     def __init__(self, rows: list[dict], vocabulary: np.ndarray, idf: np.ndarray, k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
+        self.terms, self.idf, self.k = Terms(vocabulary), idf, k
         kept, empty, ids, tfs = [], [], [], []
         for r in rows:
             at = places(vocabulary, r["terms"])[0].astype(np.int32)
@@ -229,18 +334,18 @@ class Votes:
 
     @cached_property
     def index(self) -> Postings:
-        return Postings(self.vectors, len(self.vocabulary))
+        return Postings(self.vectors, len(self.terms.vocabulary))
 
     def unit(self, ids: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, float]:
         w = (1 + np.log(tfs)) * self.idf[ids]
         length = float(np.sqrt(w @ w))
         return w / max(length, 1e-300), length
 
-    def known(self, terms: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-        """Terms of the index with weights of length one, that length before, and which of ``terms`` are in no example."""
-        at, hit = places(self.vocabulary, terms)
-        use = hit & (self.idf[at] > 0) if len(self.idf) else hit
-        return at[use], *self.unit(at[use], tfs[use]), ~hit
+    def known(self, codes: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Terms of the index with weights of length one, and that length before."""
+        use = np.arange(np.searchsorted(codes, 0), len(codes))
+        use = use[self.idf[codes[use]] > 0]
+        return codes[use], *self.unit(codes[use], tfs[use])
 
     def share(self, sims: np.ndarray, who: np.ndarray) -> float:
         if not len(sims):
@@ -255,8 +360,8 @@ def own_shares(spark, model) -> np.ndarray:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m, out = model.value, []
         ids = b["id"].to_pylist()
-        for lo in range(0, len(ids), 128):
-            part = ids[lo:lo + 128]
+        for lo in range(0, len(ids), 256):
+            part = ids[lo:lo + 256]
             out += [m.share(*m.index.best(acc, m.k, without=i)) for i, acc in zip(part, m.index.scores([m.vectors[i] for i in part]))]
         return pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.float64())], names=["id", "share"])
 
@@ -275,8 +380,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, k: int = 32, per_class:
     sample = stash(training_sample(labels, per_class).coalesce(1))
     near = F.broadcast(sample)  # about 2 * per_class rows of three numbers
     rows = example_terms(ids_and_text(docs).join(near, "doc_id"))
-    vocabulary = np.unique(np.concatenate([r["terms"] for r in rows])) if rows else np.zeros(0, np.uint64)
-    n, df = document_frequencies(docs, spark.sparkContext.broadcast(vocabulary))
+    vocabulary = np.unique(np.concatenate([r["terms"] for r in rows])) if rows else np.zeros(0, np.int64)
+    n, df = document_frequencies(docs, spark.sparkContext.broadcast(Terms(vocabulary)))
     idf = np.log((n + 1) / (df + 1.0)) + 1e-6
     if least > 0:
         idf = np.where(tied_to_label(vocabulary, rows, least), idf, 0.0)
@@ -285,19 +390,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, k: int = 32, per_class:
     toxic = bool(votes.y.any()) or votes.rate > 0
     model = spark.sparkContext.broadcast(votes)
 
+    def lists(parts: list, kind) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)))
+
     def rank(b: pa.RecordBatch) -> pa.RecordBatch:
         m = model.value
         sims, who, length, absent, tfs = [], [], [], [], []
-        for lo in range(0, b.num_rows, 128):
-            part = [(terms, n, *m.known(terms, n)) for terms, n in (terms_of(t.as_py()) for t in b["text"][lo:lo + 128])]
-            for (terms, n, _, _, norm, away), acc in zip(part, m.index.scores([x[2:4] for x in part])):
+        for lo in range(0, b.num_rows, 256):
+            part = [(codes, n, *m.known(codes, n)) for codes, n in m.terms.codes(b["text"][lo:lo + 256].to_pylist())]
+            for (codes, n, _, _, norm), acc in zip(part, m.index.scores([x[2:4] for x in part])):
                 s, w = m.index.best(acc, k)
+                away = np.searchsorted(codes, 0) if least <= 0 else 0  # terms of no example come first
                 sims.append(s)
-                who.append(w.astype(np.int32))
+                who.append(w)
                 length.append(norm)
-                absent.append(terms[away].astype(np.int64) if least <= 0 else [])
-                tfs.append(n[away].astype(np.int32) if least <= 0 else [])
-        made = [pa.array(sims, pa.list_(pa.float64())), pa.array(who, pa.list_(pa.int32())), pa.array(length, pa.float64()), pa.array(absent, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))]
+                absent.append(codes[:away])
+                tfs.append(n[:away])
+        made = [lists(sims, np.float64), lists(who, np.int32), pa.array(length, pa.float64()), lists(absent, np.int64), lists(tfs, np.int32)]
         return pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], *made], names=["doc_id", "held_out", "sims", "who", "length", "absent", "tfs"])
 
     ranked = map_rows(ids_and_text(docs, held_out().alias("held_out")), rank, "doc_id long, held_out boolean, sims array<double>, who array<int>, length double, absent array<long>, tfs array<int>")
