@@ -292,6 +292,32 @@ def pass_messages(act: DataFrame, links: DataFrame, own: float = 0.5) -> DataFra
     return out.select(*key, "level", "node", "up", "down")
 
 
+def pass_messages_vec(vecs: DataFrame, links: DataFrame, width: int, own: float = 0.5) -> DataFrame:
+    """:func:`pass_messages` for one vector of ``width`` features per (protein_id, pos, layer), and the same rows as result.
+
+    Means are taken element by element, so joins and groups move a vector per node in place of a row per feature.
+    """
+    links = cut_lineage(links)
+    key = ["protein_id", "layer"]
+    mean = lambda c: F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(width)])
+    ups = [vecs.select(*key, F.col("pos").cast("string").alias("node"), F.col("vec").alias("up"))]
+    for level in (1, 2, 3):
+        step = links.filter(F.col("level") == level).select("protein_id", F.col("child").alias("node"), "parent")
+        ups.append(cut_lineage(ups[-1].join(step, ["protein_id", "node"]).groupBy(*key, F.col("parent").alias("node")).agg(mean("up").alias("up"))))
+    down = ups[3].withColumn("down", F.col("up"))
+    out = down.withColumn("level", F.lit(LEVELS[3]))
+    for level in (3, 2, 1):
+        step = links.filter(F.col("level") == level).select("protein_id", F.col("child").alias("node"), "parent")
+        message = down.select(*key, F.col("node").alias("parent"), "down").join(step, ["protein_id", "parent"]).groupBy(*key, "node").agg(mean("down").alias("m"))
+        taken = F.zip_with("up", "m", lambda u, m: F.coalesce(own * u + (1 - own) * m, u))
+        down = ups[level - 1].join(message, [*key, "node"], "left").select(*key, "node", "up", F.coalesce(taken, F.col("up")).alias("down"))
+        if level > 1:  # read twice
+            down = cut_lineage(down)
+        out = out.unionByName(down.withColumn("level", F.lit(LEVELS[level - 1])))
+    pair = F.posexplode(F.arrays_zip("up", "down")).alias("feature", "v")
+    return out.select(*key, "level", "node", pair).select(*key, "feature", "level", "node", "v.up", "v.down")
+
+
 def resample(act: DataFrame, target: int) -> DataFrame:
     """Linear interpolation of a feature along positions to ``target`` points (half-pixel centres, clamped ends)."""
     n = act.groupBy("protein_id", "layer").agg((F.max("pos") + 1).alias("n"))

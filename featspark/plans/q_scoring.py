@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as K
@@ -254,12 +254,9 @@ def _(s, p):
 
 
 def ss_regions(s, p):
-    """Runs of one structure state."""
-    res, reg = S.token_residues(s, p), None
-    for st in K.SS8:
-        r = Q.runs(res, F.col("ss") == st)
-        reg = r if reg is None else reg.unionByName(r)
-    return reg
+    """Runs of one structure state, all states in one pass."""
+    g = S.token_residues(s, p).withColumn("_g", F.col("pos") - F.row_number().over(Window.partitionBy("protein_id", "ss").orderBy("pos")))
+    return g.groupBy("protein_id", "ss", "_g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.count("*").alias("length")).drop("ss", "_g")
 
 
 @query("B17_messages", """select protein_id, layer, feature, 'protein' as level, 'protein' as node, v as up, v as down from u3 union all select protein_id, layer, feature, 'domain', domain_id, v, m from d2
@@ -272,8 +269,8 @@ d2 as materialized (select u2.*, (u2.v+u3.v)/2 as m from u2 join u3 using (prote
 d1 as materialized (select rg.protein_id, rg.layer, rg.feature, rg.s, rg.value, (rg.value+d2.m)/2 as m from rg join tdom d on d.protein_id=rg.protein_id and s>=d."start" and s<d."end" join d2 on d2.protein_id=rg.protein_id and d2.layer=rg.layer and d2.feature=rg.feature and d2.domain_id=d.domain_id),
 d0 as (select a.protein_id, a.layer, a.feature, a.pos, a.value, (a.value+d1.m)/2 as m from act a join reg on reg.protein_id=a.protein_id and pos>=reg.s and pos<e join d1 on d1.protein_id=a.protein_id and d1.layer=a.layer and d1.feature=a.feature and d1.s=reg.s)""")
 def _(s, p):
-    act = S.activations(s, p)
-    return B.pass_messages(act, B.level_links(act, ss_regions(s, p), S.token_domains(s, p)))
+    vecs = S.activations_vec(s, p)
+    return B.pass_messages_vec(vecs, B.level_links(S.token_residues(s, p), ss_regions(s, p), S.token_domains(s, p)), S.WIDTH)
 
 
 @query("B19_resample", """select protein_id, layer, feature, t as pos, sum(value*w) as value from (select protein_id, t, lo as pos, 1-f as w from g union all select protein_id, t, least(lo+1, n-1), f from g) e join act using (protein_id, pos) group by all""", "act", d="value",
