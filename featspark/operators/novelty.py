@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.num import count_if, lookup, share
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .structure import radius_pairs
 
 FEAT = ["layer", "feature"]
@@ -46,20 +46,41 @@ def gap_regularity(act: DataFrame, thr: float = 0.1, sparse: float = 0.05) -> Da
     return rate.join(g, FEAT, "left").select(*FEAT, F.when(F.col("rate") < sparse, F.coalesce("g", F.lit(0.0))).otherwise(0.0).alias("regularity"))
 
 
+def active_places(act: DataFrame, thr: float = 0.1) -> DataFrame:
+    """Of each feature of a protein the ascending positions above ``thr`` and the last position."""
+    on = F.sort_array(F.collect_list(F.when(F.abs("value") > thr, F.struct("pos"))))
+    return act.groupBy("protein_id", *FEAT).agg(F.transform(on, lambda r: r.pos).alias("places"), F.max("pos").alias("last"))
+
+
+def active_places_of(vecs: DataFrame, thr: float = 0.1) -> DataFrame:
+    """:func:`active_places` for one vector per (protein_id, pos, layer)."""
+    rows = F.sort_array(F.collect_list(F.struct("pos", F.transform("vec", lambda v: F.abs(v) > thr).alias("on"))))
+    g = vecs.groupBy("protein_id", "layer").agg(rows.alias("rows"), F.max("pos").alias("last"), F.max(F.size("vec")).alias("width")).filter("width > 0")
+    g = g.select("protein_id", "layer", "rows", "last", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("feature"))
+    places = F.transform(F.filter("rows", lambda r: F.get(r.on, F.col("feature"))), lambda r: r.pos)
+    return g.select("protein_id", *FEAT, places.alias("places"), "last")
+
+
 def periodicity(act: DataFrame, max_lag: int | None = None, thr: float = 0.1) -> DataFrame:
     """Regular spacing of autocorrelation peaks of the active mask: value of the first peak, else 0.
 
     Lags run inside a protein; peaks are lags >= 5 with correlation > 0.5 above both neighbours, and at
     least two of them with spacing cv < 0.2. ``max_lag`` defaults to half of the longest protein.
     """
-    on = act.filter(F.abs("value") > thr).select("protein_id", *FEAT, "pos")
-    n0 = on.groupBy(*FEAT).agg(F.count("*").alias("n0")).filter("n0 >= 5")
-    span = act.agg(F.floor((F.max("pos") + 1) / 2).cast("int").alias("max_lag")) if max_lag is None else act.sparkSession.range(1).select(F.lit(max_lag).alias("max_lag"))
+    return periodicity_of(active_places(act, thr), max_lag)
+
+
+def periodicity_of(places: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """:func:`periodicity` from :func:`active_places`, which are found once and kept."""
+    places = cut_lineage(places)
+    n0 = places.groupBy(*FEAT).agg(F.sum(F.size("places")).alias("n0")).filter("n0 >= 5")
+    span = places.agg(F.floor((F.max("last") + 1) / 2).cast("int").alias("max_lag")) if max_lag is None else places.sparkSession.range(1).select(F.lit(max_lag).alias("max_lag"))
     span = F.broadcast(span.filter("max_lag >= 1"))  # one row
-    # Pairs arise inside the join and leave it as counts, so only the active places are shuffled.
+    # Pairs arise inside a row and leave the task as counts.
     lags = F.explode(F.sequence(F.lit(1), F.col("max_lag"))).alias("lag")
-    gap = F.col("later") - F.col("pos")
-    pairs = on.join(on.withColumnRenamed("pos", "later"), ["protein_id", *FEAT]).filter(gap >= 1).select(*FEAT, gap.cast("int").alias("lag"))
+    pairs = places.filter("protein_id is not null").select(*FEAT, "places", F.posexplode("places").alias("k", "pos"))
+    pairs = pairs.select(*FEAT, "pos", F.explode(F.slice("places", F.col("k") + 2, F.size("places"))).alias("later"))
+    pairs = pairs.select(*FEAT, (F.col("later") - F.col("pos")).cast("int").alias("lag")).filter("lag >= 1")
     c = pairs.join(span, F.col("lag") <= F.col("max_lag")).groupBy(*FEAT, "lag").agg(F.count("*").alias("k"))
     grid = n0.crossJoin(span).select(*FEAT, "n0", lags)
     r = grid.join(c, [*FEAT, "lag"], "left").select(*FEAT, "lag", (F.coalesce("k", F.lit(0)) / F.col("n0")).alias("acf"))
@@ -68,7 +89,7 @@ def periodicity(act: DataFrame, max_lag: int | None = None, thr: float = 0.1) ->
           .withColumn("step", F.col("lag") - F.lag("lag").over(w)))
     s = pk.groupBy(*FEAT).agg(F.count("*").alias("n"), F.min_by("acf", "lag").alias("first"), (F.stddev_pop("step") / (F.avg("step") + 1e-10)).alias("cv"))
     score = F.when((F.col("n") > 1) & (F.col("cv") < 0.2), F.least(F.lit(1.0), F.col("first"))).otherwise(0.0)
-    return act.select(*FEAT).distinct().join(s, FEAT, "left").select(*FEAT, F.coalesce(score, F.lit(0.0)).alias("periodicity"))
+    return places.select(*FEAT).distinct().join(s, FEAT, "left").select(*FEAT, F.coalesce(score, F.lit(0.0)).alias("periodicity"))
 
 
 def recurring_patterns(act: DataFrame, lengths=(3, 4, 5), thr: float = 0.1, similar: float = 0.8) -> DataFrame:

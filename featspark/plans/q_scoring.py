@@ -361,7 +361,7 @@ def _(s, p):
 acf as materialized (select g.layer, g.feature, g.lag, coalesce(k,0)::double/n0 as acf from (select n0.*, l.lag from n0, range(1,13) l(lag)) g left join (select a.layer, a.feature, b.pos-a.pos as lag, count(*) as k from onn a join onn b on a.protein_id=b.protein_id and a.layer=b.layer and a.feature=b.feature and b.pos-a.pos between 1 and 12 group by all) c
  on c.layer=g.layer and c.feature=g.feature and c.lag=g.lag)""")
 def _(s, p):
-    return N.periodicity(S.activations(s, p))
+    return N.periodicity_of(N.active_places_of(S.activations_vec(s, p)))
 
 
 @query("Q30_count_modes")
