@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are letter words and their first four, five and six letters; every term of the whole text counts. They are
-known by hashes of 63 bits. The index holds the labelled examples, a bounded, documented sample of training rows
+Terms are letter words and their first four, five and six letters; every term of the whole text counts. Words are
+known by hashes of 62 bits, first letters by their Latin-1 characters as a number, or by hashes of 61 bits where they have others. The index holds the labelled examples, a bounded, documented sample of training rows
 (``per_class`` expected rows of each label, chosen by a hash of the identifier); document frequencies are counted
 over all documents, for terms of the examples as well as for those that occur in no example.
 
@@ -40,8 +40,12 @@ LETTERS = bytes(c if WORD.match(chr(c)) else 32 for c in range(256))
 DENSE, SPARSE = 1536, 12
 #: Groups of examples, and how many terms of a tile a text may have to be scored row by row.
 GROUPS, FEW = 8, 48
-#: Words whose terms a worker keeps; beyond it, it starts anew. It bounds memory, not results.
-CACHE = 250_000
+#: Texts are coded together until they hold so many letters. It bounds memory, not results.
+CACHE = 1 << 21
+#: Odd, for products that mix the bits of a word; a word of more than LONG letters is hashed by xxh3.
+MIX, LONG = np.uint64(0x9E3779B97F4A7C15), 64
+#: Characters that are no Latin-1.
+OTHER = re.compile("[^\x00-\xff]")
 
 
 def words_of(text: str | None) -> list:
@@ -53,20 +57,62 @@ def words_of(text: str | None) -> list:
         return WORD.findall(text)
 
 
-def _hashes(word: str | bytes) -> list[bytes]:
-    if isinstance(word, bytes):
-        if word.isascii():
-            n = len(word)
-            if n < 4:
-                return [digest(word)]
-            terms = [digest(word), digest(word[:4] + b"~")]
-            if n > 4:
-                terms.append(digest(word[:5] + b"~"))
-            if n > 5:
-                terms.append(digest(word[:6] + b"~"))
-            return terms
-        word = word.decode("latin-1")
-    return [digest(t.encode("utf-8", "surrogatepass")) for t in (word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) >= k))]
+def _hash(data: bytes) -> int:
+    return int.from_bytes(digest(data), "big")
+
+
+def latin_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the terms of each different word of lower-case Latin-1 texts, how many of the four columns are in use,
+    and of each word in the texts its number there and the number of its text. Words are read eight letters at a time."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    blob = (b" " + b" ".join(texts) + b" " * 16).translate(LETTERS)
+    edge = np.flatnonzero(np.diff(np.frombuffer(blob, np.uint8) != 32)) + 1
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    eights = np.ndarray(len(blob) - 7, "<u8", blob, strides=(1,))
+    keep = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    first = eights[start] & keep[np.minimum(length, 8)]
+    whole = first * MIX
+    whole ^= whole >> np.uint64(32)
+    for at in range(8, LONG, 8):
+        more = np.flatnonzero(length > at)
+        if not len(more):
+            break
+        h = (whole[more] ^ (eights[start[more] + at] & keep[np.minimum(length[more] - at, 8)])) * MIX
+        whole[more] = h ^ (h >> np.uint64(32))
+    for i in np.flatnonzero(length > LONG).tolist():
+        whole[i] = _hash(blob[start[i]:start[i] + length[i]])
+    whole |= np.uint64(3 << 62)
+    order = np.argsort(whole)
+    new = np.diff(whole[order], prepend=np.uint64(0)) != 0
+    number = np.empty(len(whole), np.int64)
+    number[order] = np.cumsum(new) - 1
+    some = order[new]
+    codes = np.stack([whole[some], *(first[some] & keep[k] | np.uint64(1 << 63) for k in (4, 5, 6))], axis=1).view(np.int64)
+    return codes, np.clip(length[some] - 2, 1, 4), number, np.searchsorted(size.cumsum(), start - 1, side="right")
+
+
+def other_terms(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same codes and numbers of columns for words that have other characters than Latin-1."""
+
+    def code(letters: str) -> int:
+        return 1 << 61 | _hash(letters.encode("utf-8", "surrogatepass")) & (1 << 61) - 1 if OTHER.search(letters) else int.from_bytes(letters.encode("latin-1"), "little")
+
+    codes = [[3 << 62 | _hash(w.encode("utf-8", "surrogatepass")), *(1 << 63 | code(w[:k]) for k in (4, 5, 6))] for w in words]
+    return np.array(codes, np.uint64).reshape(-1, 4).view(np.int64), np.clip([len(w) - 2 for w in words], 1, 4).astype(np.int64)
+
+
+def portions(texts: pa.Array, rows: int = 256):
+    """The texts in lists of at most ``rows``, shorter where they are long."""
+    for lo in range(0, len(texts), rows):
+        part, size = [], 0
+        for t in texts[lo:lo + rows].to_pylist():
+            part.append(t)
+            size += len(t or "")
+            if size >= CACHE:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
 
 
 def places(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,44 +122,68 @@ def places(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Terms:
-    """Codes of the terms of texts: the place in an ascending vocabulary of hashes, or the hash itself, which is negative."""
+    """Codes of the terms of texts: the place in an ascending vocabulary of codes, or the code itself, which is negative.
 
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary, self.memo = vocabulary, {}
+    Texts are coded many at a time: their different words are looked up once, all together.
+    """
 
-    def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "memo": {}}
-
-    def coded(self, texts: list) -> list[bytes]:
-        """Of each whole text the codes of all its terms, as bytes."""
-        words, memo = [words_of(t) for t in texts], self.memo
-        if len(memo) > CACHE:
-            memo.clear()
-        made = [list(map(memo.get, w)) for w in words]
-        if new := list({x for w, m in zip(words, made) if None in m for x, c in zip(w, m) if c is None}):
-            parts = [_hashes(w) for w in new]
-            terms = np.frombuffer(b"".join([h for p in parts for h in p]), ">i8").astype(np.int64) | np.int64(-1 << 63)
-            order = np.argsort(terms)  # places are looked up in ascending order, which stays in the processor's cache
-            at, hit = places(self.vocabulary, terms[order])
-            terms[order[hit]] = at[hit]
-            coded, end = terms.tobytes(), 0
-            for w, p in zip(new, parts):
-                memo[w] = coded[end:end + 8 * len(p)]
-                end += 8 * len(p)
-            made = [[memo[x] if c is None else c for x, c in zip(w, m)] if None in m else m for w, m in zip(words, made)]
-        return list(map(b"".join, made))
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+
+    def coded(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all terms of the whole texts, each as often as it occurs, and the numbers of their texts."""
+        latin, other, owner = [], [], []
+        for i, t in enumerate(texts):
+            t = (t or "").lower()
+            try:
+                latin.append(t.encode("latin-1"))
+            except UnicodeEncodeError:
+                words = words_of(t)
+                latin.append(" ".join([w for w in words if not OTHER.search(w)]).encode("latin-1"))
+                found = [w for w in words if OTHER.search(w)]
+                other.extend(found)
+                owner.extend([i] * len(found))
+        codes, width, number, text = latin_terms(latin)
+        if other:
+            numbers = {w: n for n, w in enumerate(dict.fromkeys(other), len(codes))}
+            parts = other_terms(list(numbers))
+            codes, width = np.concatenate([codes, parts[0]]), np.concatenate([width, parts[1]])
+            number, text = np.concatenate([number, [numbers[w] for w in other]]), np.concatenate([text, owner])
+        order = np.argsort(codes, axis=None)  # places are looked up in ascending order, which stays in the processor's cache
+        at, hit = places(self.vocabulary, codes.ravel()[order])
+        codes.ravel()[order[hit]] = at[hit]
+        width = width[number]
+        return codes[number][np.arange(4) < width[:, None]], np.repeat(text, width)
+
+    def known(self, codes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each of ``n`` texts the places of its terms in the vocabulary, ascending, their counts, and where each text ends."""
+        use, many = codes >= 0, max(len(self.vocabulary), 1)
+        pairs = text[use] * many + codes[use]
+        pairs.sort()
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        counts, pairs = np.diff(first, append=len(pairs)), pairs[first]
+        ends = np.searchsorted(pairs, np.arange(1, n + 1) * many)
+        return pairs - np.repeat(np.arange(n) * many, np.diff(ends, prepend=0)), counts, ends
+
+    def absent(self, codes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the codes of terms that are not in the vocabulary."""
+        use = codes < 0
+        codes, text = codes[use], text[use]
+        order = np.lexsort((codes, text))
+        codes, text = codes[order], text[order]
+        first = np.flatnonzero((np.diff(codes, prepend=0) != 0) | (np.diff(text, prepend=-1) != 0))
+        return codes[first], np.diff(first, append=len(codes)), np.searchsorted(text[first], np.arange(n), side="right")
 
     def codes(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each whole text the codes of its terms, ascending, and their counts."""
-        return [np.unique(np.frombuffer(c, np.int64), return_counts=True) for c in self.coded(texts)]
+        found = self.coded(texts)
+        parts = [self.absent(*found, len(texts)), self.known(*found, len(texts))]
+        split = [[np.split(x, ends[:-1]) for x in (codes, counts)] for codes, counts, ends in parts]
+        return [tuple(map(np.concatenate, zip(a, b))) for a, b in zip(*(zip(*x) for x in split))] if texts else []
 
     def found_in(self, texts: list) -> np.ndarray:
         """In how many of the texts each term of the vocabulary occurs."""
-        n, coded = max(len(self.vocabulary), 1), self.coded(texts)
-        codes = np.frombuffer(b"".join(coded), np.int64)
-        pairs = (codes + np.repeat(np.arange(len(texts)) * n, [len(c) // 8 for c in coded]))[codes >= 0]
-        pairs.sort()
-        return np.bincount(pairs[np.flatnonzero(np.diff(pairs, prepend=-1))] % n, minlength=len(self.vocabulary))
+        return np.bincount(self.known(*self.coded(texts), len(texts))[0], minlength=len(self.vocabulary))
 
 
 def held_out(col: str = "doc_id"):
@@ -163,8 +233,8 @@ def document_frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
         n, seen = 0, np.zeros(len(v.vocabulary), np.int64)
         for b in batches:
             n += b.num_rows
-            for lo in range(0, b.num_rows, 256):
-                seen += v.found_in(b["text"][lo:lo + 256].to_pylist())
+            for texts in portions(b["text"]):
+                seen += v.found_in(texts)
         t = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *t], pa.int64()), pa.array([n, *seen[t]], pa.int64())], names=["t", "n"])
 
@@ -235,15 +305,19 @@ class Postings:
         """The products of the queries (terms, weights) with all examples."""
         terms = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in queries)])
         weights = np.concatenate([np.zeros(0), *(w for _, w in queries)])
-        query = np.repeat(np.arange(len(queries)), [len(ids) for ids, _ in queries])
-        out = np.zeros((len(queries), self.n))
+        return self.products(terms, weights, np.cumsum([len(ids) for ids, _ in queries], dtype=np.int64))
+
+    def products(self, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """:meth:`scores` of queries that lie one behind the other, with their ends."""
+        query = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        out = np.zeros((len(ends), self.n))
         for row, block, first in self.tiles:
             r = row[terms]
             use = np.flatnonzero(r >= 0)
             r, i, w = r[use], query[use], weights[use]
-            n = np.bincount(i, minlength=len(queries))
+            n = np.bincount(i, minlength=len(ends))
             end = n.cumsum()
-            q = np.zeros((len(queries), len(block)))
+            q = np.zeros((len(ends), len(block)))
             q[i, r] = w
             many = np.flatnonzero(n > FEW)
             out[many, first:first + block.shape[1]] = q[many] @ block
@@ -251,14 +325,17 @@ class Postings:
                 part = slice(end[j] - n[j], end[j])
                 out[j, first:first + block.shape[1]] = w[part] @ block[r[part]]
         out = out[:, self.place]
-        for i, (ids, w) in enumerate(queries):
-            first = self.start[ids]
-            size = self.start[ids + 1] - first
-            if total := int(size.sum()):
-                at = np.repeat(first - size.cumsum() + size, size)
-                at += np.arange(total)
+        first = self.start[terms]
+        size = self.start[terms + 1] - first
+        use = np.flatnonzero(size)
+        ends = np.searchsorted(use, ends)
+        first, size, weights = first[use], size[use], weights[use]
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
+            if a < b:
+                at = np.repeat(first[a:b] - size[a:b].cumsum() + size[a:b], size[a:b])
+                at += np.arange(len(at))
                 x = self.weight.take(at)
-                x *= np.repeat(w, size)
+                x *= np.repeat(weights[a:b], size[a:b])
                 out[i] += np.bincount(self.owner.take(at), x, self.n)
         return out
 
@@ -266,10 +343,8 @@ class Postings:
         """The k largest positive products and their examples; ties in the order of the examples."""
         if without >= 0:
             acc[without] = 0.0
-        who = np.flatnonzero(acc > 0)
-        if len(who) > k:
-            edge = np.partition(acc[who], len(who) - k)[len(who) - k] - 1e-11  # only the best and their ties are sorted
-            who = who[acc[who] >= edge]
+        edge = np.partition(acc, len(acc) - k)[len(acc) - k] - 1e-11 if len(acc) > k else 0.0  # only the best and their ties are sorted
+        who = np.flatnonzero(acc >= edge if edge > 0 else acc > 0)
         who = who[np.lexsort((who, -np.round(acc[who], 12)))[:k]]
         return acc[who], who
 
@@ -341,11 +416,14 @@ class Votes:
         length = float(np.sqrt(w @ w))
         return w / max(length, 1e-300), length
 
-    def known(self, codes: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Terms of the index with weights of length one, and that length before."""
-        use = np.arange(np.searchsorted(codes, 0), len(codes))
-        use = use[self.idf[codes[use]] > 0]
-        return codes[use], *self.unit(codes[use], tfs[use])
+    def queries(self, codes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of the index in each of ``n`` texts with weights of length one, where each text ends, and that length before."""
+        ids, tfs, ends = self.terms.known(codes, text, n)
+        w, owner = (1 + np.log(tfs)) * self.idf[ids], np.repeat(np.arange(n), np.diff(ends, prepend=0))
+        length = np.sqrt(np.bincount(owner, w * w, n))
+        w /= np.maximum(length, 1e-300)[owner]
+        use = np.flatnonzero(w > 0)  # an idf of 0 takes a term out
+        return ids[use], w[use], np.searchsorted(use, ends), length
 
     def share(self, sims: np.ndarray, who: np.ndarray) -> float:
         if not len(sims):
@@ -390,24 +468,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, k: int = 32, per_class:
     toxic = bool(votes.y.any()) or votes.rate > 0
     model = spark.sparkContext.broadcast(votes)
 
-    def lists(parts: list, kind) -> pa.ListArray:
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)))
+    def lists(sizes: list, values: list, kind) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, kind), *values]).astype(kind, copy=False)))
 
     def rank(b: pa.RecordBatch) -> pa.RecordBatch:
         m = model.value
-        sims, who, length, absent, tfs = [], [], [], [], []
-        for lo in range(0, b.num_rows, 256):
-            part = [(codes, n, *m.known(codes, n)) for codes, n in m.terms.codes(b["text"][lo:lo + 256].to_pylist())]
-            for (codes, n, _, _, norm), acc in zip(part, m.index.scores([x[2:4] for x in part])):
-                s, w = m.index.best(acc, k)
-                away = np.searchsorted(codes, 0) if least <= 0 else 0  # terms of no example come first
+        sims, who, length, absent, tfs, sizes = [], [], [], [], [], []
+        for texts in portions(b["text"]):
+            found = (*m.terms.coded(texts), len(texts))
+            *queries, norm = m.queries(*found)
+            for s, w in (m.index.best(acc, k) for acc in m.index.products(*queries)):
                 sims.append(s)
                 who.append(w)
-                length.append(norm)
-                absent.append(codes[:away])
-                tfs.append(n[:away])
-        made = [lists(sims, np.float64), lists(who, np.int32), pa.array(length, pa.float64()), lists(absent, np.int64), lists(tfs, np.int32)]
+            codes, n, ends = m.terms.absent(*found)
+            length.append(norm)
+            if least <= 0:
+                absent.append(codes)
+                tfs.append(n)
+                sizes.extend(np.diff(ends, prepend=0))
+            else:
+                sizes.extend([0] * len(texts))
+        near = list(map(len, sims))
+        made = [lists(near, sims, np.float64), lists(near, who, np.int32), pa.array(np.concatenate([np.zeros(0), *length])), lists(sizes, absent, np.int64), lists(sizes, tfs, np.int32)]
         return pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], *made], names=["doc_id", "held_out", "sims", "who", "length", "absent", "tfs"])
 
     ranked = map_rows(ids_and_text(docs, held_out().alias("held_out")), rank, "doc_id long, held_out boolean, sims array<double>, who array<int>, length double, absent array<long>, tfs array<int>")

@@ -1,6 +1,9 @@
 """The index of op2 in tiles, and words as Latin-1, against plain products and the plain pattern."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 from featspark.llm import toxicity
 
@@ -43,3 +46,43 @@ def test_codes_past_the_cache(monkeypatch):
         assert np.array_equal(np.sort(back), hashes) and n.sum() == m.sum()
     df = terms.found_in(texts)
     assert df.tolist() == [sum(t in c for c, _ in whole) for t in vocabulary]
+
+
+def test_terms_are_those_of_plain_words(monkeypatch):
+    """Terms and counts of odd words against plain strings; only words that numpy cannot read eight letters at a time are hashed one by one."""
+    rng = np.random.default_rng(7)
+    letters = {"latin": list("abcdeéßÿªµ"), "other": list("abéΩжવ語")}
+    word = lambda kind: "".join(rng.choice(letters[kind], int(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 15, 16, 17, 24, 63, 64, 65, 200]))))
+    texts = [None, "", " .", "àªµ વ abcdefgh abcdefghi", "Straße " * 3, *(" ".join(word(k) for _ in range(300)) for k in ("latin", "other", "latin"))]
+    texts.append(texts[-1] + " \x85Ω")
+
+    def plain(t):
+        bag = Counter()
+        for w in toxicity.WORD.findall((t or "").lower()):
+            bag.update([w, *(w[:k] + "~" for k in (4, 5, 6) if len(w) >= k)])
+        return bag
+
+    calls, digest = [], toxicity.digest
+    monkeypatch.setattr(toxicity, "digest", lambda x: calls.append(x) or digest(x))
+    bags, code = list(map(plain, texts)), {}
+    for bag, (codes, counts) in zip(bags, toxicity.Terms(np.zeros(0, np.int64)).codes(texts)):
+        assert sorted(bag.values()) == sorted(counts.tolist()) and (np.diff(codes) > 0).all() and (codes < 0).all()
+        for t in bag:  # a term has one code in whichever text it is
+            alone = toxicity.Terms(np.zeros(0, np.int64)).codes([t]) if "~" not in t else None
+            if alone is not None:
+                assert set(alone[0][0]) <= set(codes)
+                code.setdefault(t, set()).update(alone[0][0])
+    assert len({frozenset(c) for c in code.values()}) == len(code)
+    calls.clear()
+    many = [" ".join("".join(rng.choice(letters["latin"][:8], 12)) for _ in range(400)) for _ in range(5)]
+    vocabulary = np.unique(np.concatenate([c for c, _ in toxicity.Terms(np.zeros(0, np.int64)).codes(many[:2])]))
+    assert toxicity.Terms(vocabulary).found_in(many).tolist() == [sum(x in set(c) for c, _ in toxicity.Terms(np.zeros(0, np.int64)).codes(many)) for x in vocabulary]
+    assert not calls
+
+
+def test_portions_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE", 5)
+    texts = ["ab", None, "abcdefgh", "", "c", "dd", "eeeee", None]
+    parts = list(toxicity.portions(pa.array(texts), rows=4))
+    assert sum(parts, []) == texts and all(sum(len(t or "") for t in p[:-1]) < 5 and len(p) <= 4 for p in parts)
+    assert list(toxicity.portions(pa.array([], pa.string()))) == []
