@@ -4,19 +4,22 @@ In id order a sequence joins the first leader it is similar to (equal letters at
 or becomes a leader itself. The sequential rule is kept exactly:
 
 * Equal sequences are one, under their smallest id.
-* Similar sequences lie in the same band of lengths or in neighbouring ones. Bands are cut into blocks of ``BLOCK``
-  letters; a task takes two blocks and returns for every sequence its first ``AHEAD`` earlier similar ones. Sequences travel,
-  their pieces and candidate pairs never do.
-* In a task every sequence is cut into pieces of ``q`` letters at fixed positions. Two similar sequences differ in fewer
-  places than they have pieces, so of the rarest pieces of a sequence, ``AGREE`` more than it may have differences, a similar
-  one has as many (fewer for short ones). Only pairs with so many are compared.
+* Similar sequences lie in the same band of lengths or in neighbouring ones. A group is a band with the one below; in it
+  a sequence is cut into pieces of ``q`` letters at fixed positions, and every ``combs``-th piece makes a comb. Of two similar
+  sequences some comb differs in no more than its share of the places. So a task gets one comb of a group, all its sequences in
+  half a byte a letter: each letter travels to two tasks, however many sequences there are, and pairs arise inside a task.
+* In a comb so many pieces agree that two of them fall into the same of ``buckets`` sets of places. Rows that agree in two
+  pieces of a set are found by sorting, and kept if the comb differs in few enough letters. Only these pairs are compared whole.
 * Links elect leaders in rounds: without an earlier similar sequence that leads or is undecided, a sequence leads; if the
-  first of these leads, it is the home. A sequence whose links were cut at ``AHEAD`` and all turned out members is asked again.
+  first of these leads, it is the home. A task returns the first ``AHEAD`` pairs of a sequence; if there were more and all these
+  turned out members or not similar, it is asked again beyond them, once nothing else can be decided.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,19 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-#: Chosen pieces that two similar long sequences share at least.
-AGREE = 6
-#: Earlier similar sequences that a task returns for one sequence.
-AHEAD = 32
-#: Letters of a block, about; a task holds two blocks and the pieces of one.
-BLOCK = 16_000_000
+#: Earlier sequences that a task returns for one sequence.
+AHEAD = 8
+#: Pieces of a comb, about; pieces that agree in it at least, if a group has several combs.
+SLOTS, AGREE = 48, 6
+#: Of rows with the same two pieces all pairs are compared up to so many rows; beyond that, each with the first few.
+CROWD, FEW = 1024, 64
+#: Sequences of a task at most, about (rows have 20 bits), keys and pairs that it holds at a time.
+ROWS, KEYS, PAIRS = 900_000, 1 << 20, 1 << 16
+#: Ids up to which a table of them is broadcast, so that the sequences are not shuffled for it.
+NARROW = 1 << 19
+BITS = np.uint64(20)
+#: What ``after`` is for those who ask for all.
+ALL = -(1 << 63)
 
 
 def piece_length(thr: float, longest: int = 5000) -> int:
@@ -46,99 +56,181 @@ def allowed(n, thr: float):
     return np.ceil(np.round((1 - thr) * np.asarray(n, float), 9)).astype(np.int64) - 1
 
 
-def _piece_for(n: np.ndarray, thr: float) -> int:
-    """The longest pieces of which sequences of these lengths have ``AGREE`` more than differences, or as many more as can be."""
-    return next(q for more in range(AGREE, 0, -1) for q in range(8, 0, -1) if (n // q - allowed(n, thr) >= more).all() or (q, more) == (1, 1))
-
-
-def _pieces(codes: list[np.ndarray], q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of (place, letters) of all whole pieces of the sequences, and their number in each."""
-    count = np.array([len(x) // q for x in codes], np.int64)
-    if not count.sum():
-        return np.zeros(0, np.uint64), count
-    cells = np.concatenate([x[:n * q] for x, n in zip(codes, count)]).reshape(-1, q)
-    key = (np.arange(len(cells)) - np.repeat(count.cumsum() - count, count)).astype(np.uint64)
-    for k in range(q):
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ (cells[:, k] + np.uint64(1))
-        key ^= key >> np.uint64(29)
-    return key * np.uint64(0xBF58476D1CE4E5B9), count
-
-
-def _earlier_similar(ids, codes, ref_ids, refs, thr: float) -> dict[int, list]:
-    """For the place of each sequence: the first ``AHEAD`` similar ones of ``refs`` (ascending ids) with smaller ids."""
-    n = np.array([len(x) for x in codes], np.int64)
-    found = {i: [] for i in np.flatnonzero(n).tolist()}
-    if not found or not len(refs):
-        return found
-    q = _piece_for(n[list(found)], thr)
-    # The first references come first: of a group of near copies most are done with them.
-    for lo, hi in ((0, len(refs) // 16), (len(refs) // 16, len(refs))):
-        open_ = [i for i, x in found.items() if len(x) < AHEAD and hi > lo and ids[i] > ref_ids[lo]]
-        if not open_:
+class Group(NamedTuple):
+    """How the sequences of a group are cut; ``shortest``: of the band that the longer of two belongs to; ``slots``: pieces of a comb at most."""
+
+    q: int
+    combs: int
+    slots: int
+    buckets: int
+    shortest: int
+    blocks: int
+
+
+def _group(n: int, shortest: int, longest: int, thr: float) -> Group | None:
+    """For ``n`` sequences of a group, and the lengths of its upper band; nothing if only equal ones can be similar."""
+    m = np.arange(shortest, longest + 1)
+    may = allowed(m, thr)
+    if n < 2 or may.max() < 1:
+        return None
+    q = next(q for q in (4, 2, 1) if (m // q > may).all())
+    agree = lambda combs: int((m // q // combs - may // combs).min())
+    combs = next(k for k in range(max(1, shortest // (q * SLOTS)), 0, -1) if k == 1 or agree(k) >= AGREE)
+    return Group(q, combs, -(-(longest // q) // combs), agree(combs) - 1, shortest, 1 if n <= ROWS else ceil(2 * n / (ROWS * 0.8)))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _pieces(codes: np.ndarray, q: int) -> np.ndarray:
+    """All whole pieces in 16 bits each: four letters in four bits each, two in eight, or one. What differs there differs in the letters."""
+    codes = codes[:len(codes) // q * q]
+    if q == 1:
+        return codes.astype(np.uint16)
+    if q == 2:
+        return codes.astype(np.uint8).view("<u2")
+    x = (codes & 15).astype(np.uint8).view("<u4")
+    x = (x | x >> 4) & 0x00FF00FF
+    return (x | x >> 8).astype(np.uint16)
+
+
+def _differing(q: int) -> np.ndarray:
+    """Letters that differ in two pieces, by their xor."""
+    x = np.arange(1 << 16)
+    return sum(((x >> k * (16 // q)) % (1 << (16 // q)) > 0).astype(np.uint8) for k in range(q))
+
+
+def _pairs(cells: np.ndarray, n: np.ndarray, first: np.ndarray, owner: np.ndarray | None, comb: int, how: Group, thr: float, wider: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, earlier row) of pairs whose comb differs in few enough letters, and for each row the last earlier one up to which they are complete.
+
+    ``cells``: the comb's pieces of each sequence, in id order; ``n``: letters; ``first``: the first row that a row asks for (all rows: it doesn't ask);
+    ``owner``: if given, pairs of different owners only; ``wider``: times the usual numbers of pairs.
+    """
+    rows, last = len(n), np.full(len(n), len(n), np.int64)
+    have = (n // how.q - comb + how.combs - 1) // how.combs
+    may = allowed(n, thr)
+    most, surplus, table = may // how.combs, np.arange(how.slots), _differing(how.q)
+    if how.buckets > 0:
+        sets = [np.arange(b, how.slots, how.buckets) for b in range(how.buckets)]
+        one, two = np.concatenate([np.stack([x[k] for k in np.triu_indices(len(x), 1)]) for x in sets], 1)
+    else:
+        one = two = np.arange(how.slots)
+    across, mask, pairs = np.ascontiguousarray(cells.T), (np.uint64(1) << BITS) - np.uint64(1), np.zeros(0, np.int64)
+    step = max(1, min(1 << 12, KEYS // rows))
+    for at in range(0, len(one), step):
+        a, b = one[at:at + step], two[at:at + step]
+        key = across[a].astype(np.uint64) << np.uint64(16) | across[b] | np.arange(len(a), dtype=np.uint64)[:, None] << np.uint64(32)
+        key = np.sort((key << BITS | np.arange(rows, dtype=np.uint64))[have > b[:, None]])
+        if not len(key):
             continue
-        keys, count = _pieces(refs[lo:hi], q)
-        order = np.argsort(keys, kind="stable")
-        owner, keys = np.repeat(np.arange(hi - lo), count)[order].astype(np.int32), keys[order]
-        step = max(1, min(256, (1 << 22) // (hi - lo)))
-        for at in range(0, len(open_), step):
-            part = open_[at:at + step]
-            mine, have = _pieces([codes[i] for i in part], q)
-            first = np.searchsorted(keys, mine)
-            size = np.searchsorted(keys, mine, "right") - first
-            row = np.repeat(np.arange(len(part)), have)
-            may = allowed(n[part], thr)
-            least = np.clip(have - may, 1, AGREE)
-            by = np.lexsort((size, row))
-            by = by[(np.arange(len(by)) - np.repeat(have.cumsum() - have, have) < np.repeat(may + least, have)) & (size[by] > 0)]
-            for some in np.split(by, np.flatnonzero(np.diff(size[by].cumsum() >> 22)) + 1) if len(by) else []:
-                hits = size[some]
-                place = np.arange(hits.sum()) + np.repeat(first[some] - hits.cumsum() + hits, hits)
-                met = np.bincount(np.repeat(row[some], hits) * (hi - lo) + owner[place], minlength=len(part) * (hi - lo))
-                total = met if some[0] == by[0] else total + met
-            if not len(by):
-                continue
-            total = total.reshape(len(part), hi - lo)
-            for r, k in zip(*(x.tolist() for x in np.nonzero(total >= least[:, None]))):
-                i, other = part[r], refs[lo + k]
-                if len(found[i]) < AHEAD and ref_ids[lo + k] < ids[i]:
-                    m = min(n[i], len(other))
-                    if int((codes[i][:m] == other[:m]).sum()) / max(n[i], len(other)) > thr:
-                        found[i].append(ref_ids[lo + k])
-    return found
-
-
-def _links(seqs: DataFrame, asked: DataFrame, thr: float) -> DataFrame:
-    """(id, leader, last): for sequences with ``ask`` the first earlier similar ones of all ``seqs`` that each task found; ``last``: more may follow it."""
-    band = F.floor(F.log(F.greatest(F.length("sequence"), F.lit(1)).cast("double")) / F.lit(log(1 / thr) * (1 + 1e-9)))
-    rows = seqs.join(asked, "id", "left").select("id", "sequence", F.coalesce("ask", F.lit(False)).alias("ask"), band.cast("int").alias("band"))
-    blocks = {r.band: 1 + r.letters // BLOCK for r in rows.groupBy("band").agg(F.sum(F.length("sequence")).alias("letters")).collect()}  # a row for each power of 1 / thr
-    tiles = {a: [(a, i, b, j) for i in range(k) for b in (a - 1, a, a + 1) if b in blocks for j in range(blocks[b])] for a, k in blocks.items()}
-    numbers: dict = {}
-    routes = []
-    for a, pairs in tiles.items():
-        for a, i, b, j in pairs:
-            one = numbers.setdefault(min((a, i, b, j), (b, j, a, i)), len(numbers))
-            routes.append((a, i, one, (a, i) <= (b, j)))
-    spark = seqs.sparkSession
-    routes = spark.createDataFrame(routes or [(0, 0, 0, True)], "band int, block long, tile int, left boolean")
-    sizes = spark.createDataFrame(list(blocks.items()) or [(0, 1)], "band int, blocks long")
-    placed = rows.join(F.broadcast(sizes), "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
-    kind = seqs.schema["id"].dataType.simpleString()
+        start = np.flatnonzero(np.r_[True, key[1:] >> BITS != key[:-1] >> BITS])
+        size = np.diff(np.r_[start, len(key)])
+        start, size = start[size > 1], size[size > 1]
+        start, size, place = np.repeat(start, size), np.repeat(size, size), np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
+        place += start
+        row = (key[place] & mask).astype(np.int64)
+        start = np.maximum(start, np.searchsorted(key, key[place] & ~mask | first[row].astype(np.uint64))) if first.any() else start
+        count, limit = np.maximum(place - start, 0), np.where(size > CROWD * wider, FEW * wider, size)
+        cut = np.flatnonzero(count > limit)
+        np.minimum.at(last, row[cut], (key[(start + limit)[cut] - 1] & mask).astype(np.int64))
+        some = np.flatnonzero(count)
+        row, start, count = row[some], start[some], np.minimum(count, limit)[some]
+        found = [pairs]
+        for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(count.cumsum() // PAIRS)) + 1):
+            k = count[part]
+            x = np.repeat(row[part], k)
+            y = (key[np.arange(k.sum()) + np.repeat(start[part] - k.cumsum() + k, k)] & mask).astype(np.int64)
+            long, short = np.where(n[x] >= n[y], x, y), np.where(n[x] >= n[y], y, x)
+            good = (y <= last[x]) & (n[long] >= how.shortest) & (n[long] - n[short] <= may[long])
+            if owner is not None:
+                good &= owner[x] != owner[y]
+            x, y, long, short = x[good], y[good], long[good], short[good]
+            wrong = table[cells[x] ^ cells[y]] * (surplus < have[short][:, None])
+            good = wrong.sum(1, dtype=np.int64) + have[long] - have[short] <= most[long]
+            found.append(x[good] << 20 | y[good])
+        if sum(map(len, found)) > len(pairs):
+            pairs = np.unique(np.concatenate(found))
+            x, y = pairs >> 20, pairs & int(mask)
+            begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.r_[begin, len(x)]))
+            over = np.flatnonzero(nth == AHEAD * wider)
+            last[x[over]] = np.minimum(last[x[over]], y[over - 1])
+            pairs = pairs[y <= last[x]]
+    pairs = pairs[(pairs & int(mask)) <= last[pairs >> 20]]
+    return pairs >> 20, pairs & int(mask), last
+
+
+def _candidates(seqs: DataFrame, thr: float, wider: int) -> DataFrame:
+    """(id, leader, last): of ``seqs`` (id, sequence, after: null if it doesn't ask) the earlier ones beyond ``after`` that may be similar; ``last``: more may follow it."""
+    n = F.length("sequence")
+    band = F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(log(1 / thr) * (1 + 1e-9)))
+    rows = seqs.filter(n > 0).select("id", "sequence", "after", band.cast("int").alias("band"))
+    sizes = {r.band: r for r in rows.groupBy("band").agg(F.count("*").alias("n"), F.count("after").alias("asking"), F.min(n).alias("shortest"), F.max(n).alias("longest")).collect()}  # a row for each power of 1 / thr
+    below = {b: sizes.get(b - 1) for b in sizes}
+    groups = {b: _group(r.n + (below[b].n if below[b] else 0), r.shortest, r.longest, thr) for b, r in sizes.items() if r.asking or below[b] and below[b].asking}
+    groups = {b: g for b, g in groups.items() if g}
+    tile = "group int, comb int, i int, j int"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bands, after = batch["id"].to_numpy(), batch["band"].to_numpy(), batch["after"].fill_null(-ALL - 1).to_numpy()
+            for b in np.unique(bands).tolist():
+                at = np.flatnonzero(bands == b)
+                codes = [_codes(batch["sequence"][i].as_py()) for i in at.tolist()]
+                lengths = np.array([len(x) for x in codes], np.int32)
+                for g, how in ((g, groups[g]) for g in (b, b + 1) if g in groups):
+                    cells = np.zeros((len(at), how.slots * how.combs), np.uint16)
+                    for row, x in zip(cells, codes):
+                        row[:len(x) // how.q] = _pieces(x, how.q)
+                    block = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % how.blocks
+                    for k in range(how.blocks):
+                        own = np.flatnonzero(block == k)
+                        if not len(own):
+                            continue
+                        combs = cells[own].reshape(len(own), how.slots, how.combs).transpose(2, 0, 1)
+                        meta = (k, ids[at[own]].tobytes(), lengths[own].tobytes(), after[at[own]].tobytes())
+                        for other in range(how.blocks):
+                            out = [(g, s, min(k, other), max(k, other), *meta, x.tobytes()) for s, x in enumerate(combs)]
+                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32()] * 5 + [pa.binary()] * 4)], names=["group", "comb", "i", "j", "block", "ids", "n", "after", "cells"])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, ask, left = table["id"].to_pylist(), table["ask"].to_pylist(), table["left"].to_pylist()
-        codes = [np.frombuffer(x.encode("ascii"), np.uint8) if x.isascii() else np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in table["sequence"].to_pylist()]
-        sides = [[i for i in range(len(ids)) if left[i] == s] for s in (True, False)]
-        out = []
-        for us, them in ((sides[0], sides[0]),) if not sides[1] else ((sides[0], sides[1]), (sides[1], sides[0])):
-            us = [i for i in us if ask[i]]
-            for i, got in _earlier_similar([ids[i] for i in us], [codes[i] for i in us], [ids[i] for i in them], [codes[i] for i in them], thr).items():
-                out += [(ids[us[i]], y, len(got) >= AHEAD and y == got[-1]) for y in got]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(cols[0], table.schema.field("id").type), pa.array(cols[1], table.schema.field("id").type), pa.array(cols[2], pa.bool_())], names=["id", "leader", "last"])
+        g, comb, i, j = (table[c][0].as_py() for c in ("group", "comb", "i", "j"))
+        joined = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]])
+        ids, n, after, cells = joined("ids", np.int64), joined("n", np.int32).astype(np.int64), joined("after", np.int64), joined("cells", np.uint16)
+        block = np.repeat(table["block"].to_numpy(), [len(x.as_buffer()) // 8 for x in table["ids"]])
+        order = np.argsort(ids)
+        ids, n, after, cells = ids[order], n[order], after[order], cells.reshape(len(ids), -1)[order]
+        first = np.where(after == ALL, 0, np.searchsorted(ids, after, "right"))
+        x, y, last = _pairs(cells, n, first, block[order] if i < j else None, comb, groups[g], thr, wider)
+        more = np.flatnonzero(last < len(ids))
+        return pa.table({"id": np.r_[ids[x], ids[more]], "leader": np.r_[ids[y], ids[last[more]]], "last": np.r_[np.zeros(len(x), bool), np.ones(len(more), bool)]})
+
+    spark = seqs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = rows.mapInArrow(deal, f"{tile}, block int, ids binary, n binary, after binary, cells binary")
+    return dealt.repartition(parts, "group", "comb", "i", "j").groupBy("group", "comb", "i", "j").applyInArrow(run, "id long, leader long, last boolean")
+
+
+def _narrow(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(NARROW + 1).count() <= NARROW else ids
+
+
+def _similar(pairs: DataFrame, seqs: DataFrame, thr: float) -> DataFrame:
+    """Those of ``pairs`` (id, leader) whose sequences are similar."""
+    texts = seqs.join(_narrow(pairs.select(F.explode(F.array("id", "leader")).alias("id")).distinct()), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch["sequence"], batch["other"]):
+                x, y = _codes(x.as_py()), _codes(y.as_py())
+                m = min(len(x), len(y))
+                good.append(int((x[:m] == y[:m]).sum()) / max(len(x), len(y)) > thr)
+            yield batch.select(["id", "leader"]).filter(pa.array(good, pa.bool_()))
 
-    return placed.join(F.broadcast(routes), ["band", "block"]).select("tile", "left", "id", "ask", "sequence").groupBy("tile").applyInArrow(run, f"id {kind}, leader {kind}, last boolean")
+    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("sequence").alias("other")), "leader")
+    return both.select("id", "leader", "sequence", "other").mapInArrow(run, "id long, leader long")
 
 
 def cluster_sequences(proteins: DataFrame, thr: float = 0.8) -> DataFrame:
@@ -150,25 +242,36 @@ def cluster_sequences(proteins: DataFrame, thr: float = 0.8) -> DataFrame:
         raise ValueError("thr must lie between 0 and 1")
     rows = proteins.select("protein_id", F.coalesce("sequence", F.lit("")).alias("sequence"))
     named = rows.withColumn("sha", F.sha2("sequence", 256))
-    ids = named.groupBy("sha").agg(F.min("protein_id").alias("id"), F.any_value("sequence").alias("sequence"))
-    seqs = cut_lineage(ids)
+    ids = named.groupBy("sha").agg(F.min("protein_id").alias("name"), F.any_value("sequence").alias("sequence"))
+    kind = ids.schema["name"].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    seqs = cut_lineage(ids.withColumn("id", F.col("name").cast("long")) if whole else ids)
+    if not whole:  # numbers in the order of the ids
+        names = cut_lineage(seqs.select("name").orderBy("name").withColumn("id", F.monotonically_increasing_id()))
+        seqs = seqs.join(names, "name")
     same = named.select("protein_id", "sha").join(seqs.select("sha", "id"), "sha")
     seqs = seqs.select("id", "sequence")
-    undecided = seqs.filter(F.length("sequence") > 0).select("id", F.lit(True).alias("ask"))
+    undecided = seqs.filter(F.length("sequence") > 0).select("id", F.lit(ALL).alias("after"), F.lit(False).alias("more"), F.lit(True).alias("ask"))
     links = home = None  # (id, leader): links of the undecided to leaders and undecided ones; homes of the decided
+    wider, before = 1, -1
     while True:
         undecided = cut_lineage(undecided)
-        if undecided.isEmpty():
+        left = undecided.count()
+        if not left:
             break
-        asked = undecided.filter("ask")
-        if not asked.isEmpty():
+        if links is None or left == before:
+            asked = cut_lineage(undecided.filter("ask").select("id", "after"))
             # Members lead nobody: they take no part any more.
-            still = seqs if home is None else seqs.join(home.filter("id <> leader").select("id"), "id", "left_anti")
-            new = cut_lineage(_links(still, asked, thr))
-            known = new.filter("last").groupBy("id").agg(F.min("leader").alias("known"))  # of earlier ones beyond, some tasks told nothing
-            new = new.join(known, "id", "left").filter("known is null or leader <= known").select("id", "leader")
-            undecided = undecided.join(known, "id", "left").select("id", F.when(F.col("ask"), F.col("known").isNotNull()).otherwise(F.col("more") if "more" in undecided.columns else F.lit(False)).alias("more"))
+            still = seqs.withColumn("after", F.lit(ALL)) if home is None else seqs.join(_narrow(home.filter("id <> leader").select("id")), "id", "left_anti").join(_narrow(asked), "id", "left")
+            new = cut_lineage(_candidates(still, thr, wider))
+            known = cut_lineage(new.filter("last").groupBy("id").agg(F.min("leader").alias("known")))  # of earlier ones beyond, some tasks told nothing
+            new = new.filter("not last").select("id", "leader").distinct().join(known, "id", "left").filter("known is null or leader <= known").select("id", "leader")
+            new = cut_lineage(_similar(cut_lineage(new), seqs, thr))
+            undecided = undecided.join(known, "id", "left").select("id", F.when(F.col("ask"), F.col("known")).otherwise(F.col("after")).alias("after"), F.when(F.col("ask"), F.col("known").isNotNull()).otherwise(F.col("more")).alias("more"))
+            left = -1
             links = cut_lineage(new if links is None else links.unionByName(new))
+            wider *= 8
+        before = left
         first = undecided.join(links.groupBy("id").agg(F.min("leader").alias("leader")), "id", "left")
         leaders = first.filter("leader is null and not more").select("id", F.col("id").alias("leader"))
         home = cut_lineage(leaders if home is None else home.unionByName(leaders))
@@ -177,7 +280,9 @@ def cluster_sequences(proteins: DataFrame, thr: float = 0.8) -> DataFrame:
         home = cut_lineage(home.unionByName(settled))
         links = cut_lineage(links.join(home.select("id"), "id", "left_anti").join(home.filter("id <> leader").select(F.col("id").alias("leader")), "leader", "left_anti").select("id", "leader"))
         undecided = undecided.join(home, "id", "left_anti")
-        undecided = undecided.join(links.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left").select("id", "more", (F.col("linked").isNull() & F.col("more")).alias("ask"))
+        undecided = undecided.join(links.select("id").distinct().withColumn("linked", F.lit(True)), "id", "left").select("id", "after", "more", (F.col("linked").isNull() & F.col("more")).alias("ask"))
     home = seqs.select("id", F.col("id").alias("leader")).limit(0) if home is None else home
-    out = same.select("protein_id", "id").join(home.withColumnRenamed("leader", "leader_id"), "id", "left").select("protein_id", F.coalesce("leader_id", "id").alias("leader_id"))
+    out = same.join(home, "id", "left").select("protein_id", F.coalesce("leader", "id").alias("id"))
+    out = out.select("protein_id", F.col("id").cast(kind).alias("leader_id")) if whole else out.join(names, "id").select("protein_id", F.col("name").alias("leader_id"))
+    out = cut_lineage(out)  # else the sequences are made and hashed once more for the sizes
     return out.join(out.groupBy("leader_id").agg(F.count("*").alias("size")), "leader_id").select("protein_id", "leader_id", "size")
